@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from lexmill.llm.common import table
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexmill.llm.exact_dedup import exact_duplicates
 
@@ -20,6 +26,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_quality_rules": op3_quality_rules,
     "op4_exact_dedup": op4_exact_dedup,
     "op9_sharding": op9_sharding,
 }
