@@ -7,6 +7,25 @@ from pyspark.sql import DataFrame, SparkSession
 from lexmill.llm.common import table
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public vocabulary file, the same on every machine of the cluster."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.bpe import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexmill.llm.quality import quality
 
@@ -26,6 +45,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_packing": op1_packing,
+    "op2_bpe": op2_bpe,
     "op3_quality_rules": op3_quality_rules,
     "op4_exact_dedup": op4_exact_dedup,
     "op9_sharding": op9_sharding,
