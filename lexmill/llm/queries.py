@@ -38,6 +38,18 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexmill.llm.sharding import shard_documents
 
@@ -49,6 +61,8 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_quality_rules": op3_quality_rules,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_language": op5_language,
+    "op7_toxicity": op7_toxicity,
     "op9_sharding": op9_sharding,
 }
 
