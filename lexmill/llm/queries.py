@@ -44,6 +44,12 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.url_filter import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexmill.llm.toxicity import toxicity
 
@@ -56,14 +62,22 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.html_text import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
     "op3_quality_rules": op3_quality_rules,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_language": op5_language,
+    "op6_url_filter": op6_url_filter,
     "op7_toxicity": op7_toxicity,
     "op9_sharding": op9_sharding,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLES = {
