@@ -56,6 +56,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.jaccard_join import near_classes
+
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexmill.llm.sharding import shard_documents
 
@@ -76,6 +82,7 @@ QUERIES = {
     "op5_language": op5_language,
     "op6_url_filter": op6_url_filter,
     "op7_toxicity": op7_toxicity,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_sharding": op9_sharding,
     "op10_html_text": op10_html_text,
 }
