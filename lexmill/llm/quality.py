@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -31,61 +32,67 @@ RULES = (
 )
 
 
-def text_counts(docs: DataFrame, *carry: str) -> DataFrame:
-    """Word, symbol, line and repetition counts of each whole text.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once, however often the body or the optimizer repeats its name."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def counts(text: Column) -> Column:
+    """Struct of the word, symbol, line and repetition counts of a whole text.
 
     Words are runs of characters outside space, tab, line feed, vertical tab, form feed and carriage return. Null and
     empty texts have no words and zero in every count. A 5-word window is compared by the 64-bit hash of its words; only
     texts with a repeated window sort them. All of it stays within the row: nothing is exploded or shuffled.
     """
-    whole = F.coalesce(F.col("text"), F.lit(""))
-    pieces = F.split(F.translate(whole, SPACES, " " * len(SPACES)), " ")
-    lines = F.filter(F.split(whole, "\n"), lambda x: F.length(F.ltrim(F.translate(x, SPACES, " " * len(SPACES)))) > 0)
+    whole = F.coalesce(text, F.lit(""))
+    blank = lambda x: F.translate(x, SPACES, " " * len(SPACES))
+    lines = F.filter(F.split(whole, "\n"), lambda x: F.length(F.ltrim(blank(x))) > 0)
     count_of = lambda chars: (F.length(whole) - F.length(F.translate(whole, chars, ""))).cast("long")
-    base = docs.select(
-        *carry,
-        (F.length(whole) - F.size(pieces) + 1).cast("long").alias("word_chars"),
-        count_of(SYMBOLS).alias("n_symbols"),
-        count_of("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_capitals"),
-        count_of("!").alias("n_shouts"),
-        F.array_remove(pieces, "").alias("__words"),
-        lines.alias("__lines"),
-    )
-    window = lambda i: F.xxhash64(*(F.get(F.col("__words"), i + k) for k in range(WINDOW)))
-    last = F.size("__words") - WINDOW
-    hashes = F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), window)).otherwise(F.array().cast("array<bigint>"))
-    base = base.withColumn("__windows", hashes).withColumn("__different", F.size(F.array_distinct("__windows")))
-    placed = F.sort_array(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    base = base.withColumn("__sorted", F.when(F.col("__different") < F.size("__windows"), placed))
-    twins = F.filter(
-        "__sorted",
-        lambda x, i: (F.get(F.col("__sorted"), i + 1)["h"] == x["h"]) | ((i > 0) & (F.get(F.col("__sorted"), F.greatest(i - 1, F.lit(0)))["h"] == x["h"])),
-    )
-    base = base.withColumn("__at", F.sort_array(F.transform(twins, lambda x: x["i"])))
-    # each repeated window covers its words up to the next repeated window
-    covered = F.aggregate(
-        F.transform("__at", lambda p, i: F.coalesce(F.least(F.get(F.col("__at"), i + 1) - p, F.lit(WINDOW)), F.lit(WINDOW))),
-        F.lit(0), lambda a, b: a + b,
-    )
-    return base.select(
-        *carry,
-        F.size("__words").cast("long").alias("n_words"),
-        "word_chars", "n_symbols", "n_capitals", "n_shouts",
-        F.size("__lines").cast("long").alias("n_lines"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-    )
-
 
-def votes() -> list[Column]:
-    """One column a rule: 1 for good, -1 for bad, 0 to abstain; without words every rule abstains."""
+    def windows(words: Column) -> Column:
+        last = F.size(words) - WINDOW
+        one = lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(WINDOW)))
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), one)).otherwise(F.array().cast("array<bigint>"))
+
+    def repeated(hashes: Column) -> Column:
+        """Words in windows found twice: each such window covers its words up to the next such window."""
+        placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        at = lambda s, i: F.get(s, i)["h"]
+        twins = lambda s: F.filter(s, lambda x, i: (at(s, i + 1) == x["h"]) | ((i > 0) & (at(s, F.greatest(i - 1, F.lit(0))) == x["h"])))
+        gaps = lambda p: F.transform(p, lambda q, i: F.coalesce(F.least(F.get(p, i + 1) - q, F.lit(WINDOW)), F.lit(WINDOW)))
+        places = let(placed, lambda s: F.sort_array(F.transform(twins(s), lambda x: x["i"])))
+        covered = let(places, lambda p: F.aggregate(gaps(p), F.lit(0), lambda a, b: a + b))
+        return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), covered).otherwise(0).cast("long")
+
+    def of_pieces(pieces: Column) -> Column:
+        return let(F.array_remove(pieces, ""), lambda words: F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            (F.length(whole) - F.size(pieces) + 1).cast("long").alias("word_chars"),
+            count_of(SYMBOLS).alias("n_symbols"),
+            count_of("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_capitals"),
+            count_of("!").alias("n_shouts"),
+            let(lines, lambda x: F.struct(F.size(x).cast("long").alias("all"), F.size(F.array_distinct(x)).cast("long").alias("different"))).alias("lines"),
+            let(windows(words), repeated).alias("n_repeat_words"),
+        ))
+
+    return let(F.split(blank(whole), " "), of_pieces)
+
+
+def quantity(c: Column, name: str) -> Column:
+    if name == "n_lines":
+        return c["lines"]["all"]
+    return c["lines"]["all"] - c["lines"]["different"] if name == "n_dup_lines" else c[name]
+
+
+def votes(c: Column) -> Column:
+    """Struct of one vote a rule: 1 for good, -1 for bad, 0 to abstain; a share of nothing abstains."""
     out = []
-    for name, quantity, good_from, good_to, bad_below, bad_above in RULES:
-        parts = [F.col(c.strip()) for c in quantity.split("/")]
+    for name, what, good_from, good_to, bad_below, bad_above in RULES:
+        parts = [quantity(c, x.strip()) for x in what.split("/")]
         x = F.try_divide(*parts) if len(parts) == 2 else parts[0]
         good, bad = (x >= good_from) & (x <= good_to), (x < bad_below) | (x > bad_above)
-        out.append(F.when(bad, -1).when(good, 1).otherwise(0).cast("tinyint").alias(f"vote_{name}"))
-    return out
+        out.append(F.when(bad, -1).when(good, 1).otherwise(0).alias(name))
+    return F.struct(*out)
 
 
 @dataclass
@@ -99,10 +106,10 @@ class VoteModel:
         logit = lambda p: math.log(p / (1 - p))
         return logit(self.prior), [logit(a) for a in self.accuracy]
 
-    def posterior(self) -> Column:
-        """Probability that a document is good, given its votes."""
+    def posterior(self, vote: Column) -> Column:
+        """Probability that a document is good, given its struct of votes."""
         bias, weight = self.weights()
-        score = reduce(lambda a, b: a + b, (F.lit(w) * F.col(f"vote_{r[0]}") for w, r in zip(weight, RULES, strict=True)), F.lit(bias))
+        score = reduce(lambda a, b: a + b, (F.lit(w) * vote[r[0]] for w, r in zip(weight, RULES, strict=True)), F.lit(bias))
         return 1 / (1 + F.exp(-score))
 
 
@@ -115,8 +122,7 @@ def fit_votes(voted: DataFrame, rounds: int = 50) -> VoteModel:
     tenfold for every bad vote, which fixes which class is called good. Accuracies start from a prior of nine right
     votes in ten, and no rule is taken to be worse than chance.
     """
-    names = [f"vote_{r[0]}" for r in RULES]
-    table = [(tuple(row[n] for n in names), row["count"]) for row in voted.groupBy(*names).count().collect()]
+    table = [(tuple(row["votes"]), row["count"]) for row in voted.groupBy("votes").count().collect()]
     good = [0.95 * 0.1 ** sum(x < 0 for x in v) for v, _ in table]
     total, model = sum(n for _, n in table), VoteModel(0.5, [0.9] * len(RULES))
     for _ in range(rounds):
@@ -134,9 +140,9 @@ def fit_votes(voted: DataFrame, rounds: int = 50) -> VoteModel:
     return model
 
 
-def base_failed() -> Column:
+def base_failed(c: Column) -> Column:
     """Under ten words, or over a fifth of the words in repeated 5-word windows."""
-    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return (c["n_words"] < 10) | (100 * c["n_repeat_words"] > 20 * c["n_words"])
 
 
 def quality(docs: DataFrame) -> DataFrame:
@@ -146,19 +152,17 @@ def quality(docs: DataFrame) -> DataFrame:
     are kept where the posterior is at least 0.5. Null and empty texts fail the base rule. Repeated rows are judged
     alike. Empty table: no rows. Other columns of the input are not read.
     """
-    voted = stage(text_counts(docs, "doc_id").select("*", *votes()), "votes")
-    model = fit_votes(voted)
+    counted = docs.select("doc_id", counts(F.col("text")).alias("c"))
+    voted = stage(counted.select("doc_id", "c", votes(F.col("c")).alias("votes")), "votes")
+    good = fit_votes(voted).posterior(F.col("votes"))
+    c = F.col("c")
     return voted.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base_failed().alias("base_failed"),
-        (~base_failed() & (model.posterior() >= KEEP)).alias("kept"),
-        model.posterior().alias("quality"),
+        "doc_id", *(quantity(c, n).alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
+        base_failed(c).alias("base_failed"), (~base_failed(c) & (good >= KEEP)).alias("kept"), good.alias("quality"),
     )
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that quality() keeps, with all their columns; the counts are taken twice instead of shuffling texts."""
-    model = fit_votes(text_counts(docs).select(*votes()))
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), "text")
-    judged = text_counts(row, "__row").select("*", *votes())
-    return judged.filter(~base_failed() & (model.posterior() >= KEEP)).select("__row.*")
+    model = fit_votes(docs.select(let(counts(F.col("text")), votes).alias("votes")))
+    return docs.filter(let(counts(F.col("text")), lambda c: ~base_failed(c) & (model.posterior(votes(c)) >= KEEP)))
