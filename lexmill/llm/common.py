@@ -25,7 +25,7 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, total: int) -> DataFrame:
     """Inner join of rows with their group, one group row for each key.
 
     Groups with more than total / HOT_SHARE rows number fewer than HOT_SHARE, whatever the input, so these are
@@ -34,5 +34,5 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     limit = total // HOT_SHARE
     hot = groups.filter(F.col(size) > limit)
     rest = groups.filter(F.col(size) <= limit)
-    hot_keys = F.broadcast(hot.select(key))
+    hot_keys = F.broadcast(hot.select(*([key] if isinstance(key, str) else key)))
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(hot_keys, key, "left_anti").join(rest, key))

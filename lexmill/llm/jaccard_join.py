@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -98,55 +98,158 @@ def common_shingles(docs: DataFrame, counted: int = COUNTED) -> tuple[np.ndarray
     return np.array([r["s"] for r in rows], np.int64), np.array([int(r["n"]).bit_length() for r in rows], np.int64)
 
 
+def parity_bits(items: np.ndarray) -> bytes:
+    """Odd sketch: bit k tells whether an odd number of items hash to k, with 2 to 4 bits an item.
+
+    Items that two sets share cancel out, so two sketches differ in no more bits than the sets differ in items. Half a
+    sketch laid over the other half is the sketch of half the width.
+    """
+    width = max(64, 1 << (2 * len(items) - 1).bit_length())
+    odd = np.bincount((items & (width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest, prefix): size, digest of the whole set and prefix of each document."""
+    """(doc_id, n_shingles, hi, lo, bits, prefix): size, 128-bit digest of the whole set, odd sketch and prefix.
+
+    Of equal sets in one task only the first carries sketch and prefix, so a text with many copies doesn't pile up.
+    """
     box = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, level = box.value
+        seen: set[int] = set()
         for batch in batches:
-            sizes, digests, heads = [], [], []
+            sizes, digests, bits, heads = [], [], [], []
             for text in batch.column(1).to_pylist():
                 items = shingles(text)
                 sizes.append(len(items))
-                digests.append(xxhash.xxh128_digest(items.tobytes()) if len(items) else None)
-                heads.append(prefix(items, common, level) if len(items) else items)
-            ends = np.cumsum([0, *map(len, heads)])
-            values = np.concatenate(heads) if heads else np.empty(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists], names=["doc_id", "n_shingles", "digest", "prefix"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, prefix array<long>")
+                digest = xxhash.xxh128_intdigest(items.tobytes()) if len(items) else None
+                digests.append(digest)
+                if digest is None or digest in seen:
+                    bits.append(None)
+                    heads.append(None)
+                    continue
+                if len(seen) > CACHE:
+                    seen.clear()
+                seen.add(digest)
+                bits.append(parity_bits(items))
+                heads.append(prefix(items, common, level))
+            half = lambda k: pa.array([None if d is None else (d >> k & (1 << 64) - 1) - (1 << 63) for d in digests], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), half(64), half(0), pa.array(bits, pa.binary()), pa.array(heads, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "hi", "lo", "bits", "prefix"],
+            )
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long, bits binary, prefix array<long>")
 
 
 def seed_regions(heads: DataFrame) -> DataFrame:
-    """(pivot, member): for each shingle, the document of first rank among those with it in their prefix is a pivot.
+    """(pivot_hi, pivot_lo, hi, lo): for each shingle, the set of first rank among those with it in their prefix is a pivot.
 
-    Two documents within the radius share a prefix shingle, hence a pivot: they meet in its region. Ranks are hashed
-    ids, so the documents of one neighbourhood agree on few pivots. Rows come sorted by shingle and rank; the scan keeps
-    one pivot at a time and shingles of a single document fall out.
+    Two sets within the radius share a prefix shingle, hence a pivot: they meet in its region. Ranks are digests, so the
+    sets of one neighbourhood agree on few pivots. Rows come sorted by shingle and rank; the scan keeps one pivot at a
+    time, passes over repeated rows, and shingles of a single set fall out.
     """
-    spark = heads.sparkSession
-    rows = heads.select(F.explode("prefix").alias("s"), "doc_id")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranked = rows.withColumn("rank", F.xxhash64("doc_id")).repartition(max(parts, 2), "s").sortWithinPartitions("s", "rank", "doc_id")
+    parts = int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = heads.select(F.explode("prefix").alias("s"), "hi", "lo")
+    ranked = rows.repartition(max(parts, 2), "s").sortWithinPartitions("s", "hi", "lo")
+    names = ["pivot_hi", "pivot_lo", "hi", "lo"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, pivot = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            s, x = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            s = batch.column(0).to_numpy()
+            x = np.stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()], axis=1)
             first = np.concatenate([[s[0] != last], s[1:] != s[:-1]])
             starts = np.maximum.accumulate(np.where(first, np.arange(len(s)), -1))
-            pivots = np.where(starts >= 0, x[starts], 0 if pivot is None else pivot)
-            last, pivot = s[-1], pivots[-1]
-            member = ~first & (pivots != x)
-            pairs = np.unique(np.stack([pivots[member], x[member]], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["pivot", "member"])
+            pivots = x[starts]
+            if pivot is not None:
+                pivots[starts < 0] = pivot
+            last, pivot = s[-1], pivots[-1].copy()
+            member = ~first & (pivots != x).any(axis=1)
+            pairs = np.unique(np.concatenate([pivots[member], x[member]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k], pa.int64()) for k in range(4)], names=names)
+
+    found = ranked.mapInArrow(run, ", ".join(f"{n} long" for n in names)).distinct()
+    own = found.select("pivot_hi", "pivot_lo", F.col("pivot_hi").alias("hi"), F.col("pivot_lo").alias("lo")).distinct()
+    return found.unionByName(own)
+
+
+def spread(members: DataFrame, pivot: list[str], weight: str, limit: int) -> DataFrame:
+    """The members with block numbers i and j. A region whose weight passes the limit is cut into blocks by hashed
+    member, and every two blocks meet under a key (pivot, i, j) of their own; all other regions are one block."""
+    blocks = members.groupBy(*pivot).agg(F.ceil(F.sum(weight) / limit).cast("int").alias("blocks"), F.count("*").alias("members")).filter("members > 1")
+    one = members.join(blocks.filter("blocks <= 1").select(*pivot), pivot, "left_semi").withColumns({"i": F.lit(0), "j": F.lit(0)})
+    many = members.join(blocks.filter("blocks > 1").drop("members"), pivot).withColumn("own", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    many = many.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).select(*members.columns, "i", "j")
+    return one.unionByName(many)
+
+
+def grouped(frame: DataFrame, key: list[str], values: list[str], work: Callable[[list[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
+    """Run work on the rows of each key, one key at a time in memory, many keys a task."""
+    rows = frame.select(*key, *values).repartition(*key).sortWithinPartitions(*key, values[0])
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key_, held, out = None, [], []
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
+            for row in zip(*columns, strict=True):
+                if row[: len(key)] != key_:
+                    if held:
+                        out += work(held)
+                    key_, held = row[: len(key)], []
+                held.append(row[len(key) :])
+            if out:
+                yield pack()
+                out.clear()
+        if held:
+            out += work(held)
+        if out:
+            yield pack()
 
-    found = ranked.select("s", "doc_id").mapInArrow(run, "pivot long, member long").distinct()
-    return found.unionByName(found.select("pivot", F.col("pivot").alias("member")).distinct())
+    return rows.mapInArrow(run, schema)
+
+
+def hopeful(rows: list[tuple]) -> Iterator[tuple[int]]:
+    """Members of a region that may have another within the radius, by size and odd sketch.
+
+    Sets within the radius differ in at most a seventh of their items, (1 - t) / (1 + t) of both sizes together; two
+    sketches that differ in more bits rule that out. A member that has found a partner isn't compared any further.
+    """
+    members, sizes = [r[0] for r in rows], np.array([r[1] for r in rows])
+    raw = [np.frombuffer(r[2], np.uint8) for r in rows]
+    found = np.zeros(len(rows), bool)
+    for width in sorted({len(r) for r in raw}):
+        # with sets of the same or twice the width: sizes within the radius are never further apart
+        pick = np.array([k for k, r in enumerate(raw) if len(r) in (width, 2 * width)])
+        bits = np.stack([folded(raw[k], width) for k in pick])
+        size = sizes[pick]
+        for k in range(len(pick)):
+            if found[pick[k]]:
+                continue
+            fits = (DENOMINATOR * size >= NUMERATOR * size[k]) & (DENOMINATOR * size[k] >= NUMERATOR * size)
+            fits[k] = False
+            near = np.flatnonzero(fits)
+            if len(near):
+                differ = np.bitwise_count(bits[near] ^ bits[k]).sum(axis=1, dtype=np.int64)
+                good = near[differ * (DENOMINATOR + NUMERATOR) <= (size[near] + size[k]) * (DENOMINATOR - NUMERATOR)]
+                if len(good):
+                    found[pick[good]] = found[pick[k]] = True
+    for m, f in zip(members, found, strict=True):
+        if f:
+            yield (m,)
 
 
 def overlaps(one: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -212,49 +315,14 @@ def join_region(sets: list[np.ndarray]) -> np.ndarray:
     return component
 
 
-def join_regions(regions: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): edges from the first document of each component of each region to its others.
-
-    A region of more than BLOCK shingles is cut into blocks by hashed id, and every two blocks meet in a task of their
-    own. A task holds one region, or two blocks of one, at a time.
-    """
-    sized = regions.join(sets.select(F.col("doc_id").alias("member"), F.col("n").alias("size")), "member")
-    blocks = sized.groupBy("pivot").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("members"))
-    # regions of any size: few have more than one block, and only those are spread over pairs of blocks
-    one = regions.join(blocks.filter("blocks = 1 and members > 1").select("pivot"), "pivot").select("pivot", "member", F.lit(0).alias("i"), F.lit(0).alias("j"))
-    many = regions.join(blocks.filter("blocks > 1"), "pivot").withColumn("own", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
-    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("pivot", "member", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = one.unionByName(many).join(sets, F.col("member") == F.col("doc_id")).select("pivot", "i", "j", "member", "items")
-    rows = rows.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "member")
-
-    def edges(members: list[int], sets_: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-        component = join_region(sets_)
-        first: dict[int, int] = {}
-        for c, m in zip(component.tolist(), members, strict=True):
-            root = first.setdefault(c, m)
-            if root != m:
-                yield root, m
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, members, held = None, [], []
-        out: list[tuple[int, int]] = []
-        pack = lambda: pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
-        for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(5)]
-            for pivot, i, j, member, items in zip(*columns, strict=True):
-                if (pivot, i, j) != key:
-                    out += edges(members, held)
-                    key, members, held = (pivot, i, j), [], []
-                members.append(member)
-                held.append(np.frombuffer(items, np.int64))
-            if out:
-                yield pack()
-                out.clear()
-        out += edges(members, held)
-        if out:
-            yield pack()
-
-    return rows.mapInArrow(run, "a long, b long").distinct()
+def region_edges(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+    """Edges from the first member of each component of a region to its others."""
+    component = join_region([np.frombuffer(items, np.int64) for _, items in rows])
+    first: dict[int, int] = {}
+    for c, (m, _) in zip(component.tolist(), rows, strict=True):
+        root = first.setdefault(c, m)
+        if root != m:
+            yield root, m
 
 
 def classes(edges: DataFrame) -> DataFrame:
@@ -300,17 +368,23 @@ def near_classes(docs: DataFrame) -> DataFrame:
     their class. Empty table: no rows. Columns other than doc_id and text are not read.
     """
     rows = stage(sketch(docs), "sketch")
-    full = rows.filter("digest is not null and doc_id is not null").select("doc_id", "n_shingles", "digest")
-    groups = stage(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")), "classes")
+    full = rows.filter("hi is not null and doc_id is not null").select("doc_id", "n_shingles", "hi", "lo")
+    groups = stage(full.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n_shingles").alias("n")), "classes")
     total = groups.agg(F.sum("size")).first()[0] or 0
-    heads = rows.select("doc_id", "prefix").join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    regions = stage(seed_regions(heads), "regions")
-    sets = stage(shingle_sets(docs, regions), "sets")
-    labels = classes(stage(join_regions(regions, sets), "links"))
+    heads = rows.filter("prefix is not null and doc_id is not null")
+    pivot = ["pivot_hi", "pivot_lo"]
+    bits = heads.select("hi", "lo", "bits").join(groups.select("hi", "lo", F.col("rep").alias("member"), "n"), ["hi", "lo"]).dropDuplicates(["hi", "lo"])
+    members = stage(seed_regions(heads).join(bits, ["hi", "lo"]).select(*pivot, "member", "n", "bits"), "regions")
+    key = [*pivot, "i", "j"]
+    kept = grouped(spread(members, pivot, "n", 8 * BLOCK), key, ["member", "n", "bits"], hopeful, "member long").distinct()
+    sets = stage(shingle_sets(docs, stage(kept, "hopeful")), "sets")
+    live = members.select(*pivot, "member", "n").join(sets.select(F.col("doc_id").alias("member")), "member", "left_semi")
+    regions = spread(live, pivot, "n", BLOCK).join(sets.select(F.col("doc_id").alias("member"), "items"), "member")
+    labels = classes(stage(grouped(regions, key, ["member", "items"], region_edges, "a long, b long").distinct(), "links"))
     labelled = groups.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
-    labelled = stage(labelled.select("digest", "size", F.coalesce("label", "rep").alias("component_id")), "labelled")
-    joined = join_groups(full, labelled, "digest", "size", total).select("doc_id", "n_shingles", "component_id")
-    alone = rows.filter("digest is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    labelled = stage(labelled.select("hi", "lo", "size", F.coalesce("label", "rep").alias("component_id")), "labelled")
+    joined = join_groups(full, labelled, ["hi", "lo"], "size", total).select("doc_id", "n_shingles", "component_id")
+    alone = rows.filter("hi is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return joined.unionByName(alone)
 
 
