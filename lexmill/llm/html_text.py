@@ -275,11 +275,14 @@ def with_furniture(page: str, rng: random.Random) -> str:
 
 
 def fit_labeller(pages: DataFrame, sample: int = SAMPLE, teacher: Callable[[list[Block]], np.ndarray] = structure_labels) -> Labeller:
-    """Fit on the `sample` pages with the smallest hashed ids, labelled by their own structure.
+    """Fit on about `sample` pages, drawn by the hash of the id, labelled by their own structure.
 
     Each page comes twice, as it is and with furniture put in. Long pages are learnt in windows of WINDOW blocks.
     """
-    rows = pages.filter(F.col("html").isNotNull()).orderBy(F.xxhash64("page_id", F.lit("html")), "page_id").select("html").limit(sample).collect()
+    total = pages.select("page_id").count()
+    draw = F.pmod(F.xxhash64("page_id", F.lit("html")), F.lit(1_000_000)) / 1_000_000
+    rows = pages.filter(F.col("html").isNotNull() & (draw < sample / max(1, total))).select("page_id", "html").collect()
+    rows.sort(key=lambda r: (r["page_id"] is None, r["page_id"], r["html"]))
     rng = random.Random(11)
     inputs, labels = [], []
     for row in rows:
