@@ -63,24 +63,24 @@ def bm25(docs: DataFrame, tokens: Column, queries: DataFrame, key: str = "doc_id
     return scored.join(F.broadcast(queries), "token").groupBy("query_id", key).agg(half_up(F.sum("part"), 6).alias("score")).filter("score > 0")
 
 
-def dense_top_k(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def dense_top_k(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", tier: str | None = None) -> DataFrame:
     """(query_id, key, score, rank): the k rows of highest cosine for each query of (query_id, query_vector).
 
-    Queries go out in blocks of QUERY_BLOCK, so what is broadcast stays bounded; a task multiplies its rows with the
-    block and keeps k of them for each query. Vectors of length 0 score 0. Ties go to the smaller key.
+    With a tier column, queries have one too and see only rows of their own tier. Queries go out in blocks of
+    QUERY_BLOCK, so what is broadcast stays bounded; a task multiplies its rows with the block and keeps k of them for
+    each query. Vectors of length 0 score 0. Ties go to the smaller key.
     """
     spark = rows.sparkSession
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    wanted = queries.select(F.col("query_id").cast("long"), "query_vector", (F.col(tier) if tier else F.lit(0)).cast("long").alias("tier"))
+    data = rows.select(F.col(key).cast("long"), vector, (F.col(tier) if tier else F.lit(0)).cast("long").alias("tier"))
     out = None
     for b in range(blocks):
-        part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries
-        found = part.select("query_id", "query_vector").collect()
+        found = wanted.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
         if not found:
             continue
-        ids = np.array([r[0] for r in found], np.int64)
-        matrix = unit(np.array([r[1] for r in found], np.float64))
-        box = spark.sparkContext.broadcast((ids, matrix))
-        one = _block_top_k(rows.select(key, vector), box, k, key)
+        block = np.array([r[0] for r in found], np.int64), unit(np.array([r[1] for r in found], np.float64)), np.array([r[2] for r in found])
+        one = _block_top_k(data, spark.sparkContext.broadcast(block), k, key)
         out = one if out is None else out.unionByName(one)
     if out is None:
         return spark.createDataFrame([], f"query_id long, {key} long, score double, rank int")
@@ -94,21 +94,22 @@ def unit(matrix: np.ndarray) -> np.ndarray:
 
 def _block_top_k(rows: DataFrame, box, k: int, key: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix = box.value
-        best_key = np.empty((len(ids), 0), np.int64)
-        best = np.empty((len(ids), 0))
+        ids, matrix, tiers = box.value
+        names, best = np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0))
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             if not len(keys):
                 continue
             values = np.array(batch.column(1).to_pylist(), np.float64)
             score = np.floor(matrix @ unit(values).T * 1e6 + 0.5) / 1e6
-            score, names = np.hstack([best, score]), np.hstack([best_key, np.broadcast_to(keys, score.shape)])
-            order = np.lexsort((names, -score), axis=1)[:, :k]
-            best, best_key = np.take_along_axis(score, order, 1), np.take_along_axis(names, order, 1)
-        if best.size:
-            width = best.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, width)), pa.array(best_key.ravel()), pa.array(best.ravel())], names=["query_id", key, "score"])
+            score[tiers[:, None] != batch.column(2).to_numpy(zero_copy_only=False)[None, :]] = -np.inf
+            names, best = np.hstack([names, np.broadcast_to(keys, score.shape)]), np.hstack([best, score])
+            order = np.lexsort((names, -best), axis=1)[:, :k]
+            names, best = np.take_along_axis(names, order, 1), np.take_along_axis(best, order, 1)
+        real = np.isfinite(best).ravel()
+        if real.any():
+            columns = np.repeat(ids, best.shape[1])[real], names.ravel()[real], best.ravel()[real]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", key, "score"])
 
     return rows.mapInArrow(run, f"query_id long, {key} long, score double")
 
@@ -148,15 +149,22 @@ def rerank(pool: DataFrame, score: Column, k: int, key: str) -> DataFrame:
     return ranked(pool.withColumn("new", new), "query_id", F.desc_nulls_last("new"), F.asc("rank"), F.asc(key), k=k, rank="place").drop("new")
 
 
-def random_channel(rows: DataFrame, queries: DataFrame, k: int, key: str) -> DataFrame:
-    """k rows of the whole corpus for each query, by hash order: the k least hashes of a task, then of all tasks.
+def hashed_place(rows: DataFrame, key: str) -> DataFrame:
+    """(key, place): place of each key, from 0, in the order of its MD5.
 
-    Each query has an offset of its own into the order by MD5 of the key, so one sorted prefix serves all queries; the
-    prefix holds k rows a query of a stated query set.
+    Keys are ranked within the 256 ranges of the first two hex digits; a table of 256 counts gives each range's start,
+    so no task holds all keys.
     """
-    wanted = queries.select("query_id").distinct()
-    many = wanted.count() * k
-    first = rows.select(key).orderBy(F.md5(F.col(key).cast("string").cast("binary")), key).limit(many)
-    place = first.withColumn("place", F.row_number().over(Window.orderBy(F.md5(F.col(key).cast("string").cast("binary")), key)) - 1)
-    numbered = wanted.withColumn("q", F.row_number().over(Window.orderBy("query_id")) - 1)
-    return place.withColumn("q", F.floor(F.col("place") / k).cast("int")).join(numbered, "q").select("query_id", key, (F.col("place") % k + 1).alias("rank"))
+    digest = F.md5(F.col(key).cast("string").cast("binary"))
+    keyed = rows.select(key, digest.alias("digest"), F.substring(digest, 1, 2).alias("range"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = keyed.groupBy("range").count().select("range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    nth = F.row_number().over(Window.partitionBy("range").orderBy("digest", key)) - 1
+    return keyed.withColumn("nth", nth).join(F.broadcast(starts), "range").select(key, (F.col("start") + F.col("nth")).cast("long").alias("place"))
+
+
+def random_channel(rows: DataFrame, queries: DataFrame, k: int, key: str) -> DataFrame:
+    """k rows of the whole corpus for each query: query number q gets the places q k to q k + k - 1 of the hashed order."""
+    numbered = hashed_place(queries.select("query_id").distinct(), "query_id").withColumnRenamed("place", "q")
+    placed = hashed_place(rows, key).withColumn("q", F.floor(F.col("place") / k).cast("long"))
+    return placed.join(numbered, "q").select("query_id", key, (F.col("place") % k + 1).cast("int").alias("rank"))

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from lexmill.plans import consult, corpus, search
+
+QUERIES = {**search.QUERIES, **corpus.QUERIES, **consult.QUERIES}
+ORACLES = {**search.ORACLES, **corpus.ORACLES, **consult.ORACLES}
