@@ -150,27 +150,49 @@ def best_pattern(price: np.ndarray, units: int) -> tuple[float, np.ndarray]:
     return float(value[units]), pattern
 
 
-def generate_columns(demand: np.ndarray, gap: float = 5e-4, rounds: int = 5000) -> tuple[np.ndarray, np.ndarray]:
+def generate_columns(demand: np.ndarray, gap: float = 1e-3, rounds: int = 3000, pull: float = 0.6) -> tuple[np.ndarray, np.ndarray]:
     """Patterns and how often each is used in a solution of the linear program.
 
-    The program: fewest sequences such that every class gets its slots. It starts from one class a pattern; the revised
-    simplex method takes in the pattern that the knapsack prices best under the current duals, until no pattern is
-    worth more than 1 + gap, which puts the solution within that share of the optimum (Farley's bound).
+    The program: fewest sequences such that every class gets at least its slots. It starts from one class a pattern; the
+    revised simplex method takes in the pattern that the knapsack prices best. Prices are first drawn towards those of
+    the best bound so far, which keeps them from swinging; only where they give nothing are the true ones tried. The
+    end is reached when the solution is within `gap` of the bound, prices over the worth of the best pattern (Farley).
+    A class whose price falls under zero may be over-supplied: its surplus enters the basis.
     """
-    units = len(demand)
-    used = np.flatnonzero(demand)
-    m = len(used)
-    patterns = np.zeros((m, units), np.int64)
-    patterns[np.arange(m), used] = units // (used + 1)
-    inverse = np.diag(1.0 / patterns[np.arange(m), used])
-    amount = inverse @ demand[used].astype(float)
-    price = np.zeros(units)
+    units, used = len(demand), np.flatnonzero(demand)
+    m, wanted = len(used), demand[used].astype(float)
+    columns = np.zeros((m, units), np.int64)
+    columns[np.arange(m), used] = units // (used + 1)
+    cost = np.ones(m)
+    inverse = np.diag(1.0 / columns[np.arange(m), used])
+    amount = inverse @ wanted
+    centre, bound = np.zeros(m), 0.0
+
+    def priced(values: np.ndarray) -> tuple[float, np.ndarray]:
+        price = np.zeros(units)
+        price[used] = np.maximum(values, 0.0)
+        return best_pattern(price, units)
+
     for _ in range(rounds):
-        price[used] = inverse.sum(axis=0)
-        worth, pattern = best_pattern(np.maximum(price, 0.0), units)
-        if worth <= 1 + gap:
+        true = cost @ inverse
+        low = int(np.argmin(true))
+        if true[low] < -1e-7:
+            column, price_in = np.zeros(units, np.int64), 0.0
+            column[used[low]] = -1
+        else:
+            for mixed in (pull * centre + (1 - pull) * true, true) if bound else (true,):
+                worth, column = priced(mixed)
+                here = float(np.maximum(mixed, 0) @ wanted) / max(1.0, worth)
+                if here > bound:
+                    bound, centre = here, np.maximum(mixed, 0) / max(1.0, worth)
+                if true @ column[used] > 1 + 1e-7:
+                    break
+            else:
+                break
+            price_in = 1.0
+        if cost @ amount <= bound * (1 + gap):
             break
-        step = inverse @ pattern[used].astype(float)
+        step = inverse @ column[used].astype(float)
         up = step > 1e-9
         if not up.any():
             break
@@ -180,12 +202,12 @@ def generate_columns(demand: np.ndarray, gap: float = 5e-4, rounds: int = 5000)
         theta = ratio[out]
         amount -= theta * step
         amount[out] = theta
+        np.maximum(amount, 0, out=amount)
         inverse[out] /= step[out]
         others = np.arange(m) != out
         inverse[others] -= np.outer(step[others], inverse[out])
-        patterns[out] = pattern
-        np.maximum(amount, 0, out=amount)
-    return patterns, amount
+        columns[out], cost[out] = column, price_in
+    return columns[cost > 0], amount[cost > 0]
 
 
 def best_fit(demand: np.ndarray) -> list[np.ndarray]:
