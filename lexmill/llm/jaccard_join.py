@@ -179,7 +179,7 @@ def seed_regions(heads: DataFrame) -> DataFrame:
             pairs = np.unique(np.concatenate([pivots[member], x[member]], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k], pa.int64()) for k in range(4)], names=names)
 
-    found = ranked.mapInArrow(run, ", ".join(f"{n} long" for n in names)).distinct()
+    found = stage(ranked.mapInArrow(run, ", ".join(f"{n} long" for n in names)).distinct(), "seeds")
     own = found.select("pivot_hi", "pivot_lo", F.col("pivot_hi").alias("hi"), F.col("pivot_lo").alias("lo")).distinct()
     return found.unionByName(own)
 
