@@ -16,6 +16,8 @@ SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 KEEP = 0.5
+#: Accuracy that a rule is given before any vote is seen.
+BELIEF = 0.9
 
 #: Each rule votes good inside the first pair of bounds, bad outside the second pair, and else abstains.
 #: (name, quantity, good from, good to, bad below, bad above); most rules only ever vote bad: passing one proves little.
@@ -25,8 +27,8 @@ RULES = (
     ("word_length", "word_chars / n_words", *NEVER, 2.5, 14.0),
     ("symbols", "n_symbols / n_words", *NEVER, -1.0, 0.2),
     ("symbol_share", "n_symbols / word_chars", *NEVER, -1.0, 0.02),
-    ("duplicate_lines", "n_dup_lines / n_lines", *NEVER, -1.0, 0.3),
-    ("repeats", "n_repeat_words / n_words", *NEVER, -1.0, 0.15),
+    ("duplicate_lines", "n_dup_lines / n_lines", *NEVER, -1.0, 0.5),
+    ("repeats", "n_repeat_words / n_words", *NEVER, -1.0, 0.2),
     ("capitals", "n_capitals / word_chars", *NEVER, -1.0, 0.3),
     ("shouting", "n_shouts / n_words", *NEVER, -1.0, 0.3),
 )
@@ -97,19 +99,16 @@ def votes(c: Column) -> Column:
 
 @dataclass
 class VoteModel:
-    """Share of good documents, and for each rule the chance that a vote of it is right."""
+    """For each rule the chance that a vote of it is right. Without any vote good and bad are held equally likely."""
 
-    prior: float
     accuracy: list[float]
 
-    def weights(self) -> tuple[float, list[float]]:
-        logit = lambda p: math.log(p / (1 - p))
-        return logit(self.prior), [logit(a) for a in self.accuracy]
+    def weights(self) -> list[float]:
+        return [math.log(a / (1 - a)) for a in self.accuracy]
 
     def posterior(self, vote: Column) -> Column:
         """Probability that a document is good, given its struct of votes."""
-        bias, weight = self.weights()
-        score = reduce(lambda a, b: a + b, (F.lit(w) * vote[r[0]] for w, r in zip(weight, RULES, strict=True)), F.lit(bias))
+        score = reduce(lambda a, b: a + b, (F.lit(w) * vote[r[0]] for w, r in zip(self.weights(), RULES, strict=True)), F.lit(0.0))
         return 1 / (1 + F.exp(-score))
 
 
@@ -119,23 +118,22 @@ def fit_votes(voted: DataFrame, rounds: int = 50) -> VoteModel:
     Spark counts how often each combination of votes occurs over all documents; there are at most 3 ** len(RULES)
     (6561) combinations, whatever the input, so the rounds run over that table. Votes are taken to err independently
     given the truth, each rule with its own accuracy; abstaining says nothing. The first round doubts each document
-    tenfold for every bad vote, which fixes which class is called good. Accuracies start from a prior of nine right
-    votes in ten, and no rule is taken to be worse than chance.
+    tenfold for every bad vote, which fixes which class is called good. An accuracy is the mean of the estimate and of
+    BELIEF, which weighs the same at every size of the corpus, and no rule is taken to be worse than chance.
     """
     table = [(tuple(row["votes"]), row["count"]) for row in voted.groupBy("votes").count().collect()]
     good = [0.95 * 0.1 ** sum(x < 0 for x in v) for v, _ in table]
-    total, model = sum(n for _, n in table), VoteModel(0.5, [0.9] * len(RULES))
+    model = VoteModel([BELIEF] * len(RULES))
     for _ in range(rounds):
-        prior = (sum(w * n for w, (_, n) in zip(good, table, strict=True)) + 1) / (total + 2)
-        right, cast = [9.0] * len(RULES), [10.0] * len(RULES)
+        right, cast = [0.0] * len(RULES), [0] * len(RULES)
         for w, (vote, n) in zip(good, table, strict=True):
             for j, v in enumerate(vote):
                 if v:
                     right[j] += n * (w if v > 0 else 1 - w)
                     cast[j] += n
-        model = VoteModel(prior, [min(0.99, max(0.5, r / c)) for r, c in zip(right, cast, strict=True)])
-        bias, weight = model.weights()
-        odds = [bias + sum(w * x for w, x in zip(weight, v, strict=True)) for v, _ in table]
+        model = VoteModel([min(0.99, max(0.5, (r / c + BELIEF) / 2)) if c else BELIEF for r, c in zip(right, cast, strict=True)])
+        weight = model.weights()
+        odds = [sum(w * x for w, x in zip(weight, v, strict=True)) for v, _ in table]
         good = [1 / (1 + math.exp(-max(-500.0, min(500.0, x)))) for x in odds]
     return model
 
