@@ -11,6 +11,8 @@ from lexmill.llm.common import ascii_lower, join_groups
 from lexmill.session import shared_dir, stage
 
 BUCKETS = 64
+#: Stands for a missing id in a join.
+NO_ID = -(1 << 63)
 
 
 class DigestIndex:
@@ -88,10 +90,11 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataF
 def drop_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The documents that exact_duplicates() keeps, with all their columns.
 
-    Each kept (doc_id, digest) meets its row by a join on the id; rows repeated with the same id and text are cut to one.
+    Each kept (doc_id, digest) meets its row by a join on both; rows repeated with the same id and text are cut to one.
+    The one shuffle of the texts, by these two, serves the join and the cut, and no hot text falls to one task.
     """
-    kept = exact_duplicates(docs, index).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
+    known = F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("__id")
+    kept = exact_duplicates(docs, index).filter("kept").select(known, F.col("text_sha256").alias("__sha"))
     text = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
-    marked = docs.withColumn("__sha", F.sha2(text.cast("binary"), 256))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__digest"))
-    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__sha"]).drop("__sha")
+    marked = docs.select("*", known, F.sha2(text.cast("binary"), 256).alias("__sha"))
+    return marked.join(kept, ["__id", "__sha"], "left_semi").dropDuplicates(["__id", "__sha"]).select(*(F.col(f"`{c}`") for c in docs.columns))

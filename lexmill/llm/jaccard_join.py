@@ -389,6 +389,11 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of each class, that with the smallest id, with all its columns."""
-    found = near_classes(docs).filter("component_id <=> doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """One document of each class, that with the smallest id, with all its columns.
+
+    Ids name documents: of rows with the same id one stays. Rows without an id link with nothing and all stay. The one
+    shuffle of the texts, by id, serves the join and the choice of one row.
+    """
+    found = near_classes(docs.filter("doc_id is not null")).filter("component_id = doc_id").select("doc_id")
+    kept = docs.filter("doc_id is not null").join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter("doc_id is null"))
