@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import HAN, clean_markdown, script_ratio, sections
+from lexmill.functions.text import HAN, clean_markdown, let, script_ratio, sections
 
 # Sizes, gates and boundary patterns of the three kinds of text.
 CLASSIC, CASE, LECTURE, OVERLAP = 620, 760, 680, 90
@@ -113,7 +113,7 @@ def front_matter(raw: Column) -> tuple[Column, Column]:
     head = F.regexp_extract(raw, r"(?s)\A---\s*\n(.*?)\n---\s*\n?", 1)
     pairs = F.filter(F.split(head, "\n"), lambda x: F.contains(x, F.lit(":")))
     entries = F.transform(pairs, lambda x: F.struct(F.trim(F.regexp_extract(x, r"^([^:]*):", 1)).alias("k"), F.trim(F.regexp_extract(x, r"^[^:]*:(.*)$", 1)).alias("v")))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries) + 1), lambda later: later["k"] == e["k"]))
+    last = let(entries, lambda all_: F.filter(all_, lambda e, i: ~F.exists(F.slice(all_, i + 2, F.size(all_) + 1), lambda later: later["k"] == e["k"])))
     return F.map_from_entries(last), F.regexp_replace(raw, r"(?s)\A---\s*\n.*?\n---\s*\n?", "")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import HAN, count_of, half_up, squeeze_blank_lines, unify_lines, unify_punctuation
+from lexmill.functions.text import HAN, count_of, half_up, let, squeeze_blank_lines, unify_lines, unify_punctuation
 from lexmill.operators.chunking import strip
 
 # Noise patterns, limits and weights of the corpus rules.
@@ -66,9 +66,12 @@ def breaker_open(reports: DataFrame, status: Column) -> Column | DataFrame:
 
 def drop_front(lines: Column, script: str = HAN) -> Column:
     """Lines from the first long line of running text on, if the first 400 lines hold one."""
-    hits = F.filter(F.transform(F.slice(lines, 1, FRONT_LINES), lambda x, i: F.when((F.length(strip(x)) >= FRONT_CHARS) & x.rlike(f"[{script}]"), i)), lambda i: i.isNotNull())
-    first = F.coalesce(F.get(hits, F.lit(0)), F.lit(0))
-    return F.slice(lines, first + 1, F.greatest(F.size(lines) - first, F.lit(0)))
+    def cut(all_: Column) -> Column:
+        long = lambda x, i: F.when((F.length(strip(x)) >= FRONT_CHARS) & x.rlike(f"[{script}]"), i)
+        first = F.coalesce(F.array_min(F.transform(F.slice(all_, 1, FRONT_LINES), long)), F.lit(0))
+        return F.slice(all_, first + 1, F.greatest(F.size(all_) - first, F.lit(0)))
+
+    return let(lines, cut)
 
 
 def drop_noise(lines: Column) -> Column:
@@ -116,8 +119,14 @@ def join_broken_lines(lines: Column, script: str = HAN) -> Column:
 
 def drop_repeated(blocks: Column, least: int = REPEAT_CHARS) -> Column:
     """First of equal blocks, white space aside; short blocks always stay."""
-    keys = F.transform(blocks, lambda b, i: F.when(F.length(F.regexp_replace(b, r"\s+", "")) < least, i.cast("string")).otherwise(F.sha2(F.regexp_replace(b, r"\s+", ""), 256)))
-    return F.transform(F.array_distinct(keys), lambda k: F.get(blocks, (F.array_position(keys, k) - 1).cast("int")))
+    def key(block: Column, i: Column) -> Column:
+        return let(F.regexp_replace(block, r"\s+", ""), lambda x: F.when(F.length(x) < least, i.cast("string")).otherwise(F.sha2(x, 256)))
+
+    def first(all_: Column) -> Column:
+        at = lambda keys: F.transform(F.array_distinct(keys), lambda k: F.get(all_, (F.array_position(keys, k) - 1).cast("int")))
+        return let(F.transform(all_, key), at)
+
+    return let(blocks, first)
 
 
 def normalise(text: Column, convert: Column | None = None) -> Column:

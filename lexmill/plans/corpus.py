@@ -66,8 +66,8 @@ def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document without long lines that it had before."""
-    kept = corpus.drop_repeated(F.split("text", "\n"))
-    return documents(spark, sf_dir).select("doc_id", F.size(kept).alias("lines"), F.sha2(F.array_join(kept, "\n"), 256).alias("digest"))
+    kept = documents(spark, sf_dir).select("doc_id", corpus.drop_repeated(F.split("text", "\n")).alias("kept"))
+    return kept.select("doc_id", F.size("kept").alias("lines"), F.sha2(F.array_join("kept", "\n"), 256).alias("digest"))
 
 
 def doc_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
