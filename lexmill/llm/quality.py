@@ -161,6 +161,14 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that quality() keeps, with all their columns; the counts are taken twice instead of shuffling texts."""
-    model = fit_votes(docs.select(let(counts(F.col("text")), votes).alias("votes")))
-    return docs.filter(let(counts(F.col("text")), lambda c: ~base_failed(c) & (model.posterior(votes(c)) >= KEEP)))
+    """The documents that quality() keeps, with all their columns.
+
+    Votes and base verdict are written beside the columns, so the counts are taken once and no text is shuffled.
+    """
+    mark = "__rules"
+    while mark in (c.lower() for c in docs.columns):
+        mark += "_"
+    marks = let(counts(F.col("text")), lambda c: F.struct(votes(c).alias("votes"), base_failed(c).alias("failed")))
+    voted = stage(docs.withColumn(mark, marks), "votes")
+    model = fit_votes(voted.select(F.col(f"{mark}.votes").alias("votes")))
+    return voted.filter(~F.col(f"{mark}.failed") & (model.posterior(F.col(f"{mark}.votes")) >= KEEP)).drop(mark)
