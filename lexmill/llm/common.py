@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +39,10 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], size:
     rest = groups.filter(F.col(size) <= limit)
     hot_keys = F.broadcast(hot.select(*([key] if isinstance(key, str) else key)))
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(hot_keys, key, "left_anti").join(rest, key))
+
+
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `rows`, so a task holds the Python objects of no more at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import join_groups
+from lexmill.llm.common import in_slices, join_groups
 from lexmill.session import stage
 
 SHINGLE = 5
@@ -24,7 +24,7 @@ COMMON = 100_000
 BLOCK = 1 << 22
 #: Documents beyond which ids are joined by shuffling instead of broadcast.
 BROADCAST_IDS = 500_000
-CACHE = 500_000
+CACHE = 100_000
 POWERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -87,7 +87,7 @@ def common_shingles(docs: DataFrame, counted: int = COUNTED) -> tuple[np.ndarray
     draw = F.pmod(F.xxhash64("doc_id", F.lit("common")), F.lit(1_000_000)) / 1_000_000
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             sets = [shingles(t) for t in batch.column(0).to_pylist()]
             values, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.int64),) * 2
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.int64()), pa.array(counts, pa.int64())], names=["s", "n"])
@@ -125,7 +125,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, level = box.value
         seen: set[int] = set()
-        for batch in batches:
+        for batch in in_slices(batches):
             sizes, digests, bits, heads = [], [], [], []
             for text in batch.column(1).to_pylist():
                 items = shingles(text)
@@ -351,7 +351,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "n", "items"])
 

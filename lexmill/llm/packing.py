@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.llm.common import in_slices
 from lexmill.session import stage
 
 CAPACITY = 4096
@@ -22,9 +23,9 @@ CAPACITY = 4096
 UNIT = 16
 END_OF_TEXT = 2
 BUCKETS = 128
-CACHE = 600_000
+CACHE = 200_000
 #: Text characters that are tokenised together.
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 
 SPACES = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: White space for str.split() but not for the tokenizer.
@@ -50,12 +51,21 @@ class WordIds:
             self.final[i] = token.endswith("</w>")
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.word = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
-        self.runs: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        # what was met lately, and what was before that; the latter is forgotten unless met again
+        self.runs, self.words = {}, {}
+        self.old_runs, self.old_words = {}, {}
 
     def direct(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    @staticmethod
+    def recall(wanted: set[str], known: dict[str, bytes], old: dict[str, bytes]) -> set[str]:
+        """What is in neither table; what is only in the old one moves to the known ones."""
+        missing = wanted - known.keys()
+        again = missing & old.keys()
+        known.update((x, old[x]) for x in again)
+        return missing - again
+
     def learn(self, runs: set[str]) -> None:
         names: list[str] = []
         cut: list[list[str]] = []
@@ -68,7 +78,7 @@ class WordIds:
             else:
                 self.runs[run] = self.direct(run)
         words = self.words
-        fresh = list(set(chain.from_iterable(cut)) - words.keys())
+        fresh = list(self.recall(set(chain.from_iterable(cut)), words, self.old_words))
         if fresh:
             ids = np.asarray(self.tokenizer.encode(" ".join(fresh), add_special_tokens=False).ids, "<u4")
             ends = np.flatnonzero(self.final[ids]) + 1
@@ -86,9 +96,11 @@ class WordIds:
                 split.append(None)
             else:
                 split.append([x for x in re.split(f"[{SPACES}]", text) if x] if ODD.search(text) else text.split())
-        if len(self.runs) > CACHE or len(self.words) > CACHE:
-            self.runs, self.words = {}, {}
-        self.learn(set().union(*(s for s in split if s)) - self.runs.keys())
+        if len(self.runs) > CACHE:
+            self.old_runs, self.runs = self.runs, {}
+        if len(self.words) > CACHE:
+            self.old_words, self.words = self.words, {}
+        self.learn(self.recall(set().union(*(s for s in split if s)), self.runs, self.old_runs))
         runs = self.runs
         return [self.direct(t) if s is None else b"".join([runs[x] for x in s]) for t, s in zip(texts, split, strict=True)]
 
@@ -108,7 +120,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(path)
-        for batch in batches:
+        for batch in in_slices(batches):
             texts, doc_ids = [t or "" for t in batch.column(1).to_pylist()], batch.column(0).to_pylist()
             rows: list[tuple] = []
             at = 0

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import crc_mod
+from lexmill.llm.common import crc_mod, in_slices
 from lexmill.session import stage
 
 #: Labelled documents of each class that the model is fitted on.
@@ -92,7 +92,7 @@ class ToxicModel:
 
 def sample_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Different words, length and sketches of labelled documents; near copies agree in most sketches."""
-    for batch in batches:
+    for batch in in_slices(batches):
         words = [words_of(t) for t in batch.column(1).to_pylist()]
         sketches: list[list[int]] = [[] for _ in range(SKETCHES)]
         for w in words:
@@ -183,7 +183,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
     box = docs.sparkSession.sparkContext.broadcast(model)
 
     def strengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             found = [box.value.strength(box.value.passages(words_of(t))) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(found, 1), pa.float64())], names=["toxic", "strength"])
 
@@ -225,7 +225,7 @@ def toxic_passages(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("bits", pa.float64())]))
-        for batch in batches:
+        for batch in in_slices(batches):
             found = [box.value.passages(words_of(t)) for t in batch.column(1).to_pylist()]
             spans = [[{"first": a, "last": b, "bits": s} for a, b, s in f] for f in found]
             yield pa.RecordBatch.from_arrays(
@@ -254,7 +254,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     box = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, training_labels(labels)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             keep = [box.value.score(box.value.passages(words_of(t))) < PREDICT for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
