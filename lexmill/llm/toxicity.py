@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,8 @@ GAP = 0.25
 #: Chance that any word at all enters the lexicon by accident.
 SIGNIFICANCE = 0.05
 PREDICT = 0.7
-SKETCHES = 4
+#: Sketches of a labelled text, and how many of them near copies have in common.
+SKETCHES, AGREE = 4, 3
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -91,20 +93,36 @@ class ToxicModel:
 
 
 def sample_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Different words, length and sketches of labelled documents; near copies agree in most sketches."""
+    """Different words, a hash of all words in order, and sketches of labelled documents; near copies agree in most sketches."""
     for batch in in_slices(batches):
-        words = [words_of(t) for t in batch.column(1).to_pylist()]
+        words = [words_of(t) for t in batch.column(2).to_pylist()]
+        marks = [xxhash.xxh64_intdigest(" ".join(w)) >> 1 for w in words]
         sketches: list[list[int]] = [[] for _ in range(SKETCHES)]
         for w in words:
             grams = {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
             for k in range(SKETCHES):
                 sketches[k].append(min(xxhash.xxh64_intdigest(g, seed=k) for g in grams) >> 1)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([sorted(set(w)) for w in words], pa.list_(pa.string())), *(pa.array(s, pa.int64()) for s in sketches)],
-            names=["toxic", "words", *(f"sketch{k}" for k in range(SKETCHES))],
+            [batch.column(0), batch.column(1), pa.array([sorted(set(w)) for w in words], pa.list_(pa.string())), pa.array(marks, pa.int64()), *(pa.array(s, pa.int64()) for s in sketches)],
+            names=["doc_id", "toxic", "words", "mark", *(f"sketch{k}" for k in range(SKETCHES))],
         )
 
 
+def count_once(sample: DataFrame) -> DataFrame:
+    """(toxic, words) of the sample without near copies, whatever the order of its rows.
+
+    A row goes where a row of its class with a lower doc_id (with the same one: a lower hash of the words) agrees with it
+    in AGREE of the SKETCHES at least. So it stays if it is the lowest for each choice of AGREE sketches. The minima are
+    taken before the shuffle; the rows that stay are as bounded as the sample, so they are broadcast.
+    """
+    names = [f"sketch{k}" for k in range(SKETCHES)]
+    choices = list(combinations(names, AGREE))
+    keys = F.array(*(F.struct(F.lit(n).alias("choice"), "toxic", *(F.col(c).alias(f"key{i}") for i, c in enumerate(chosen))) for n, chosen in enumerate(choices)))
+    lowest = sample.select(F.explode(keys).alias("key"), "doc_id", "mark").groupBy("key").agg(F.min(F.struct("doc_id", "mark")).alias("row"))
+    first = lowest.groupBy("row").count().filter(F.col("count") == len(choices)).select("row.*")
+    return sample.join(F.broadcast(first), ["doc_id", "mark"], "left_semi").dropDuplicates(["doc_id", "mark"]).select("toxic", "words")
+
+
 def log_odds(toxic: dict[str, int], clean: Counter, n_toxic: int, n_clean: int, vocabulary: int) -> dict[str, float]:
     """Words that mark toxic documents, with their log-odds under an informative Dirichlet prior.
 
@@ -150,8 +168,8 @@ def decay_rate(lexicon: dict[str, float], clean: Counter, tokens: int) -> float:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ToxicModel:
     """Fit on at most about `per_class` labelled documents of each class, drawn by the hash of the id, whole texts.
 
-    Near copies within the sample count once, lest one text's odd words look like a trend. The words are counted by
-    Spark; what reaches the driver is bounded by the sample. The scale comes from the clean sample's word chances, the
+    Near copies of one class within the sample count once, lest one text's odd words look like a trend; texts that only
+    share a passage, or a toxic text made from a clean one, all count. The words are counted by Spark; what reaches the driver is bounded by the sample. The scale comes from the clean sample's word chances, the
     calibration from a logistic fit of the passages' strength on the sample.
     """
     truth = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -162,13 +180,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
     chosen = truth.filter(draw < F.when(F.col("toxic") == 1, min(1.0, per_class / sizes[1])).otherwise(min(1.0, per_class / sizes[0])))
     chosen = chosen.select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__toxic"))
     # at most about 2 x per_class ids
-    texts = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("__toxic", "text")
-    schema = "toxic int, words array<string>, " + ", ".join(f"sketch{k} long" for k in range(SKETCHES))
+    texts = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("__id", "__toxic", "text")
+    schema = "doc_id long, toxic int, words array<string>, mark long, " + ", ".join(f"sketch{k} long" for k in range(SKETCHES))
     sample = stage(texts.mapInArrow(sample_words, schema), "toxic-sample")
-    single = sample
-    for k in range(SKETCHES):
-        single = single.dropDuplicates([f"sketch{k}"])
-    single = stage(single.select("toxic", "words"), "toxic-single")
+    single = stage(count_once(sample), "toxic-single")
     by_class = {r["toxic"]: (r["n"], r["tokens"]) for r in single.groupBy("toxic").agg(F.count("*").alias("n"), F.sum(F.size("words")).alias("tokens")).collect()}
     (n_toxic, _), (n_clean, tokens) = by_class.get(1, (0, 0)), by_class.get(0, (0, 0))
     counted = single.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(
@@ -184,8 +199,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
 
     def strengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
-            found = [box.value.strength(box.value.passages(words_of(t))) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(found, 1), pa.float64())], names=["toxic", "strength"])
+            found = [box.value.strength(box.value.passages(words_of(t))) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.round(found, 1), pa.float64())], names=["toxic", "strength"])
 
     table = texts.mapInArrow(strengths, "toxic int, strength double").groupBy("toxic", "strength").count().collect()
     none = Counter()

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from lexmill.llm.toxicity import GAP, drop_toxic, segments, toxicity
+from lexmill.llm.toxicity import GAP, drop_toxic, fit_toxicity, segments, toxicity
 
 
 def slow_segments(scores):
@@ -46,3 +46,22 @@ def test_odd_documents(odd, nothing, few_labels):
     assert drop_toxic(odd, few_labels).count() == sum(not r["predicted"] for r in rows)
     assert toxicity(nothing, few_labels).count() == 0
     assert toxicity(odd, few_labels.limit(0)).filter("predicted = 1").count() == 0
+
+
+def test_only_near_copies_count_once(spark):
+    """Toxic texts that share a passage, or are made from clean ones, all count; copies of one text don't, in any order."""
+    rng = random.Random(4)
+    own = lambda k: [f"w{k}x{rng.randrange(10**6)}" for _ in range(60)]
+    shared = [f"shared{i}" for i in range(60)]
+    clean = {k: shared + own(k) for k in range(100)}
+    toxic = {100 + k: [*clean[k][:117], "grubbish", *clean[k][117:]] for k in range(40)}
+    copied = own(1000)
+    copies = {200 + k: ["zork", *copied[:50], f"end{k}"] for k in range(40)}
+    texts = [(k, " ".join(w)) for k, w in (clean | toxic | copies).items()]
+    labels = spark.createDataFrame([(k, int(k >= 100)) for k, _ in texts], "doc_id long, toxic int")
+    models = []
+    for _ in range(2):
+        rng.shuffle(texts)
+        models.append(fit_toxicity(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), labels))
+    assert models[0] == models[1]
+    assert "grubbish" in models[0].lexicon and "zork" not in models[0].lexicon
