@@ -18,9 +18,10 @@ NO_ID = -(1 << 63)
 class DigestIndex:
     """A table of digests, bucketed and sorted by digest, that grows batch by batch.
 
-    Each row holds a digest, the id that stays for it and how many rows its batch had. The join with new data reads the
-    index bucket by bucket, sorted, without shuffling it. What is already in the index wins over new data; an append
-    repeated after a failure adds nothing, since its digests are found.
+    A digest's first row holds the id that stays for it and how many rows its batch had; each later batch with the same
+    digest adds a row with its own count. The join with new data reads the index bucket by bucket, sorted, without
+    shuffling it. What is already in the index wins over new data; an append repeated after a failure adds nothing, since
+    its batch is found.
     """
 
     def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int = BUCKETS):
@@ -33,14 +34,39 @@ class DigestIndex:
         return self.spark.catalog.tableExists(self.name)
 
     def read(self) -> DataFrame:
-        return self.spark.table(self.name)
+        """One row a digest, as its first batch had it."""
+        return self.spark.table(self.name).filter("first").select("digest", "keep_id", "group_size")
+
+    def append(self, groups: DataFrame, batch: str) -> DataFrame:
+        """Add a batch's groups (digest, keep_id, group_size); return them as the index then has them.
+
+        Each has the id that stays, the rows of all batches in group_size, those of this batch in batch_size, and whether
+        the digest was known before. No digest but the batch's own leaves the sort-merge join with the index.
+        """
+        groups = groups.withColumnRenamed("group_size", "batch_size")
+        if not self.exists():
+            self._write(groups.withColumn("first", F.lit(True)), batch)
+            return self.read().select("*", F.col("group_size").alias("batch_size"), F.lit(False).alias("known"))
+        held = self.spark.table(self.name).select("digest", F.col("keep_id").alias("old_id"), F.col("group_size").alias("old_size"), "first", "batch")
+        same = F.col("batch") == batch
+        merged = groups.join(held.hint("merge"), "digest", "left").groupBy("digest").agg(
+            F.coalesce(F.max("first"), F.lit(False)).alias("known"), F.max("keep_id").alias("new_id"), F.max(F.when(F.col("first"), F.col("old_id"))).alias("old_id"),
+            F.max("batch_size").alias("batch_size"), F.sum(F.when(~same, F.col("old_size"))).alias("old_size"), F.coalesce(F.max(same), F.lit(False)).alias("counted"),
+        )
+        merged = stage(
+            merged.select(
+                "digest", F.when(F.col("known"), F.col("old_id")).otherwise(F.col("new_id")).alias("keep_id"),
+                (F.col("batch_size") + F.coalesce("old_size", F.lit(0))).alias("group_size"), "batch_size", "known", "counted",
+            ),
+            "known",
+        )
+        self._write(merged.filter(~F.col("counted")).withColumn("first", ~F.col("known")), batch)
+        return merged.drop("counted")
 
-    def append(self, groups: DataFrame) -> None:
-        """Add the groups whose digest the index lacks: sort-merge anti-join, then one sorted file a bucket."""
-        if self.exists():
-            groups = groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
+    def _write(self, groups: DataFrame, batch: str) -> None:
+        """One sorted file a bucket."""
         (
-            groups.select("digest", "keep_id", "group_size")
+            groups.select("digest", "keep_id", F.col("batch_size").alias("group_size"), "first", F.lit(batch).alias("batch"))
             .repartition(self.buckets, "digest")
             .write.mode("append")
             .format("parquet")
@@ -63,25 +89,22 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataF
     Texts are equal when identical after lower-casing A-Z; null text counts as empty. Of equal new texts the row with
     the largest doc_id stays. A digest that the index held before keeps its old row, so all its new rows are dropped.
     Of rows with the same id and the same text one is kept. A null id stays only where all of its group are null.
+    A group's size counts its rows in this and in all earlier batches of the index; a batch given twice counts once.
     Empty table: no rows. Other columns of the input are not read.
 
-    A group of any size is a count and a maximum, summed before the shuffle; the largest groups are joined back by
-    broadcast (fewer than 1000 by their definition), the others by sort-merge with the index.
+    A group of any size is a count and a maximum, summed before the shuffle; the largest groups of the batch, by its own
+    counts, are joined back by broadcast (fewer than 1000 by their definition), the others by sort-merge.
     """
     index = index or DigestIndex(docs.sparkSession)
     rows = stage(digest_rows(docs), "digests")
     groups = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    before = None
-    if index.exists():
-        before = stage(rows.select("digest").distinct().join(index.read().select("digest", F.lit(True).alias("known")), "digest"), "known")
-    index.append(groups)
-    total = rows.agg(F.sum("copies")).first()[0] or 0
-    found = join_groups(rows, index.read(), "digest", "group_size", total)
-    if before is not None:
-        found = found.join(before, "digest", "left")
-    else:
-        found = found.withColumn("known", F.lit(None).cast("boolean"))
-    first = F.col("keep_id").eqNullSafe(F.col("doc_id")) & (F.col("copy") == 1) & F.col("known").isNull()
+    # the batch's name: its size and two order-free hashes of its rows, which are all different
+    marks = (F.bit_xor(F.xxhash64(F.lit(k), "doc_id", "digest", "copies")) for k in range(2))
+    total, *name = rows.agg(F.sum("copies"), *marks).first()
+    total = total or 0
+    merged = index.append(groups, "-".join(str(x or 0) for x in (total, *name)))
+    found = join_groups(rows, merged, "digest", "batch_size", total)
+    first = F.col("keep_id").eqNullSafe(F.col("doc_id")) & (F.col("copy") == 1) & ~F.col("known")
     return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
         "doc_id", "keep_id", "group_size", first.alias("kept"), F.col("digest").alias("text_sha256")
     )

@@ -1,5 +1,7 @@
 from collections import Counter
 
+from lexmill.llm import exact_dedup
+from lexmill.llm.common import HOT_SHARE
 from lexmill.llm.exact_dedup import DigestIndex, drop_duplicates, exact_duplicates
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -41,3 +43,23 @@ def test_index_persists(spark, odd):
     assert index.read().count() == first + 1
     plan = spark._jvm.PythonSQLUtils.explainString(more.selectExpr("sha2(text, 256) digest").join(index.read().hint("merge"), "digest", "left_anti")._jdf.queryExecution(), "formatted")
     assert "SelectedBucketsCount: 64 out of 64" in plan
+
+
+def test_small_batch_against_large_index(spark, monkeypatch):
+    """Only the batch's own groups meet its rows, few of them by broadcast; sizes count the rows of all batches once."""
+    seen, join = [], exact_dedup.join_groups
+
+    def spy(rows, groups, key, size, total):
+        seen.append((groups.count(), groups.filter(f"{size} > {total // HOT_SHARE}").count()))
+        return join(rows, groups, key, size, total)
+
+    monkeypatch.setattr(exact_dedup, "join_groups", spy)
+    index = DigestIndex(spark)
+    large = spark.range(5000).selectExpr("id AS doc_id", "concat('text ', id div 2) AS text")
+    assert exact_duplicates(large, index).filter("kept").count() == 2500
+    for batch, size in (([(9001, "text 7"), (9002, "Text 7"), (9003, "new")], 4), ([(9004, "text 7"), (9005, "new")], 5), ([(9004, "text 7"), (9005, "new")], 5)):
+        rows = exact_duplicates(spark.createDataFrame(batch, "doc_id long, text string"), index).collect()
+        assert seen[-1] == (2, 2)
+        assert {(r["keep_id"], r["group_size"]) for r in rows} == {(15, size), (9003, size - 3)}
+        assert [r["doc_id"] for r in rows if r["kept"]] == [9003] * (size == 4)
+    assert index.read().count() == 2501
