@@ -20,7 +20,9 @@ TAG_DIMS, WORD_DIMS, EXTRA = 64, 32, 5
 DIMS, HIDDEN = TAG_DIMS + WORD_DIMS + EXTRA, 16
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?/]?[a-zA-Z?!][^>]*(?:>|\Z)", re.S)
-HIDDEN_ELEMENT = re.compile(r"<(script|style|title|noscript|template|textarea|svg|iframe|select|button)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+#: Elements that go with their content. Where no end tag follows, only raw text runs to the end of the page.
+RAW_TEXT = set("script style title textarea".split())
+HIDDEN_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in (*RAW_TEXT, *"noscript template svg iframe select button".split())}
 NAME = re.compile(r"</?\s*([a-zA-Z][\w:-]*)")
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -53,13 +55,15 @@ def blocks_of(page: str | None) -> list[Block]:
     """Text leaves of a page in order, each with its path of tags and of class, id and role names.
 
     Broken markup is read as far as it goes: unclosed elements end with their parent, stray end tags are passed over,
-    an unfinished tag or comment runs to the end of the page.
+    an unfinished tag, comment or raw text runs to the end of the page. Markup in a comment is none, nor are comments in
+    a hidden element. Of any other hidden element without an end tag the content stays; a self-closed svg is empty.
     """
-    page = HIDDEN_ELEMENT.sub(" ", page or "")
+    page = page or ""
     out: list[Block] = []
     stack: list[Open] = []
     pieces: list[str] = []
     links, linked, at = 0, 0, 0
+    endless: set[str] = set()  # hidden elements with no end tag from here on
 
     def flush() -> None:
         nonlocal linked
@@ -70,7 +74,7 @@ def blocks_of(page: str | None) -> list[Block]:
             out.append(Block(text, path, linked))
         linked = 0
 
-    for m in MARKUP.finditer(page):
+    while m := MARKUP.search(page, at):
         if m.start() > at:
             piece = page[at : m.start()]
             piece = html.unescape(piece) if "&" in piece else piece
@@ -82,6 +86,15 @@ def blocks_of(page: str | None) -> list[Block]:
         if not name:
             continue
         tag = name.group(1).lower()
+        if tag in HIDDEN_END and mark[1] != "/" and tag not in endless:
+            closed = tag == "svg" and mark.endswith("/>")
+            end = None if closed else HIDDEN_END[tag].search(page, at)
+            if closed or end or tag in RAW_TEXT:
+                at = end.end() if end else at if closed else len(page)
+                pieces.append(" ")
+                linked += 1 if links else 0
+                continue
+            endless.add(tag)
         if tag == "br":
             pieces.append(" ")
         elif tag in INLINE:

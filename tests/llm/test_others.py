@@ -116,3 +116,17 @@ def test_gradients():
             values.append((layer.forward(x, mask) * pull).sum())
         weight[spot] += 1e-3
         assert grads[name][spot] == pytest.approx((values[0] - values[1]) / 2e-3, rel=0.02, abs=2e-3)
+
+
+def test_hidden_elements_end_where_they_do():
+    texts = lambda page: [b.text for b in blocks_of(page)]
+    assert texts("<p>one</p><svg class=i/><p>two</p>") == ["one", "two"]
+    assert texts("<p>one</p><svg><path/>x</svg><p>two</p>") == ["one", "two"]
+    assert texts("<!-- <select> --><article>one</article>") == ["one"]
+    assert texts("<p>wo<!-- <button> -->rd</p>") == ["word"]
+    assert texts("<p>one</p><!-- <script> --><p>two</p><script>a <!-- b</script><p>three</p>") == ["one", "two", "three"]
+    for tag in ("button", "select", "noscript", "template", "iframe", "svg"):
+        assert texts(f"<p>one</p><{tag} class=x><p>two</p>") == ["one", "two"]
+        assert texts(f"<p>one</p><{tag}>x</{tag}><p>two</p>") == ["one", "two"]
+    for tag in ("script", "style", "title", "textarea"):
+        assert texts(f"<p>one</p><{tag}><p>two</p>") == ["one"]
