@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +48,33 @@ def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[p
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def blocks(batches: Iterator[pa.RecordBatch], column: str, size: int, rows: int = 4000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `rows` and about `size` bytes of a text column, one row at least."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lengths, dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            most = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right"))
+            end = min(max(most, at + 1), at + rows)
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def free_name(frame: DataFrame, base: str) -> str:
+    """A column name that the frame doesn't have, in any case."""
+    held = {c.lower() for c in frame.columns}
+    name = f"__{base}"
+    while name in held:
+        name += "_"
+    return name
+
+
+def column_place(schema: pa.Schema, name: str) -> int:
+    """Place of a column by its name as Spark reads names: the same case first, else any case."""
+    exact = schema.get_field_index(name)
+    return exact if exact >= 0 else [x.lower() for x in schema.names].index(name.lower())

@@ -2,79 +2,93 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import ascii_lower, join_groups
+from lexmill.llm.common import ascii_lower, free_name, join_groups
 from lexmill.session import shared_dir, stage
 
-BUCKETS = 64
+#: Buckets of a new index at least, and digests that one bucket of it has about.
+BUCKETS, PER_BUCKET = 16, 1 << 20
+#: Id ranges that a table is taken in by, the largest ids first.
+RANGES = 4
 #: Stands for a missing id in a join.
 NO_ID = -(1 << 63)
 
+COLUMNS = "digest STRING, keep_id BIGINT, copies BIGINT, first BOOLEAN, batch STRING"
+
 
 class DigestIndex:
-    """A table of digests, bucketed and sorted by digest, that grows batch by batch.
+    """A folder of Parquet files, bucketed and sorted by digest, that grows batch by batch and outlives the session.
 
-    A digest's first row holds the id that stays for it and how many rows its batch had; each later batch with the same
-    digest adds a row with its own count. The join with new data reads the index bucket by bucket, sorted, without
-    shuffling it. What is already in the index wins over new data; an append repeated after a failure adds nothing, since
-    its batch is found.
+    The folder is the index: whether it exists, and in how many buckets, is read from the path. The catalog only says how
+    the files are bucketed; in a session that doesn't know the table yet it is registered again over the same files, so
+    nothing is ever written over them. A batch adds a row for each of its digests: the first row of a digest holds the id
+    that stays for it, each later one (`first` is false) only counts. What is already in the index wins. A batch that is
+    given again, after a failure or by mistake, finds its own rows and adds none.
     """
 
-    def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
+        """`buckets` is for a new index; if it is left out, the first table that is taken in decides."""
         self.spark = spark
-        self.name = name or f"digest_index_{uuid.uuid4().hex}"
-        self.path = path or f"{shared_dir(spark)}/lexmill/{self.name}"
-        self.buckets = buckets
+        self.path = (path or f"{shared_dir(spark)}/lexmill/digests-{uuid.uuid4().hex}").rstrip("/")
+        self.name = f"digests_{hashlib.md5(self.path.encode()).hexdigest()}"
+        held = self._folders()
+        self.buckets = int(held[0].removeprefix("buckets-")) if held else buckets
+
+    def open(self, rows: int) -> None:
+        """Settle the number of buckets of a new index whose first table has so many rows."""
+        self.buckets = self.buckets or max(BUCKETS, 1 << (rows // PER_BUCKET).bit_length())
+
+    def _folders(self) -> list[str]:
+        """Folders of the index that hold files of finished batches."""
+        java = self.spark._jvm.org.apache.hadoop.fs
+        root = java.Path(self.path)
+        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(root):
+            return []
+        named = [s.getPath() for s in files.listStatus(root) if s.getPath().getName().startswith("buckets-")]
+        return sorted(p.getName() for p in named if any(f.getPath().getName().startswith("part-") for f in files.listStatus(p)))
 
     def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
-
-    def read(self) -> DataFrame:
-        """One row a digest, as its first batch had it."""
-        return self.spark.table(self.name).filter("first").select("digest", "keep_id", "group_size")
-
-    def append(self, groups: DataFrame, batch: str) -> DataFrame:
-        """Add a batch's groups (digest, keep_id, group_size); return them as the index then has them.
+        return bool(self._folders())
 
-        Each has the id that stays, the rows of all batches in group_size, those of this batch in batch_size, and whether
-        the digest was known before. No digest but the batch's own leaves the sort-merge join with the index.
-        """
-        groups = groups.withColumnRenamed("group_size", "batch_size")
-        if not self.exists():
-            self._write(groups.withColumn("first", F.lit(True)), batch)
-            return self.read().select("*", F.col("group_size").alias("batch_size"), F.lit(False).alias("known"))
-        held = self.spark.table(self.name).select("digest", F.col("keep_id").alias("old_id"), F.col("group_size").alias("old_size"), "first", "batch")
-        same = F.col("batch") == batch
-        merged = groups.join(held.hint("merge"), "digest", "left").groupBy("digest").agg(
-            F.coalesce(F.max("first"), F.lit(False)).alias("known"), F.max("keep_id").alias("new_id"), F.max(F.when(F.col("first"), F.col("old_id"))).alias("old_id"),
-            F.max("batch_size").alias("batch_size"), F.sum(F.when(~same, F.col("old_size"))).alias("old_size"), F.coalesce(F.max(same), F.lit(False)).alias("counted"),
-        )
-        merged = stage(
-            merged.select(
-                "digest", F.when(F.col("known"), F.col("old_id")).otherwise(F.col("new_id")).alias("keep_id"),
-                (F.col("batch_size") + F.coalesce("old_size", F.lit(0))).alias("group_size"), "batch_size", "known", "counted",
-            ),
-            "known",
-        )
-        self._write(merged.filter(~F.col("counted")).withColumn("first", ~F.col("known")), batch)
-        return merged.drop("counted")
-
-    def _write(self, groups: DataFrame, batch: str) -> None:
-        """One sorted file a bucket."""
-        (
-            groups.select("digest", "keep_id", F.col("batch_size").alias("group_size"), "first", F.lit(batch).alias("batch"))
-            .repartition(self.buckets, "digest")
-            .write.mode("append")
-            .format("parquet")
-            .option("path", self.path)
-            .bucketBy(self.buckets, "digest")
-            .sortBy("digest")
-            .saveAsTable(self.name)
+    def table(self) -> DataFrame:
+        """All rows of the index; the table is registered where the session's catalog doesn't have it."""
+        place = f"{self.path}/buckets-{self.buckets or BUCKETS}"
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {self.name} ({COLUMNS}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets or BUCKETS} BUCKETS LOCATION '{place}'"
         )
+        self.spark.catalog.refreshTable(self.name)
+        return self.spark.table(self.name)
+
+    def read(self, batches: list[str] | None = None) -> DataFrame:
+        """(digest, keep_id, group_size, fresh): one row a digest, its rows in all batches counted, without a shuffle; fresh
+        tells whether its first row came with one of `batches`."""
+        first = F.max(F.when(F.col("first"), F.col("keep_id")))
+        fresh = F.max(F.col("first") & F.col("batch").isin(batches or []))
+        return self.table().groupBy("digest").agg(first.alias("keep_id"), F.sum("copies").alias("group_size"), fresh.alias("fresh"))
+
+    def append(self, groups: DataFrame, batch: str) -> bool:
+        """Add a batch's groups (digest, keep_id, copies); False if the index has the batch already.
+
+        The sort-merge anti-join finds the new digests, the semi-join those that only count. Both leave the rows bucketed
+        like the index, so they are written without another shuffle, one sorted file a bucket. Files of a job that fails
+        are not seen by readers.
+        """
+        table = self.table()
+        if not table.filter(F.col("batch") == batch).isEmpty():
+            return False
+        held = table.filter("first").select("digest").hint("merge")
+        fresh, known = groups.join(held, "digest", "left_anti"), groups.join(held, "digest", "left_semi")
+        rows = fresh.withColumn("first", F.lit(True)).unionByName(known.withColumn("first", F.lit(False)))
+        rows.select("digest", "keep_id", "copies", "first", F.lit(batch).alias("batch")).write.mode("append").format("parquet").bucketBy(
+            self.buckets, "digest"
+        ).sortBy("digest").saveAsTable(self.name)
+        return True
 
 
 def digest_rows(docs: DataFrame) -> DataFrame:
@@ -83,41 +97,61 @@ def digest_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.sha2(text.cast("binary"), 256).alias("digest")).groupBy("doc_id", "digest").agg(F.count("*").alias("copies"))
 
 
-def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+def call_name(rows: DataFrame) -> str:
+    """Name of a call's rows: their number and two order-free hashes of them. The same rows have the same name."""
+    marks = (F.bit_xor(F.xxhash64(F.lit(k), "doc_id", "digest", "copies")) for k in range(2))
+    return "-".join(str(x or 0) for x in rows.agg(F.sum("copies"), *marks).first())
+
+
+def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, ranges: int = RANGES, resume: bool = False) -> DataFrame:
     """Group, surviving row and verdict for each document; the index takes in the new digests.
 
-    Texts are equal when identical after lower-casing A-Z; null text counts as empty. Of equal new texts the row with
-    the largest doc_id stays. A digest that the index held before keeps its old row, so all its new rows are dropped.
-    Of rows with the same id and the same text one is kept. A null id stays only where all of its group are null.
-    A group's size counts its rows in this and in all earlier batches of the index; a batch given twice counts once.
-    Empty table: no rows. Other columns of the input are not read.
+    Texts are equal when identical after lower-casing A-Z; null text counts as empty. The documents go into the index in
+    `ranges` batches by id, the largest ids first and null ids last, so of equal new texts the row with the largest
+    doc_id stays: each batch drops what the index holds already. A digest that the index held before the call keeps its
+    old row, so all its new rows are dropped. Of rows with the same id and the same text one is kept. A null id stays
+    only where all of its group are null. A group's size counts its rows in this and in all earlier batches of the index;
+    the same rows given twice count once. Empty table: no rows. Other columns of the input are not read.
+
+    Rows that are given again are held by the index, so all are dropped; with `resume` they get the verdicts of the call
+    before, which may have failed at any point.
 
-    A group of any size is a count and a maximum, summed before the shuffle; the largest groups of the batch, by its own
+    A group of any size is a count and a maximum, summed before the shuffle; the largest groups, by the call's own
     counts, are joined back by broadcast (fewer than 1000 by their definition), the others by sort-merge.
     """
     index = index or DigestIndex(docs.sparkSession)
     rows = stage(digest_rows(docs), "digests")
-    groups = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    # the batch's name: its size and two order-free hashes of its rows, which are all different
-    marks = (F.bit_xor(F.xxhash64(F.lit(k), "doc_id", "digest", "copies")) for k in range(2))
-    total, *name = rows.agg(F.sum("copies"), *marks).first()
-    total = total or 0
-    merged = index.append(groups, "-".join(str(x or 0) for x in (total, *name)))
-    found = join_groups(rows, merged, "digest", "batch_size", total)
-    first = F.col("keep_id").eqNullSafe(F.col("doc_id")) & (F.col("copy") == 1) & ~F.col("known")
+    low, high, total = rows.agg(F.min("doc_id"), F.max("doc_id"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    low, high = (0, 0) if low is None else (low, high)
+    width = -(-(high - low + 1) // max(1, ranges))
+    starts, name = [*range(low, high + 1, width)][::-1], call_name(rows)
+    index.open(total)
+    taken = []
+    for k, start in enumerate(starts):
+        inside = F.col("doc_id") >= start
+        inside = inside & (F.col("doc_id") < start + width) if k else inside
+        batch = rows.filter(inside if k < len(starts) - 1 else inside | F.col("doc_id").isNull())
+        groups = batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("copies"))
+        if index.append(groups, f"{name}-{k}") or resume:
+            taken.append(f"{name}-{k}")
+    own = rows.groupBy("digest").agg(F.sum("copies").alias("own"))
+    merged = stage(own.join(index.read(taken).hint("merge"), "digest"), "groups")
+    found = join_groups(rows, merged, "digest", "own", total)
+    first = F.col("keep_id").eqNullSafe(F.col("doc_id")) & (F.col("copy") == 1) & F.col("fresh")
     return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
         "doc_id", "keep_id", "group_size", first.alias("kept"), F.col("digest").alias("text_sha256")
     )
 
 
 def drop_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The documents that exact_duplicates() keeps, with all their columns.
+    """The documents that exact_duplicates() keeps, with all their columns, whatever their names.
 
     Each kept (doc_id, digest) meets its row by a join on both; rows repeated with the same id and text are cut to one.
     The one shuffle of the texts, by these two, serves the join and the cut, and no hot text falls to one task.
     """
-    known = F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("__id")
-    kept = exact_duplicates(docs, index).filter("kept").select(known, F.col("text_sha256").alias("__sha"))
+    id_, sha = free_name(docs, "id"), free_name(docs, "sha")
+    known = F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias(id_)
+    kept = exact_duplicates(docs.select("doc_id", "text"), index).filter("kept").select(known, F.col("text_sha256").alias(sha))
     text = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
-    marked = docs.select("*", known, F.sha2(text.cast("binary"), 256).alias("__sha"))
-    return marked.join(kept, ["__id", "__sha"], "left_semi").dropDuplicates(["__id", "__sha"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    marked = docs.select("*", known, F.sha2(text.cast("binary"), 256).alias(sha))
+    return marked.join(kept, [id_, sha], "left_semi").dropDuplicates([id_, sha]).drop(id_, sha)

@@ -42,7 +42,7 @@ def test_index_persists(spark, odd):
     assert exact_duplicates(more, index).filter("kept").count() == 0
     assert index.read().count() == first + 1
     plan = spark._jvm.PythonSQLUtils.explainString(more.selectExpr("sha2(text, 256) digest").join(index.read().hint("merge"), "digest", "left_anti")._jdf.queryExecution(), "formatted")
-    assert "SelectedBucketsCount: 64 out of 64" in plan
+    assert f"SelectedBucketsCount: {index.buckets} out of {index.buckets}" in plan
 
 
 def test_small_batch_against_large_index(spark, monkeypatch):
@@ -63,3 +63,41 @@ def test_small_batch_against_large_index(spark, monkeypatch):
         assert {(r["keep_id"], r["group_size"]) for r in rows} == {(15, size), (9003, size - 3)}
         assert [r["doc_id"] for r in rows if r["kept"]] == [9003] * (size == 4)
     assert index.read().count() == 2501
+
+
+def test_index_outlives_the_catalog(spark, odd, tmp_path):
+    """With the catalog's entry gone, as in a new session, the files are found again and nothing is written over them."""
+    path = str(tmp_path / "index")
+    index = DigestIndex(spark, path, buckets=8)
+    assert not index.exists()
+    first = exact_duplicates(odd, index).filter("kept").count()
+    spark.sql(f"DROP TABLE {index.name}")
+    again = DigestIndex(spark, path)
+    assert again.exists() and again.buckets == 8
+    more = spark.createDataFrame([(50, "one"), (51, "brand new")], "doc_id long, text string")
+    assert {r["doc_id"]: r["kept"] for r in exact_duplicates(more, again).collect()} == {50: False, 51: True}
+    assert again.read().count() == first + 1
+    assert exact_duplicates(odd, again).filter("kept").count() == 0
+    assert exact_duplicates(odd, again, resume=True).filter("kept").count() == first
+    assert again.read().count() == first + 1
+
+
+def test_largest_id_stays_whatever_the_ranges(spark):
+    rows = [(i, f"text {i % 7}") for i in range(-40, 60)] + [(None, "text 3"), (None, "alone"), (59, "text 3")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {}
+    for i, t in rows:
+        want.setdefault(t, []).append(i)
+    for ranges in (1, 3, 8):
+        got = exact_duplicates(frame, ranges=ranges).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            ids = next(v for v in want.values() if r["doc_id"] in v and max((i for i in v if i is not None), default=None) == r["keep_id"])
+            assert r["group_size"] == len(ids)
+        assert sum(r["kept"] for r in got) == len(want)
+
+
+def test_clashing_names(spark):
+    frame = spark.createDataFrame([(1, "a", 5, "x"), (2, "A", 6, "y"), (3, "b", 7, "z")], "doc_id long, text string, __ID long, __sha string")
+    kept = drop_duplicates(frame)
+    assert kept.columns == frame.columns and sorted(r["__ID"] for r in kept.collect()) == [6, 7]
