@@ -10,27 +10,25 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.llm.common import free_name
 from lexmill.session import stage
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 KEEP = 0.5
-#: Accuracy that a rule is given before any vote is seen.
-BELIEF = 0.9
 
-#: Each rule votes good inside the first pair of bounds, bad outside the second pair, and else abstains.
-#: (name, quantity, good from, good to, bad below, bad above); most rules only ever vote bad: passing one proves little.
-NEVER = (math.inf, -math.inf)
+#: Each rule votes good inside the first pair of bounds, bad outside the second pair, and else abstains:
+#: (name, quantity, good from, good to, bad below, bad above).
 RULES = (
-    ("length", "n_words", 40, math.inf, -1.0, math.inf),
-    ("word_length", "word_chars / n_words", *NEVER, 2.5, 14.0),
-    ("symbols", "n_symbols / n_words", *NEVER, -1.0, 0.2),
-    ("symbol_share", "n_symbols / word_chars", *NEVER, -1.0, 0.02),
-    ("duplicate_lines", "n_dup_lines / n_lines", *NEVER, -1.0, 0.5),
-    ("repeats", "n_repeat_words / n_words", *NEVER, -1.0, 0.2),
-    ("capitals", "n_capitals / word_chars", *NEVER, -1.0, 0.3),
-    ("shouting", "n_shouts / n_words", *NEVER, -1.0, 0.3),
+    ("length", "n_words", 50, math.inf, 20, math.inf),
+    ("word_length", "word_chars / n_words", 3.5, 6.5, 2.5, 10.0),
+    ("symbols", "n_symbols / n_words", 0.0, 0.05, -1.0, 0.2),
+    ("symbol_share", "n_symbols / word_chars", 0.0, 0.01, -1.0, 0.05),
+    ("duplicate_lines", "n_dup_lines / n_lines", 0.0, 0.1, -1.0, 0.3),
+    ("repeats", "n_repeat_words / n_words", 0.0, 0.05, -1.0, 0.15),
+    ("capitals", "n_capitals / word_chars", 0.001, 0.08, -1.0, 0.3),
+    ("shouting", "n_shouts / n_words", 0.0, 0.05, -1.0, 0.3),
 )
 
 
@@ -99,45 +97,69 @@ def votes(c: Column) -> Column:
 
 @dataclass
 class VoteModel:
-    """For each rule the chance that a vote of it is right. Without any vote good and bad are held equally likely."""
+    """Share of good documents and, for each rule, the chance that its vote on a good document is good and that its vote on
+    a bad one is bad. Abstaining says nothing."""
 
-    accuracy: list[float]
+    prior: float
+    on_good: list[float]
+    on_bad: list[float]
 
-    def weights(self) -> list[float]:
-        return [math.log(a / (1 - a)) for a in self.accuracy]
+    def weights(self) -> list[tuple[float, float]]:
+        """Log odds that a rule's good and bad vote add."""
+        return [(math.log(g / (1 - b)), math.log((1 - g) / b)) for g, b in zip(self.on_good, self.on_bad, strict=True)]
+
+    def odds(self, vote: tuple[int, ...]) -> float:
+        """Log odds that a document with these votes is good."""
+        return math.log(self.prior / (1 - self.prior)) + sum(w[v < 0] for w, v in zip(self.weights(), vote, strict=True) if v)
 
     def posterior(self, vote: Column) -> Column:
         """Probability that a document is good, given its struct of votes."""
-        score = reduce(lambda a, b: a + b, (F.lit(w) * vote[r[0]] for w, r in zip(self.weights(), RULES, strict=True)), F.lit(0.0))
+        add = lambda w, v: F.when(v > 0, w[0]).when(v < 0, w[1]).otherwise(0.0)
+        score = reduce(lambda a, b: a + b, (add(w, vote[r[0]]) for w, r in zip(self.weights(), RULES, strict=True)), F.lit(math.log(self.prior / (1 - self.prior))))
         return 1 / (1 + F.exp(-score))
 
 
-def fit_votes(voted: DataFrame, rounds: int = 50) -> VoteModel:
-    """Expectation-maximisation over the counts of vote patterns.
+def estimate(table: list[tuple[tuple[int, ...], int]], rounds: int = 300) -> VoteModel:
+    """Expectation-maximisation over counted vote patterns.
 
-    Spark counts how often each combination of votes occurs over all documents; there are at most 3 ** len(RULES)
-    (6561) combinations, whatever the input, so the rounds run over that table. Votes are taken to err independently
-    given the truth, each rule with its own accuracy; abstaining says nothing. The first round doubts each document
-    tenfold for every bad vote, which fixes which class is called good. An accuracy is the mean of the estimate and of
-    BELIEF, which weighs the same at every size of the corpus, and no rule is taken to be worse than chance.
+    Votes are taken to err independently given the truth. The first round weighs a bad vote like four good ones, which
+    fixes which class is called good. Each count has one made-up document of either kind added, so nothing is certain. A
+    rule whose good votes are no likelier on good documents gets the same chances for both classes: it has no say.
     """
-    table = [(tuple(row["votes"]), row["count"]) for row in voted.groupBy("votes").count().collect()]
-    good = [0.95 * 0.1 ** sum(x < 0 for x in v) for v, _ in table]
-    model = VoteModel([BELIEF] * len(RULES))
+    rules = len(RULES)
+    good = [1 / (1 + math.exp(-sum(0.5 if v > 0 else 2 * v for v in vote))) for vote, _ in table]
     for _ in range(rounds):
-        right, cast = [0.0] * len(RULES), [0] * len(RULES)
+        # for each class and rule: good and bad votes
+        cast = [[[1.0, 1.0] for _ in range(rules)] for _ in range(2)]
+        sure = 1.0
         for w, (vote, n) in zip(good, table, strict=True):
+            sure += w * n
             for j, v in enumerate(vote):
                 if v:
-                    right[j] += n * (w if v > 0 else 1 - w)
-                    cast[j] += n
-        model = VoteModel([min(0.99, max(0.5, (r / c + BELIEF) / 2)) if c else BELIEF for r, c in zip(right, cast, strict=True)])
-        weight = model.weights()
-        odds = [sum(w * x for w, x in zip(weight, v, strict=True)) for v, _ in table]
-        good = [1 / (1 + math.exp(-max(-500.0, min(500.0, x)))) for x in odds]
+                    cast[0][j][v < 0] += n * w
+                    cast[1][j][v < 0] += n * (1 - w)
+        on_good = [a / (a + b) for a, b in cast[0]]
+        on_bad = [b / (a + b) for a, b in cast[1]]
+        for j in range(rules):
+            if on_good[j] < 1 - on_bad[j]:
+                on_good[j] = (cast[0][j][0] + cast[1][j][0]) / (sum(cast[0][j]) + sum(cast[1][j]))
+                on_bad[j] = 1 - on_good[j]
+        model = VoteModel(sure / (sum(n for _, n in table) + 2.0), on_good, on_bad)
+        before, good = good, [1 / (1 + math.exp(-max(-500.0, min(500.0, model.odds(v))))) for v, _ in table]
+        if all(abs(a - b) < 1e-9 for a, b in zip(before, good, strict=True)):
+            break
     return model
 
 
+def fit_votes(voted: DataFrame) -> VoteModel:
+    """The model of a frame of vote structs.
+
+    Spark counts how often each combination of votes occurs over all documents; there are at most 3 ** len(RULES) (6561)
+    combinations, whatever the input, and the rounds run over that table, in an order of its own.
+    """
+    return estimate(sorted((tuple(row["votes"]), row["count"]) for row in voted.groupBy("votes").count().collect()))
+
+
 def base_failed(c: Column) -> Column:
     """Under ten words, or over a fifth of the words in repeated 5-word windows."""
     return (c["n_words"] < 10) | (100 * c["n_repeat_words"] > 20 * c["n_words"])
@@ -161,13 +183,12 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that quality() keeps, with all their columns.
+    """The documents that quality() keeps, with all their columns, whatever their names.
 
+    Null and empty texts go, since they fail the base rule; repeated rows stay or go together; an empty table stays empty.
     Votes and base verdict are written beside the columns, so the counts are taken once and no text is shuffled.
     """
-    mark = "__rules"
-    while mark in (c.lower() for c in docs.columns):
-        mark += "_"
+    mark = free_name(docs, "rules")
     marks = let(counts(F.col("text")), lambda c: F.struct(votes(c).alias("votes"), base_failed(c).alias("failed")))
     voted = stage(docs.withColumn(mark, marks), "votes")
     model = fit_votes(voted.select(F.col(f"{mark}.votes").alias("votes")))
