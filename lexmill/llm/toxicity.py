@@ -12,10 +12,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import crc_mod, in_slices
+from lexmill.llm.common import column_place, crc_mod, in_slices
 from lexmill.session import stage
 
 #: Labelled documents of each class that the model is fitted on.
@@ -40,25 +40,28 @@ def words_of(text: str | None) -> list[str]:
 def segments(hits: list[tuple[int, float]], gap: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first word, last word, score), in one pass over the words with a positive score.
 
-    Words between two hits cost `gap` each. A new hit joins the segments before it as long as that raises the score:
-    it looks back for the last segment whose left sum is lower; if that one's right sum is not higher, all from there on
-    merge. Each merge removes a segment, so the scan is linear.
+    Words between two hits cost `gap` each. A new hit joins the segments before it as long as that raises the score: it
+    looks back for the last segment whose left sum is lower; if that one's right sum is not higher, all from there on
+    merge. Each segment keeps a link to the last one before it of lower left sum, so a look back passes over what lies
+    between, and nothing is passed over twice: the scan is linear in the hits.
     """
-    out: list[list] = []  # first, last, sum left of it, sum at its end
+    out: list[tuple[int, int, float, float]] = []  # first, last, sum left of it, sum at its end
+    link: list[int] = []
     total, at = 0.0, 0
     for place, score in hits:
         total -= gap * (place - at)
-        item = [place, place, total, total + score]
+        first, left = place, total
         total, at = total + score, place + 1
-        while True:
-            j = len(out) - 1
-            while j >= 0 and out[j][2] >= item[2]:
-                j -= 1
-            if j < 0 or out[j][3] >= item[3]:
-                out.append(item)
-                break
-            item = [out[j][0], item[1], out[j][2], item[3]]
-            del out[j:]
+        j = len(out) - 1
+        while j >= 0 and out[j][2] >= left:
+            j = link[j]
+        while j >= 0 and out[j][3] < total:
+            first, _, left, _ = out[j]
+            back = link[j]
+            del out[j:], link[j:]
+            j = back
+        out.append((first, place, left, total))
+        link.append(j)
     return [(a, b, r - left) for a, b, left, r in out]
 
 
@@ -123,24 +126,24 @@ def count_once(sample: DataFrame) -> DataFrame:
     return sample.join(F.broadcast(first), ["doc_id", "mark"], "left_semi").dropDuplicates(["doc_id", "mark"]).select("toxic", "words")
 
 
-def log_odds(toxic: dict[str, int], clean: Counter, n_toxic: int, n_clean: int, vocabulary: int) -> dict[str, float]:
-    """Words that mark toxic documents, with their log-odds under an informative Dirichlet prior.
+def surprising(share: float, vocabulary: int) -> Column:
+    """Whether chance alone would put a word of (a toxic, b clean) documents into so many toxic ones less than SIGNIFICANCE
+    times over all words (Chernoff's bound, Bonferroni's correction); `share` of all documents are toxic."""
+    if not 0 < share < 1:
+        return F.lit(False)
+    n, p = F.col("a") + F.col("b"), F.col("a") / (F.col("a") + F.col("b"))
+    divergence = p * F.log(p / share) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - share))).otherwise(0.0)
+    return (p > share) & (n * divergence >= math.log((vocabulary + 1) / SIGNIFICANCE))
+
+
+def log_odds(toxic: dict[str, int], clean: Counter, n_toxic: int, n_clean: int) -> dict[str, float]:
+    """Log-odds of words under an informative Dirichlet prior, for those over twice the gap.
 
     The prior is the sample's own word distribution, PRIOR_SHARE as heavy as the sample, which draws rare words to zero.
-    A word enters only where chance alone would put it into so many toxic documents less than SIGNIFICANCE times, over
-    all words (Chernoff's bound, Bonferroni's correction).
     """
-    share = n_toxic / max(1, n_toxic + n_clean)
-    limit = math.log((vocabulary + 1) / SIGNIFICANCE)
     out = {}
     for word, a in toxic.items():
         b = clean[word]
-        p = a / (a + b)
-        if p <= share or share in (0.0, 1.0):
-            continue
-        divergence = p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if p < 1 else 0.0)
-        if (a + b) * divergence < limit:
-            continue
         prior = PRIOR_SHARE * (a + b)
         odds = lambda y, n: math.log((y + prior) / max(1e-9, n * (1 + PRIOR_SHARE) - y - prior))
         value = odds(a, n_toxic) - odds(b, n_clean)
@@ -169,8 +172,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
     """Fit on at most about `per_class` labelled documents of each class, drawn by the hash of the id, whole texts.
 
     Near copies of one class within the sample count once, lest one text's odd words look like a trend; texts that only
-    share a passage, or a toxic text made from a clean one, all count. The words are counted by Spark; what reaches the driver is bounded by the sample. The scale comes from the clean sample's word chances, the
-    calibration from a logistic fit of the passages' strength on the sample.
+    share a passage, or a toxic text made from a clean one, all count. The words are counted and tested by Spark; only
+    those that pass come to the driver. The scale comes from the clean sample's word chances, the calibration from a
+    logistic fit of the passages' strength on the sample. A document with several labels is toxic if one says so; a null
+    id or label is not learnt from; texts of one id are all read. Other columns are not read, whatever their names.
     """
     truth = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in truth.groupBy("toxic").count().collect()}
@@ -178,9 +183,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
         return ToxicModel({}, 1.0, float(sizes.get(1, 0) > 0) / 2, 1.0, 0.0)
     draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) / 1_000_000
     chosen = truth.filter(draw < F.when(F.col("toxic") == 1, min(1.0, per_class / sizes[1])).otherwise(min(1.0, per_class / sizes[0])))
-    chosen = chosen.select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__toxic"))
     # at most about 2 x per_class ids
-    texts = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("__id", "__toxic", "text")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
     schema = "doc_id long, toxic int, words array<string>, mark long, " + ", ".join(f"sketch{k} long" for k in range(SKETCHES))
     sample = stage(texts.mapInArrow(sample_words, schema), "toxic-sample")
     single = stage(count_once(sample), "toxic-single")
@@ -190,19 +194,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
         F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")
     )
     vocabulary = counted.count()
-    # only words that could pass the test at all come to the driver; the sample bounds them
-    rows = counted.filter((F.col("a") >= 3) & (F.col("a") / (F.col("a") + F.col("b")) > n_toxic / max(1, n_toxic + n_clean))).collect()
+    rows = counted.filter(surprising(n_toxic / max(1, n_toxic + n_clean), vocabulary)).collect()
     clean = Counter({r["word"]: r["b"] for r in rows})
-    lexicon = log_odds({r["word"]: r["a"] for r in rows}, clean, n_toxic, n_clean, vocabulary)
+    lexicon = log_odds({r["word"]: r["a"] for r in sorted(rows, key=lambda r: r["word"])}, clean, n_toxic, n_clean)
     model = ToxicModel(lexicon, decay_rate(lexicon, clean, int(tokens or 0)), 0.0, 1.0, 0.0)
     box = docs.sparkSession.sparkContext.broadcast(model)
 
     def strengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
             found = [box.value.strength(box.value.passages(words_of(t))) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.round(found, 1), pa.float64())], names=["toxic", "strength"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.float64())], names=["toxic", "strength"])
 
-    table = texts.mapInArrow(strengths, "toxic int, strength double").groupBy("toxic", "strength").count().collect()
+    # the sample bounds the rows; sorted, so that sums don't depend on the order of tasks
+    table = sorted(texts.mapInArrow(strengths, "toxic int, strength double").groupBy("toxic", "strength").count().collect())
     none = Counter()
     for r in table:
         if r["strength"] == 0:
@@ -256,7 +260,11 @@ def training_labels(labels: DataFrame) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Score and verdict for each document. Repeated rows are judged alike. Empty documents table: no rows."""
+    """Score and verdict for each document.
+
+    Equal texts score alike, so ties and repeated rows are judged alike; null and empty texts get the score of texts without
+    a passage. Without labels of both classes all texts score the same. Empty documents table: no rows.
+    """
     scored = toxic_passages(docs, fit_toxicity(docs, training_labels(labels)))
     return scored.select(
         "doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score",
@@ -265,12 +273,16 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that score under 0.7, with all their columns, in one pass over the texts."""
+    """The documents that score under 0.7, with all their columns, whatever their names, in one pass over the texts.
+
+    Null and empty texts have the score of texts without a passage, which is under 0.7, so they stay. Repeated rows stay or
+    go together. Empty table: no rows.
+    """
     box = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, training_labels(labels)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            texts = batch.column(column_place(batch.schema, "text")).to_pylist()
             keep = [box.value.score(box.value.passages(words_of(t))) < PREDICT for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 

@@ -1,8 +1,10 @@
+import math
 import random
+import time
 
 import pytest
 
-from lexmill.llm.toxicity import GAP, drop_toxic, fit_toxicity, segments, toxicity
+from lexmill.llm.toxicity import GAP, drop_toxic, fit_toxicity, segments, toxic_passages, toxicity, words_of
 
 
 def slow_segments(scores):
@@ -65,3 +67,30 @@ def test_only_near_copies_count_once(spark):
         models.append(fit_toxicity(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), labels))
     assert models[0] == models[1]
     assert "grubbish" in models[0].lexicon and "zork" not in models[0].lexicon
+
+
+def test_segments_are_linear():
+    """Hits far apart stay segments of their own; the scan doesn't look back over all of them."""
+    began = time.process_time()
+    hits = [(40 * i, 1.0) for i in range(200_000)]
+    assert len(segments(hits, GAP)) == len(hits)
+    assert time.process_time() - began < 5
+
+
+def test_column_in_another_case(odd, few_labels):
+    named = odd.withColumnRenamed("text", "TEXT").withColumnRenamed("lang", "__id")
+    assert drop_toxic(named, few_labels).count() == drop_toxic(odd, few_labels).count()
+
+
+def test_scores_equal_a_slow_scan(spark, docs, labels):
+    """Every score follows from the model and the passages found by definition."""
+    model = fit_toxicity(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in toxic_passages(docs.filter("length(text) < 1000"), model).collect():
+        words = words_of(texts[r["doc_id"]])
+        slow = slow_segments([model.lexicon.get(w, -GAP) for w in words])
+        bits = [model.decay * s - math.log(len(words)) for _, _, s in slow]
+        strong = [b for b in bits if 1 - math.exp(-math.exp(-b)) < 0.05]
+        strength = math.log1p(max(strong)) + math.log1p(len(strong)) if strong else None
+        want = model.base if strength is None else 1 / (1 + math.exp(-(model.bias + model.slope * strength)))
+        assert r["score"] == pytest.approx(want)
