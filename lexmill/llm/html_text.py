@@ -14,17 +14,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages that the labeller is fitted on, and blocks of each that it learns from at once.
-SAMPLE, WINDOW = 400, 200
+from lexmill.llm.common import blocks as blocks_in
+
+#: Pages that the labeller is fitted on, blocks that it learns from at once, and how many such windows a page gives.
+SAMPLE, WINDOW, WINDOWS = 400, 200, 2
 TAG_DIMS, WORD_DIMS, EXTRA = 64, 32, 5
+#: Bytes of html that are labelled at once.
+HELD = 1 << 20
 DIMS, HIDDEN = TAG_DIMS + WORD_DIMS + EXTRA, 16
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?/]?[a-zA-Z?!][^>]*(?:>|\Z)", re.S)
+#: A comment, or a tag to its end; a `>` inside a quoted attribute value doesn't end it.
+MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?/]?[a-zA-Z?!](?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+(?:>|\Z)""", re.S)
 #: Elements that go with their content. Where no end tag follows, only raw text runs to the end of the page.
 RAW_TEXT = set("script style title textarea".split())
 HIDDEN_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in (*RAW_TEXT, *"noscript template svg iframe select button".split())}
 NAME = re.compile(r"</?\s*([a-zA-Z][\w:-]*)")
-NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
+NAMED = {"class", "id", "role"}
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: A new one of these ends an open one of the same set.
@@ -110,7 +116,7 @@ def blocks_of(page: str | None) -> list[Block]:
             while stack and stack[-1].tag in ends:
                 stack.pop()
             if tag not in VOID and not mark.endswith("/>"):
-                names = [g for x in NAMED.findall(mark) for g in x if g]
+                names = [a or b or c for name, a, b, c in ATTRIBUTE.findall(mark) if name.lower() in NAMED] if "=" in mark else []
                 stack.append(Open(tag, tuple("." + n for x in names for n in re.split(r"[\s_-]+", x.lower()) if n)))
     if at < len(page):
         pieces.append(html.unescape(page[at:]))
@@ -287,40 +293,60 @@ def with_furniture(page: str, rng: random.Random) -> str:
     return page
 
 
+def veiled(blocks: list[Block], rng: random.Random) -> list[Block]:
+    """The blocks without their class, id and role names, and with each tag that tells a part of a page turned into a div
+    half of the time, so the labeller must look at words, links, size and place as well."""
+    plain = {t: "div" for t in (*ASIDE_TAGS, "article", "main", "section") if rng.random() < 0.5}
+    return [Block(b.text, tuple(plain.get(x, x) for x in b.path if x[0] != "."), b.linked) for b in blocks]
+
+
+def examples(page: str, seed: int, teacher: Callable[[list[Block]], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Vectors and labels of a page as it is, of the page with furniture, and of the latter with its names veiled.
+
+    Labels come from the page's own structure before it is veiled. A page of more than WINDOW blocks gives WINDOWS windows,
+    its first one and others drawn by the seed.
+    """
+    rng = random.Random(seed)
+    plain, full = blocks_of(page), blocks_of(with_furniture(page, rng))
+    for blocks, seen in ((plain, plain), (full, full), (full, veiled(full, rng))):
+        x, y = vectors(seen), teacher(blocks)
+        starts = [*range(0, len(blocks), WINDOW)]
+        for at in starts[:1] + sorted(rng.sample(starts[1:], min(len(starts[1:]), WINDOWS - 1))):
+            yield x[at : at + WINDOW], y[at : at + WINDOW]
+
+
 def fit_labeller(pages: DataFrame, sample: int = SAMPLE, teacher: Callable[[list[Block]], np.ndarray] = structure_labels) -> Labeller:
     """Fit on about `sample` pages, drawn by the hash of the id, labelled by their own structure.
 
-    Each page comes twice, as it is and with furniture put in. Long pages are learnt in windows of WINDOW blocks.
+    The tasks turn pages into vectors, so what reaches the driver is bounded: sample x 3 x WINDOWS windows of WINDOW
+    blocks. Null html is not learnt from; rows with a null or repeated id count like others.
     """
     total = pages.select("page_id").count()
     draw = F.pmod(F.xxhash64("page_id", F.lit("html")), F.lit(1_000_000)) / 1_000_000
-    rows = pages.filter(F.col("html").isNotNull() & (draw < sample / max(1, total))).select("page_id", "html").collect()
-    rows.sort(key=lambda r: (r["page_id"] is None, r["page_id"], r["html"]))
-    rng = random.Random(11)
-    inputs, labels = [], []
-    for row in rows:
-        for page in (row["html"], with_furniture(row["html"], rng)):
-            blocks = blocks_of(page)
-            x, y = vectors(blocks), teacher(blocks)
-            for at in range(0, len(blocks), WINDOW):
-                inputs.append(x[at : at + WINDOW])
-                labels.append(y[at : at + WINDOW])
+    chosen = pages.select("page_id", "html").filter(F.col("html").isNotNull() & (draw < sample / max(1, total)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks_in(batches, "html", HELD):
+            for page in batch.column(0).to_pylist():
+                seed = zlib.crc32(page.encode("utf-8", "replace"))
+                found = [(seed, k, x.tobytes(), y.tobytes()) for k, (x, y) in enumerate(examples(page, seed, teacher))]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["page", "nth", "x", "y"])
+
+    rows = sorted(chosen.select("html").mapInArrow(run, "page long, nth int, x binary, y binary").collect(), key=lambda r: (r["page"], r["nth"], bytes(r["x"])))
     model = Labeller()
-    if inputs:
-        model.fit(inputs, labels)
+    if rows:
+        model.fit([np.frombuffer(r["x"], np.float32).reshape(-1, DIMS) for r in rows], [np.frombuffer(r["y"], np.float32) for r in rows])
     return model
 
 
-#: Characters of html that are labelled at once.
-HELD = 1 << 20
-
-
 def main_text(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
     """(page_id, url, text, n_chars): blocks of main text in page order, joined by an empty line.
 
     Every block is labelled in the context of its whole page. Null or empty html: empty text. Character references are
-    decoded once; white space inside a block becomes one space. Repeated rows give repeated results. Empty table: no
-    rows. The weights go to the workers by broadcast; nothing is shuffled.
+    decoded once; white space inside a block becomes one space. Repeated rows and equal pages give equal results; a block
+    with a chance of exactly one half is main text. A null id or url is passed on. Empty table: no rows. Other columns are
+    not read, whatever their names. The weights go to the workers by broadcast; nothing is shuffled.
     """
     box = pages.sparkSession.sparkContext.broadcast(model or fit_labeller(pages))
 
@@ -330,15 +356,8 @@ def main_text(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
         return ["\n\n".join(b.text for b, c in zip(bs, cs, strict=True) if c >= 0.5) for bs, cs in zip(parsed, chances, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, out, at = batch.column(2).to_pylist(), [], 0
-            while at < len(texts):
-                end, held = at, 0
-                while end < len(texts) and held < HELD:
-                    held += len(texts[end] or "")
-                    end += 1
-                out += label(texts[at:end])
-                at = end
+        for batch in blocks_in(batches, "html", HELD):
+            out = label(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from lexmill.llm.html_text import Direction, blocks_of, main_text
+from lexmill.llm.html_text import Direction, blocks_of, fit_labeller, main_text
 from lexmill.llm.sharding import jump_hash, shard_documents
 from lexmill.llm.url_filter import judge_urls
 from tests.llm.conftest import SF
@@ -130,3 +130,36 @@ def test_hidden_elements_end_where_they_do():
         assert texts(f"<p>one</p><{tag}>x</{tag}><p>two</p>") == ["one", "two"]
     for tag in ("script", "style", "title", "textarea"):
         assert texts(f"<p>one</p><{tag}><p>two</p>") == ["one"]
+
+
+def test_quotes_and_names():
+    texts = lambda page: [b.text for b in blocks_of(page)]
+    assert texts("<p data-x='a > b'>Text</p>") == texts('<p data-x = "a > b">Text') == ["Text"]
+    assert texts("<p title=it's>one</p><p>two's</p>") == ["one", "two's"]
+    assert texts('<p class="open>one</p><p>two</p>') == ["one", "two"]
+    assert texts("<!-- <script> --><article><p>Main text here.</p></article>") == ["Main text here."]
+    assert texts("a < b <i>c</i> 1<2") == ["a < b c 1<2"]
+    assert blocks_of("<div data-class='ad' title='class=nav' CLASS='Main-Text x' id=y>z")[0].path == ("div", ".main", ".text", ".x", ".y")
+    deep = "<div>" * 3000 + "x" + '<p a="' * 3000
+    assert len(blocks_of(deep)) == 1
+
+
+def test_other_class_names(spark):
+    """Furniture is told from the article on pages that name their parts by other words."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rng = np.random.default_rng(3)
+    rows = []
+    for r in pages.collect():
+        rows.append((r["page_id"], re.sub(r'(class|id)="[^"]*"', lambda m: f'{m[1]}="q{rng.integers(10**6)}"', r["html"]), article(r["html"])))
+    frame = spark.createDataFrame([(i, "u", h) for i, h, _ in rows], pages.schema)
+    got = {r["page_id"]: r["text"] for r in main_text(frame, fit_labeller(pages)).collect()}
+    assert sum(got[i] == t for i, _, t in rows) >= 0.95 * len(rows)
+
+
+def test_repeated_and_null_pages(spark):
+    page = spark.read.parquet(f"{SF}/pages.parquet").first()
+    long = "<article>" + "<p>All these words go on and on.</p>" * 3000 + "</article>"
+    rows = [(None, page["url"], page["html"]), (1, None, page["html"]), (1, None, page["html"]), (2, "u", long)]
+    got = main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 4 and len({r["text"] for r in got if r["page_id"] != 2}) == 1
+    assert max(r["n_chars"] for r in got) == 3000 * len("All these words go on and on.") + 2 * 2999
