@@ -2,6 +2,7 @@
 
 import glob
 import os
+import sys
 
 import duckdb
 import pytest
@@ -39,3 +40,14 @@ def test_entry_module(spark):
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_entry_without_the_training_part(monkeypatch):
+    """With the subpackage of training-data operators gone, all other queries are there, pipeline or not."""
+    import __spark_entry__
+
+    for name in [n for n in sys.modules if n == "corpus_pipeline" or n.startswith("lexmill.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "lexmill.llm", None)
+    assert __spark_entry__.queries() == QUERIES
+    assert __spark_entry__.oracle_sql() == ORACLES
