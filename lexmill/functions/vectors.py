@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.functions.text import let
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -26,27 +34,39 @@ def fit_dimension(a: Column, size: int) -> Column:
     return F.transform(fitted, lambda x: x / norm(fitted))
 
 
-def bucket(token: Column, size: int) -> Column:
-    """Bucket of a token: the first eight hex digits of its MD5, modulo the dimension."""
-    return (F.conv(F.substring(F.md5(token.cast("binary")), 1, 8), 16, 10).cast("long") % size).cast("int")
+def token_sign_and_bucket(token: str, size: int) -> tuple[int, float]:
+    """Bucket of a token, the first eight hex digits of its MD5 modulo the dimension, and a sign by the lowest bit of the
+    ninth."""
+    digest = hashlib.md5(token.encode()).hexdigest()
+    return int(digest[:8], 16) % size, 1.0 if int(digest[8], 16) & 1 else -1.0
+
 
+def hash_vectors(rows: DataFrame, tokens: Column, key: str, size: int) -> DataFrame:
+    """(key, raw, touched): signed 1 + ln(tf) of each row's tokens summed by bucket, and which buckets a token fell into.
 
-def sign(token: Column) -> Column:
-    """1 or -1 by the lowest bit of the ninth hex digit of the token's MD5."""
-    digit = F.conv(F.substring(F.md5(token.cast("binary")), 9, 1), 16, 10).cast("int")
-    return F.when(digit % 2 == 1, 1.0).otherwise(-1.0)
+    A vector depends on its row alone, so nothing is shuffled: the tokens are made in the JVM, Arrow numbers the different
+    ones of a batch, and each of them is hashed once a batch. Null tokens give the null vector.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bags = pc.fill_null(batch.column(1), pa.scalar([], batch.column(1).type))
+            sizes = pc.list_value_length(bags).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = bags.flatten().dictionary_encode()
+            hashed = [token_sign_and_bucket(t, size) for t in coded.dictionary.to_pylist()]
+            place, sign = np.array([h[0] for h in hashed], np.int64), np.array([h[1] for h in hashed])
+            wide = max(1, len(hashed))
+            both, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * wide + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            row, token = np.divmod(both, wide)
+            cell = row * size + place[token] if len(hashed) else row
+            raw = np.bincount(cell, weights=(sign[token] if len(hashed) else 0.0) * (1 + np.log(tf)), minlength=len(sizes) * size)
+            touched = np.bincount(cell, minlength=len(sizes) * size) > 0
+            ends = pa.array(np.arange(len(sizes) + 1) * size, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(raw)), pa.ListArray.from_arrays(ends, pa.array(touched))], names=[key, "raw", "touched"])
 
-def hash_weights(tokens: DataFrame, key: str, size: int) -> DataFrame:
-    """(key, bucket, weight): signed 1 + ln(tf) of a document's tokens summed by bucket, from (key, token) rows."""
-    tf = tokens.groupBy(key, "token").agg(F.count("*").alias("tf"))
-    weight = sign(F.col("token")) * (1 + F.ln("tf"))
-    return tf.groupBy(key, bucket(F.col("token"), size).alias("bucket")).agg(F.sum(weight).alias("weight"))
+    return rows.select(F.col(key).cast("long"), tokens.alias("bag")).mapInArrow(run, f"{key} long, raw array<double>, touched array<boolean>")
 
 
-def dense_vectors(weights: DataFrame, key: str, size: int) -> DataFrame:
-    """(key, vector) of length 1 from (key, bucket, weight) rows; at most `size` rows a key."""
-    filled = F.map_from_entries(F.collect_list(F.struct("bucket", "weight")))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.col("by")[i.cast("int")], F.lit(0.0)))
-    raw = weights.groupBy(key).agg(filled.alias("by")).select(key, vector.alias("raw"))
-    return raw.select(key, F.transform("raw", lambda x: x / norm(F.col("raw"))).alias("vector"))
+def unit_vectors(raw: DataFrame, key: str) -> DataFrame:
+    """(key, vector) of length 1 from (key, raw) rows; null vectors stay."""
+    return raw.select(key, let(norm(F.col("raw")), lambda n: F.transform("raw", lambda x: x / n)).alias("vector"))

@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import half_up
+from lexmill.session import stage
 
 # Ranking constants.
 K1, B = 1.5, 0.75
@@ -17,8 +19,10 @@ RRF_K = 60
 SPARSE_WEIGHT = 0.4
 CANDIDATES = 800
 
-#: Queries that are sent to the workers at once.
-QUERY_BLOCK = 10_000
+#: What is sent to the workers at once: numbers of query vectors, and words of text queries.
+VECTOR_BLOCK, TERM_BLOCK = 4_000_000, 500_000
+#: Scores that a worker holds at once.
+CELLS = 2_000_000
 
 
 def ranked(frame: DataFrame, by: str, *order: Column, k: int | None = None, rank: str = "rank") -> DataFrame:
@@ -36,51 +40,206 @@ def in_scope(schools: list[str] | None, roles: list[str] | None, with_common: bo
     return out & F.col(role).isin(roles) if roles else out
 
 
-def postings(docs: DataFrame, tokens: Column, terms: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, token, tf, dl) of the given terms only; counts are summed before they are shuffled.
+def half_up_array(score: np.ndarray, digits: int = 6) -> np.ndarray:
+    return np.floor(score * 10**digits + 0.5) / 10**digits
 
-    Terms are the distinct tokens of a query block, which bounds what is broadcast.
+
+class BestRows:
+    """The k best (score, key) rows of each query so far: highest score first, ties to the smaller key."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.query, self.key, self.score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+
+    def add(self, score: np.ndarray, keys: np.ndarray, least: float = -np.inf) -> None:
+        """Take in a matrix of queries x rows; scores of `least` and below don't count."""
+        if score.shape[1] > self.k:
+            # all that reach the k-th best score, ties included
+            edge = np.partition(score, score.shape[1] - self.k, axis=1)[:, -self.k]
+            query, row = np.nonzero((score >= edge[:, None]) & (score > least))
+        else:
+            query, row = np.nonzero(score > least)
+        query, key, value = np.concatenate([self.query, query]), np.concatenate([self.key, keys[row]]), np.concatenate([self.score, score[query, row]])
+        order = np.lexsort((key, -value, query))
+        query, key, value = query[order], key[order], value[order]
+        first = np.searchsorted(query, query)
+        keep = np.arange(len(query)) - first < self.k
+        self.query, self.key, self.score = query[keep], key[keep], value[keep]
+
+
+def query_blocks(queries: DataFrame, weight: Column, limit: int) -> list[Column]:
+    """Conditions that deal the queries into blocks of about `limit` in weight, by hashed id."""
+    total = queries.agg(F.sum(weight)).first()[0] or 0
+    blocks = max(1, -(-total // limit))
+    return [F.lit(True)] if blocks == 1 else [F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b for b in range(blocks)]
+
+
+def term_counts(docs: DataFrame, tokens: Column, terms: list[str], key: str = "doc_id") -> DataFrame:
+    """(key, dl, term, tf): length of each document, and numbers and counts of those of its tokens that are in `terms`.
+
+    A term's number is its place in the list, which goes to the workers. The tokens are made once, in the JVM; Arrow looks
+    them up. One row a document, nothing is shuffled.
     """
-    bag = docs.select(key, tokens.alias("bag")).select(key, F.size("bag").alias("dl"), F.explode("bag").alias("token"))
-    return bag.join(F.broadcast(terms), "token").groupBy(key, "token", "dl").agg(F.count("*").alias("tf"))
+    box = docs.sparkSession.sparkContext.broadcast(pa.array(terms, pa.string()))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = box.value
+        for batch in batches:
+            bags = pc.fill_null(batch.column(1), pa.scalar([], batch.column(1).type))
+            sizes = pc.list_value_length(bags).to_numpy(zero_copy_only=False).astype(np.int64)
+            place = pc.fill_null(pc.index_in(bags.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(sizes)), sizes)[place >= 0]
+            both, count = np.unique(row * max(1, len(known)) + place[place >= 0], return_counts=True)
+            row, term = np.divmod(both, max(1, len(known)))
+            ends = np.searchsorted(row, np.arange(len(sizes) + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x.astype(np.int32), pa.int32())) for x in (term, count)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), *lists], names=[key, "dl", "term", "tf"])
+
+    return docs.select(F.col(key).cast("long"), tokens.alias("bag")).mapInArrow(run, f"{key} long, dl int, term array<int>, tf array<int>")
+
+
+def text_blocks(docs: DataFrame, tokens: Column, queries: DataFrame, key: str) -> Iterator[tuple[list[int], list[np.ndarray], DataFrame]]:
+    """For each block of (query_id, token) queries: their ids, their term numbers, and the staged term_counts()."""
+    for block in query_blocks(queries, F.lit(1), TERM_BLOCK):
+        held: dict[int, list[str]] = {}
+        for r in queries.filter(block).select(F.col("query_id").cast("long"), "token").collect():
+            held.setdefault(r[0], []).append(r[1])
+        terms = sorted({t for ts in held.values() for t in ts})
+        number = {t: i for i, t in enumerate(terms)}
+        ids = sorted(held)
+        if ids:
+            yield ids, [np.array([number[t] for t in held[i]], np.int64) for i in ids], stage(term_counts(docs, tokens, terms, key), "term-counts")
+
+
+def weights_by_term(batch: pa.RecordBatch, idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, term and BM25 part of each posting of a batch, by term."""
+    lists = batch.column(2)
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    row, term = np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy(zero_copy_only=False)
+    tf, dl = batch.column(3).flatten().to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+    part = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[row] / mean))
+    order = np.argsort(term, kind="stable")
+    return row[order], term[order], part[order]
+
+
+def bm25_top_k(docs: DataFrame, tokens: Column, queries: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
+    """(query_id, key, score, rank): the k documents of highest BM25 score for each query of (query_id, token) rows without
+    repeats; scores of 0 don't count, ties go to the smaller key. Statistics cover the whole corpus.
+
+    Queries go out in blocks of about TERM_BLOCK words, so what is broadcast stays bounded. A task adds up the parts of
+    each term for the queries that have it, a slice of documents at a time, and keeps k documents a query, so no
+    (query, document) pair but these is shuffled. Exact: every document that shares a term is scored. Null texts have no
+    tokens, count as documents of length 0 and are never found. Empty corpus or query set: no rows.
+    """
+    spark, out = docs.sparkSession, None
+    for ids, wanted, counts in text_blocks(docs, tokens, queries, key):
+        n, mean = counts.agg(F.count("*"), F.avg("dl")).first()
+        df = np.zeros(max(int(w.max()) for w in wanted) + 1)
+        for r in counts.select(F.explode("term").alias("term")).groupBy("term").count().collect():
+            df[r[0]] = r[1]
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        having: dict[int, list[int]] = {}
+        for q, terms in enumerate(wanted):
+            for t in terms.tolist():
+                having.setdefault(t, []).append(q)
+        box = spark.sparkContext.broadcast((np.array(ids, np.int64), {t: np.array(qs) for t, qs in having.items()}, idf, mean or 1.0))
+
+        def run(batches: Iterator[pa.RecordBatch], box=box) -> Iterator[pa.RecordBatch]:
+            ids, having, idf, mean = box.value
+            best, width = BestRows(k), max(1, CELLS // len(ids))
+            for whole in batches:
+                for at in range(0, whole.num_rows, width):
+                    batch = whole.slice(at, width)
+                    row, term, part = weights_by_term(batch, idf, mean)
+                    score = np.zeros((len(ids), batch.num_rows))
+                    cuts = np.flatnonzero(np.diff(term, prepend=-1, append=-1))
+                    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                        score[np.ix_(having[int(term[a])], row[a:b])] += part[a:b]
+                    best.add(half_up_array(score), batch.column(0).to_numpy(zero_copy_only=False), 0.0)
+            if len(best.query):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[best.query]), pa.array(best.key), pa.array(best.score)], names=["query_id", key, "score"])
+
+        one = counts.mapInArrow(run, f"query_id long, {key} long, score double")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        return spark.createDataFrame([], f"query_id long, {key} long, score double, rank int")
+    return ranked(out, "query_id", F.desc("score"), F.asc(key), k=k)
 
-def bm25(docs: DataFrame, tokens: Column, queries: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(query_id, key, score) of every document that shares a term with a query.
 
-    `queries` holds (query_id, token) without repeats. Statistics cover the whole corpus.
+def bm25_of_candidates(docs: DataFrame, tokens: Column, queries: DataFrame, k: int, most: int = CANDIDATES, key: str = "doc_id") -> DataFrame:
+    """(query_id, key, score, rank): BM25 over each query's first `most` candidates by key, with the statistics of these alone.
+
+    A task keeps `most` candidates a query; only these meet their counts, by a join on the key.
     """
-    terms = queries.select("token").distinct()
-    hits = postings(docs, tokens, terms, key)
-    sizes = docs.select(F.size(tokens).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
-    frequency = hits.groupBy("token").agg(F.count("*").alias("df"))
-    df, tf, dl = F.col("df"), F.col("tf"), F.col("dl")
-    mean = F.coalesce(F.nullif(F.col("mean"), F.lit(0.0)), F.lit(1.0))
-    idf = F.ln(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-    part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
-    # sizes is one row, frequency one row a term
-    scored = hits.join(F.broadcast(frequency), "token").join(F.broadcast(sizes)).select(key, "token", part.alias("part"))
-    return scored.join(F.broadcast(queries), "token").groupBy("query_id", key).agg(half_up(F.sum("part"), 6).alias("score")).filter("score > 0")
+    spark, out = docs.sparkSession, None
+    for ids, wanted, counts in text_blocks(docs, tokens, queries, key):
+        having: dict[int, list[int]] = {}
+        for q, terms in enumerate(wanted):
+            for t in terms.tolist():
+                having.setdefault(t, []).append(q)
+        box = spark.sparkContext.broadcast((np.array(ids, np.int64), {t: np.array(qs) for t, qs in having.items()}))
+
+        def run(batches: Iterator[pa.RecordBatch], box=box) -> Iterator[pa.RecordBatch]:
+            ids, having = box.value
+            best, width = BestRows(most), max(1, CELLS // len(ids))
+            for whole in batches:
+                for at in range(0, whole.num_rows, width):
+                    batch = whole.slice(at, width)
+                    row, term, _ = weights_by_term(batch, np.ones(max(having) + 1), 1.0)
+                    hit = np.zeros((len(ids), batch.num_rows))
+                    cuts = np.flatnonzero(np.diff(term, prepend=-1, append=-1))
+                    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                        hit[np.ix_(having[int(term[a])], row[a:b])] = 1
+                    best.add(hit, batch.column(0).to_numpy(zero_copy_only=False), 0.0)
+            if len(best.query):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[best.query]), pa.array(best.key)], names=["query_id", key])
+
+        found = ranked(counts.mapInArrow(run, f"query_id long, {key} long"), "query_id", F.asc(key), k=most, rank="nth")
+        own = spark.createDataFrame([(i, w.tolist()) for i, w in zip(ids, wanted, strict=True)], "query_id long, own array<int>")
+        pairs = stage(found.select("query_id", key).join(counts, key).join(own, "query_id"), "candidates")
+        postings = pairs.select("query_id", key, "dl", "own", F.explode(F.arrays_zip("term", "tf")).alias("p")).filter(F.array_contains("own", F.col("p.term")))
+        hits = postings.select("query_id", key, "dl", F.col("p.term").alias("term"), F.col("p.tf").alias("tf"))
+        sizes = pairs.groupBy("query_id").agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
+        frequency = hits.groupBy("query_id", "term").agg(F.count("*").alias("df"))
+        df, tf, dl = F.col("df"), F.col("tf"), F.col("dl")
+        part = F.ln(1 + (F.col("n") - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("mean")))
+        one = hits.join(frequency, ["query_id", "term"]).join(sizes, "query_id").groupBy("query_id", key).agg(half_up(F.sum(part), 6).alias("score"))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        return spark.createDataFrame([], f"query_id long, {key} long, score double, rank int")
+    return ranked(out, "query_id", F.desc("score"), F.asc(key), k=k)
+
+
+def one_space(rows: DataFrame, space: str, column: str = "embedder_id") -> DataFrame:
+    """Rows whose vectors come from one encoder; vectors of another, or of an unknown one, can't be compared with them."""
+    return rows.filter(F.col(column) == space)
 
 
 def dense_top_k(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", tier: str | None = None) -> DataFrame:
     """(query_id, key, score, rank): the k rows of highest cosine for each query of (query_id, query_vector).
 
-    With a tier column, queries have one too and see only rows of their own tier. Queries go out in blocks of
-    QUERY_BLOCK, so what is broadcast stays bounded; a task multiplies its rows with the block and keeps k of them for
-    each query. Vectors of length 0 score 0. Ties go to the smaller key.
+    With a tier column, queries have one too and see only rows of their own tier. Queries go out in blocks of about
+    VECTOR_BLOCK numbers, so what is broadcast stays bounded; with more than one block each block's results are staged and
+    its broadcast let go before the next. A task multiplies a slice of its rows with the block, CELLS scores at a time, and
+    keeps k rows a query. Vectors of length 0 score 0; rows without a vector are left out. Ties go to the smaller key.
     """
     spark = rows.sparkSession
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    wanted = queries.select(F.col("query_id").cast("long"), "query_vector", (F.col(tier) if tier else F.lit(0)).cast("long").alias("tier"))
-    data = rows.select(F.col(key).cast("long"), vector, (F.col(tier) if tier else F.lit(0)).cast("long").alias("tier"))
+    wanted = queries.select(F.col("query_id").cast("long"), "query_vector", (F.col(tier) if tier else F.lit(0)).cast("long").alias("tier")).filter("query_vector is not null")
+    data = rows.select(F.col(key).cast("long"), vector, (F.col(tier) if tier else F.lit(0)).cast("long").alias("tier")).filter(F.col(vector).isNotNull())
+    blocks = query_blocks(wanted, F.size("query_vector"), VECTOR_BLOCK)
+    if len(blocks) > 1:
+        wanted = stage(wanted, "query-vectors")
     out = None
-    for b in range(blocks):
-        found = wanted.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
+    for condition in blocks:
+        found = wanted.filter(condition).collect()
         if not found:
             continue
         block = np.array([r[0] for r in found], np.int64), unit(np.array([r[1] for r in found], np.float64)), np.array([r[2] for r in found])
-        one = _block_top_k(data, spark.sparkContext.broadcast(block), k, key)
+        box = spark.sparkContext.broadcast(block)
+        one = _block_top_k(data, box, k, key)
+        if len(blocks) > 1:
+            one = stage(one, "dense-block")
+            box.unpersist()
         out = one if out is None else out.unionByName(one)
     if out is None:
         return spark.createDataFrame([], f"query_id long, {key} long, score double, rank int")
@@ -95,21 +254,16 @@ def unit(matrix: np.ndarray) -> np.ndarray:
 def _block_top_k(rows: DataFrame, box, k: int, key: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix, tiers = box.value
-        names, best = np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0))
-        for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            if not len(keys):
-                continue
-            values = np.array(batch.column(1).to_pylist(), np.float64)
-            score = np.floor(matrix @ unit(values).T * 1e6 + 0.5) / 1e6
-            score[tiers[:, None] != batch.column(2).to_numpy(zero_copy_only=False)[None, :]] = -np.inf
-            names, best = np.hstack([names, np.broadcast_to(keys, score.shape)]), np.hstack([best, score])
-            order = np.lexsort((names, -best), axis=1)[:, :k]
-            names, best = np.take_along_axis(names, order, 1), np.take_along_axis(best, order, 1)
-        real = np.isfinite(best).ravel()
-        if real.any():
-            columns = np.repeat(ids, best.shape[1])[real], names.ravel()[real], best.ravel()[real]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", key, "score"])
+        best, width = BestRows(k), max(1, CELLS // len(ids))
+        for whole in batches:
+            for at in range(0, whole.num_rows, width):
+                batch = whole.slice(at, width)
+                values = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                score = half_up_array(matrix @ unit(values).T)
+                score[tiers[:, None] != batch.column(2).to_numpy(zero_copy_only=False)[None, :]] = -np.inf
+                best.add(score, batch.column(0).to_numpy(zero_copy_only=False))
+        if len(best.query):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[best.query]), pa.array(best.key), pa.array(best.score)], names=["query_id", key, "score"])
 
     return rows.mapInArrow(run, f"query_id long, {key} long, score double")
 
@@ -149,18 +303,22 @@ def rerank(pool: DataFrame, score: Column, k: int, key: str) -> DataFrame:
     return ranked(pool.withColumn("new", new), "query_id", F.desc_nulls_last("new"), F.asc("rank"), F.asc(key), k=k, rank="place").drop("new")
 
 
-def hashed_place(rows: DataFrame, key: str) -> DataFrame:
+def hashed_place(rows: DataFrame, key: str, per_range: int = 100_000) -> DataFrame:
     """(key, place): place of each key, from 0, in the order of its MD5.
 
-    Keys are ranked within the 256 ranges of the first two hex digits; a table of 256 counts gives each range's start,
-    so no task holds all keys.
+    Keys are ranked within ranges of the digest's first hex digits, as many digits as leave a range about `per_range`
+    keys; a table of the ranges' counts gives each range's start, so no task holds all keys.
     """
+    digits = 1
+    total = rows.count()
+    while total > per_range * 16**digits:
+        digits += 1
     digest = F.md5(F.col(key).cast("string").cast("binary"))
-    keyed = rows.select(key, digest.alias("digest"), F.substring(digest, 1, 2).alias("range"))
+    keyed = rows.select(key, digest.alias("digest"), F.substring(digest, 1, digits).alias("range"))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = keyed.groupBy("range").count().select("range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     nth = F.row_number().over(Window.partitionBy("range").orderBy("digest", key)) - 1
-    return keyed.withColumn("nth", nth).join(F.broadcast(starts), "range").select(key, (F.col("start") + F.col("nth")).cast("long").alias("place"))
+    return keyed.withColumn("nth", nth).join(starts, "range").select(key, (F.col("start") + F.col("nth")).cast("long").alias("place"))
 
 
 def random_channel(rows: DataFrame, queries: DataFrame, k: int, key: str) -> DataFrame:

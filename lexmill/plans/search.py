@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import feature_tokens, half_up, label, search_tokens, words
-from lexmill.functions.vectors import cosine, dense_vectors, hash_weights
+from lexmill.functions.text import feature_tokens, half_up, label, let, search_tokens, words
+from lexmill.functions.vectors import cosine, hash_vectors, unit_vectors
 from lexmill.operators import retrieval as r
 from lexmill.operators.evaluation import channel_metrics, validity
 
@@ -33,22 +33,12 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = r.bm25(table(spark, sf_dir, "documents"), words(F.col("text")), query_terms(spark, sf_dir))
-    return r.ranked(scores, "query_id", F.desc("score"), F.asc("doc_id"), k=K)
+    return r.bm25_top_k(table(spark, sf_dir, "documents"), words(F.col("text")), query_terms(spark, sf_dir), K)
 
 
 def bm25_candidate_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 with the statistics of each query's first 800 candidates, by id."""
-    docs, queries = table(spark, sf_dir, "documents"), query_terms(spark, sf_dir)
-    hits = r.postings(docs, words(F.col("text")), queries.select("token").distinct()).join(F.broadcast(queries), "token")
-    pairs = r.ranked(hits.select("query_id", "doc_id", "dl").distinct(), "query_id", F.asc("doc_id"), k=r.CANDIDATES)
-    kept = hits.join(pairs.select("query_id", "doc_id"), ["query_id", "doc_id"])
-    sizes = pairs.groupBy("query_id").agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
-    frequency = kept.groupBy("query_id", "token").agg(F.count("*").alias("df"))
-    df, tf, dl = F.col("df"), F.col("tf"), F.col("dl")
-    part = F.ln(1 + (F.col("n") - df + 0.5) / (df + 0.5)) * tf * (r.K1 + 1) / (tf + r.K1 * (1 - r.B + r.B * dl / F.col("mean")))
-    scored = kept.join(frequency, ["query_id", "token"]).join(sizes, "query_id").groupBy("query_id", "doc_id").agg(half_up(F.sum(part), 6).alias("score"))
-    return r.ranked(scored, "query_id", F.desc("score"), F.asc("doc_id"), k=K)
+    return r.bm25_of_candidates(table(spark, sf_dir, "documents"), words(F.col("text")), query_terms(spark, sf_dir), K)
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,13 +59,11 @@ def text_channels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     """Dense and sparse candidates of each benchmark passage."""
     docs = table(spark, sf_dir, "documents")
     pool = r.pool_size(TOP)
-    tokens = docs.select("doc_id", F.explode(words(F.col("text"))).alias("token"))
-    vectors = dense_vectors(hash_weights(tokens, "doc_id", DIMENSION), "doc_id", DIMENSION)
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(words(F.col("text"))).alias("token"))
-    wanted = dense_vectors(hash_weights(items, "query_id", DIMENSION), "query_id", DIMENSION).withColumnRenamed("vector", "query_vector")
+    vectors = unit_vectors(hash_vectors(docs, words(F.col("text")), "doc_id", DIMENSION), "doc_id")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    wanted = unit_vectors(hash_vectors(items, words(F.col("text")), "query_id", DIMENSION), "query_id").withColumnRenamed("vector", "query_vector")
     dense = r.dense_top_k(vectors, wanted, pool, "doc_id", "vector")
-    sparse = r.bm25(docs, words(F.col("text")), query_terms(spark, sf_dir))
-    return dense, r.ranked(sparse, "query_id", F.desc("score"), F.asc("doc_id"), k=pool)
+    return dense, r.bm25_top_k(docs, words(F.col("text")), query_terms(spark, sf_dir), pool)
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,19 +92,21 @@ def tiered_quota_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = table(spark, sf_dir, "documents").select("doc_id", F.explode(words(F.col("text"))).alias("token"))
-    return hash_weights(tokens, "doc_id", DIMENSION).select("doc_id", "bucket", half_up(F.col("weight"), 6).alias("weight"))
+    """Weight of each bucket that a word of the document falls into."""
+    rows = hash_vectors(table(spark, sf_dir, "documents"), words(F.col("text")), "doc_id", DIMENSION)
+    each = rows.select("doc_id", F.posexplode(F.arrays_zip("raw", "touched")).alias("bucket", "w")).filter("w.touched")
+    return each.select("doc_id", "bucket", half_up(F.col("w.raw"), 6).alias("weight"))
 
 
 def lexical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 candidates ordered anew by the share of the passage's words that a document holds."""
     docs, terms = table(spark, sf_dir, "documents"), query_terms(spark, sf_dir)
-    pool = r.ranked(r.bm25(docs, words(F.col("text")), terms), "query_id", F.desc("score"), F.asc("doc_id"), k=r.pool_size(TOP))
-    hits = r.postings(docs, words(F.col("text")), terms.select("token").distinct()).join(F.broadcast(terms), "token")
-    size = terms.groupBy("query_id").agg(F.count("*").alias("size"))
-    share = hits.groupBy("query_id", "doc_id").agg(F.count("*").alias("shared")).join(F.broadcast(size), "query_id")
-    scored = pool.join(share, ["query_id", "doc_id"]).withColumn("share", half_up(F.col("shared") / F.col("size"), 6))
-    return r.rerank(scored, F.col("share"), TOP, "doc_id").select("query_id", "doc_id", "share", "place")
+    pool = r.bm25_top_k(docs, words(F.col("text")), terms, r.pool_size(TOP))
+    own = terms.groupBy("query_id").agg(F.collect_set("token").alias("own"))
+    texts = docs.select("doc_id", "text").join(pool.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.array_distinct(words(F.col("text"))).alias("bag"))
+    scored = pool.join(texts, "doc_id").join(own, "query_id")
+    share = half_up(F.size(F.array_intersect("own", "bag")) / F.size("own"), 6)
+    return r.rerank(scored.withColumn("share", share), F.col("share"), TOP, "doc_id").select("query_id", "doc_id", "share", "place")
 
 
 def random_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,8 +139,9 @@ def validity_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and occurrences of every word of the corpus."""
-    bag = table(spark, sf_dir, "documents").select("doc_id", F.explode(words(F.col("text"))).alias("token"))
-    return bag.groupBy("doc_id", "token").agg(F.count("*").alias("tf")).groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    marked = let(F.array_sort(words(F.col("text"))), lambda ts: F.transform(ts, lambda t, i: F.struct(t.alias("token"), ((i == 0) | (F.get(ts, F.greatest(i - 1, F.lit(0))) != t)).cast("int").alias("first"))))
+    bag = table(spark, sf_dir, "documents").select(F.explode(marked).alias("t"))
+    return bag.groupBy("t.token").agg(F.sum("t.first").alias("df"), F.count("*").alias("total"))
 
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Operators on small rows worked out by hand."""
 
 import io
+import math
 import random
+import re
 import struct
 import zipfile
 
@@ -212,6 +214,60 @@ def test_metrics(spark):
     assert check["top1"] == 0.5 and check["margin"] == pytest.approx(-0.1)
 
 
+def slow_bm25(texts, queries, k):
+    bags = {i: re.findall("[a-z0-9]+", (t or "").lower()) for i, t in texts}
+    mean = sum(map(len, bags.values())) / max(1, len(bags)) or 1
+    out = {}
+    for q, words in queries.items():
+        scores = []
+        for i, bag in bags.items():
+            score = 0.0
+            for w in words:
+                df = sum(w in b for b in bags.values())
+                tf = bag.count(w)
+                score += math.log(1 + (len(bags) - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(bag) / mean))
+            if score > 0:
+                scores.append((-math.floor(score * 1e6 + 0.5) / 1e6, i))
+        out[q] = [(i, pytest.approx(-s)) for s, i in sorted(scores)[:k]]
+    return out
+
+
+def test_bm25_in_blocks(spark, monkeypatch):
+    """Blocks of queries and slices of documents change nothing; ties go to the smaller key; nulls are never found."""
+    rng = random.Random(5)
+    texts = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 12)))) for i in range(60)] + [(60, None), (61, ""), (62, "a b"), (63, "a b")]
+    queries = {q: sorted({rng.choice("abcdefghz") for _ in range(3)}) for q in range(9)}
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    terms = spark.createDataFrame([(q, w) for q, ws in queries.items() for w in ws], "query_id long, token string")
+    want = slow_bm25(texts, queries, 5)
+    for block, cells in ((retrieval.TERM_BLOCK, retrieval.CELLS), (5, 20)):
+        monkeypatch.setattr(retrieval, "TERM_BLOCK", block)
+        monkeypatch.setattr(retrieval, "CELLS", cells)
+        got = {}
+        for r in retrieval.bm25_top_k(docs, t.words(F.col("text")), terms, 5).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((r["doc_id"], r["score"]))
+        assert got == {q: rows for q, rows in want.items() if rows}
+    assert retrieval.bm25_top_k(docs, t.words(F.col("text")), terms.limit(0), 5).count() == 0
+    assert retrieval.bm25_top_k(docs.limit(0), t.words(F.col("text")), terms, 5).count() == 0
+
+
+def test_dense_in_blocks(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, [rng.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(3)]) for i in range(50)] + [(50, [0.0, 0.0, 0.0]), (51, None)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = frame.filter("vec_id < 7").selectExpr("vec_id as query_id", "embedding as query_vector")
+    plain = sorted(map(tuple, retrieval.dense_top_k(frame, queries, 6).collect()))
+    length = lambda v: math.sqrt(sum(x * x for x in v)) or 1.0
+    for q, v in rows[:7]:
+        all_ = sorted((-math.floor(sum(a * b for a, b in zip(v, w, strict=True)) / length(v) / length(w) * 1e6 + 0.5) / 1e6, i) for i, w in rows if w)
+        assert [(r[1], r[2]) for r in plain if r[0] == q and r[3]] and sorted((r[3], r[1]) for r in plain if r[0] == q) == [(n + 1, i) for n, (_, i) in enumerate(all_[:6])]
+    monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 6)
+    monkeypatch.setattr(retrieval, "CELLS", 10)
+    assert sorted(map(tuple, retrieval.dense_top_k(frame, queries, 6).collect())) == plain
+    spaces = frame.withColumn("embedder_id", F.when(F.col("vec_id") < 10, "a").when(F.col("vec_id") < 20, "b"))
+    assert retrieval.one_space(spaces, "a").count() == 10
+
+
 def palm_book(text: bytes, flags: int, trailer: bytes) -> bytes:
     """An unpacked one-record Palm book."""
     head = struct.pack(">HHIHHH", 1, 0, len(text), 1, 4096, 0) + b"\0\0" + b"MOBI" + struct.pack(">III", 0xE8, 2, 65001) + b"\0" * 0xE0
