@@ -29,20 +29,26 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where the setting is missing (tests on one machine) a temporary folder takes its place.
+    Where the setting is missing a temporary folder takes its place in a local session (tests); on a cluster it would be
+    seen by one machine only, so there the setting is asked for.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir().rstrip("/")
 
 
-def stage(frame: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: lineage ends here, and lost executors cost nothing."""
+def stage(frame: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Write a frame to the shared folder and read it back: lineage ends here, and lost executors cost nothing.
+
+    `files` bounds the number of files of a table known to be small.
+    """
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/lexmill/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    (frame.coalesce(files) if files else frame).write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
