@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import in_slices, join_groups
+from lexmill.llm.common import free_name, in_slices, join_groups
 from lexmill.session import stage
 
 SHINGLE = 5
@@ -20,8 +22,14 @@ RADIUS = 1 - NUMERATOR / DENOMINATOR
 #: Documents whose shingles are counted to find very common ones; the count only orders shingles and can't change a result.
 COUNTED = 10_000
 COMMON = 100_000
-#: Shingles that one region task holds (8 bytes each).
-BLOCK = 1 << 22
+#: Weight of a member of a region beside its shingles, so that a bound in weight also bounds the members.
+MEMBER = 64
+#: Weight (shingles and members, 8 bytes each) over which a region is cut into cells, and that a task holds at most.
+CELL, BLOCK = 1 << 19, 1 << 21
+#: Pivots of a region that is cut, at least and at most, and how often cells are cut again.
+PIVOTS, DEPTH = (8, 64), 4
+#: Rows that one file of a small staged table has about.
+ROWS = 50_000
 #: Documents beyond which ids are joined by shuffling instead of broadcast.
 BROADCAST_IDS = 500_000
 CACHE = 100_000
@@ -116,7 +124,8 @@ def folded(bits: np.ndarray, size: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, hi, lo, bits, prefix): size, 128-bit digest of the whole set, odd sketch and prefix.
+    """(doc_id, t, n_shingles, hi, lo, bits, prefix): hash of the text, size and 128-bit digest of the whole set, odd sketch
+    and prefix.
 
     Of equal sets in one task only the first carries sketch and prefix, so a text with many copies doesn't pile up.
     """
@@ -143,11 +152,11 @@ def sketch(docs: DataFrame) -> DataFrame:
                 heads.append(prefix(items, common, level))
             half = lambda k: pa.array([None if d is None else (d >> k & (1 << 64) - 1) - (1 << 63) for d in digests], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), half(64), half(0), pa.array(bits, pa.binary()), pa.array(heads, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "hi", "lo", "bits", "prefix"],
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), half(64), half(0), pa.array(bits, pa.binary()), pa.array(heads, pa.list_(pa.int64()))],
+                names=["doc_id", "t", "n_shingles", "hi", "lo", "bits", "prefix"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long, bits binary, prefix array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(run, "doc_id long, t long, n_shingles long, hi long, lo long, bits binary, prefix array<long>")
 
 
 def seed_regions(heads: DataFrame) -> DataFrame:
@@ -184,56 +193,75 @@ def seed_regions(heads: DataFrame) -> DataFrame:
     return found.unionByName(own)
 
 
-def spread(members: DataFrame, pivot: list[str], weight: str, limit: int) -> DataFrame:
-    """The members with block numbers i and j. A region whose weight passes the limit is cut into blocks by hashed
-    member, and every two blocks meet under a key (pivot, i, j) of their own; all other regions are one block."""
-    blocks = members.groupBy(*pivot).agg(F.ceil(F.sum(weight) / limit).cast("int").alias("blocks"), F.count("*").alias("members")).filter("members > 1")
-    one = members.join(blocks.filter("blocks <= 1").select(*pivot), pivot, "left_semi").withColumns({"i": F.lit(0), "j": F.lit(0)})
-    many = members.join(blocks.filter("blocks > 1").drop("members"), pivot).withColumn("own", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
-    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    many = many.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).select(*members.columns, "i", "j")
+def weighed(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The rows of regions of two members or more, with their region's members and weight; no region falls to one task."""
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("members"), F.sum(F.col("n") + MEMBER).alias("weight")).filter("members > 1")
+    return join_groups(rows, sizes, key, "members", rows.count())
+
+
+def spread(rows: DataFrame, limit: int) -> DataFrame:
+    """The weighed rows with block numbers i and j: a region over the limit is cut into blocks by hashed member, and every
+    two blocks meet under a key of their own; all other regions are one block."""
+    blocks = F.ceil(F.col("weight") / limit).cast("int")
+    one = rows.filter(F.col("weight") <= limit).withColumns({"i": F.lit(0), "j": F.lit(0)})
+    many = rows.filter(F.col("weight") > limit).withColumn("own", F.pmod(F.xxhash64("m", "h"), blocks).cast("int"))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    many = many.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("own", "other")
     return one.unionByName(many)
 
 
-def grouped(frame: DataFrame, key: list[str], values: list[str], work: Callable[[list[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
-    """Run work on the rows of each key, one key at a time in memory, many keys a task."""
-    rows = frame.select(*key, *values).repartition(*key).sortWithinPartitions(*key, values[0])
+def grouped(frame: DataFrame, key: list[str], values: list[str], work: Callable[..., tuple[np.ndarray, ...]], schema: str) -> DataFrame:
+    """Run work on the columns of each key's rows, one key at a time, many keys a task. Numbers come as arrays and
+    are never null, all else as lists; work gives arrays of longs."""
+    rows = frame.select(*key, *values).repartition(*key).sortWithinPartitions(*key, *values[:2])
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key_, held, out = None, [], []
-        pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
+        last, held, out = None, [], []
+
+        def finish() -> None:
+            whole = held[0] if len(held) == 1 else [np.concatenate(c) if isinstance(c[0], np.ndarray) else [x for p in c for x in p] for c in zip(*held, strict=True)]
+            out.append(work(*whole))
+            held.clear()
+
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
-            for row in zip(*columns, strict=True):
-                if row[: len(key)] != key_:
-                    if held:
-                        out += work(held)
-                    key_, held = row[: len(key)], []
-                held.append(row[len(key) :])
+            if not batch.num_rows:
+                continue
+            columns = [c.to_numpy(zero_copy_only=False) if pa.types.is_integer(c.type) else c.to_pylist() for c in batch.columns]
+            change = np.zeros(batch.num_rows, bool)
+            for c in columns[: len(key)]:
+                c = np.asarray(c)
+                change[1:] |= c[1:] != c[:-1]
+            cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                name = tuple(c[a] for c in columns[: len(key)])
+                if held and name != last:
+                    finish()
+                last = name
+                held.append([c[a:b] for c in columns[len(key) :]])
             if out:
-                yield pack()
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], names=names)
                 out.clear()
         if held:
-            out += work(held)
-        if out:
-            yield pack()
+            finish()
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], names=names)
 
     return rows.mapInArrow(run, schema)
 
 
-def hopeful(rows: list[tuple]) -> Iterator[tuple[int]]:
+def hopeful(m: np.ndarray, h: np.ndarray, sizes: np.ndarray, sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Members of a region that may have another within the radius, by size and odd sketch.
 
     Sets within the radius differ in at most a seventh of their items, (1 - t) / (1 + t) of both sizes together; two
     sketches that differ in more bits rule that out. A member that has found a partner isn't compared any further.
     """
-    members, sizes = [r[0] for r in rows], np.array([r[1] for r in rows])
-    raw = [np.frombuffer(r[2], np.uint8) for r in rows]
-    found = np.zeros(len(rows), bool)
+    raw = [np.frombuffer(x, np.uint8) for x in sketches]
+    found = np.zeros(len(raw), bool)
     for width in sorted({len(r) for r in raw}):
         # with sets of the same or twice the width: sizes within the radius are never further apart
         pick = np.array([k for k, r in enumerate(raw) if len(r) in (width, 2 * width)])
+        if len(pick) < 2:
+            continue
         bits = np.stack([folded(raw[k], width) for k in pick])
         size = sizes[pick]
         for k in range(len(pick)):
@@ -247,9 +275,7 @@ def hopeful(rows: list[tuple]) -> Iterator[tuple[int]]:
                 good = near[differ * (DENOMINATOR + NUMERATOR) <= (size[near] + size[k]) * (DENOMINATOR - NUMERATOR)]
                 if len(good):
                     found[pick[good]] = found[pick[k]] = True
-    for m, f in zip(members, found, strict=True):
-        if f:
-            yield (m,)
+    return m[found], h[found]
 
 
 def overlaps(one: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -259,8 +285,9 @@ def overlaps(one: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarra
     return np.add.reduceat((one[at] == flat).astype(np.int64), starts)
 
 
-def join_region(sets: list[np.ndarray]) -> np.ndarray:
-    """Component number of each set of a region, two sets being linked when within the radius.
+def join_region(sets: list[np.ndarray], known: np.ndarray | None = None) -> np.ndarray:
+    """Component number of each set of a region, two sets being linked when within the radius; `known` has numbers under
+    which some are known to be connected.
 
     One pivot after another is measured against the region: it takes in all within the radius. Then only documents
     outside the largest component can still change anything, so the next pivot is one of these. By the triangle
@@ -270,7 +297,7 @@ def join_region(sets: list[np.ndarray]) -> np.ndarray:
     """
     n = len(sets)
     size = np.array([len(s) for s in sets])
-    component = np.arange(n)
+    component = np.arange(n) if known is None else known.copy()
     if n < 2:
         return component
     ends = np.cumsum(size)
@@ -315,85 +342,221 @@ def join_region(sets: list[np.ndarray]) -> np.ndarray:
     return component
 
 
-def region_edges(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-    """Edges from the first member of each component of a region to its others."""
-    component = join_region([np.frombuffer(items, np.int64) for _, items in rows])
-    first: dict[int, int] = {}
-    for c, (m, _) in zip(component.tolist(), rows, strict=True):
-        root = first.setdefault(c, m)
-        if root != m:
-            yield root, m
+def star_edges(m: np.ndarray, h: np.ndarray, component: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Edges from the first member of each component to its others."""
+    _, first, which = np.unique(component, return_index=True, return_inverse=True)
+    root = first[which]
+    other = np.flatnonzero(root != np.arange(len(root)))
+    return m[root[other]], h[root[other]], m[other], h[other]
+
+
+def region_edges(m: np.ndarray, h: np.ndarray, items: list[bytes], pm: np.ndarray, ph: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Edges of a region or cell; inner members that are linked to one group of pivots (pm, ph) are connected already."""
+    known, at = np.arange(len(m)), np.flatnonzero(inner)
+    if len(at):
+        _, first, which = np.unique(np.stack([pm[at], ph[at]], axis=1), axis=0, return_index=True, return_inverse=True)
+        known[at] = at[first[which.ravel()]]
+    return star_edges(m, h, join_region([np.frombuffer(x, np.int64) for x in items], known))
+
+
+def cut_into_cells(members: pa.Table, pivots: pa.Table) -> pa.Table:
+    """Voronoi cells of some members of a region, by the pivots of the whole region.
+
+    A member's home is its nearest pivot's cell (ties: the first pivot). It is replicated to the cell of an earlier pivot
+    where it is at most twice the radius further from that pivot than from its own: by the triangle inequality no member
+    at home there is within the radius of it otherwise, so of any two members within the radius one comes to the home of
+    the other. Members within the radius of a pivot get that pivot's group (pm, ph): pivots that are linked among
+    themselves are one group, named by its first pivot. Without pivots all stay in one cell.
+    """
+    sets = [np.frombuffer(x, np.int64) for x in members["items"].to_pylist()]
+    order = np.lexsort((pivots["h"].to_numpy(), pivots["m"].to_numpy()))
+    centres = [np.frombuffer(x, np.int64) for x in pivots["items"].take(pa.array(order)).to_pylist()]
+    names = [pivots[c].to_numpy()[order] for c in ("m", "h")]
+    size = np.array([len(x) for x in sets])
+    flat, starts = np.concatenate(sets), np.cumsum(size) - size
+    if not centres:
+        row, cell, home, group = np.arange(len(sets)), np.zeros(len(sets), np.int64), np.ones(len(sets), bool), np.full(len(sets), -1)
+    else:
+        shared = np.stack([overlaps(c, flat, starts) for c in centres], axis=1)
+        union = size[:, None] + np.array([len(c) for c in centres]) - shared
+        distance = 1 - shared / union
+        nearest = distance.argmin(axis=1)
+        into = (distance <= distance[np.arange(len(sets)), nearest][:, None] + 2 * RADIUS + 1e-9) & (np.arange(len(centres)) < nearest[:, None])
+        into[np.arange(len(sets)), nearest] = True
+        row, cell = np.nonzero(into)
+        home = cell == nearest[row]
+        inside = (DENOMINATOR * shared >= NUMERATOR * union).any(axis=1)
+        linked = join_region(centres)
+        _, first, which = np.unique(linked, return_index=True, return_inverse=True)
+        within = DENOMINATOR * shared[np.arange(len(sets)), nearest] >= NUMERATOR * union[np.arange(len(sets)), nearest]
+        group = np.where(inside & within, first[which][nearest], -1)[row]
+    named = group >= 0
+    pick = [pa.array(np.where(named, n[group] if len(n) else 0, 0), pa.int64(), mask=~named) for n in names]
+    path = members["path"].take(pa.array(row))
+    out = {c: members[c].take(pa.array(row)) for c in ("pivot_hi", "pivot_lo", "m", "h", "n", "items", "weight")}
+    out |= {"path": pc.binary_join_element_wise(path, pa.array(cell).cast(pa.string()), "/"), "home": pa.array(home), "pm": pick[0], "ph": pick[1]}
+    return pa.table({c: out[c] for c in CELL_COLUMNS})
+
+
+CELL_COLUMNS = ("pivot_hi", "pivot_lo", "path", "m", "h", "n", "items", "weight", "home", "pm", "ph")
+CELL_SCHEMA = "pivot_hi long, pivot_lo long, path string, m long, h long, n long, items binary, weight long, home boolean, pm long, ph long"
+
+
+def cells(regions: DataFrame, depth: int) -> DataFrame:
+    """Cut weighed regions (pivot_hi, pivot_lo, path, m, h, n, items, members, weight) into the cells of their own pivots.
+
+    Pivots are drawn among a region's members by hash, two for each CELL of weight within the bounds PIVOTS. A region's
+    members are dealt to as many tasks as it has CELLs, and its pivots go to each of these.
+    """
+    key = ["pivot_hi", "pivot_lo", "path"]
+    parts = F.ceil(F.col("weight") / CELL).cast("int")
+    dealt = regions.withColumns({"parts": parts, "part": F.pmod(F.xxhash64("m", "h"), parts).cast("int")})
+    wanted = F.least(F.greatest(2 * F.col("parts"), F.lit(PIVOTS[0])), F.lit(PIVOTS[1]))
+    draw = F.pmod(F.xxhash64("m", "h", F.lit(depth)), F.lit(1_000_000)) / 1_000_000
+    drawn = dealt.filter(draw < wanted / F.col("members")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    left, right = dealt.select(*key, "part", "m", "h", "n", "items", "weight"), drawn.select(*(F.col(c).alias(f"pivot_{c}") for c in (*key, "part", "m", "h", "items")))
+    # a part without members may still have pivots
+    work = lambda a, b: cut_into_cells(a, b.select(["pivot_m", "pivot_h", "pivot_items"]).rename_columns(["m", "h", "items"])) if a.num_rows else pa.table({c: [] for c in CELL_COLUMNS}, pa.schema([
+        (c, pa.string() if c == "path" else pa.binary() if c == "items" else pa.bool_() if c == "home" else pa.int64()) for c in CELL_COLUMNS
+    ]))
+    return left.groupBy(*key, "part").cogroup(right.groupBy(*(f"pivot_{c}" for c in (*key, "part")))).applyInArrow(work, CELL_SCHEMA)
+
+
+def region_links(regions: DataFrame, sets: DataFrame) -> DataFrame:
+    """(am, ah, bm, bh): edges that connect all members of weighed regions which are connected within the radius, given the
+    members' sets (m, h, items).
+
+    Regions over CELL are cut into Voronoi cells, and cells again as long as that makes them smaller by a fifth, DEPTH times
+    at most; what is still over BLOCK is cut into blocks that meet pairwise. A cell whose members all belong to one group
+    of linked pivots has nothing left to compare.
+    """
+    key = ["pivot_hi", "pivot_lo", "path"]
+    none = F.lit(None).cast("long")
+    whole = lambda some: some.join(sets.select("m", "h", "items"), ["m", "h"]).withColumn("path", F.lit(""))
+    small, large = regions.filter(F.col("weight") <= CELL), regions.filter(F.col("weight") > CELL)
+    done, edges = [whole(small).withColumns({"pm": none, "ph": none})], []
+    large = None if large.isEmpty() else whole(large)
+    for depth in range(DEPTH):
+        if large is None or (depth and large.isEmpty()):
+            break
+        cut = stage(cells(large, depth), "cells")
+        edges.append(cut.filter("home and pm is not null").select(F.col("pm").alias("am"), F.col("ph").alias("ah"), F.col("m").alias("bm"), F.col("h").alias("bh")))
+        group = F.struct("pm", "ph")
+        sizes = cut.groupBy(*key).agg(
+            F.count("*").alias("members"), F.sum(F.col("n") + MEMBER).alias("now"), F.count("pm").alias("inner"), (F.min(group) != F.max(group)).alias("several"),
+        ).filter("members > 1 and (inner < members or several)")
+        met = join_groups(cut, sizes, key, "members", cut.count()).drop("inner", "several", "home")
+        again = (F.col("now") > CELL) & (F.col("now") < 0.8 * F.col("weight")) & F.lit(depth + 1 < DEPTH)
+        met = met.withColumn("again", again).drop("weight").withColumnRenamed("now", "weight")
+        done.append(met.filter(~F.col("again")).drop("again"))
+        large = met.filter("again").drop("again", "pm", "ph")
+    inner = [F.coalesce(c, F.lit(0)).alias(c) for c in ("pm", "ph")] + [F.col("pm").isNotNull().cast("int").alias("inner")]
+    ready = reduce(DataFrame.unionByName, (spread(d.select(*key, "m", "h", "items", *inner, "weight"), BLOCK) for d in done))
+    found = grouped(ready, [*key, "i", "j"], ["m", "h", "items", "pm", "ph", "inner"], region_edges, "am long, ah long, bm long, bh long")
+    return reduce(DataFrame.unionByName, [found, *edges]).distinct()
 
 
 def classes(edges: DataFrame) -> DataFrame:
-    """(node, label): smallest node of each connected component of the edges, for every node on an edge.
+    """(node, label): smallest node of each connected component of the edges (a, b), for every node on an edge.
 
     Labels fall to the smallest among the neighbours' labels, then to the label of the label, until nothing changes;
-    jumping makes the rounds few. Every round is written to the shared folder, so lost executors repeat one round.
+    jumping makes the rounds few. Every round is written to the shared folder, so lost executors repeat one round. Nodes
+    with very many edges get their labels by broadcast (join_groups), so none falls to one task.
     """
-    both = stage(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("node"), F.col("b").alias("to")), "edges")
-    labels = stage(both.groupBy("node").agg(F.least(F.min("to"), F.first("node")).alias("label")), "labels")
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("node"), F.col("b").alias("to"))
+    total = edges.count()
+    files = 1 + total // ROWS
+    labels = stage(both.groupBy("node").agg(F.least(F.min("to"), F.first("node")).alias("label"), F.count("*").alias("degree")), "labels", files)
     while True:
         # each edge carries its start's label to its end
-        sent = both.join(labels, "node").groupBy(F.col("to").alias("node")).agg(F.min("label").alias("sent"))
-        lower = labels.join(sent, "node").select("node", F.least("label", "sent").alias("low"), F.col("label").alias("old"))
-        jump = labels.select(F.col("node").alias("low"), F.col("label").alias("jump"))
-        fresh = stage(lower.join(jump, "low", "left").select("node", F.least("low", "jump").alias("label"), (F.least("low", "jump") != F.col("old")).alias("moved")), "labels")
-        moved = fresh.filter("moved").limit(1).count()
-        labels = fresh.select("node", "label")
-        if not moved:
-            return labels
-
-
-def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, n, items): whole shingle sets of the given documents. Ids are broadcast only where their count allows."""
-    wanted = ids.select(F.col("member").alias("doc_id")).distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+        sent = join_groups(both, labels, "node", "degree", 2 * total).groupBy(F.col("to").alias("node")).agg(F.min("label").alias("sent"))
+        lower = labels.join(sent, "node").select("node", F.least("label", "sent").alias("low"), F.col("label").alias("old"), "degree")
+        # how many nodes have a label: a label that many share is broadcast like a node of many edges
+        shared = lower.groupBy("low").agg(F.count("*").alias("sharing"))
+        jump = shared.join(labels.select(F.col("node").alias("low"), F.col("label").alias("jump")), "low")
+        moved = F.least("low", "jump")
+        fresh = stage(join_groups(lower, jump, "low", "sharing", 2 * total).select("node", moved.alias("label"), "degree", (moved != F.col("old")).alias("moved")), "labels", files)
+        if fresh.filter("moved").isEmpty():
+            return fresh.select("node", "label")
+        labels = fresh.select("node", "label", "degree")
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(m, h, n, items): whole shingle sets of the wanted members (m, h): document and first half of its set's digest.
+
+    Ids are broadcast only where their count allows. A document id with several texts gives a set for each.
+    """
+    ids = wanted.select(F.col("m").alias("doc_id")).distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "n", "items"])
+            first = [(xxhash.xxh128_intdigest(s.tobytes()) >> 64) - (1 << 63) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(first, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["m", "h", "n", "items"]
+            )
 
-    return docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, n long, items binary").dropDuplicates(["doc_id"])
+    found = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(run, "m long, h long, n long, items binary")
+    return found.join(wanted, ["m", "h"], "left_semi").dropDuplicates(["m", "h"])
+
+
+def set_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The documents' sketches, and (hi, lo, size, m, h, t, label) of each different set: how many documents have it, its
+    member (smallest document and first half of the digest), that document's text by hash, and the smallest member that
+    is reachable by links; and the number of documents with a set."""
+    rows = stage(sketch(docs), "sketch")
+    full = rows.filter("hi is not null and doc_id is not null")
+    first = F.min(F.struct("doc_id", "t"))
+    groups = full.groupBy("hi", "lo").agg(first.alias("first"), F.count("*").alias("size"), F.first("n_shingles").alias("n"))
+    groups = stage(groups.select("hi", "lo", F.col("first.doc_id").alias("m"), F.col("hi").alias("h"), F.col("first.t").alias("t"), "size", "n"), "classes")
+    total = groups.agg(F.sum("size")).first()[0] or 0
+    heads = rows.filter("prefix is not null and doc_id is not null")
+    key = ["pivot_hi", "pivot_lo"]
+    bits = heads.select("hi", "lo", "bits").join(groups.select("hi", "lo", "m", "n"), ["hi", "lo"]).dropDuplicates(["hi", "lo"])
+    members = stage(seed_regions(heads).join(bits, ["hi", "lo"]).select(*key, "m", F.col("hi").alias("h"), "n", "bits"), "regions")
+    sized = weighed(members, key)
+    some = grouped(sized.filter(F.col("weight") <= CELL), key, ["m", "h", "n", "bits"], hopeful, "m long, h long")
+    kept = some.unionByName(sized.filter(F.col("weight") > CELL).select("m", "h")).distinct()
+    sets = stage(shingle_sets(docs, stage(kept, "hopeful")), "sets")
+    live = stage(members.select(*key, "m", "h", "n").join(sets.select("m", "h"), ["m", "h"], "left_semi"), "live")
+    links = stage(region_links(stage(weighed(live, key), "weighed"), sets), "links")
+    labels = classes(links.select(F.struct(F.col("am").alias("m"), F.col("ah").alias("h")).alias("a"), F.struct(F.col("bm").alias("m"), F.col("bh").alias("h")).alias("b")))
+    own = groups.select("hi", "lo", "size", "m", "h", "t", F.struct("m", "h").alias("node"))
+    labelled = own.join(labels, "node", "left").select("hi", "lo", "size", "m", "h", "t", F.coalesce("label", "node").alias("label"))
+    return rows, stage(labelled, "labelled", 1 + total // ROWS), total
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id): set size and smallest doc_id reachable by links, for each document.
 
     Documents link when their 5-word shingle sets have a Jaccard similarity of 0.75 or more. Documents without words
-    have no shingles and link with nothing. Documents with equal sets are one class, represented by its smallest id, so
-    copies never meet each other; their class is joined back by broadcast for the few largest classes (join_groups) and
-    by shuffling for the others. Null ids: such rows link with nothing and get a null component. Repeated rows share
-    their class. Empty table: no rows. Columns other than doc_id and text are not read.
+    have no shingles and link with nothing. Documents with equal sets are one class, represented by its smallest id and
+    its digest, so copies never meet each other and two texts under one id stay two; their class is joined back by
+    broadcast for the few largest classes (join_groups) and by shuffling for the others. Null ids: such rows link with
+    nothing and get a null component. Repeated rows share their class. Empty table: no rows. Columns other than doc_id and
+    text are not read.
     """
-    rows = stage(sketch(docs), "sketch")
+    rows, labelled, total = set_classes(docs)
     full = rows.filter("hi is not null and doc_id is not null").select("doc_id", "n_shingles", "hi", "lo")
-    groups = stage(full.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n_shingles").alias("n")), "classes")
-    total = groups.agg(F.sum("size")).first()[0] or 0
-    heads = rows.filter("prefix is not null and doc_id is not null")
-    pivot = ["pivot_hi", "pivot_lo"]
-    bits = heads.select("hi", "lo", "bits").join(groups.select("hi", "lo", F.col("rep").alias("member"), "n"), ["hi", "lo"]).dropDuplicates(["hi", "lo"])
-    members = stage(seed_regions(heads).join(bits, ["hi", "lo"]).select(*pivot, "member", "n", "bits"), "regions")
-    key = [*pivot, "i", "j"]
-    kept = grouped(spread(members, pivot, "n", 8 * BLOCK), key, ["member", "n", "bits"], hopeful, "member long").distinct()
-    sets = stage(shingle_sets(docs, stage(kept, "hopeful")), "sets")
-    live = members.select(*pivot, "member", "n").join(sets.select(F.col("doc_id").alias("member")), "member", "left_semi")
-    regions = spread(live, pivot, "n", BLOCK).join(sets.select(F.col("doc_id").alias("member"), "items"), "member")
-    labels = classes(stage(grouped(regions, key, ["member", "items"], region_edges, "a long, b long").distinct(), "links"))
-    labelled = groups.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
-    labelled = stage(labelled.select("hi", "lo", "size", F.coalesce("label", "rep").alias("component_id")), "labelled")
-    joined = join_groups(full, labelled, ["hi", "lo"], "size", total).select("doc_id", "n_shingles", "component_id")
+    joined = join_groups(full, labelled, ["hi", "lo"], "size", total).select("doc_id", "n_shingles", F.col("label.m").alias("component_id"))
     alone = rows.filter("hi is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return joined.unionByName(alone)
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of each class, that with the smallest id, with all its columns.
+    """One document of each class, that with the smallest id, with all its columns, whatever their names.
 
-    Ids name documents: of rows with the same id one stays. Rows without an id link with nothing and all stay. The one
-    shuffle of the texts, by id, serves the join and the choice of one row.
+    Rows with the same id and text are one document; different texts of one id are judged each for itself. Rows without an
+    id link with nothing and all stay, and so do documents without words. The one shuffle of the texts, by id and hash of
+    the text, serves the join and the cut of repeated rows.
     """
-    found = near_classes(docs.filter("doc_id is not null")).filter("component_id = doc_id").select("doc_id")
-    kept = docs.filter("doc_id is not null").join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.filter("doc_id is not null")
+    rows, labelled, _ = set_classes(named)
+    first = labelled.filter((F.col("label.m") == F.col("m")) & (F.col("label.h") == F.col("h"))).select(F.col("m").alias("doc_id"), "t")
+    found = first.unionByName(rows.filter("hi is null").select("doc_id", "t"))
+    id_, mark = free_name(docs, "id"), free_name(docs, "text")
+    keys = found.select(F.col("doc_id").alias(id_), F.col("t").alias(mark))
+    marked = named.withColumns({id_: F.col("doc_id"), mark: F.xxhash64("text")})
+    kept = marked.join(keys, [id_, mark], "left_semi").dropDuplicates([id_, mark]).drop(id_, mark)
     return kept.unionByName(docs.filter("doc_id is null"))

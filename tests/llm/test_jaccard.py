@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexmill.llm import jaccard_join as j
@@ -57,6 +58,45 @@ def test_regions_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, j.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == slow_classes(rows)
 
 
+@pytest.mark.parametrize(("cell", "pivots"), [(2000, (2, 4)), (700, (3, 8)), (700, (1, 1))])
+def test_cells_and_windows(spark, monkeypatch, cell, pivots):
+    """Regions cut into Voronoi cells, and these again, give the same classes, whatever the pivots and blocks."""
+    monkeypatch.setattr(j, "CELL", cell)
+    monkeypatch.setattr(j, "BLOCK", 4 * cell)
+    monkeypatch.setattr(j, "PIVOTS", pivots)
+    rows = variants(11, groups=3, most=60)
+    assert sorted(map(tuple, j.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == slow_classes(rows)
+
+
+def test_windows_lose_no_pair():
+    """Any two members within the radius come to one cell, where one of them is at home; groups of pivots are connected."""
+    rng = np.random.default_rng(9)
+    for _ in range(20):
+        base = rng.integers(0, 1 << 40, 60)
+        sets = [np.unique(np.concatenate([base[rng.random(60) > rng.choice([0.05, 0.2, 0.4])], rng.integers(0, 1 << 40, rng.integers(1, 20))])) for _ in range(40)]
+        table = pa.table({
+            "pivot_hi": pa.array([1] * 40), "pivot_lo": pa.array([2] * 40), "path": pa.array([""] * 40), "m": pa.array(range(40)), "h": pa.array(range(40)),
+            "n": pa.array([len(x) for x in sets]), "items": pa.array([x.tobytes() for x in sets], pa.binary()), "weight": pa.array([9] * 40),
+        })
+        out = j.cut_into_cells(table, table.slice(0, 5)).to_pylist()
+        met = {}
+        for r in out:
+            met.setdefault(r["path"], []).append((r["m"], r["home"]))
+        pairs = {(a, b) for members in met.values() for a, home_a in members for b, home_b in members if home_a or home_b}
+        near = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))
+        assert all((a, b) in pairs for a in range(40) for b in range(a) if near(a, b))
+        assert sorted(r["m"] for r in out if r["home"]) == list(range(40))
+
+
+def test_one_id_with_two_texts(spark):
+    words = lambda name, n: [f"{name}{i}" for i in range(n)]
+    a, b = words("a", 60), words("b", 60)
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a, "x"])), (3, " ".join([*b, "y"])), (4, None), (4, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in j.near_classes(frame).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+    assert sorted((r["doc_id"], r["text"] or "") for r in j.drop_near_copies(frame).collect()) == [(1, rows[0][1]), (1, rows[1][1]), (4, ""), (4, "")]
+
+
 def test_region_components():
     rng = np.random.default_rng(3)
     for _ in range(30):
