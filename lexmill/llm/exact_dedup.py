@@ -14,7 +14,7 @@ from lexmill.session import shared_dir, stage
 #: Buckets of a new index at least, and digests that one bucket of it has about.
 BUCKETS, PER_BUCKET = 16, 1 << 20
 #: Id ranges that a table is taken in by, the largest ids first.
-RANGES = 4
+RANGES = 2
 #: Stands for a missing id in a join.
 NO_ID = -(1 << 63)
 
@@ -26,9 +26,9 @@ class DigestIndex:
 
     The folder is the index: whether it exists, and in how many buckets, is read from the path. The catalog only says how
     the files are bucketed; in a session that doesn't know the table yet it is registered again over the same files, so
-    nothing is ever written over them. A batch adds a row for each of its digests: the first row of a digest holds the id
-    that stays for it, each later one (`first` is false) only counts. What is already in the index wins. A batch that is
-    given again, after a failure or by mistake, finds its own rows and adds none.
+    nothing is ever written over them. The first row of a digest (`first`) holds the id that stays for it and the copies
+    that its batch had; other rows only count further copies. What is already in the index wins. A batch that is given
+    again, after a failure or by mistake, is found by its name and not added again.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
@@ -58,37 +58,41 @@ class DigestIndex:
 
     def table(self) -> DataFrame:
         """All rows of the index; the table is registered where the session's catalog doesn't have it."""
-        place = f"{self.path}/buckets-{self.buckets or BUCKETS}"
+        self.open(0)
         self.spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.name} ({COLUMNS}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets or BUCKETS} BUCKETS LOCATION '{place}'"
+            f"CREATE TABLE IF NOT EXISTS {self.name} ({COLUMNS}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS "
+            f"LOCATION '{self.path}/buckets-{self.buckets}'"
         )
         self.spark.catalog.refreshTable(self.name)
         return self.spark.table(self.name)
 
-    def read(self, batches: list[str] | None = None) -> DataFrame:
-        """(digest, keep_id, group_size, fresh): one row a digest, its rows in all batches counted, without a shuffle; fresh
-        tells whether its first row came with one of `batches`."""
-        first = F.max(F.when(F.col("first"), F.col("keep_id")))
-        fresh = F.max(F.col("first") & F.col("batch").isin(batches or []))
-        return self.table().groupBy("digest").agg(first.alias("keep_id"), F.sum("copies").alias("group_size"), fresh.alias("fresh"))
+    def batches(self) -> set[str]:
+        return {r["batch"] for r in self.table().select("batch").distinct().collect()}
 
-    def append(self, groups: DataFrame, batch: str) -> bool:
-        """Add a batch's groups (digest, keep_id, copies); False if the index has the batch already.
+    def read(self, own: list[str] | None = None, new: list[str] | None = None) -> DataFrame:
+        """(digest, keep_id, copies, mine, fresh): one row a digest, its rows in all batches counted, without a shuffle; mine
+        counts those of the `own` batches, fresh tells whether its first row came with a `new` one."""
+        return self.table().groupBy("digest").agg(
+            F.max(F.when(F.col("first"), F.col("keep_id"))).alias("keep_id"), F.sum("copies").alias("copies"),
+            F.sum(F.when(F.col("batch").isin(own or []), F.col("copies")).otherwise(0)).alias("mine"), F.max(F.col("first") & F.col("batch").isin(new or [])).alias("fresh"),
+        )
+
+    def append(self, groups: DataFrame, batch: str) -> None:
+        """Add the digests of a batch's groups (digest, keep_id, copies) that the index doesn't hold.
 
-        The sort-merge anti-join finds the new digests, the semi-join those that only count. Both leave the rows bucketed
-        like the index, so they are written without another shuffle, one sorted file a bucket. Files of a job that fails
-        are not seen by readers.
+        The sort-merge anti-join reads the index bucket by bucket and leaves the rows bucketed like it, so they are written
+        without another shuffle, one sorted file a bucket. Files of a job that fails are not seen by readers.
         """
-        table = self.table()
-        if not table.filter(F.col("batch") == batch).isEmpty():
-            return False
-        held = table.filter("first").select("digest").hint("merge")
-        fresh, known = groups.join(held, "digest", "left_anti"), groups.join(held, "digest", "left_semi")
-        rows = fresh.withColumn("first", F.lit(True)).unionByName(known.withColumn("first", F.lit(False)))
-        rows.select("digest", "keep_id", "copies", "first", F.lit(batch).alias("batch")).write.mode("append").format("parquet").bucketBy(
-            self.buckets, "digest"
-        ).sortBy("digest").saveAsTable(self.name)
-        return True
+        held = self.table().filter("first").select("digest").hint("merge")
+        self._write(groups.join(held, "digest", "left_anti").withColumn("first", F.lit(True)), batch)
+
+    def count(self, groups: DataFrame, batch: str) -> None:
+        """Add further copies (digest, copies) of digests that the index holds."""
+        self._write(groups.withColumns({"keep_id": F.lit(None).cast("long"), "first": F.lit(False)}), batch)
+
+    def _write(self, rows: DataFrame, batch: str) -> None:
+        named = rows.select("digest", "keep_id", "copies", "first", F.lit(batch).alias("batch"))
+        named.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
 
 
 def digest_rows(docs: DataFrame) -> DataFrame:
@@ -97,12 +101,6 @@ def digest_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.sha2(text.cast("binary"), 256).alias("digest")).groupBy("doc_id", "digest").agg(F.count("*").alias("copies"))
 
 
-def call_name(rows: DataFrame) -> str:
-    """Name of a call's rows: their number and two order-free hashes of them. The same rows have the same name."""
-    marks = (F.bit_xor(F.xxhash64(F.lit(k), "doc_id", "digest", "copies")) for k in range(2))
-    return "-".join(str(x or 0) for x in rows.agg(F.sum("copies"), *marks).first())
-
-
 def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, ranges: int = RANGES, resume: bool = False) -> DataFrame:
     """Group, surviving row and verdict for each document; the index takes in the new digests.
 
@@ -121,22 +119,34 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, ranges:
     """
     index = index or DigestIndex(docs.sparkSession)
     rows = stage(digest_rows(docs), "digests")
-    low, high, total = rows.agg(F.min("doc_id"), F.max("doc_id"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    # a call's name: the number of its rows and two order-free hashes of them, which are all different
+    marks = (F.bit_xor(F.xxhash64(F.lit(k), "doc_id", "digest", "copies")) for k in range(2))
+    low, high, total, *marks = rows.agg(F.min("doc_id"), F.max("doc_id"), F.coalesce(F.sum("copies"), F.lit(0)), *marks).first()
     low, high = (0, 0) if low is None else (low, high)
+    name = "-".join(str(x or 0) for x in (total, *marks))
     width = -(-(high - low + 1) // max(1, ranges))
-    starts, name = [*range(low, high + 1, width)][::-1], call_name(rows)
+    starts = [*range(low, high + 1, width)][::-1]
     index.open(total)
+    held = index.batches()
     taken = []
     for k, start in enumerate(starts):
+        batch = f"{name}-{k}"
         inside = F.col("doc_id") >= start
         inside = inside & (F.col("doc_id") < start + width) if k else inside
-        batch = rows.filter(inside if k < len(starts) - 1 else inside | F.col("doc_id").isNull())
-        groups = batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("copies"))
-        if index.append(groups, f"{name}-{k}") or resume:
-            taken.append(f"{name}-{k}")
+        some = rows.filter(inside if k < len(starts) - 1 else inside | F.col("doc_id").isNull())
+        if batch not in held:
+            index.append(some.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("copies")), batch)
+        if batch not in held or resume:
+            taken.append(batch)
+    counts = f"{name}-counts"
     own = rows.groupBy("digest").agg(F.sum("copies").alias("own"))
-    merged = stage(own.join(index.read(taken).hint("merge"), "digest"), "groups")
-    found = join_groups(rows, merged, "digest", "own", total)
+    known = index.read([*(f"{name}-{k}" for k in range(len(starts))), counts], taken)
+    pairs = own.join(known.hint("merge"), "digest").withColumn("group_size", F.col("copies") - F.col("mine") + F.col("own"))
+    merged = stage(pairs, "groups")
+    if counts not in held:
+        # from the join itself, whose rows lie like the index
+        index.count(pairs.filter("own > mine").select("digest", (F.col("own") - F.col("mine")).alias("copies")), counts)
+    found = join_groups(rows, merged.select("digest", "keep_id", "own", "group_size", "fresh"), "digest", "own", total)
     first = F.col("keep_id").eqNullSafe(F.col("doc_id")) & (F.col("copy") == 1) & F.col("fresh")
     return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
         "doc_id", "keep_id", "group_size", first.alias("kept"), F.col("digest").alias("text_sha256")
