@@ -12,10 +12,11 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import in_slices
+from lexmill.llm.common import blocks
 from lexmill.session import stage
 
 CAPACITY = 4096
@@ -23,86 +24,146 @@ CAPACITY = 4096
 UNIT = 16
 END_OF_TEXT = 2
 BUCKETS = 128
-CACHE = 200_000
-#: Text characters that are tokenised together.
-BLOCK = 1 << 21
+#: Words that a worker remembers: so many met lately, and as many from before.
+CACHE = 300_000
+#: Text bytes that are tokenised together.
+BLOCK = 1 << 22
 
-SPACES = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-#: White space for str.split() but not for the tokenizer.
-ODD = re.compile("[\x1c-\x1f]")
+#: White space for Arrow's splitter, but not for the tokenizer.
+ODD = "[\x1c-\x1f]"
+#: Words of a lower-case run.
+WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+"
+#: Runs of ASCII and of Latin-1's letters, which keep their form when normalised and whose lower case is one letter.
+LATIN = "^[\x00-\x7fÀ-ÖØ-öø-ÿ]*$"
+
+
+def byte_letters() -> dict[int, str]:
+    """The letters by which byte-level vocabularies write bytes: printable ones stand for themselves, the others follow
+    from code point 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Recent(dict):
+    """A table of what was met lately; what was met before that stays in `old`, and is forgotten unless met again."""
+
+    old: dict
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def missing(self, wanted: list[str]) -> list[str]:
+        """What is in neither table; what is only in the old one moves to this one."""
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+        unknown = [x for x in wanted if x not in self]
+        old = self.old
+        self.update((x, old[x]) for x in unknown if x in old)
+        return [x for x in unknown if x not in old]
 
 
 class WordIds:
     """Token ids of whole texts as little-endian bytes, by the tokenizers library, each different word encoded once.
 
     The vocabulary drops white space and never merges across it, so a text's ids are those of its runs of non-spaces.
-    Unseen runs are cut into words, and unseen words go to the library in one string; every word's last token, and no
-    other, carries the end-of-word mark, by which the ids are told apart again.
+    Arrow cuts a block of texts into runs, numbers the different ones and cuts these into lower-case words; unseen words
+    go to the library's model in one call, past its normaliser and splitter, which have no more to do. Every word's last
+    token, and no other, carries the end-of-word mark, by which the words' ids are told apart. Runs with letters other
+    than those of Latin-1, or whatever else may change when normalised, are normalised one by one.
     """
 
     def __init__(self, path: str):
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.model.normalizer, self.model.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         vocab = self.tokenizer.get_vocab()
         self.final = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
             self.final[i] = token.endswith("</w>")
-        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.word = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
-        # what was met lately, and what was before that; the latter is forgotten unless met again
-        self.runs, self.words = {}, {}
-        self.old_runs, self.old_words = {}, {}
+        special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.apart = "|".join([ODD, *map(re.escape, special)])
+        self.word = regex.compile(WORD)
+        self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
+        self.words = Recent(CACHE)
 
     def direct(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    @staticmethod
-    def recall(wanted: set[str], known: dict[str, bytes], old: dict[str, bytes]) -> set[str]:
-        """What is in neither table; what is only in the old one moves to the known ones."""
-        missing = wanted - known.keys()
-        again = missing & old.keys()
-        known.update((x, old[x]) for x in again)
-        return missing - again
-
-    def learn(self, runs: set[str]) -> None:
-        names: list[str] = []
-        cut: list[list[str]] = []
-        find, normal = self.word.findall, unicodedata.is_normalized
-        for run in runs:
-            low = run.lower() if run.isascii() else unicodedata.normalize("NFC", run).replace("Σ", "σ").lower()
-            if low.isascii() or normal("NFC", low):
-                names.append(run)
-                cut.append(find(low))
-            else:
-                self.runs[run] = self.direct(run)
-        words = self.words
-        fresh = list(self.recall(set(chain.from_iterable(cut)), words, self.old_words))
+    def normalised(self, run: str) -> str | None:
+        """Words of a run, spaces between them; None if only the library's own normaliser will do."""
+        low = unicodedata.normalize("NFC", run).replace("Σ", "σ").lower()
+        return " ".join(self.word.findall(low)) if low.isascii() or unicodedata.is_normalized("NFC", low) else None
+
+    def learn(self, words: list[str]) -> None:
+        """Enter unseen words."""
+        written = [w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in words]
+        ids = np.asarray(self.model.encode_batch_fast([written], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.final[ids]) + 1
+        if len(ends) == len(words):
+            data, stops = ids.tobytes(), (4 * ends).tolist()
+            self.words.update(zip(words, map(data.__getitem__, map(slice, [0, *stops], stops)), strict=True))
+        else:
+            self.words.update((w, self.direct(w)) for w in words)
+
+    def store(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different runs, end to end, and where each run's ids end."""
+        cut = pc.ascii_rtrim_whitespace(pc.replace_substring_regex(pc.utf8_lower(runs), WORD, "\\0 "))
+        other = pc.invert(pc.match_substring_regex(runs, LATIN)).to_numpy(zero_copy_only=False)
+        whole: dict[int, bytes] = {}
+        if other.any():
+            places = np.flatnonzero(other)
+            odd = runs.take(pa.array(places)).to_numpy(zero_copy_only=False).tolist()
+            words = [self.normalised(x) for x in odd]
+            whole = {int(k): self.direct(x) for k, x, w in zip(places, odd, words, strict=True) if w is None}
+            cut = pc.replace_with_mask(cut, pa.array(other), pa.array([w or "" for w in words], cut.type))
+        lists = pc.ascii_split_whitespace(cut)
+        coded = lists.flatten().dictionary_encode()
+        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        fresh = self.words.missing([w for w in different if w])
         if fresh:
-            ids = np.asarray(self.tokenizer.encode(" ".join(fresh), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.final[ids]) + 1
-            if len(ends) == len(fresh):
-                data, stops = ids.tobytes(), (4 * ends).tolist()
-                words.update(zip(fresh, map(data.__getitem__, map(slice, [0, *stops], stops)), strict=True))
-            else:
-                words.update((w, self.direct(w)) for w in fresh)
-        self.runs.update(zip(names, [words[w[0]] if len(w) == 1 else b"".join([words[x] for x in w]) for w in cut], strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        for text in texts:
-            if any(s in text for s in self.special):
-                split.append(None)
-            else:
-                split.append([x for x in re.split(f"[{SPACES}]", text) if x] if ODD.search(text) else text.split())
-        if len(self.runs) > CACHE:
-            self.old_runs, self.runs = self.runs, {}
-        if len(self.words) > CACHE:
-            self.old_words, self.words = self.words, {}
-        self.learn(self.recall(set().union(*(s for s in split if s)), self.runs, self.old_runs))
-        runs = self.runs
-        return [self.direct(t) if s is None else b"".join([runs[x] for x in s]) for t, s in zip(texts, split, strict=True)]
+            self.learn(fresh)
+        known = self.words
+        parts = [known[w] if w else b"" for w in different]
+        # the words of each run, laid end to end
+        ids, stop = gathered(parts, coded.indices.to_numpy(zero_copy_only=False))
+        ends = np.concatenate([[0], stop])[lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()]
+        if whole:
+            starts = np.concatenate([[0], ends[:-1]])
+            ids, ends = gathered([whole.get(k, ids[a:b].tobytes()) for k, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True))], np.arange(len(runs)))
+        return ids, ends
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text of a block."""
+        texts = texts.fill_null("")
+        apart = pc.match_substring_regex(texts, self.apart)
+        lists = pc.utf8_split_whitespace(pc.if_else(apart, "", texts))
+        coded = lists.flatten().dictionary_encode()
+        ids, ends = self.store(coded.dictionary)
+        data, stop = laid_out(ids, ends, coded.indices.to_numpy(zero_copy_only=False))
+        data = data.tobytes()
+        bounds = (4 * np.concatenate([[0], stop])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]).tolist()
+        out = [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        for k in np.flatnonzero(apart.to_numpy(zero_copy_only=False)).tolist():
+            out[k] = self.direct(texts[k].as_py())
+        return out
+
+
+def laid_out(ids: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of `ids` that end at `ends`, in the order of `at`, and where each ends in the result."""
+    starts = np.concatenate([[0], ends[:-1]])
+    each = (ends - starts)[at]
+    stop = np.cumsum(each)
+    return ids[np.repeat(starts[at] - (stop - each), each) + np.arange(stop[-1] if len(stop) else 0)], stop
+
+
+def gathered(parts: list[bytes], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // 4
+    return laid_out(np.frombuffer(b"".join(parts), "<u4"), ends, at)
 
 
 _encoders: dict[str, WordIds] = {}
@@ -118,24 +179,18 @@ def word_ids(path: str) -> WordIds:
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """Each document's ids, closed by END_OF_TEXT and cut after every `capacity` of them: place, length and checksum."""
 
+    end_id = END_OF_TEXT.to_bytes(4, "little")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(path)
-        for batch in in_slices(batches):
-            texts, doc_ids = [t or "" for t in batch.column(1).to_pylist()], batch.column(0).to_pylist()
+        for batch in blocks(batches, "text", BLOCK):
             rows: list[tuple] = []
-            at = 0
-            while at < len(texts):
-                end, held = at, 0
-                while end < len(texts) and held < BLOCK:
-                    held += len(texts[end])
-                    end += 1
-                for doc_id, ids in zip(doc_ids[at:end], encoder.encode(texts[at:end]), strict=True):
-                    ids += END_OF_TEXT.to_bytes(4, "little")
-                    total = len(ids) // 4
-                    for start in range(0, total, capacity):
-                        part = ids[4 * start : 4 * (start + capacity)]
-                        rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), total))
-                at = end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
+                ids += end_id
+                total = len(ids) // 4
+                for start in range(0, total, capacity):
+                    part = ids[4 * start : 4 * (start + capacity)]
+                    rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), total))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
