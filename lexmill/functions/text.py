@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import html as html_module
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Character classes, patterns, marks and sizes of the corpus format.
 HAN = r"㐀-䶿一-鿿"
@@ -13,7 +16,6 @@ BIGRAM_HAN = r"一-鿿"
 ZERO_WIDTH = "​‌‍﻿⁠"
 QUOTES, CORNERS = "“”‘’　﹑‧", "「」『』 、·"
 CLOSING, OPENING = "，。、；：！？）」』", "（「『"
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 LATIN = r"A-Za-zÀ-ÿ"
 
 
@@ -22,6 +24,32 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Items of a list that one step of the outer fold takes.
+SLICE = 512
+
+
+def scan(items: Column, open_: dict[str, Column], step: Callable[[Column, Column], tuple[Column, dict[str, Column]]], end: Callable[[Column], Column] | None = None) -> Column:
+    """Strings that a left fold puts out: step(open, item) gives those of one item and what stays open, end(open) the last.
+
+    Folds can't append to a list in place, so each step copies it. The items are folded in slices with a list of their
+    own, and only the slices' lists are appended to the whole: n items cost n (SLICE + n / SLICE) instead of n * n.
+    """
+    none = F.array().cast("array<string>")
+    state = lambda out, held: F.struct(out.alias("out"), *(c.alias(n) for n, c in held.items()))
+    held = lambda acc: {n: acc[n] for n in open_}
+
+    def one(acc: Column, item: Column) -> Column:
+        out, left = step(acc, item)
+        return state(F.concat(acc["out"], out), left)
+
+    def part(acc: Column, piece: Column) -> Column:
+        return let(F.aggregate(piece, state(none, held(acc)), one), lambda inner: state(F.concat(acc["out"], inner["out"]), held(inner)))
+
+    starts = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.size(items) - 1, F.lit(SLICE))).otherwise(F.array().cast("array<int>"))
+    pieces = F.transform(starts, lambda i: F.slice(items, i + 1, SLICE))
+    return F.aggregate(pieces, state(none, open_), part, lambda acc: F.concat(acc["out"], end(acc)) if end else acc["out"])
+
+
 def half_up(value: Column, digits: int) -> Column:
     """Round half up in binary arithmetic, the same in every engine."""
     scale = float(10**digits)
@@ -92,11 +120,16 @@ def squeeze_blank_lines(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(?m)[ \t]+$", ""), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
+@F.pandas_udf(StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(html_module.unescape, na_action="ignore")
+
+
 def decode_entities(text: Column) -> Column:
-    """The named references of ENTITIES, the ampersand last, so nothing is decoded twice."""
-    for name, value in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(value))
-    return text
+    """Every named and numbered character reference, decoded once. Only texts with an ampersand leave the JVM, in Arrow
+    batches."""
+    marked = F.contains(text, F.lit("&"))
+    return F.when(marked, _unescaped(F.when(marked, text))).otherwise(text)
 
 
 def html_to_markdown(html: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import HAN, clean_markdown, let, script_ratio, sections
+from lexmill.functions.text import HAN, clean_markdown, let, scan, script_ratio, sections
 
 # Sizes, gates and boundary patterns of the three kinds of text.
 CLASSIC, CASE, LECTURE, OVERLAP = 620, 760, 680, 90
@@ -41,13 +41,11 @@ def windows(text: Column, size: int, step: int) -> Column:
 
 def fold(items: Column, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
     """Left fold with a list of finished pieces and an open one; step gives what is finished now and what stays open."""
-    state = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def merge(acc: Column, item: Column) -> Column:
+    def merge(acc: Column, item: Column) -> tuple[Column, dict[str, Column]]:
         finished, left = step(acc["open"], item)
-        return F.struct(F.concat(acc["done"], finished).alias("done"), left.alias("open"))
+        return finished, {"open": left}
 
-    return F.aggregate(items, state, merge, lambda acc: F.concat(acc["done"], closed(acc["open"])))
+    return let(items, lambda all_: scan(all_, {"open": F.lit("")}, merge, lambda acc: closed(acc["open"])))
 
 
 def closed(piece: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import HAN, count_of, half_up, let, squeeze_blank_lines, unify_lines, unify_punctuation
+from lexmill.functions.text import HAN, count_of, half_up, let, scan, squeeze_blank_lines, unify_lines, unify_punctuation
 from lexmill.operators.chunking import strip
 
 # Noise patterns, limits and weights of the corpus rules.
@@ -80,26 +80,23 @@ def drop_noise(lines: Column) -> Column:
     A fold carries the length of the current run of contents lines: blank and other dropped lines don't end it, a line
     of text does. Lines that only end in a number count once a run has started; past 400 lines a run is kept.
     """
-    state = F.struct(F.lit(0).alias("run"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, raw: Column) -> Column:
+    def step(acc: Column, raw: Column) -> tuple[Column, dict[str, Column]]:
         line, run = strip(raw), acc["run"]
         noise = (line.rlike(ADVERT) & (F.length(line) < ADVERT_CHARS)) | line.rlike(DECORATION) | line.rlike(PAGE_NUMBER) | line.rlike(RUNNING_HEAD)
         contents = line.rlike(CONTENTS_DOTS) | line.rlike(CONTENTS_LEADER) | (line.rlike(CONTENTS_TAIL) & (run >= CONTENTS_START))
         after = F.when((line == "") | noise, run).when(contents, run + 1).otherwise(0)
         drop = (line != "") & (noise | (contents & (run < CONTENTS_RUN)))
-        return F.struct(after.alias("run"), F.when(drop, acc["out"]).otherwise(F.concat(acc["out"], F.array(line))).alias("out"))
+        return F.when(drop, F.array().cast("array<string>")).otherwise(F.array(line)), {"run": after}
 
-    return F.aggregate(lines, state, step, lambda acc: acc["out"])
+    return let(lines, lambda all_: scan(all_, {"run": F.lit(0)}, step))
 
 
 def join_broken_lines(lines: Column, script: str = HAN) -> Column:
     """Physical lines joined into paragraphs, headings and sentence ends kept apart."""
     none = F.array().cast("array<string>")
     one = lambda x: F.when(x != "", F.array(x)).otherwise(none)
-    state = F.struct(none.alias("out"), F.lit("").alias("open"))
 
-    def step(acc: Column, raw: Column) -> Column:
+    def step(acc: Column, raw: Column) -> tuple[Column, dict[str, Column]]:
         line, held = strip(raw), acc["open"]
         end = F.right(held, F.lit(1))
         apart = (
@@ -112,9 +109,9 @@ def join_broken_lines(lines: Column, script: str = HAN) -> Column:
         body = F.concat(F.when((held != "") & apart, one(held)).otherwise(none), F.when(full & (held != ""), one(text)).otherwise(none))
         finished = F.when(line == "", F.concat(one(held), F.array(F.lit("")))).when(line.startswith("#"), F.concat(one(held), F.array(line, F.lit("")))).otherwise(body)
         left = F.when((line == "") | line.startswith("#") | (full & (held != "")), "").otherwise(text)
-        return F.struct(F.concat(acc["out"], finished).alias("out"), left.alias("open"))
+        return finished, {"open": left}
 
-    return F.aggregate(lines, state, step, lambda acc: F.concat(acc["out"], one(acc["open"])))
+    return let(lines, lambda all_: scan(all_, {"open": F.lit("")}, step, lambda acc: one(acc["open"])))
 
 
 def drop_repeated(blocks: Column, least: int = REPEAT_CHARS) -> Column:
@@ -123,8 +120,10 @@ def drop_repeated(blocks: Column, least: int = REPEAT_CHARS) -> Column:
         return let(F.regexp_replace(block, r"\s+", ""), lambda x: F.when(F.length(x) < least, i.cast("string")).otherwise(F.sha2(x, 256)))
 
     def first(all_: Column) -> Column:
-        at = lambda keys: F.transform(F.array_distinct(keys), lambda k: F.get(all_, (F.array_position(keys, k) - 1).cast("int")))
-        return let(F.transform(all_, key), at)
+        """Sorted by key and place, the first of each key leads its run; back in order, these are the blocks that stay."""
+        placed = F.sort_array(F.transform(F.transform(all_, key), lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
+        leads = lambda ps: F.filter(ps, lambda p, n: (n == 0) | (F.get(ps, F.greatest(n - 1, F.lit(0)))["k"] != p["k"]))
+        return F.transform(F.sort_array(F.transform(let(placed, leads), lambda p: p["i"])), lambda i: F.get(all_, i))
 
     return let(blocks, first)
 
@@ -136,13 +135,16 @@ def normalise(text: Column, convert: Column | None = None) -> Column:
     return squeeze_blank_lines(unify_punctuation(F.array_join(drop_repeated(F.split(joined, "\n\n")), "\n\n")))
 
 
-def first_match(rows: DataFrame, name: Column, registry: DataFrame, fits: Column, key: str) -> DataFrame:
-    """The registry row of lowest `ord` that fits a row's name, left-joined. The registry is a fixed small table."""
-    named = rows.withColumn("__name", name)
-    hits = named.join(F.broadcast(registry), fits, "left")
-    columns = [c for c in registry.columns if c != "ord"]
-    best = F.min_by(F.struct(*columns), "ord")
-    return hits.groupBy(key).agg(best.alias("hit")).select(key, *(F.col("hit")[c].alias(c) for c in columns))
+def first_match(name: Column, registry: list[tuple]) -> Column:
+    """Struct (keyword, school, role, priority) of the first registry row whose keyword the name holds; null where none fits.
+
+    The registry is a list of literals, so the choice is one expression: nothing is joined or shuffled.
+    """
+    row = lambda k, s, r, p: F.struct(F.lit(k).alias("keyword"), F.lit(s).alias("school"), F.lit(r).alias("role"), F.lit(p).alias("priority"))
+    out = F.lit(None)
+    for keyword, school, role, priority in reversed(registry):
+        out = F.when(F.contains(name, F.lit(keyword)), row(keyword, school, role, priority)).otherwise(out)
+    return out
 
 
 def resolve_titles(titles: DataFrame, registry: DataFrame, least: int = 4) -> DataFrame:

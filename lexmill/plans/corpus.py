@@ -13,7 +13,7 @@ from lexmill.plans.search import table
 #: Parameters for text in Latin script.
 SITE_NOISE = r"(?i)(https?://|www\.|@)"
 GATE_CHARS, GATE_RATIO = 200, 0.55
-REGISTRY = [(1, "red", "warm", "classic", 90), (2, "blue", "cold", "classic", 88), (3, "small", "size", "case", 85), (4, "ring", "shape", "lecture", 80), (5, "o", "rest", "lecture", 50)]
+REGISTRY = [("red", "warm", "classic", 90), ("blue", "cold", "classic", 88), ("small", "size", "case", 85), ("ring", "shape", "lecture", 80), ("o", "rest", "lecture", 50)]
 BOOKS = [("small ring", "small_ring"), ("red widget", "red_widget"), ("bolt", "bolt"), ("hot plate", "hot_plate"), ("plate", "plate"), ("large rod", "large_rod")]
 SUFFIXES = (".epub", ".md", ".mobi", ".pdf", ".txt")
 
@@ -36,7 +36,8 @@ def summary_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     docs.createOrReplaceTempView("lexmill_documents")
     return spark.sql(
-        "SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, count(*) AS n, sum(length(text)) AS chars FROM lexmill_documents "
+        "SELECT CASE WHEN grouping(lang) = 0 THEN 'lang' WHEN grouping(source) = 0 THEN 'source' ELSE 'all' END AS level, lang, source, "
+        "count(*) AS n, sum(length(text)) AS chars FROM lexmill_documents "
         "GROUP BY GROUPING SETS ((lang), (source), ())"
     )
 
@@ -97,7 +98,8 @@ def gate_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def greedy_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = chunking.pack_units(F.split("text", "\n"), chunking.CLASSIC)
-    return documents(spark, sf_dir).select("doc_id", F.posexplode(pieces).alias("piece_no", "piece")).select("doc_id", "piece_no", F.length("piece").alias("chars"))
+    rows = documents(spark, sf_dir).select("doc_id", F.posexplode(pieces).alias("piece_no", "piece"))
+    return rows.select("doc_id", "piece_no", F.length("piece").alias("chars"), F.md5(F.col("piece").cast("binary")).alias("digest"))
 
 
 def roles_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,9 +163,9 @@ def dedicated_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First keyword, in registry order, that a part's name holds."""
-    registry = spark.createDataFrame(REGISTRY, "ord int, keyword string, school string, role string, priority int")
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    return corpus.first_match(parts, F.col("p_name"), registry, F.contains(F.col("__name"), F.col("keyword")), "p_partkey").fillna({"keyword": "", "school": "", "role": "", "priority": 0})
+    hit = corpus.first_match(F.col("p_name"), REGISTRY)
+    rows = table(spark, sf_dir, "part").select("p_partkey", hit.alias("hit")).select("p_partkey", "hit.*")
+    return rows.fillna({"keyword": "", "school": "", "role": "", "priority": 0})
 
 
 def fuzzy_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +205,7 @@ def _markdown(html: str) -> str:
         out = f"regexp_replace({out}, '<h{level}[^>]*>\\s*(.*?)\\s*</h{level}>', chr(10) || chr(10) || '{'#' * level} \\1' || chr(10) || chr(10), 'gis')"
     out = f"regexp_replace({out}, '<br\\s*/?>|</(p|div|li|tr|section|blockquote)>', chr(10), 'gi')"
     out = f"regexp_replace({out}, '<[^>]+>', '', 'g')"
-    for name, value in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    for name, value in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         out = f"replace({out}, '{name}', '{value}')"
     out = f"regexp_replace({out}, '[ \\t]+(\\n|$)', '\\1', 'g')"
     return f"regexp_replace(regexp_replace({out}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
@@ -213,7 +215,7 @@ ORACLES = {
     "source_stats": "SELECT lang AS school, source, count(*) AS chunks, max(substr(text, 1, 40)) AS title, 'classic' AS role FROM documents GROUP BY ALL",
     "corpus_count": "SELECT count(*) AS chunks, count(*) > 0 AS enabled FROM documents",
     "summary_rollup": """
-        SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, count(*) AS n, sum(length(text))::BIGINT AS chars
+        SELECT CASE WHEN grouping(lang) = 0 THEN 'lang' WHEN grouping(source) = 0 THEN 'source' ELSE 'all' END AS level, lang, source, count(*) AS n, sum(length(text))::BIGINT AS chars
         FROM documents GROUP BY GROUPING SETS ((lang), (source), ())""",
     "quality_report": """
         WITH d AS (SELECT doc_id, text, greatest(length(text), 1) AS size, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS n FROM documents)
@@ -245,18 +247,19 @@ ORACLES = {
     "gate_statistics": f"{GATED} SELECT status, count(*) AS pieces, count(DISTINCT doc_id) AS documents FROM numbered GROUP BY status",
     "greedy_pack": """
         WITH u AS (
-            SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: length(trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))), lambda n: n > 0) AS sizes FROM documents
+            SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: length(x) > 0) AS units FROM documents
         ),
         folded AS (
-            SELECT doc_id, list_reduce(list_transform(sizes, lambda n: {done: []::BIGINT[], open: n::BIGINT}), lambda acc, x: CASE
-                WHEN x.open > 620 THEN {done: acc.done || (CASE WHEN acc.open > 0 THEN [acc.open] ELSE []::BIGINT[] END)
-                    || list_transform(generate_series(0, x.open - 1, 620), lambda i: least(620, x.open - i)), open: 0::BIGINT}
-                WHEN acc.open = 0 THEN {done: acc.done, open: x.open}
-                WHEN acc.open + x.open + 1 <= 620 THEN {done: acc.done, open: acc.open + x.open + 1}
-                ELSE {done: acc.done || [acc.open], open: x.open} END, {done: []::BIGINT[], open: 0::BIGINT}) AS f FROM u
+            SELECT doc_id, list_reduce(list_transform(units, lambda x: {done: []::VARCHAR[], open: x}), lambda acc, x: CASE
+                WHEN length(x.open) > 620 THEN {done: acc.done || (CASE WHEN length(acc.open) > 0 THEN [acc.open] ELSE []::VARCHAR[] END)
+                    || list_transform(generate_series(0, length(x.open) - 1, 620), lambda i: substr(x.open, i::INT + 1, 620)), open: ''}
+                WHEN acc.open = '' THEN {done: acc.done, open: x.open}
+                WHEN length(acc.open) + length(x.open) + 1 <= 620 THEN {done: acc.done, open: acc.open || chr(10) || x.open}
+                ELSE {done: acc.done || [acc.open], open: x.open} END, {done: []::VARCHAR[], open: ''}) AS f FROM u
         ),
-        pieces AS (SELECT doc_id, f.done || (CASE WHEN f.open > 0 THEN [f.open] ELSE []::BIGINT[] END) AS p FROM folded)
-        SELECT doc_id, (generate_subscripts(p, 1) - 1)::INT AS piece_no, unnest(p)::INT AS chars FROM pieces""",
+        pieces AS (SELECT doc_id, f.done || (CASE WHEN length(f.open) > 0 THEN [f.open] ELSE []::VARCHAR[] END) AS p FROM folded),
+        each AS (SELECT doc_id, (generate_subscripts(p, 1) - 1)::INT AS piece_no, unnest(p) AS piece FROM pieces)
+        SELECT doc_id, piece_no, length(piece)::INT AS chars, md5(piece) AS digest FROM each""",
     "upsert_merge": """
         SELECT coalesce(page_id, doc_id) AS key, CASE WHEN page_id IS NULL THEN source ELSE 'web' END AS source, CASE WHEN page_id IS NULL THEN md5(text) ELSE md5(html) END AS digest
         FROM documents FULL JOIN pages ON doc_id = page_id""",

@@ -64,8 +64,9 @@ def text_file(content: bytes) -> tuple[str, int, list[str]]:
     return content.decode("utf-8", "ignore"), 0, ["encoding guessed"]
 
 
-def epub_file(content: bytes) -> tuple[str, int, list[str]]:
-    """Pages of the reading order as raw html, each closed by a form feed; the html is turned into text by Spark."""
+def epub_file(content: bytes) -> tuple[str, int, list[str], str]:
+    """Pages of the reading order as raw html, each closed by a form feed, and the book's title; the html is turned into
+    text by Spark."""
     book = zipfile.ZipFile(io.BytesIO(content))
     local = lambda e: e.tag.rpartition("}")[2]
     package = next(e.get("full-path") for e in ElementTree.fromstring(book.read("META-INF/container.xml")).iter() if local(e) == "rootfile")
@@ -76,7 +77,8 @@ def epub_file(content: bytes) -> tuple[str, int, list[str]]:
     notes = [] if order else ["reading order is empty"]
     pages = [h for h in order or items.values() if not re.search(SIDE_PAGES, h)]
     read = lambda h: book.read(f"{base}/{h}".lstrip("/")).decode("utf-8", "ignore")
-    return "\f".join(read(h) for h in pages), len(order or items), notes
+    title = next(((e.text or "").strip() for e in parts if local(e) == "title"), "")
+    return "\f".join(read(h) for h in pages), len(order or items), notes, title
 
 
 def unpack_palm(data: bytes) -> bytes:
@@ -158,7 +160,7 @@ READERS = {"epub": epub_file, "mobi": mobi_file, "pdf": pdf_file, "txt": text_fi
 
 
 def extracted(files: DataFrame) -> DataFrame:
-    """(path, name, suffix, format, digest, pages, text, notes, error) of each file.
+    """(path, name, suffix, format, digest, title, pages, text, notes, error) of each file.
 
     Only unpacking runs in Python, file by file; markup is turned into text by expressions. A file that can't be read
     has its reason in `error` and no text.
@@ -170,18 +172,26 @@ def extracted(files: DataFrame) -> DataFrame:
             rows = []
             for content, kind in zip(batch["content"], batch["format"], strict=True):
                 try:
-                    rows.append((*READERS[kind](bytes(content)), None))
+                    raw, pages, notes, *title = READERS[kind](bytes(content))
+                    rows.append((raw, pages, notes, title[0] if title else "", None))
                 except Exception as error:  # noqa: BLE001 - a broken file is a row with a reason
-                    rows.append((None, 0, [], f"{type(error).__name__}: {error}"))
-            out = pd.DataFrame(rows, columns=["raw", "pages", "notes", "error"], index=batch.index)
+                    rows.append((None, 0, [], "", f"{type(error).__name__}: {error}"))
+            out = pd.DataFrame(rows, columns=["raw", "pages", "notes", "title", "error"], index=batch.index)
             yield pd.concat([batch.drop(columns="content"), out], axis=1)
 
-    schema = "path string, name string, suffix string, format string, digest string, raw string, pages int, notes array<string>, error string"
+    schema = "path string, name string, suffix string, format string, digest string, raw string, pages int, notes array<string>, title string, error string"
     raw = known.mapInPandas(run, schema)
-    pages = F.transform(F.split("raw", "\f"), lambda p: F.regexp_replace(html_to_markdown(p), r"^\s+|\s+$", ""))
+    pages = F.transform(F.split(html_to_markdown(F.col("raw")), "\f"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
     kept = F.filter(pages, lambda p: (p != "") & ~((F.length(p) < BOILERPLATE_CHARS) & p.rlike(BOILERPLATE)))
     broken = F.regexp_replace("raw", r"(?i)<mbp:pagebreak[^>]*>", "\n\n")
     text = F.when(F.col("format") == "epub", F.array_join(kept, "\n\n")).when(F.col("format") == "mobi", html_to_markdown(broken)).otherwise(F.col("raw"))
-    done = raw.select("path", "name", "suffix", "format", "digest", "pages", text.alias("text"), "notes", "error")
+    done = raw.select("path", "name", "suffix", "format", "digest", "title", "pages", text.alias("text"), "notes", "error")
     thin = (F.col("format") == "pdf") & (F.col("pages") > 0) & (density(F.length("text"), F.col("pages")) < SCANNED_DENSITY)
     return done.withColumn("notes", F.when(thin, F.array_append("notes", F.lit("text is thin, perhaps a scan"))).otherwise(F.col("notes")))
+
+
+def extraction_report(files: DataFrame) -> DataFrame:
+    """(name, format, chars, pages, density, note) of extracted() files; a file that failed has its reason as note."""
+    chars = F.coalesce(F.length("text"), F.lit(0))
+    note = F.coalesce(F.concat(F.lit("failed: "), "error"), F.array_join("notes", "; "))
+    return files.select("name", "format", chars.alias("chars"), "pages", density(chars, F.col("pages")).alias("density"), note.alias("note"))
