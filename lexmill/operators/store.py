@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def upsert(current: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """Incoming rows replace current rows of the same key; all columns are taken over. Twice gives the same as once."""
-    kept = current.join(incoming.select(key).distinct(), key, "left_anti")
-    return kept.unionByName(incoming)
+def last_of_key(rows: DataFrame, key: str | list[str], order: Column | None = None) -> DataFrame:
+    """One row a key: the highest by `order` (nulls count lowest); ties, and all without an order, go by the row's digest, so
+    the choice doesn't depend on the order of rows."""
+    digest = F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`") for c in rows.columns))))
+    by = [F.desc_nulls_last(order)] if order is not None else []
+    place = F.row_number().over(Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(*by, F.desc(digest)))
+    mark = "__place"
+    while mark in rows.columns:
+        mark += "_"
+    return rows.withColumn(mark, place).filter(F.col(mark) == 1).drop(mark)
+
+
+def upsert(current: DataFrame, incoming: DataFrame, key: str, order: Column | None = None) -> DataFrame:
+    """Incoming rows replace current rows of the same key; all columns are taken over. Twice gives the same as once.
+
+    Of incoming rows with the same key one stays (last_of_key). Rows with a null key replace nothing.
+    """
+    fresh = last_of_key(incoming, key, order)
+    return current.join(fresh.select(key), key, "left_anti").unionByName(fresh)
 
 
 def prune(current: DataFrame, sources: DataFrame, keep: DataFrame, scope: list[str], key: str) -> DataFrame:
@@ -19,17 +34,27 @@ def prune(current: DataFrame, sources: DataFrame, keep: DataFrame, scope: list[s
 
 
 def sweep(current: DataFrame, active: DataFrame, scope: list[str]) -> DataFrame:
-    """Rows of active sources only; with no active source at all nothing is swept."""
-    none = active.limit(1).count() == 0
-    return current if none else current.join(active.select(*scope).distinct(), scope, "left_semi")
+    """Rows of active sources only; with no active source at all nothing is swept.
+
+    Whether there is any is a subquery of the same plan: nothing runs until the result is asked for.
+    """
+    known = active.select(*scope).distinct().withColumn("__active", F.lit(True))
+    none = ~active.select(F.lit(1)).limit(1).exists()
+    return current.join(known, scope, "left").filter(F.col("__active") | none).select(*(F.col(f"`{c}`") for c in current.columns))
 
 
 def source_statistics(chunks: DataFrame, title: str = "title", role: str = "role") -> DataFrame:
     return chunks.groupBy("school", "source").agg(F.count("*").alias("chunks"), F.max(title).alias("title"), F.max(role).alias("role"))
 
 
-def changed_sources(current: DataFrame, state: DataFrame, key: str) -> DataFrame:
-    """(key, status) against stored fingerprints: new, changed or unchanged."""
-    both = current.join(state.select(key, F.col("fingerprint").alias("stored")), key, "left")
-    status = F.when(F.col("stored").isNull(), "new").when(F.col("stored") == F.col("fingerprint"), "unchanged").otherwise("changed")
+def changed_sources(current: DataFrame, state: DataFrame, key: str, force: bool = False) -> DataFrame:
+    """(key, status) against stored fingerprints: new, changed or unchanged; with `force` nothing counts as unchanged.
+
+    The state may hold several rows a key, one for each document that a source gave: a source is unchanged only if all
+    of them carry its fingerprint.
+    """
+    lowest, highest = F.min(F.coalesce("fingerprint", F.lit(""))).alias("lowest"), F.max(F.coalesce("fingerprint", F.lit(""))).alias("highest")
+    both = current.join(state.groupBy(key).agg(lowest, highest), key, "left")
+    same = F.lit(not force) & (F.col("lowest") == F.col("fingerprint")) & (F.col("highest") == F.col("fingerprint"))
+    status = F.when(F.col("lowest").isNull(), "new").when(same, "unchanged").otherwise("changed")
     return both.select(key, status.alias("status"))

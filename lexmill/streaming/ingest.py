@@ -6,50 +6,38 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lexmill.operators.store import upsert
+from lexmill.operators.store import last_of_key
 
+#: Column that says which micro-batch a row came with.
+BATCH = "batch_id"
 
-class VersionedTable:
-    """Snapshots of a table in folders version=N under one root; the highest complete one is current.
 
-    A version is written whole, then sealed by an empty marker file of Spark's own writer, so readers never see half of
-    one, and writing it again after a failure gives the same.
-    """
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+def ingest_stream(incoming: DataFrame, path: str, key: str, checkpoint: str, order: str | None = None) -> StreamingQuery:
+    """Append each micro-batch's changes to a table of changes, partitioned by batch.
 
-    def versions(self) -> list[int]:
-        """Complete versions in order; looks at folder names only."""
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(folder):
-            return []
-        done = lambda p: files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
-        found = [s.getPath() for s in files.listStatus(folder)]
-        return sorted(int(p.getName().partition("=")[2]) for p in found if p.getName().startswith("version=") and done(p))
-
-    def read(self, version: int | None = None) -> DataFrame | None:
-        known = [v for v in self.versions() if version is None or v <= version]
-        return self.spark.read.parquet(f"{self.root}/version={known[-1]}") if known else None
+    Of equal keys within a batch the row of highest `order` stays, null counting lowest; ties, and all rows without an
+    order, go by the row's digest. A batch overwrites its own partition and no other, so a repeated one changes nothing,
+    and what a batch costs depends on its own size. current_rows() is the table as it stands, compact() shortens it.
+    """
 
-    def write(self, frame: DataFrame, version: int) -> None:
-        frame.write.mode("overwrite").parquet(f"{self.root}/version={version}")
+    def write(batch: DataFrame, number: int) -> None:
+        fresh = last_of_key(batch, key, F.col(order) if order else None).withColumn(BATCH, F.lit(number).cast("long"))
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(path)
 
+    return incoming.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-def ingest_stream(incoming: DataFrame, table: VersionedTable, key: str, checkpoint: str) -> StreamingQuery:
-    """Merge each micro-batch into the table; of equal keys within a batch the last by `ts` (if any) or any one stays.
 
-    Batch N makes version N + 1 from the version before it, so a repeated batch overwrites its own result.
-    """
+def current_rows(spark: SparkSession, path: str, schema: str, key: str, up_to: int | None = None) -> DataFrame:
+    """The last row of each key over all batches, or over those up to one of them; keys are unique within a batch."""
+    rows = spark.read.schema(f"{schema}, {BATCH} long").parquet(path)
+    rows = rows if up_to is None else rows.filter(F.col(BATCH) <= up_to)
+    columns = [c for c in rows.columns if c != BATCH]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*columns), BATCH).alias("last")).select("last.*")
 
-    def merge(batch: DataFrame, number: int) -> None:
-        order = [F.desc("ts")] if "ts" in batch.columns else []
-        fresh = batch.orderBy(*order).dropDuplicates([key]) if not order else batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), "ts").alias("r")).select("r.*")
-        current = table.read(number)
-        table.write(fresh if current is None else upsert(current, fresh, key), number + 1)
 
-    return incoming.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def compact(spark: SparkSession, path: str, target: str, schema: str, key: str, up_to: int) -> None:
+    """Write the table as it stood after batch `up_to`, as that batch's partition of a new table; later batches go on there."""
+    current_rows(spark, path, schema, key, up_to).withColumn(BATCH, F.lit(up_to).cast("long")).write.partitionBy(BATCH).parquet(target)
 
 
 def frame(event: Column, data: Column) -> Column:
@@ -63,6 +51,16 @@ def unframe(buffer: Column) -> Column:
     return F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda f: F.struct(F.regexp_extract(f, r"event: ([^\n]*)", 1).alias("event"), F.regexp_extract(f, r"data: ([^\n]*)", 1).alias("data")))
 
 
+def reassembled(buffers: DataFrame, group: str, order: str, text: str) -> DataFrame:
+    """(group, event_no, event, data): the frames of partial buffers, each buffer's tail carried over to the next.
+
+    The buffers of a group, one stream's, are joined in order and cut into frames; what follows the last frame stays out.
+    """
+    whole = buffers.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("n"), F.col(text).alias("t")))).alias("parts"))
+    joined = whole.select(group, F.array_join(F.transform("parts", lambda p: p["t"]), "").alias("buffer"))
+    return joined.select(group, F.posexplode(unframe(F.col("buffer"))).alias("event_no", "f")).select(group, "event_no", "f.event", "f.data")
+
+
 def report_events(sessions: DataFrame) -> DataFrame:
     """(session_id, seq, event): the order in which a report is told; `flags`, `agents` and `failed` come with a session."""
     one = lambda name: F.array(F.lit(name))
@@ -72,6 +70,23 @@ def report_events(sessions: DataFrame) -> DataFrame:
     return sessions.select("session_id", F.posexplode(F.concat(told, ended)).alias("seq", "event"))
 
 
+def session_events(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append the report events of each finished session, as they come, to a table partitioned by batch."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        told = report_events(batch).withColumn(BATCH, F.lit(number).cast("long"))
+        told.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(path)
+
+    return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def consultation_events(sessions: DataFrame) -> DataFrame:
+    """(session_id, seq, event) of sessions with `flags`: a risky one is told so and ends, any other goes on to its facts."""
+    listed = lambda *names: F.array(*(F.lit(n) for n in names))
+    told = F.when(F.size("flags") > 0, listed("stage_started", "risk_detected", "completed")).otherwise(listed("stage_started", "fact_proposed", "agent_message", "completed"))
+    return sessions.select("session_id", F.posexplode(told).alias("seq", "event"))
+
+
 def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "1 hour") -> DataFrame:
     """Events by type and hour; rows later than the watermark are left out."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
