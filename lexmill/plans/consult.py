@@ -7,48 +7,39 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.text import clamp, half_up, json_object, mask_secret
 from lexmill.operators import rules
+from lexmill.operators.panel_values import OVERRIDES, SCHOOLS
 from lexmill.plans.search import table
 from lexmill.streaming.ingest import frame, report_events, unframe
 
-#: Facts of invented sessions: (session_id, key, value).
-FACTS = [
-    (1, "cold", "经常怕冷"), (1, "fatigue", "容易疲倦"), (2, "cold", "没有怕冷"), (2, "fatigue", "容易疲倦"), (2, "poor_appetite", "食欲不振"), (3, "heat", "经常怕热"),
-    (3, "thirst", "口渴喜饮"), (4, "cold", "不确定"), (4, "age", "12"), (5, "pregnant", "true"), (5, "cold", "true"), (5, "fatigue", "容易疲倦"), (5, "heat", "手足心热"),
-    (5, "thirst", "经常口渴"), (6, "serious_conditions", "胸痛"), (6, "age", "old"),
-]
-SCHOOLS = ("shanghan", "wenbing", "piwei", "huoshen", "integrative", "nihaixia")
-# Treatment and formula by diagnosis and school.
-OVERRIDES = [
-    ("脾胃阳虚倾向", "shanghan", "温中祛寒，调理中焦", "理中汤类方（须执业中医师复核剂量）"),
-    ("脾胃阳虚倾向", "wenbing", "温中为先，同时复核有无伏热", "暂不建议寒凉，先温中观察"),
-    ("脾胃阳虚倾向", "piwei", "补中益气，升举清阳", "补中益气汤类方（须执业中医师复核剂量）"),
-    ("脾胃阳虚倾向", "huoshen", "温补脾肾之阳", "附子理中汤类方（附子有毒，务必医师复核）"),
-    ("脾胃阳虚倾向", "integrative", "健脾温中，兼顾消化功能评估", "香砂六君子汤类方（须执业中医师复核剂量）"),
-    ("脾气不足倾向", "piwei", "健脾益气，升阳举陷", "四君子汤/补中益气汤类方（医师复核）"),
-    ("脾气不足倾向", "shanghan", "建中益气，甘温除热", "小建中汤类方（医师复核）"),
-    ("胃热倾向", "wenbing", "清胃生津，护养阴液", "清胃散类方（医师复核）"),
-    ("胃热倾向", "huoshen", "确有实火方可清降，须辨真寒假热", "暂以清热和胃为先（医师复核）"),
-    ("胃热倾向", "piwei", "清胃而不伤中，顾护脾胃", "益胃汤类方（医师复核）"),
-    ("脾胃阳虚倾向", "nihaixia", "温补中焦阳气，建中御外", "理中汤或小建中汤类方（医师复核）"),
-    ("脾气不足倾向", "nihaixia", "补足中焦，建运化之机", "四君子合小建中意（医师复核）"),
-    ("胃热倾向", "nihaixia", "清阳明之经热，透热出表", "白虎汤或竹叶石膏汤意（医师复核）"),
-]
+#: Facts of a session for each customer: value number `id mod n` of each key's n.
+OPTIONS = {
+    "cold": ("经常怕冷", "没有怕冷", "不确定", "true"),
+    "fatigue": ("容易疲倦", "精力充沛", "true"),
+    "poor_appetite": ("食欲不振", "正常", "不确定", "正常", "正常"),
+    "heat": ("没有怕热", "经常怕热", "手足心热", "没有怕热", "", "没有怕热", "不确定"),
+    "thirst": ("口渴喜饮", "不渴"),
+    "age": tuple(str(n) for n in range(3, 97)),
+    "pregnant": ("true",) + ("false",) * 10,
+    "serious_conditions": ("胸痛", "yes", "false", "0") + ("",) * 9,
+}
 TERMS = ("idiot", "worthless", "the")
 
 
-def sessions(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(FACTS, "session_id long, k string, v string")
-    return rows.groupBy("session_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("facts")).withColumn("text", F.lit(""))
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One session a customer, its facts made of the customer's number."""
+    pick = lambda values: F.get(F.array(*(F.lit(v) for v in values)), (F.col("c_custkey") % len(values)).cast("int"))
+    facts = F.create_map(*(x for k, values in OPTIONS.items() for x in (F.lit(k), pick(values))))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("session_id"), facts.alias("facts"), F.lit("").alias("text"))
 
 
 def overrides(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(OVERRIDES, "name string, school string, treatment string, formula string")
 
 
-def panel(spark: SparkSession) -> DataFrame:
+def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every session before every school, in the panel's order."""
     order = F.posexplode(F.array(*(F.lit(s) for s in SCHOOLS))).alias("panel_no", "school")
-    return sessions(spark).select("session_id", "facts", "text", order)
+    return sessions(spark, sf_dir).select("session_id", "facts", "text", order)
 
 
 def joined(flags: Column) -> Column:
@@ -63,25 +54,26 @@ def risk_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fact_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessions(spark).select("session_id", joined(rules.risk_flags(F.col("facts"), F.col("text"))).alias("flags"), F.size(rules.known_facts(F.col("facts"))).alias("known"))
+    return sessions(spark, sf_dir).select("session_id", joined(rules.risk_flags(F.col("facts"), F.col("text"))).alias("flags"), F.size(rules.known_facts(F.col("facts"))).alias("known"))
 
 
 def rule_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sessions(spark).select("session_id", F.posexplode(rules.candidates(F.col("facts"))).alias("place", "c"))
+    found = sessions(spark, sf_dir).select("session_id", F.posexplode(rules.candidates(F.col("facts"))).alias("place", "c"))
     return found.select("session_id", "place", F.col("c.name").alias("name"), F.col("c.score").alias("score"))
 
 
 def panel_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = rules.reports(panel(spark), overrides(spark)).withColumn("flags", joined(F.col("flags")))
+    done = rules.reports(panel(spark, sf_dir), overrides(spark)).withColumn("flags", joined(F.col("flags")))
     return done.fillna({"formula": ""})
 
 
 def panel_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Panel opinions whose confidence depends on the school, merged by session."""
+    """Panel opinions, some of them second views and each with a confidence of its own, merged by session."""
     order = F.array_position(F.array(*(F.lit(s) for s in SCHOOLS)), F.col("school")).cast("int")
-    opinions = rules.reports(panel(spark), overrides(spark)).withColumn("panel_no", order)
-    shifted = opinions.withColumn("diagnosis", F.when(F.col("panel_no") == 6, "second view").otherwise(F.col("diagnosis")))
-    return rules.merge_panel(shifted)
+    opinions = rules.reports(panel(spark, sf_dir), overrides(spark)).withColumn("panel_no", order)
+    second = (F.col("session_id") + F.col("panel_no")) % 5 == 0
+    own = F.col("confidence") + F.lit(0.01) * ((F.col("session_id") * F.col("panel_no")) % 7)
+    return rules.merge_panel(opinions.withColumns({"diagnosis": F.when(second, "second view").otherwise(F.col("diagnosis")), "confidence": own}))
 
 
 def session_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,8 +110,12 @@ def event_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flagged = sessions(spark).select("session_id", rules.risk_flags(F.col("facts"), F.col("text")).alias("flags"), F.lit(len(SCHOOLS)).alias("agents"), (F.col("session_id") == 4).alias("failed"))
-    return report_events(flagged)
+    """What a report's stream tells; a session all of whose opinions fell back to the rules ends with an error."""
+    fallback = ((F.col("session_id") * F.col("panel_no")) % 3 == 0) | (F.col("session_id") % 10 == 0)
+    opinions = panel(spark, sf_dir).select("session_id", F.when(fallback, "rule").otherwise("model").alias("basis"))
+    ended = opinions.groupBy("session_id").agg(F.count("*").cast("int").alias("agents"), (F.count_if(F.col("basis") == "rule") == F.count("*")).alias("failed"))
+    flagged = sessions(spark, sf_dir).select("session_id", rules.risk_flags(F.col("facts"), F.col("text")).alias("flags"))
+    return report_events(flagged.join(ended, "session_id"))
 
 
 def masked_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,10 +130,12 @@ QUERIES = {
     )
 }
 
-VALUES = ", ".join(f"({s}, '{k}', '{v}')" for s, k, v in FACTS)
+FACT_ROWS = " UNION ALL ".join(f"SELECT c_custkey, '{k}', {list(v)}[c_custkey % {len(v)} + 1] FROM customer" for k, v in OPTIONS.items())
+TOP = "top AS (SELECT session_id, arg_max(name, score) AS name, max(score) AS score FROM scored GROUP BY ALL)"
+PANEL = "panel(school, panel_no) AS (VALUES " + ", ".join(f"('{s}', {i})" for i, s in enumerate(SCHOOLS)) + ")"
 HAS = "max(CASE WHEN k = '{0}' AND v IN ({1}, 'true') THEN 1 ELSE 0 END) = 1"
 SCORED = f"""
-    f(session_id, k, v) AS (VALUES {VALUES}),
+    f(session_id, k, v) AS ({FACT_ROWS}),
     has AS (
         SELECT session_id, {HAS.format("cold", "'经常怕冷'")} AS cold, {HAS.format("fatigue", "'容易疲倦'")} AS tired, {HAS.format("poor_appetite", "'食欲不振'")} AS hungry,
                {HAS.format("heat", "'经常怕热', '手足心热'")} AS heat, {HAS.format("thirst", "'口渴喜饮', '经常口渴'")} AS thirst FROM f GROUP BY session_id
@@ -179,23 +177,29 @@ ORACLES = {
     "event_scores": """
         SELECT event_type, floor(avg(least(1, greatest(0, coalesce((props::JSON ->> 'k')::DOUBLE / 100, 0.5)))) * 1e6 + 0.5) / 1e6 AS score, count(*) AS n FROM events GROUP BY event_type""",
     "report_sequence": f"""
-        WITH {SCORED},
+        WITH {SCORED}, {PANEL},
+        ended AS (SELECT c_custkey AS session_id, bool_and(c_custkey * panel_no % 3 = 0 OR c_custkey % 10 = 0) AS failed FROM customer CROSS JOIN panel GROUP BY ALL),
         told AS (
             SELECT session_id, ['stage_started'] || (CASE WHEN len(flags) > 0 THEN ['risk_detected'] ELSE [] END) || ['stage_started'] || list_transform(range(6), lambda i: 'agent_result')
-                   || (CASE WHEN session_id = 4 THEN ['error'] ELSE ['stage_started', 'report', 'completed'] END) AS e FROM flags
+                   || (CASE WHEN failed THEN ['error'] ELSE ['stage_started', 'report', 'completed'] END) AS e FROM flags JOIN ended USING (session_id)
         )
         SELECT session_id, (generate_subscripts(e, 1) - 1)::INT AS seq, unnest(e) AS event FROM told""",
     "masked_keys": "SELECT c_custkey, CASE WHEN length(c_name) > 8 THEN substr(c_name, 1, 3) || '…' || right(c_name, 4) WHEN c_name = '' THEN '' ELSE '…' END AS masked FROM customer",
     "panel_reports": f"""
-        WITH {SCORED},
+        WITH {SCORED}, {TOP},
         o(name, school, treatment, formula) AS (VALUES {", ".join(str(r) for r in OVERRIDES)}),
-        base(name, treatment, formula) AS (VALUES {", ".join(f"('{r[0]}', '{r[2]}', {repr(r[3]) if r[3] else 'NULL'})" for r in (rules.YANG, rules.QI, rules.HEAT, rules.NOTHING))}),
-        top AS (SELECT session_id, arg_max(name, score) AS name, max(score) AS score FROM scored GROUP BY ALL)
+        base(name, treatment, formula) AS (VALUES {", ".join(f"('{r[0]}', '{r[2]}', {repr(r[3]) if r[3] else 'NULL'})" for r in (rules.YANG, rules.QI, rules.HEAT, rules.NOTHING))})
         SELECT session_id, school, name AS diagnosis, score AS confidence, coalesce(o.treatment, base.treatment) AS treatment,
                CASE WHEN coalesce(len(flags), 0) = 0 THEN coalesce(o.formula, base.formula, '{rules.NO_FORMULA}') ELSE '' END AS formula, coalesce(array_to_string(flags, ','), '') AS flags
         FROM top CROSS JOIN (SELECT unnest({list(SCHOOLS)}) AS school) JOIN flags USING (session_id) JOIN base USING (name) LEFT JOIN o USING (name, school)""",
     "panel_merge": f"""
-        WITH {SCORED},
-        top AS (SELECT session_id, arg_max(name, score) AS name, max(score) AS score FROM scored GROUP BY ALL)
-        SELECT session_id, name AS lead, 'shanghan' AS lead_school, score AS confidence, 2::BIGINT AS diagnoses, 'huoshen,integrative,piwei,shanghan,wenbing' AS consensus, 'nihaixia' AS divergence FROM top""",
+        WITH {SCORED}, {PANEL}, {TOP},
+        op AS (
+            SELECT session_id, school, panel_no + 1 AS no, CASE WHEN (session_id + no) % 5 = 0 THEN 'second view' ELSE name END AS diagnosis,
+                   score + 0.01::DOUBLE * ((session_id * no) % 7)::DOUBLE AS confidence FROM top CROSS JOIN panel
+        ),
+        lead AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY confidence DESC, no) AS n FROM op) WHERE n = 1)
+        SELECT l.session_id, l.diagnosis AS lead, l.school AS lead_school, l.confidence AS confidence, count(DISTINCT o.diagnosis) AS diagnoses,
+               coalesce(string_agg(o.school, ',' ORDER BY o.school) FILTER (o.diagnosis = l.diagnosis), '') AS consensus, coalesce(string_agg(o.school, ',' ORDER BY o.school) FILTER (o.diagnosis <> l.diagnosis), '') AS divergence
+        FROM op o JOIN lead l ON o.session_id = l.session_id GROUP BY l.session_id, l.diagnosis, l.school, l.confidence""",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.plans import consult, corpus, search
+from lexmill.plans import build, consult, corpus, search
 
-QUERIES = {**search.QUERIES, **corpus.QUERIES, **consult.QUERIES}
-ORACLES = {**search.ORACLES, **corpus.ORACLES, **consult.ORACLES}
+QUERIES = {**search.QUERIES, **corpus.QUERIES, **consult.QUERIES, **build.QUERIES}
+ORACLES = {**search.ORACLES, **corpus.ORACLES, **consult.ORACLES, **build.ORACLES}

@@ -72,10 +72,12 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first four fused results of each passage, with their label."""
+    """The first four fused results of each passage, with label, key and the start of the content."""
     best = r.ranked(r.fuse(*text_channels(spark, sf_dir), "doc_id"), "query_id", F.desc("score"), F.asc("doc_id"), k=TOP)
-    named = best.join(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id")
-    return named.select("query_id", "rank", "doc_id", "score", "method", label(F.col("lang"), F.col("source")).alias("label"))
+    start = F.substring("text", 1, 60).alias("content")
+    named = best.join(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", start), "doc_id")
+    key = F.concat_ws("::", "source", "lang", "content")
+    return named.select("query_id", "rank", "doc_id", "score", "method", label(F.col("lang"), F.col("source")).alias("label"), F.col("lang").alias("section"), "content", key.alias("result_key"))
 
 
 def tier_pools(spark: SparkSession, sf_dir: str, k: int = TOP) -> DataFrame:
@@ -145,10 +147,12 @@ def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes of the three token bags of each document."""
+    """Sizes and digests of the three token bags of each document."""
     text = F.col("text")
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.size(search_tokens(text)).alias("search"), F.size(feature_tokens(text)).alias("features"), F.size(words(text)).alias("words"))
+    bags = docs.select("doc_id", F.array_sort(search_tokens(text)).alias("search"), feature_tokens(text).alias("features"), words(text).alias("words"))
+    digest = lambda c: F.md5(F.array_join(c, " ").cast("binary")).alias(f"{c}_digest")
+    return bags.select("doc_id", *(x for c in ("search", "features", "words") for x in (F.size(c).alias(c), digest(c))))
 
 
 def encoder_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,7 +275,8 @@ ORACLES = {
     "rrf_fusion": f"WITH {BM25}, {FUSED} SELECT * REPLACE (coalesce(dense_rank, 0) AS dense_rank, coalesce(sparse_rank, 0) AS sparse_rank) FROM fused",
     "hybrid_search": f"""
         WITH {BM25}, {FUSED}
-        SELECT query_id, rank, doc_id, score, method, CASE WHEN lang <> '' THEN lang || '·' || source ELSE source END AS label
+        SELECT query_id, rank, doc_id, score, method, CASE WHEN lang <> '' THEN lang || '·' || source ELSE source END AS label,
+               lang AS section, substr(text, 1, 60) AS content, source || '::' || lang || '::' || substr(text, 1, 60) AS result_key
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fused) JOIN documents USING (doc_id) WHERE rank <= {TOP}
     """,
     "tiered_quota_topk": f"WITH {TIERED} SELECT query_id, vec_id, score, own, seat FROM seated WHERE seat <= {TOP}",
@@ -297,8 +302,11 @@ ORACLES = {
         FROM (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({WORDS}) AS token FROM documents) GROUP BY ALL) GROUP BY token
     """,
     "token_counts": f"""
-        SELECT doc_id, len(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x))))::INT AS search,
-               len({WORDS})::INT AS features, len({WORDS})::INT AS words FROM documents
+        WITH b AS (
+            SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)))) AS search, {WORDS} AS words FROM documents
+        )
+        SELECT doc_id, len(search)::INT AS search, md5(array_to_string(search, ' ')) AS search_digest, len(words)::INT AS features, md5(array_to_string(words, ' ')) AS features_digest,
+               len(words)::INT AS words, md5(array_to_string(words, ' ')) AS words_digest FROM b
     """,
     "encoder_check": f"""
         WITH {PAIRS}, top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs),

@@ -28,16 +28,48 @@ def rendered(title: Column, school: Column, role: Column, source: Column, text:
 
 
 def write_documents(docs: DataFrame, root: str) -> None:
-    """One folder a school; each file holds whole documents, split by the writer."""
-    docs.select("school", "slug", rendered(F.col("title"), F.col("school"), F.col("role"), F.col("source"), F.col("text")).alias("value")).write.mode("overwrite").partitionBy("school").parquet(root)
+    """Markdown with front matter, one document a folder root/school=.../slug=...; a document's own folder is replaced whole,
+    others stay. (school, slug) names a document once."""
+    text = rendered(F.col("title"), F.col("school"), F.col("role"), F.col("source"), F.col("text"))
+    docs.select("school", "slug", text.alias("value")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("school", "slug").text(root)
+
+
+def read_written(spark: SparkSession, root: str) -> DataFrame:
+    """(school, slug, text) of what write_documents() wrote."""
+    return spark.read.text(root, wholetext=True).select("school", "slug", F.regexp_replace("value", r"\n\z", "").alias("text"))
+
+
+#: Entries of a manifest, by school and slug.
+MANIFEST_VERSION = 3
+MANIFEST = "version int, school string, slug string, source string, unit string, digest string, role string, title string, chars long"
+STATE = "chunker string, space string, source string, fingerprint string, updated timestamp"
 
 
 def manifest(docs: DataFrame) -> DataFrame:
-    """One row a document of (school, slug, source, unit, digest, role, title, chars), keyed by school and slug."""
-    return docs.select("school", "slug", F.struct("source", "unit", "digest", "role", "title", "chars").alias("entry"))
+    """One entry a document of (school, slug, source, unit, digest, role, title, chars)."""
+    return docs.select(F.lit(MANIFEST_VERSION).alias("version"), "school", "slug", "source", "unit", "digest", "role", "title", F.col("chars").cast("long").alias("chars"))
+
+
+def write_manifest(docs: DataFrame, path: str) -> None:
+    manifest(docs).write.mode("overwrite").json(path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of the current version; none where there is no manifest, and without those that can't be read."""
+    return read_state(spark, path, MANIFEST).filter(F.col("version") == MANIFEST_VERSION)
+
+
+def write_state(fingerprints: DataFrame, path: str, chunker: str, space: str, whole: bool = True) -> None:
+    """Store (source, fingerprint) rows with the chunker's version, the vector space and the time. A run over some schools
+    only (`whole` is false) stores nothing, since it would forget the others."""
+    if whole:
+        fingerprints.select(F.lit(chunker).alias("chunker"), F.lit(space).alias("space"), "source", "fingerprint", F.current_timestamp().alias("updated")).write.mode("overwrite").json(path)
 
 
-def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Stored state as JSON lines; rows that can't be read count as not there."""
+def read_state(spark: SparkSession, path: str, schema: str = STATE) -> DataFrame:
+    """Stored state as JSON lines. A path that isn't there is an empty state; rows that can't be read count as not there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], schema)
     rows = spark.read.schema(f"{schema}, _broken string").option("columnNameOfCorruptRecord", "_broken").option("mode", "PERMISSIVE").json(path)
     return rows.filter(F.col("_broken").isNull()).drop("_broken")

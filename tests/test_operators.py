@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as t
 from lexmill.functions.vectors import cosine, fit_dimension
-from lexmill.operators import chunking, corpus, evaluation, retrieval, rules, store
+from lexmill.operators import build, chunking, corpus, evaluation, opinions, retrieval, rules, store
 from lexmill.sources import binary, knowledge
-from lexmill.streaming.ingest import VersionedTable, ingest_stream, windowed_counts
+from lexmill.streaming.ingest import compact, current_rows, ingest_stream, session_events, windowed_counts
 
 HAN = "太阳病头痛发热汗出恶风者桂枝汤主之"
 
@@ -177,6 +177,18 @@ def test_store(spark):
     pruned = store.prune(merged, new.select("school", "source").distinct(), new, ["school", "source"], "key")
     assert sorted(r["key"] for r in pruned.collect()) == ["1", "3", "4"]
     assert store.sweep(merged, new.limit(0), ["school"]).count() == 4 and store.sweep(merged, new, ["school"]).count() == 3
+    twice = frame([("a", "s", "1", 5), ("a", "s", "1", 7), ("a", "s", "1", None)])
+    assert [r["v"] for r in store.upsert(old, twice, "key", F.col("v")).filter("key = '1'").collect()] == [7]
+    assert store.upsert(old, twice, "key").filter("key = '1'").count() == 1
+
+
+def test_incremental_state(spark):
+    """A source with several stored rows is unchanged only if all agree; force leaves none unchanged."""
+    current = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1"), ("d", "1")], "source string, fingerprint string")
+    state = spark.createDataFrame([("a", "1"), ("a", "1"), ("b", "1"), ("b", "0"), ("c", None)], "source string, fingerprint string")
+    status = lambda **k: {r["source"]: r["status"] for r in store.changed_sources(current, state, "source", **k).collect()}
+    assert status() == {"a": "unchanged", "b": "changed", "c": "changed", "d": "new"}
+    assert status(force=True) == {"a": "changed", "b": "changed", "c": "changed", "d": "new"}
 
 
 CASES = [
@@ -282,7 +294,7 @@ def test_binary_files(spark, tmp_path):
     with zipfile.ZipFile(book, "w") as z:
         z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="O/p.opf"/></rootfiles></container>')
         items = "".join(f'<item id="{i}" href="{h}" media-type="application/xhtml+xml"/>' for i, h in (("a", "1.xhtml"), ("b", "nav.xhtml"), ("c", "2.xhtml")))
-        z.writestr("O/p.opf", f'<package><manifest>{items}</manifest><spine><itemref idref="c"/><itemref idref="b"/><itemref idref="a"/></spine></package>')
+        z.writestr("O/p.opf", f'<package><metadata><dc:title xmlns:dc="http://purl.org/dc/elements/1.1/"> A Title </dc:title></metadata><manifest>{items}</manifest><spine><itemref idref="c"/><itemref idref="b"/><itemref idref="a"/></spine></package>')
         for name, body in (("1", "<h1>One</h1><p>A &amp; B</p>"), ("nav", "no"), ("2", "<p>Two</p>")):
             z.writestr(f"O/{name}.xhtml", body)
     (tmp_path / "x.epub").write_bytes(book.getvalue())
@@ -297,6 +309,75 @@ def test_binary_files(spark, tmp_path):
     assert rows["x.azw"]["format"] == "mobi" and rows["x.azw"]["text"].strip() == "Palm text of some length"
     assert rows["g.txt"]["text"] == "桂枝汤" and rows["u.txt"]["text"] == "plain text"
     assert rows["bad.pdf"]["text"] is None and rows["bad.pdf"]["error"]
+    assert rows["x.epub"]["title"] == "A Title" and rows["u.txt"]["title"] == ""
+    report = {r["name"]: r for r in binary.extraction_report(binary.extracted(binary.read_files(spark, str(tmp_path)))).collect()}
+    assert report["bad.pdf"]["note"].startswith("failed: ") and report["bad.pdf"]["chars"] == 0 and report["u.txt"]["density"] == 10.0
+
+
+def test_entities(spark):
+    text = "a &amp; b &#8217; &eacute; &#x4e2d; &amp;lt; &nbsp;x &bogus; &"
+    assert one(spark, t.decode_entities(F.col("x")), x=text) == "a & b ’ é 中 &lt; \u00a0x &bogus; &"
+    assert one(spark, t.html_to_markdown(F.col("x")), x="<p>&lt;b&gt; &Eacute;</p>").strip() == "<b> É"
+
+
+def test_long_texts_cost_in_proportion(spark):
+    """Folds over a document's lines in slices give the same as over all lines, and don't slow down with their number."""
+    rng = random.Random(8)
+    lines = ["".join(rng.choice("abc ") for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    assert one(spark, chunking.pack_units(F.split("x", "\n"), 620), x="\n".join(lines)) == slow_pack(lines, 620)
+    keys, want = set(), []
+    for line in lines:
+        key = line.replace(" ", "")
+        if len(key) < 20 or key not in keys:
+            want.append(line)
+        keys.add(key)
+    assert one(spark, corpus.drop_repeated(F.split("x", "\n"), 20), x="\n".join(lines)) == want
+
+
+def test_names_and_classes(spark):
+    assert one(spark, build.plain_name(F.col("x")), x="ＡＢ１ ﬁ 伤寒") == "AB1 fi 伤寒"
+    assert one(spark, build.is_compendium(F.col("x")), x="a 现代著名老中医名著重刊丛书 b") and not one(spark, build.is_compendium(F.col("x")), x="a")
+    registry = [("伤寒论", "shanghan", "classic", "伤寒论", "shanghan_lun", 95)]
+    classes = lambda x: one(spark, build.classified(F.col("x"), registry), x=x)
+    assert tuple(classes("宋本伤寒论.epub")) == ("shanghan", "classic", "伤寒论", "shanghan_lun", 95, "registry")
+    assert tuple(classes("名家医案 (上册).pdf"))[:4] == ("shanghan", "case", "名家医案", "名家医案_上册_pdf")
+    assert classes("温病医案")["school"] == "wenbing" and classes("无关") is None
+
+
+def test_expansion_and_choice(spark):
+    marker = build.COMPENDIUM_MARKERS[0]
+    book = lambda title: f"图书在版编目（CIP）数据\n\n{title}/某．-北京：人民卫生出版社\n" + (HAN + "\n") * 40
+    rows = [(f"{marker}.epub", ".epub", book("脾胃论．上") + book("无名书")), ("脾胃论.md", ".md", "x" * 50), ("脾胃论2.pdf", ".pdf", "x" * 900), ("别的.md", ".md", "y"), (f"{marker}2.epub", ".epub", "none")]
+    registry = [("脾胃论", "piwei", "classic", "脾胃论", "piwei_lun", 92)]
+    books = spark.createDataFrame([("脾胃论", "piwei_lun", "piwei", "classic", "脾胃论", 80)], "book_title string, slug string, school string, role string, title string, priority int")
+    found = build.expanded(spark.createDataFrame(rows, "source string, suffix string, text string"), registry, books, least=100)
+    got = {(r["source"], r["unit"]): (r["status"], r["slug"], r["work"], r["cited"]) for r in found.collect()}
+    assert got == {
+        (rows[0][0], "脾胃论·上"): ("ready", "piwei_lun_shang", "piwei_lun", f"{build.COMPENDIUM_LABEL}·脾胃论·上"), (rows[0][0], "无名书"): ("skipped", None, None, f"{build.COMPENDIUM_LABEL}·无名书"),
+        ("脾胃论.md", "脾胃论"): ("ready", "piwei_lun", "piwei_lun", "脾胃论.md"), ("脾胃论2.pdf", "脾胃论"): ("ready", "piwei_lun", "piwei_lun", "脾胃论2.pdf"),
+        ("别的.md", ""): ("skipped", None, None, "别的.md"), (rows[4][0], ""): ("skipped", None, None, rows[4][0]),
+    }
+    assert [(r["source"], r["compendium"]) for r in build.chosen(found).collect()] == [("脾胃论.md", False)]
+
+
+def test_breaker_stops_a_write(spark, tmp_path):
+    rows = spark.range(3)
+    breaker = lambda bad: corpus.breaker_open(spark.createDataFrame([("rejected: x",)] * bad + [("ok",)] * 4, "status string"), F.col("status"))
+    assert build.stopped_by(rows, breaker(2)).count() == 3
+    with pytest.raises(Exception, match="too many sources"):
+        build.stopped_by(rows, breaker(3)).write.parquet(str(tmp_path / "out"))
+
+
+def test_opinions(spark):
+    read = lambda x: one(spark, opinions.opinion(F.col("x")), x=x)
+    full = read('{"diagnosis": "d", "confidence": "0.7", "evidence": ["a", 1], "counter": "c", "formula": ""}')
+    assert (full["diagnosis"], full["confidence"], full["evidence"], full["counter"], full["formula"]) == ("d", 0.7, ["a", "1"], ["c"], None)
+    assert tuple(read("no json")) == (opinions.NO_DIAGNOSIS, 0.5, [], [], "", "", None, "")
+    assert read('{"evidence": {"a": 1}, "counter": 5, "confidence": 7}')["evidence"] == [] and read('{"confidence": 7}')["confidence"] == 1.0
+    facts = spark.createDataFrame([({"cold": "经常怕冷", "fatigue": "容易疲倦", "x": "不确定"},), ({},)], "facts map<string,string>")
+    rows = facts.select(opinions.facts_text(F.col("facts")).alias("t"), opinions.fallback_opinion(F.col("facts")).alias("o")).collect()
+    assert rows[0]["t"] == "- cold: 经常怕冷\n- fatigue: 容易疲倦" and rows[1]["t"] == opinions.NO_FACTS
+    assert rows[0]["o"]["evidence"] == ["cold：经常怕冷", "fatigue：容易疲倦"] and rows[1]["o"]["confidence"] == 0.32
 
 
 def test_palm_packing():
@@ -309,20 +390,54 @@ def test_knowledge_files(spark, tmp_path):
         (tmp_path / folder / name).write_text(text)
     good, unknown = knowledge.read_documents(spark, str(tmp_path))
     assert sorted(map(tuple, good.collect())) == [("common", "a.md", "x"), ("piwei", "c.md", "z")] and [tuple(r) for r in unknown.collect()] == [("other", "b.md")]
+    docs = spark.createDataFrame([("piwei", "s1", "书", "classic", "a.md", "正文\n第二行", "u", "d", 6)], "school string, slug string, title string, role string, source string, text string, unit string, digest string, chars int")
+    knowledge.write_documents(docs, str(tmp_path / "written"))
+    knowledge.write_documents(docs.withColumn("slug", F.lit("s2")), str(tmp_path / "written"))
+    written = {(r["school"], r["slug"]): r["text"] for r in knowledge.read_written(spark, str(tmp_path / "written")).collect()}
+    assert set(written) == {("piwei", "s1"), ("piwei", "s2")} and written["piwei", "s1"] == "---\ntitle: 书\nschool: piwei\nrole: classic\nsource: a.md\nchars: 6\n---\n\n正文\n第二行"
+    assert knowledge.read_manifest(spark, str(tmp_path / "manifest")).count() == 0
+    knowledge.write_manifest(docs, str(tmp_path / "manifest"))
+    assert [(r["slug"], r["version"]) for r in knowledge.read_manifest(spark, str(tmp_path / "manifest")).collect()] == [("s1", 3)]
+    prints = spark.createDataFrame([("a.md", "f")], "source string, fingerprint string")
+    knowledge.write_state(prints, str(tmp_path / "prints"), "v2", "hash@64", whole=False)
+    assert knowledge.read_state(spark, str(tmp_path / "prints")).count() == 0
+    knowledge.write_state(prints, str(tmp_path / "prints"), "v2", "hash@64")
+    assert [(r["chunker"], r["source"]) for r in knowledge.read_state(spark, str(tmp_path / "prints")).collect()] == [("v2", "a.md")]
     (tmp_path / "state.json").write_text('{"source": "a", "fingerprint": "f"}\n{broken\n')
     assert [tuple(r) for r in knowledge.read_state(spark, str(tmp_path / "state.json"), "source string, fingerprint string").collect()] == [("a", "f")]
 
 
 def test_streaming_ingest(spark, tmp_path):
-    source, schema = tmp_path / "in", "key long, text string, ts timestamp"
-    table = VersionedTable(spark, str(tmp_path / "table"))
+    source, schema, path = tmp_path / "in", "key long, text string, ts timestamp", str(tmp_path / "table")
     add = lambda rows: spark.createDataFrame(rows, "key long, text string, ts string").select("key", "text", F.col("ts").cast("timestamp").alias("ts")).coalesce(1).write.mode("append").parquet(str(source))
-    assert table.read() is None
-    for rows in ([(1, "a", "2024-01-01"), (2, "b", "2024-01-01"), (1, "late", "2023-01-01")], [(2, "c", "2024-01-02"), (3, "d", "2024-01-02")]):
+    for rows in ([(1, "a", "2024-01-01"), (2, "b", "2024-01-01"), (1, "late", "2023-01-01"), (4, "x", None)], [(2, "c", "2024-01-02"), (3, "d", "2024-01-02")]):
         add(rows)
-        ingest_stream(spark.readStream.schema(schema).parquet(str(source)), table, "key", str(tmp_path / "checkpoint")).awaitTermination()
-    assert sorted((r["key"], r["text"]) for r in table.read().collect()) == [(1, "a"), (2, "c"), (3, "d")]
-    assert table.versions() == [1, 2] and table.read(1).count() == 2
+        ingest_stream(spark.readStream.schema(schema).parquet(str(source)), path, "key", str(tmp_path / "checkpoint"), "ts").awaitTermination()
+    now = lambda *up_to: sorted((r["key"], r["text"]) for r in current_rows(spark, path, schema, "key", *up_to).collect())
+    assert now() == [(1, "a"), (2, "c"), (3, "d"), (4, "x")] and now(0) == [(1, "a"), (2, "b"), (4, "x")]
+    compact(spark, path, str(tmp_path / "short"), schema, "key", 1)
+    assert sorted((r["key"], r["text"]) for r in current_rows(spark, str(tmp_path / "short"), schema, "key").collect()) == now()
+
+
+def test_streaming_ingest_without_an_order(spark, tmp_path):
+    """Rows without a time column: one of equal keys stays, the same one whatever the order; a repeated batch changes nothing."""
+    kept = set()
+    for n, rows in enumerate(([(1, "a"), (1, "b"), (2, None)], [(2, None), (1, "b"), (1, "a")])):
+        spark.createDataFrame(rows, "key long, text string").coalesce(1).write.parquet(str(tmp_path / f"in{n}"))
+        for again in range(2):
+            stream = spark.readStream.schema("key long, text string").parquet(str(tmp_path / f"in{n}"))
+            ingest_stream(stream, str(tmp_path / f"out{n}"), "key", str(tmp_path / f"checkpoint{n}{again}")).awaitTermination()
+        kept.add(tuple(sorted((r["key"], r["text"] or "") for r in current_rows(spark, str(tmp_path / f"out{n}"), "key long, text string", "key").collect())))
+    assert len(kept) == 1 and len(next(iter(kept))) == 2
+
+
+def test_streamed_session_events(spark, tmp_path):
+    schema = "session_id long, flags array<string>, agents int, failed boolean"
+    spark.createDataFrame([(1, ["x"], 2, False), (2, [], 1, True)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    session_events(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out")).orderBy("session_id", "seq").collect()
+    assert [r["event"] for r in rows if r["session_id"] == 1] == ["stage_started", "risk_detected", "stage_started", "agent_result", "agent_result", "stage_started", "report", "completed"]
+    assert [r["event"] for r in rows if r["session_id"] == 2] == ["stage_started", "stage_started", "agent_result", "error"]
 
 
 def test_windowed_counts(spark):
