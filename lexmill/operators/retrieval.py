@@ -303,6 +303,22 @@ def rerank(pool: DataFrame, score: Column, k: int, key: str) -> DataFrame:
     return ranked(pool.withColumn("new", new), "query_id", F.desc_nulls_last("new"), F.asc("rank"), F.asc(key), k=k, rank="place").drop("new")
 
 
+def pool_keys(pool: DataFrame, key: str) -> DataFrame:
+    """(query_id, cache_key): digest of a pool, its query and its keys in their order."""
+    listed = F.array_sort(F.collect_list(F.struct("rank", F.col(key).cast("string").alias("key"))))
+    keys = F.array_join(F.transform(listed, lambda x: x["key"]), "\x01")
+    return pool.groupBy("query_id").agg(F.sha2(F.concat_ws("\x02", F.col("query_id").cast("string"), keys), 256).alias("cache_key"))
+
+
+def rerank_reusing(pool: DataFrame, cache: DataFrame, score: Column, k: int, key: str) -> DataFrame:
+    """rerank(), but a pool whose digest is in the cache of earlier orders (cache_key, key, cached) keeps that order; keys
+    that the order lacks follow."""
+    known = pool.join(pool_keys(pool, key), "query_id").join(cache, ["cache_key", key], "left")
+    count = F.count("*").over(Window.partitionBy("query_id"))
+    new = known.withColumn("new", F.when(count > k, score))
+    return ranked(new, "query_id", F.asc_nulls_last("cached"), F.desc_nulls_last("new"), F.asc("rank"), F.asc(key), k=k, rank="place").drop("new", "cache_key")
+
+
 def hashed_place(rows: DataFrame, key: str, per_range: int = 100_000) -> DataFrame:
     """(key, place): place of each key, from 0, in the order of its MD5.
 

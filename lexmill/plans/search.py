@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import feature_tokens, half_up, label, let, search_tokens, words
 from lexmill.functions.vectors import cosine, hash_vectors, unit_vectors
 from lexmill.operators import retrieval as r
 from lexmill.operators.evaluation import channel_metrics, validity
+from lexmill.session import stage
 
 K = 10
 TOP = 4
@@ -100,15 +101,28 @@ def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("doc_id", "bucket", half_up(F.col("w.raw"), 6).alias("weight"))
 
 
-def lexical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BM25 candidates ordered anew by the share of the passage's words that a document holds."""
+def shared_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 candidates of each passage with the share of its words that a document holds."""
     docs, terms = table(spark, sf_dir, "documents"), query_terms(spark, sf_dir)
     pool = r.bm25_top_k(docs, words(F.col("text")), terms, r.pool_size(TOP))
     own = terms.groupBy("query_id").agg(F.collect_set("token").alias("own"))
     texts = docs.select("doc_id", "text").join(pool.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.array_distinct(words(F.col("text"))).alias("bag"))
     scored = pool.join(texts, "doc_id").join(own, "query_id")
     share = half_up(F.size(F.array_intersect("own", "bag")) / F.size("own"), 6)
-    return r.rerank(scored.withColumn("share", share), F.col("share"), TOP, "doc_id").select("query_id", "doc_id", "share", "place")
+    return scored.select("query_id", "doc_id", "rank", share.alias("share"))
+
+
+def lexical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 candidates ordered anew by the share of the passage's words that a document holds."""
+    return r.rerank(shared_words(spark, sf_dir), F.col("share"), TOP, "doc_id").select("query_id", "doc_id", "share", "place")
+
+
+def rerank_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, but pools of even queries were ordered before, by falling id, and keep that order."""
+    pool = stage(shared_words(spark, sf_dir), "pool")
+    before = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("doc_id")))
+    cache = pool.filter("query_id % 2 = 0").join(r.pool_keys(pool, "doc_id"), "query_id").select("cache_key", "doc_id", before.alias("cached"))
+    return r.rerank_reusing(pool, cache, F.col("share"), TOP, "doc_id").select("query_id", "doc_id", "share", "place")
 
 
 def random_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,7 +266,7 @@ FUSED = f"""
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_topk, bm25_candidate_stats, dense_topk, dense_topk_filtered, rrf_fusion, hybrid_search, tiered_quota_topk, hash_embedding, lexical_rerank,
+        bm25_topk, bm25_candidate_stats, dense_topk, dense_topk_filtered, rrf_fusion, hybrid_search, tiered_quota_topk, hash_embedding, lexical_rerank, rerank_reuse,
         random_baseline, recall_mrr, validity_checks, term_statistics, token_counts, encoder_check,
     )
 }
@@ -292,6 +306,17 @@ ORACLES = {
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n > {TOP} THEN share END DESC NULLS LAST, rank, doc_id) AS place FROM scored
         ) WHERE place <= {TOP}
     """,
+    "rerank_reuse": f"""
+        WITH {BM25},
+        pool AS (SELECT * FROM sparse WHERE rank <= 16),
+        shares AS (SELECT query_id, doc_id, count(*) AS shared FROM q JOIN tf USING (token) GROUP BY ALL),
+        sizes AS (SELECT query_id, count(*) AS size FROM q GROUP BY ALL),
+        scored AS (SELECT query_id, doc_id, rank, {R6.format("shared / size")} AS share, count(*) OVER (PARTITION BY query_id) AS n
+                   FROM pool JOIN shares USING (query_id, doc_id) JOIN sizes USING (query_id))
+        SELECT query_id, doc_id, share, place FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN query_id % 2 = 0 THEN -doc_id END NULLS LAST, CASE WHEN n > {TOP} THEN share END DESC NULLS LAST, rank, doc_id) AS place FROM scored
+        ) WHERE place <= {TOP}
+    """,
     "random_baseline": f"WITH {CHANCE} SELECT query_id, vec_id, rank FROM chance",
     "recall_mrr": f"{METRICS} SELECT * FROM metrics",
     "validity_checks": f"""{METRICS}
