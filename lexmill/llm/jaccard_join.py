@@ -25,11 +25,13 @@ COMMON = 100_000
 #: Weight of a member of a region beside its shingles, so that a bound in weight also bounds the members.
 MEMBER = 64
 #: Weight (shingles and members, 8 bytes each) over which a region is cut into cells, and that a task holds at most.
-CELL, BLOCK = 1 << 19, 1 << 21
+CELL, BLOCK = 1 << 22, 1 << 22
+#: Shingles that are looked up at once.
+SLICE = 1 << 18
 #: Pivots of a region that is cut, at least and at most, and how often cells are cut again.
 PIVOTS, DEPTH = (8, 64), 4
-#: Rows that one file of a small staged table has about.
-ROWS = 50_000
+#: Rows that one file of a staged table of numbers has about, and files that it has at least.
+ROWS, FILES = 20_000, 4
 #: Documents beyond which ids are joined by shuffling instead of broadcast.
 BROADCAST_IDS = 500_000
 CACHE = 100_000
@@ -159,7 +161,11 @@ def sketch(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(run, "doc_id long, t long, n_shingles long, hi long, lo long, bits binary, prefix array<long>")
 
 
-def seed_regions(heads: DataFrame) -> DataFrame:
+def files(rows: int) -> int:
+    return FILES + rows // ROWS
+
+
+def seed_regions(heads: DataFrame, total: int) -> DataFrame:
     """(pivot_hi, pivot_lo, hi, lo): for each shingle, the set of first rank among those with it in their prefix is a pivot.
 
     Two sets within the radius share a prefix shingle, hence a pivot: they meet in its region. Ranks are digests, so the
@@ -188,7 +194,7 @@ def seed_regions(heads: DataFrame) -> DataFrame:
             pairs = np.unique(np.concatenate([pivots[member], x[member]], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k], pa.int64()) for k in range(4)], names=names)
 
-    found = stage(ranked.mapInArrow(run, ", ".join(f"{n} long" for n in names)).distinct(), "seeds")
+    found = stage(ranked.mapInArrow(run, ", ".join(f"{n} long" for n in names)).distinct(), "seeds", files(4 * total))
     own = found.select("pivot_hi", "pivot_lo", F.col("pivot_hi").alias("hi"), F.col("pivot_lo").alias("lo")).distinct()
     return found.unionByName(own)
 
@@ -279,10 +285,14 @@ def hopeful(m: np.ndarray, h: np.ndarray, sizes: np.ndarray, sketches: list[byte
 
 
 def overlaps(one: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of a sorted set with sets laid end to end (none of them empty)."""
-    at = np.searchsorted(one, flat)
-    at[at == len(one)] = 0
-    return np.add.reduceat((one[at] == flat).astype(np.int64), starts)
+    """Sizes of the intersections of a sorted set with sets laid end to end (none of them empty), SLICE items at a time."""
+    hits = np.empty(len(flat), bool)
+    for a in range(0, len(flat), SLICE):
+        part = flat[a : a + SLICE]
+        at = np.searchsorted(one, part)
+        at[at == len(one)] = 0
+        hits[a : a + SLICE] = one[at] == part
+    return np.add.reduceat(hits, starts, dtype=np.int64)
 
 
 def join_region(sets: list[np.ndarray], known: np.ndarray | None = None) -> np.ndarray:
@@ -465,8 +475,7 @@ def classes(edges: DataFrame) -> DataFrame:
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("node"), F.col("b").alias("to"))
     total = edges.count()
-    files = 1 + total // ROWS
-    labels = stage(both.groupBy("node").agg(F.least(F.min("to"), F.first("node")).alias("label"), F.count("*").alias("degree")), "labels", files)
+    labels = stage(both.groupBy("node").agg(F.least(F.min("to"), F.first("node")).alias("label"), F.count("*").alias("degree")), "labels", files(total))
     while True:
         # each edge carries its start's label to its end
         sent = join_groups(both, labels, "node", "degree", 2 * total).groupBy(F.col("to").alias("node")).agg(F.min("label").alias("sent"))
@@ -475,7 +484,7 @@ def classes(edges: DataFrame) -> DataFrame:
         shared = lower.groupBy("low").agg(F.count("*").alias("sharing"))
         jump = shared.join(labels.select(F.col("node").alias("low"), F.col("label").alias("jump")), "low")
         moved = F.least("low", "jump")
-        fresh = stage(join_groups(lower, jump, "low", "sharing", 2 * total).select("node", moved.alias("label"), "degree", (moved != F.col("old")).alias("moved")), "labels", files)
+        fresh = stage(join_groups(lower, jump, "low", "sharing", 2 * total).select("node", moved.alias("label"), "degree", (moved != F.col("old")).alias("moved")), "labels", files(total))
         if fresh.filter("moved").isEmpty():
             return fresh.select("node", "label")
         labels = fresh.select("node", "label", "degree")
@@ -514,17 +523,17 @@ def set_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     heads = rows.filter("prefix is not null and doc_id is not null")
     key = ["pivot_hi", "pivot_lo"]
     bits = heads.select("hi", "lo", "bits").join(groups.select("hi", "lo", "m", "n"), ["hi", "lo"]).dropDuplicates(["hi", "lo"])
-    members = stage(seed_regions(heads).join(bits, ["hi", "lo"]).select(*key, "m", F.col("hi").alias("h"), "n", "bits"), "regions")
+    members = stage(seed_regions(heads, total).join(bits, ["hi", "lo"]).select(*key, "m", F.col("hi").alias("h"), "n", "bits"), "regions", files(4 * total))
     sized = weighed(members, key)
     some = grouped(sized.filter(F.col("weight") <= CELL), key, ["m", "h", "n", "bits"], hopeful, "m long, h long")
     kept = some.unionByName(sized.filter(F.col("weight") > CELL).select("m", "h")).distinct()
-    sets = stage(shingle_sets(docs, stage(kept, "hopeful")), "sets")
-    live = stage(members.select(*key, "m", "h", "n").join(sets.select("m", "h"), ["m", "h"], "left_semi"), "live")
-    links = stage(region_links(stage(weighed(live, key), "weighed"), sets), "links")
+    sets = stage(shingle_sets(docs, stage(kept, "hopeful", files(total))), "sets", files(total))
+    live = stage(members.select(*key, "m", "h", "n").join(sets.select("m", "h"), ["m", "h"], "left_semi"), "live", files(total))
+    links = stage(region_links(stage(weighed(live, key), "weighed", files(total)), sets), "links", files(total))
     labels = classes(links.select(F.struct(F.col("am").alias("m"), F.col("ah").alias("h")).alias("a"), F.struct(F.col("bm").alias("m"), F.col("bh").alias("h")).alias("b")))
     own = groups.select("hi", "lo", "size", "m", "h", "t", F.struct("m", "h").alias("node"))
     labelled = own.join(labels, "node", "left").select("hi", "lo", "size", "m", "h", "t", F.coalesce("label", "node").alias("label"))
-    return rows, stage(labelled, "labelled", 1 + total // ROWS), total
+    return rows, stage(labelled, "labelled", files(total)), total
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
