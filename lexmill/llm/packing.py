@@ -23,9 +23,10 @@ CAPACITY = 4096
 #: Lengths are rounded up to whole units for the linear program: at most 15 tokens of padding a piece.
 UNIT = 16
 END_OF_TEXT = 2
-BUCKETS = 128
+#: Pieces of a class that are ranked in one task, about.
+PER_BUCKET = 50_000
 #: Words that a worker remembers: so many met lately, and as many from before.
-CACHE = 300_000
+CACHE = 100_000
 #: Text bytes that are tokenised together.
 BLOCK = 1 << 22
 
@@ -79,20 +80,26 @@ class WordIds:
         import regex
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.model.normalizer, self.model.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
-        vocab = self.tokenizer.get_vocab()
+        self.path, self.library = path, None
+        self.model = Tokenizer.from_file(path)
+        vocab = self.model.get_vocab()
         self.final = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
             self.final[i] = token.endswith("</w>")
-        special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        special = [x.content for x in self.model.get_added_tokens_decoder().values()]
+        self.model.normalizer, self.model.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         self.apart = "|".join([ODD, *map(re.escape, special)])
         self.word = regex.compile(WORD)
         self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
         self.words = Recent(CACHE)
 
     def direct(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        """Ids by the whole library; few texts need it."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def normalised(self, run: str) -> str | None:
         """Words of a run, spaces between them; None if only the library's own normaliser will do."""
@@ -137,9 +144,9 @@ class WordIds:
             ids, ends = gathered([whole.get(k, ids[a:b].tobytes()) for k, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True))], np.arange(len(runs)))
         return ids, ends
 
-    def encode(self, texts: pa.Array) -> list[bytes]:
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """Ids of each text of a block."""
-        texts = texts.fill_null("")
+        texts = (pa.array(texts, pa.string()) if isinstance(texts, list) else texts).fill_null("")
         apart = pc.match_substring_regex(texts, self.apart)
         lists = pc.utf8_split_whitespace(pc.if_else(apart, "", texts))
         coded = lists.flatten().dictionary_encode()
@@ -334,14 +341,14 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, unit: int = UNIT)
     Documents over `capacity` are cut into full pieces and a rest; all others stay whole. Lengths are counted by class
     (capacity / unit classes, so the count that reaches the driver has at most 256 rows whatever the input), the
     cutting-stock program is solved over the classes, and the k-th piece of a class takes the k-th slot of that class.
-    Pieces are ranked in buckets of the hashed id with a table of starts, so no task holds a whole class.
+    Pieces are ranked in buckets of the hashed id, as many as a class's count asks for, with a table of starts, so no task
+    holds a whole class; pieces without an id are dealt by their place in the staged table instead.
 
     Null or empty text: one piece of the closing id alone. Repeated rows are packed each for itself. Empty table: no
     rows. Only doc_id and text are read. The tokens are counted once and staged; nothing depends on a task's order.
     """
     size = F.ceil(F.col("length") / unit).cast("int")
-    bucket = F.pmod(F.xxhash64("doc_id", "start"), F.lit(BUCKETS)).cast("int")
-    pieces = stage(token_pieces(docs, path, capacity).select("*", size.alias("size"), bucket.alias("bucket")), "pieces")
+    pieces = stage(token_pieces(docs, path, capacity).select("*", size.alias("size")), "pieces")
     demand = np.zeros(capacity // unit, np.int64)
     for row in pieces.groupBy("size").count().collect():
         demand[row["size"] - 1] = row["count"]
@@ -351,13 +358,16 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, unit: int = UNIT)
     def sequence(sizes: pd.Series, ranks: pd.Series) -> pd.Series:
         return pd.Series(plan.sequence(sizes.to_numpy(), ranks.to_numpy()))
 
+    buckets = F.element_at(F.array(*(F.lit(1 + int(d) // PER_BUCKET) for d in demand)), F.col("size"))
+    dealt = F.xxhash64("doc_id", "start", F.when(F.col("doc_id").isNull(), F.struct("_metadata.file_name", "_metadata.row_index")))
+    pieces = pieces.withColumn("bucket", F.pmod(dealt, buckets).cast("int"))
     before = Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = pieces.groupBy("size", "bucket").count()
     starts = counts.select("size", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
     order = Window.partitionBy("size", "bucket").orderBy("doc_id", "start", "ids_crc32")
     placed = (
         pieces.withColumn("nth", F.row_number().over(order) - 1)
-        .join(F.broadcast(starts), ["size", "bucket"])  # at most classes x buckets rows
+        .join(starts, ["size", "bucket"])
         .withColumn("rank", (F.col("first") + F.col("nth")).cast("long"))
         .withColumn("sequence_id", sequence("size", "rank"))
     )
