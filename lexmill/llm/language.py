@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -13,37 +12,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import crc_mod
-from lexmill.session import stage
+from lexmill.llm.common import crc_mod, in_slices
 
-#: Labelled documents a language that the model is fitted on, and the most frequent words and n-grams it keeps.
-PER_LANGUAGE = 1000
-MODEL_WORDS, MODEL_GRAMS = 50_000, 50_000
+#: Labelled documents a language that the model is fitted on; they alone bound its words and n-grams.
+PER_LANGUAGE = 250
 LONGEST = 5
-CACHE = 200_000
+#: Words that a worker remembers the scores of, and words of a text that are summed at once.
+CACHE = 100_000
 
 WORD = re.compile(r"[^\W\d_]+")
 
 
 @dataclass
 class LanguageModel:
-    """Log frequency of each word and n-gram in each language; n-grams see a mark at both ends of a word."""
+    """Log frequency of each word and n-gram in each language, a row of a matrix each; n-grams see a mark at both ends of a
+    word."""
 
     languages: list[str]
-    words: dict[str, tuple[float, ...]]
-    grams: dict[str, tuple[float, ...]]
+    words: dict[str, int]
+    grams: dict[str, int]
+    rows: np.ndarray
 
-    def word(self, word: str) -> tuple[float, ...]:
+    @classmethod
+    def of(cls, languages: list[str], words: dict[str, tuple[float, ...]], grams: dict[str, tuple[float, ...]]) -> LanguageModel:
+        """From the log frequencies of words and n-grams."""
+        rows = np.array([*words.values(), *grams.values()], np.float32).reshape(-1, len(languages))
+        return cls(languages, {w: i for i, w in enumerate(words)}, {g: len(words) + i for i, g in enumerate(grams)}, rows)
+
+    def word(self, word: str) -> np.ndarray:
         """The word's own log frequencies, else the mean over its known n-grams of the greatest length that has any."""
         known = self.words.get(word)
         if known is not None:
-            return known
+            return self.rows[known]
         marked = f"<{word}>"
         for n in range(min(LONGEST, len(marked)), 0, -1):
             found = [g for i in range(len(marked) - n + 1) if (g := self.grams.get(marked[i : i + n])) is not None]
             if found:
-                return tuple(sum(x) / len(found) for x in zip(*found, strict=True))
-        return (0.0,) * len(self.languages)
+                return self.rows[found].mean(axis=0)
+        return np.zeros(len(self.languages))
 
 
 class WordScores(dict):
@@ -52,25 +58,28 @@ class WordScores(dict):
     def __init__(self, model: LanguageModel):
         super().__init__()
         self.model = model
-        self.rows = np.zeros((CACHE, len(model.languages)))
+        self.rows = np.zeros((2 * CACHE, len(model.languages)))
 
     def __missing__(self, word: str) -> int:
         row = len(self)
-        if row >= len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
         self.rows[row] = self.model.word(word)
         self[word] = row
         return row
 
-    def trim(self) -> None:
-        if len(self) >= CACHE:
-            self.clear()
-            self.rows = np.zeros((CACHE, len(self.model.languages)))
+    def total(self, words: list[str]) -> np.ndarray:
+        """Sum over the words, CACHE of them at a time, so that a text of any length stays within the table."""
+        out = np.zeros(len(self.model.languages))
+        for at in range(0, len(words), CACHE):
+            if len(self) > CACHE:
+                self.clear()
+            part = words[at : at + CACHE]
+            out += self.rows[np.fromiter(map(self.__getitem__, part), np.int64, len(part))].sum(axis=0)
+        return out
 
 
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words and n-grams of labelled documents, summed a batch at a time."""
-    for batch in batches:
+    for batch in in_slices(batches):
         counts: dict[str, Counter] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             counts.setdefault(lang, Counter()).update(WORD.findall((text or "").lower()))
@@ -92,42 +101,42 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_languages(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
     """Fit on at most about `per_language` documents a language, chosen by the hash of the id, with their whole texts.
 
-    The model holds the MODEL_WORDS words and MODEL_GRAMS n-grams that are most frequent in that sample.
+    The model holds every word and n-gram of that sample, however rare.
     """
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     languages = sorted(sizes)
     if not languages:
-        return LanguageModel([], {}, {})
+        return LanguageModel([], {}, {}, np.zeros((0, 0), np.float32))
     share = F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, per_language / sizes[lang]))))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) / 1_000_000
     sample = labelled.filter(draw < share[F.col("lang")]).select("lang", "text")
-    counts = stage(
-        sample.mapInArrow(count_grams, "lang string, whole boolean, gram string, n long").groupBy("whole", "gram", "lang").agg(F.sum("n").alias("n")), "grams"
-    )
-    table = counts.groupBy("whole", "gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("n")).filter("n > 1")
-    totals = {True: Counter(), False: Counter()}
-    for row in counts.groupBy("whole", "lang").agg(F.sum("n").alias("n")).collect():
-        totals[row["whole"]][row["lang"]] = row["n"]
-    out: dict[bool, dict] = {}
-    for whole, most in ((True, MODEL_WORDS), (False, MODEL_GRAMS)):
-        rows = table.filter(F.col("whole") == whole).orderBy(F.desc("n"), "gram").limit(most).collect()
-        base = {lang: math.log(totals[whole][lang] + len(rows) / 2 + 1) for lang in languages}
-        out[whole] = {r["gram"]: tuple(math.log(r["by"].get(lang, 0) + 0.5) - base[lang] for lang in languages) for r in rows}
-    return LanguageModel(languages, out[True], out[False])
+    counted = sample.mapInArrow(count_grams, "lang string, whole boolean, gram string, n long").groupBy("whole", "gram")
+    each = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(languages)]
+    table = pa.Table.from_batches(counted.agg(*each).toArrow().combine_chunks().to_batches())
+    whole, names = table["whole"].to_numpy(zero_copy_only=False).astype(bool), table["gram"].to_pylist()
+    counts = np.stack([table[f"n{i}"].to_numpy() for i in range(len(languages))], axis=1).astype(np.float64)
+    rows = np.zeros(counts.shape, np.float32)
+    index: dict[bool, dict[str, int]] = {}
+    for kind in (True, False):
+        own = np.flatnonzero(whole == kind)
+        base = np.log(counts[own].sum(axis=0) + len(own) / 2 + 1)
+        rows[own] = np.log(counts[own] + 0.5) - base
+        index[kind] = {names[i]: i for i in own.tolist()}
+    return LanguageModel(languages, index[True], index[False], rows)
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """(doc_id, lang_pred, score): the language under which the text's words are likeliest, and its probability.
 
-    Only the text is looked at. Null texts and texts without a letter are `und` with score 0. Only the model (bounded by
-    its two sizes) is sent to the workers; nothing is shuffled.
+    Only the text is looked at. Null texts and texts without a letter are `und` with score 0; of languages that are equally
+    likely the first by name is taken. Only the model, bounded by its sample, is sent to the workers; nothing is shuffled.
     """
     box = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages = box.value.languages
         scores = WordScores(box.value)
-        for batch in batches:
+        for batch in in_slices(batches):
             names, values = [], []
             for text in batch.column(1).to_pylist():
                 words = WORD.findall(text.lower()) if text and languages else []
@@ -135,12 +144,10 @@ def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
                     names.append("und")
                     values.append(0.0)
                     continue
-                rows = np.fromiter(map(scores.__getitem__, words), np.int64, len(words))
-                total = scores.rows[rows].sum(axis=0)
+                total = scores.total(words)
                 best = int(np.argmax(total))
                 names.append(languages[best])
                 values.append(float(1 / np.exp(total - total[best]).sum()))
-                scores.trim()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(values, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
