@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import ascii_lower
+from lexmill.llm.common import ascii_lower, join_groups
 from lexmill.session import stage
 
 #: (host and path, verdict)
@@ -20,8 +21,8 @@ RULES = (
     ("example.net/de/8", "block"),
     ("org/es/", "block"),
 )
-#: Labelled URLs that the trees are fitted on, and the most frequent host suffixes with statistics of their own.
-SAMPLE, SUFFIXES = 20_000, 1000
+#: Labelled URLs that the trees are fitted on, and parts they are dealt to for the suffix statistics.
+SAMPLE, FOLDS = 20_000, 4
 TREES, DEPTH = 20, 4
 FEATURES = (
     "n_url", "n_host", "n_path", "depth", "labels", "digits", "entropy", "parameters", "has_fragment", "dashes",
@@ -82,38 +83,47 @@ def lexical(pages: DataFrame) -> DataFrame:
     )
 
 
-def suffix_statistics(labelled: DataFrame) -> DataFrame:
-    """Smoothed share of blocked URLs and log count for the most frequent suffixes: at most SUFFIXES rows."""
-    blocked = F.sum((F.col("ruled") == "block").cast("int"))
-    return (
-        labelled.groupBy("suffix").agg(F.count("*").alias("n"), blocked.alias("b"))
-        .orderBy(F.desc("n"), "suffix").limit(SUFFIXES)
-        .select("suffix", ((F.col("b") + 1) / (F.col("n") + 2)).alias("suffix_blocked"), F.log1p("n").alias("suffix_weight"))
-    )
+def with_suffixes(rows: DataFrame) -> DataFrame:
+    """The rows with smoothed share of blocked URLs and log count of their host's suffix.
+
+    A labelled URL sees the statistics of the other folds only, so its own label isn't among what predicts it; other URLs
+    see those of all labelled ones. Every suffix has statistics, however rare. They are counts summed before the shuffle;
+    the most frequent suffixes are joined back by broadcast (join_groups), the others by shuffling.
+    """
+    blocked = (F.col("ruled") == "block").cast("int")
+    each = [x for k in range(FOLDS) for x in (F.count_if(F.col("fold") == k).alias(f"n{k}"), F.sum(F.when(F.col("fold") == k, blocked).otherwise(0)).alias(f"b{k}"))]
+    folded = rows.withColumn("fold", F.when(F.col("ruled").isNotNull(), F.pmod(F.xxhash64("page_id", F.lit("fold")), F.lit(FOLDS)).cast("int")))
+    groups = folded.groupBy("suffix").agg(F.count("*").alias("size"), *each)
+    joined = join_groups(folded, groups, "suffix", "size", rows.count())
+    own = lambda c: reduce(lambda a, b: a + b, (F.when(F.col("fold").eqNullSafe(F.lit(k)), 0).otherwise(F.col(f"{c}{k}")) for k in range(FOLDS)))
+    found = joined.withColumns({"suffix_blocked": (own("b") + 1) / (own("n") + 2), "suffix_weight": F.log1p(own("n").cast("double"))})
+    return found.select(*rows.columns, "suffix_blocked", "suffix_weight")
+
+
+def fit_trees(full: DataFrame, labelled: int, sample: int = SAMPLE) -> PipelineModel:
+    """Boosted trees fitted on at most about `sample` of the labelled rows, drawn by the hash of the id."""
+    vector = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+    draw = F.pmod(F.xxhash64("page_id", F.lit("urls")), F.lit(1_000_000)) / 1_000_000
+    chosen = full.filter(F.col("ruled").isNotNull() & (draw < sample / labelled))
+    examples = stage(chosen.select((F.col("ruled") == "block").cast("double").alias("label"), *FEATURES), "urls")
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, featuresCol="features", labelCol="label")
+    return Pipeline(stages=[vector, trees]).fit(examples)
 
 
 def judge_urls(pages: DataFrame) -> DataFrame:
     """Host, path, rule and verdict for each page.
 
     The longest fitting rule decides. URLs that a rule decides are also the labelled examples: suffix statistics cover
-    all of them, and the boosted trees are fitted on at most about SAMPLE of them, drawn by the hash of the id. The
-    trees judge all other URLs. Null URLs and URLs without `://` have an empty host and path and are judged by the
-    trees too. Where the labelled URLs know one verdict only, that verdict holds; where there are none, all is allowed.
-    Repeated rows are judged alike. Empty table: no rows. Columns other than page_id and url are not read.
+    all of them, and the boosted trees are fitted on a bounded sample. The trees judge all other URLs; a score of exactly
+    one half is allowed. Null URLs and URLs without `://` have an empty host and path and are judged by the trees too.
+    Where the labelled URLs know one verdict only, that verdict holds; where there are none, all is allowed. Repeated rows
+    are judged alike, null ids like others. Empty table: no rows. Columns other than page_id and url are not read.
     """
     rows = lexical(pages)
-    labelled = rows.filter(F.col("ruled").isNotNull())
-    suffixes = stage(suffix_statistics(labelled), "suffixes")
-    full = rows.join(F.broadcast(suffixes), "suffix", "left").fillna({"suffix_blocked": 0.5, "suffix_weight": 0.0})
-    sizes = {r["ruled"]: r["count"] for r in labelled.groupBy("ruled").count().collect()}
+    sizes = {r["ruled"]: r["count"] for r in rows.filter(F.col("ruled").isNotNull()).groupBy("ruled").count().collect()}
     if len(sizes) < 2:
-        verdict = F.coalesce("ruled", F.lit(next(iter(sizes), "allow")))
-        return full.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
-    vector = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    draw = F.pmod(F.xxhash64("page_id", F.lit("urls")), F.lit(1_000_000)) / 1_000_000
-    chosen = full.filter(F.col("ruled").isNotNull() & (draw < SAMPLE / sum(sizes.values())))
-    examples = stage(chosen.select((F.col("ruled") == "block").cast("double").alias("label"), *FEATURES), "urls")
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, featuresCol="features", labelCol="label").fit(vector.transform(examples))
-    judged = trees.transform(vector.transform(full))
+        return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit(next(iter(sizes), "allow"))).alias("verdict"))
+    full = with_suffixes(rows)
+    judged = fit_trees(full, sum(sizes.values())).transform(full)
     verdict = F.coalesce("ruled", F.when(F.col("prediction") == 1.0, "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"))

@@ -4,10 +4,11 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexmill.llm.html_text import Direction, blocks_of, fit_labeller, main_text
 from lexmill.llm.sharding import jump_hash, shard_documents
-from lexmill.llm.url_filter import judge_urls
+from lexmill.llm.url_filter import FEATURES, fit_trees, judge_urls, lexical, with_suffixes
 from tests.llm.conftest import SF
 
 
@@ -163,3 +164,63 @@ def test_repeated_and_null_pages(spark):
     got = main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == 4 and len({r["text"] for r in got if r["page_id"] != 2}) == 1
     assert max(r["n_chars"] for r in got) == 3000 * len("All these words go on and on.") + 2 * 2999
+
+
+def trees_of(text):
+    """Nested (feature, value, left, right) or leaf numbers with their weights, from the model's own listing."""
+    out, lines = [], iter(text.split("\n"))
+    lines = [x for x in lines if x.strip()]
+
+    def node(at):
+        line = lines[at].strip()
+        if line.startswith("Predict:"):
+            return float(line.split(":")[1]), at + 1
+        feature, value = re.match(r"If \(feature (\d+) <= (\S+)\)", line).groups()
+        left, at = node(at + 1)
+        assert lines[at].strip().startswith("Else")
+        right, at = node(at + 1)
+        return (int(feature), float(value), left, right), at
+
+    for k, line in enumerate(lines):
+        if m := re.match(r"\s*Tree \d+ \(weight (\S+)\):", line):
+            out.append((float(m[1]), node(k + 1)[0]))
+    return out
+
+
+def test_verdicts_of_the_trees(spark):
+    """Where no rule fits, the verdict follows from walking every tree by hand over features worked out by hand."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = lexical(pages)
+    labelled = rows.filter("ruled is not null").count()
+    full = with_suffixes(rows)
+    fitted = trees_of(fit_trees(full, labelled).stages[-1].toDebugString)
+    assert len(fitted) == 20
+    table = full.withColumn("fold", F.pmod(F.xxhash64("page_id", F.lit("fold")), F.lit(4))).collect()
+    known = [(r["suffix"], r["fold"], r["ruled"]) for r in table if r["ruled"]]
+    verdicts = {r["page_id"]: r["verdict"] for r in judge_urls(pages).collect()}
+    for r in table:
+        seen = [v for s, k, v in known if s == r["suffix"] and (r["ruled"] is None or k != r["fold"])]
+        assert r["suffix_blocked"] == pytest.approx((seen.count("block") + 1) / (len(seen) + 2)) and r["suffix_weight"] == pytest.approx(np.log1p(len(seen)))
+        total = 0.0
+        for weight, tree in fitted:
+            while isinstance(tree, tuple):
+                tree = tree[2] if r[FEATURES[tree[0]]] <= tree[1] else tree[3]
+            total += weight * tree
+        assert verdicts[r["page_id"]] == (r["ruled"] or ("block" if total > 0 else "allow"))
+
+
+def test_features_by_hand(spark):
+    url = "https://a.b-c.com/x/y/1?q=1&r=#f"
+    row = lexical(spark.createDataFrame([(1, url), (2, None)], "page_id long, url string")).orderBy("page_id").collect()
+    shares = [url.count(c) / len(url) for c in set(url)]
+    got = row[0]
+    assert (got["n_url"], got["n_host"], got["n_path"], got["depth"], got["labels"], got["parameters"], got["has_fragment"], got["dashes"], got["secure"]) == (len(url), 9, 6, 3, 2, 3, 1, 1, 1)
+    assert got["suffix"] == "com" and got["digits"] == pytest.approx(2 / len(url)) and got["entropy"] == pytest.approx(-sum(p * np.log2(p) for p in shares))
+    assert row[1]["entropy"] == row[1]["digits"] == 0 and row[1]["suffix"] == ""
+
+
+def test_repeated_and_long_urls(spark):
+    rows = [(1, "http://com/en/" + "x" * 100_000), (1, "http://com/en/" + "x" * 100_000), (None, "http://net/de/1"), (2, "http://z.z/"), (2, "http://z.z/"), (3, "a" * 50_000)]
+    got = judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert len(got) == len(rows) and len({r["verdict"] for r in got if r["page_id"] == 2}) == 1
+    assert {r["verdict"] for r in got if r["page_id"] == 1} == {"block"} and {r["verdict"] for r in got if r["page_id"] is None} == {"allow"}
