@@ -187,7 +187,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
     schema = "doc_id long, toxic int, words array<string>, mark long, " + ", ".join(f"sketch{k} long" for k in range(SKETCHES))
     sample = stage(texts.mapInArrow(sample_words, schema), "toxic-sample")
-    single = stage(count_once(sample), "toxic-single")
+    single = stage(count_once(sample), "toxic-single", 8)
     by_class = {r["toxic"]: (r["n"], r["tokens"]) for r in single.groupBy("toxic").agg(F.count("*").alias("n"), F.sum(F.size("words")).alias("tokens")).collect()}
     (n_toxic, _), (n_clean, tokens) = by_class.get(1, (0, 0)), by_class.get(0, (0, 0))
     counted = single.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(
