@@ -6,7 +6,7 @@ import unicodedata
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -121,10 +121,11 @@ def role_rank(role: Column, order: tuple[str, ...] = ROLE_ORDER) -> Column:
 
 
 def report_rows(reports: DataFrame, role: Column) -> DataFrame:
-    """(place, line): reports of (school, role, source, chunks, status) as lines of fixed width, by school, role and source."""
-    place = F.row_number().over(Window.partitionBy("school").orderBy(role_rank(role), "source"))
+    """(school, role_rank, source, line): reports of (school, role, source, chunks, status) as lines of fixed width, sorted by
+    school, role and source."""
     cells = [F.rpad(F.substring("source", 1, 34), 36, " "), F.rpad("school", 12, " "), F.rpad("role", 8, " "), F.lpad(F.col("chunks").cast("string"), 6, " ")]
-    return reports.select("school", place.alias("place"), F.concat(*(x for c in cells for x in (c, F.lit(" "))), F.col("status")).alias("line"))
+    line = F.concat(*(x for c in cells for x in (c, F.lit(" "))), F.col("status"))
+    return reports.select("school", role_rank(role).alias("role_rank"), "source", line.alias("line")).orderBy("school", "role_rank", "source")
 
 
 def schools_written(documents: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import clamp, label
+from lexmill.operators.retrieval import ranked
 from lexmill.operators.rules import CONTEXT_CHARS, CONTEXT_ITEMS, ITEM_CHARS, UNSURE, candidates
 
 # Words and limits of the opinions.
@@ -89,8 +90,9 @@ def with_unsure(options: Column) -> Column:
 def context_text(items: DataFrame, group: str, order: str, role: Column) -> DataFrame:
     """(group, context): the first items of (title, section, content), numbered and labelled, up to the budget of characters."""
     cut = F.substring("content", 1, ITEM_CHARS)
-    each = items.select(group, F.struct(F.col(order).alias("o"), label(F.col("title"), F.col("section")).alias("label"), role.alias("role"), cut.alias("text")).alias("i"))
-    first = each.groupBy(group).agg(F.slice(F.array_sort(F.collect_list("i")), 1, CONTEXT_ITEMS).alias("items"))
+    few = ranked(items, group, F.asc(order), k=CONTEXT_ITEMS, rank="nth")
+    each = few.select(group, F.struct("nth", label(F.col("title"), F.col("section")).alias("label"), role.alias("role"), cut.alias("text")).alias("i"))
+    first = each.groupBy(group).agg(F.array_sort(F.collect_list("i")).alias("items"))
     used = lambda n: F.aggregate(F.slice("items", 1, n + 1), F.lit(0), lambda a, x: a + F.length(x["text"]))
     # items before the first that passes the budget; sums only grow, so these are those whose own sum is within it
     kept = first.select(group, F.filter("items", lambda x, n: used(n) <= CONTEXT_CHARS).alias("items"))

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def last_of_key(rows: DataFrame, key: str | list[str], order: Column | None = None) -> DataFrame:
     """One row a key: the highest by `order` (nulls count lowest); ties, and all without an order, go by the row's digest, so
-    the choice doesn't depend on the order of rows."""
+    the choice doesn't depend on the order of rows. A maximum, taken before the shuffle: no key falls to one task."""
     digest = F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`") for c in rows.columns))))
-    by = [F.desc_nulls_last(order)] if order is not None else []
-    place = F.row_number().over(Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(*by, F.desc(digest)))
-    mark = "__place"
-    while mark in rows.columns:
-        mark += "_"
-    return rows.withColumn(mark, place).filter(F.col(mark) == 1).drop(mark)
+    by = F.struct(*([order.alias("order")] if order is not None else []), digest.alias("digest"))
+    whole = F.struct(*(F.col(f"`{c}`") for c in rows.columns))
+    return rows.groupBy(*([key] if isinstance(key, str) else key)).agg(F.max_by(whole, by).alias("last")).select("last.*")
 
 
 def upsert(current: DataFrame, incoming: DataFrame, key: str, order: Column | None = None) -> DataFrame:

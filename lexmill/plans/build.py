@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import half_up, words
+from lexmill.functions.text import clean_markdown, half_up, squeeze_blank_lines, unify_lines, unify_punctuation, words
+from lexmill.functions.vectors import fit_dimension
 from lexmill.operators import build, evaluation, opinions
-from lexmill.operators.retrieval import dense_top_k
+from lexmill.operators.chunking import front_matter
+from lexmill.operators.retrieval import dense_top_k, ranked
 from lexmill.operators.rules import UNSURE
 from lexmill.plans.search import hybrid_search, table, vector_queries
+from lexmill.sources.binary import extracted, extraction_report
 from lexmill.sources.knowledge import manifest, rendered
 from lexmill.streaming.ingest import consultation_events, frame, reassembled
 
@@ -46,8 +49,8 @@ def name_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files of their own; of the sources with a mark, one compendium each of all their documents."""
-    docs = named_documents(spark, sf_dir).withColumn("group", F.element_at(F.split("name", "-"), 1))
+    """Documents as files of their own; of the sources with a mark, one compendium for each 50 ids."""
+    docs = named_documents(spark, sf_dir).withColumn("group", F.concat_ws("-", F.element_at(F.split("name", "-"), 1), F.floor(F.col("doc_id") / 50).cast("string")))
     title = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in TITLES.items() for x in kv)), F.col("lang")), F.lit("none"))
     part = F.concat(F.lit(f"{CIP}\n\n"), title, F.lit("/x．-y：人民卫生出版社\n"), F.regexp_replace("text", r"[\r\n]+", " "), F.lit("\n"))
     marked = build.is_compendium(F.col("group"), MARKERS)
@@ -80,7 +83,7 @@ def manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def written_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of the report, in order of school, role and source, beside the number of documents of the school."""
+    """Lines of the report beside the number of documents of the school."""
     docs = table(spark, sf_dir, "documents")
     role = F.when(F.col("doc_id") % 3 == 0, "case").when(F.col("doc_id") % 3 == 1, "classic").otherwise("other")
     rows = docs.select(F.col("lang").alias("school"), role.alias("role"), F.concat_ws("-", "source", F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("source"), F.length("text").alias("chunks"), F.lit("ready").alias("status"))
@@ -132,6 +135,7 @@ def intake_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def followup_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as follow-up questions with their words as options, cut to the caps."""
     turns = table(spark, sf_dir, "conversations")
+    turns = ranked(turns, "conv_id", F.asc("turn"), k=opinions.MAX_QUESTIONS, rank="nth")
     q = F.struct(F.col("turn").alias("n"), F.when(F.col("turn") % 4 != 3, F.col("role")).alias("title"), F.lit("").alias("key"), words(F.col("text")).alias("options"))
     asked = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(q)).alias("qs")).select("conv_id", F.posexplode(opinions.followup(F.col("qs"))).alias("place", "q"))
     return asked.select("conv_id", "place", "q.title", "q.key", F.array_join("q.options", " ").alias("options"))
@@ -179,11 +183,42 @@ def encoder_self_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.self_check(best.withColumnRenamed("vec_id", "passage_id")).select(half_up(F.col("top1"), 6).alias("top1"), half_up(F.col("margin"), 6).alias("margin"))
 
 
+def extracted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of bytes, read back by format."""
+    suffix = F.when(F.col("doc_id") % 2 == 0, ".txt").otherwise(".epub")
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("f"), F.col("doc_id").cast("string"), suffix).alias("name"), suffix.alias("suffix"), F.encode("text", "UTF-8").alias("content"))
+    read = extracted(docs.withColumn("path", F.concat(F.lit("/in/"), "name")).select("path", "name", "suffix", "content"))
+    rows = extraction_report(read).join(read.select("name", "digest", F.md5(F.col("text").cast("binary")).alias("text_digest")), "name")
+    return rows.withColumn("density", half_up(F.col("density"), 3))
+
+
+def front_matter_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of documents and what follows them."""
+    raw = F.concat(F.lit("---\ntitle: A: b\nsource: "), "source", F.lit("\ntitle: "), "lang", F.lit("\nno pair\n---\n"), "text")
+    meta, body = front_matter(raw)
+    rows = table(spark, sf_dir, "documents").select("doc_id", meta.alias("m"), body.alias("body"))
+    return rows.select("doc_id", F.element_at("m", "title").alias("title"), F.element_at("m", "source").alias("source"), F.size("m").alias("pairs"), F.md5(F.col("body").cast("binary")).alias("digest"))
+
+
+def unified_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in odd quotes, line ends and blanks, with one kind of each."""
+    odd = F.concat(F.lit("“\u200b"), F.regexp_replace("text", "\n", "\r\n\n\n"), F.lit("”\u3000 ‘x’ \t (汤 ，  「 好  」\r\n"))
+    clean = squeeze_blank_lines(unify_punctuation(unify_lines(clean_markdown(odd))))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(clean).alias("chars"), F.md5(clean.cast("binary")).alias("digest"))
+
+
+def fitted_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors cut to five numbers and padded to a hundred, both of length 1."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", fit_dimension(F.col("embedding"), 5).alias("short"), fit_dimension(F.col("embedding"), 100).alias("long"))
+    total = lambda c: half_up(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 6)
+    return rows.select("vec_id", F.size("short").alias("n_short"), total("short").alias("sum_short"), F.size("long").alias("n_long"), total("long").alias("sum_long"), half_up(F.element_at("long", 1), 6).alias("first"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         names, name_classes, source_expansion, manifest_rows, written_report, usage_counters, opinions_normalised, fact_lines, context_blocks, intake_rows, followup_questions,
-        questionnaire_options, questionnaire_total, consultations, reassembled_frames, golden_hits, encoder_self_check,
+        questionnaire_options, questionnaire_total, consultations, reassembled_frames, golden_hits, encoder_self_check, extracted_texts, front_matter_rows, unified_text, fitted_vectors,
     )
 }
 
@@ -208,7 +243,7 @@ ORACLES = {
                CASE which WHEN 0 THEN '' WHEN 1 THEN 'french_one' WHEN 2 THEN 'german' ELSE made_slug END AS slug,
                CASE which WHEN 0 THEN 0 WHEN 1 THEN 70 WHEN 2 THEN 60 ELSE 50 END AS priority, CASE WHEN which = 0 THEN '' WHEN which < 3 THEN 'registry' ELSE 'heuristic' END AS basis FROM k""",
     "source_expansion": f"""
-        WITH n AS (SELECT doc_id, lang, source AS grp, source || '-' || lang || '-' || doc_id::VARCHAR AS name, text, contains(source, 'src1') OR contains(source, 'src2') AS many FROM documents),
+        WITH n AS (SELECT doc_id, lang, source || '-' || (doc_id // 50)::VARCHAR AS grp, source || '-' || lang || '-' || doc_id::VARCHAR AS name, text, contains(source, 'src1') OR contains(source, 'src2') AS many FROM documents),
         single AS (
             SELECT *, CASE WHEN contains(name, '-fr-1') THEN 1 WHEN contains(name, '-de') THEN 2 WHEN regexp_matches(name, '-fr-[2-5]') THEN 3 WHEN regexp_matches(name, '-es-.*[05]$') THEN 4 ELSE 0 END AS which FROM n WHERE NOT many
         ),
@@ -249,7 +284,7 @@ ORACLES = {
         WITH r AS (
             SELECT lang AS school, CASE doc_id % 3 WHEN 0 THEN 'case' WHEN 1 THEN 'classic' ELSE 'other' END AS role, source || '-' || lpad(doc_id::VARCHAR, 9, '0') AS source, length(text) AS chunks FROM documents
         )
-        SELECT school, row_number() OVER (PARTITION BY school ORDER BY CASE role WHEN 'classic' THEN 0 WHEN 'lecture' THEN 1 WHEN 'case' THEN 2 ELSE 9 END, source)::INT AS place,
+        SELECT school, CASE role WHEN 'classic' THEN 0 WHEN 'lecture' THEN 1 WHEN 'case' THEN 2 ELSE 9 END::INT AS role_rank, source,
                rpad(substr(source, 1, 34), 36, ' ') || ' ' || rpad(school, 12, ' ') || ' ' || rpad(role, 8, ' ') || ' ' || lpad(chunks::VARCHAR, 6, ' ') || ' ready' AS line, count(*) OVER (PARTITION BY school) AS documents FROM r""",
     "usage_counters": "SELECT source, count(*) AS texts, sum(length(text))::BIGINT AS tokens FROM documents GROUP BY source",
     "opinions_normalised": f"""
@@ -281,6 +316,24 @@ ORACLES = {
         SELECT conv_id AS session_id, (generate_subscripts(e, 1) - 1)::INT AS seq, unnest(e) AS event FROM e""",
     "reassembled_frames": """
         SELECT event_id % 97 AS stream, (row_number() OVER (PARTITION BY event_id % 97 ORDER BY event_id) - 1)::INT AS event_no, event_type AS event, props AS data FROM events""",
+    "extracted_texts": """
+        WITH d AS (SELECT 'f' || doc_id::VARCHAR || CASE doc_id % 2 WHEN 0 THEN '.txt' ELSE '.epub' END AS name, text FROM documents)
+        SELECT name, 'txt' AS format, length(text)::INT AS chars, 0 AS pages, floor(length(text) * 1000.0::DOUBLE + 0.5) / 1000 AS density, '' AS note, sha256(text) AS digest, md5(text) AS text_digest FROM d""",
+    "front_matter_rows": """
+        SELECT doc_id, lang AS title, source, 2 AS pairs, md5(text) AS digest FROM documents""",
+    "unified_text": r"""
+        WITH a AS (SELECT doc_id, '“' || chr(8203) || replace(text, chr(10), chr(13) || chr(10) || chr(10) || chr(10)) || '”' || chr(12288) || ' ‘x’ ' || chr(9) || ' (汤 ，  「 好  」' || chr(13) || chr(10) AS t FROM documents),
+        b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '!\[[^\]]*\]\([^)]*\)', '', 'g'), '`{1,3}', '', 'g'), '(?m)^[ \t]*[-=]{3,}[ \t]*$', '', 'g'), '[ \t]{2,}', ' ', 'g') AS t FROM a),
+        c AS (SELECT doc_id, regexp_replace(replace(t, chr(8203), ''), '\r\n?', chr(10), 'g') AS t FROM b),
+        e AS (SELECT doc_id, regexp_replace(translate(t, '“”‘’' || chr(12288) || '﹑‧', '「」『』 、·'), '[ \t]{2,}', ' ', 'g') AS t FROM c),
+        f AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '([一-鿿])\s+([，。、；：！？）」』])', '\1\2', 'g'), '([（「『])\s+', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS t FROM e),
+        g AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+(\n|$)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM f)
+        SELECT doc_id, length(t)::INT AS chars, md5(t) AS digest FROM g""",
+    "fitted_vectors": """
+        WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+        n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e[1:5], lambda x: x * x))) AS short, sqrt(list_sum(list_transform(e[1:100], lambda x: x * x))) AS long FROM v)
+        SELECT vec_id, 5 AS n_short, floor(list_sum(e[1:5]) / CASE WHEN short > 0 THEN short ELSE 1 END * 1e6 + 0.5) / 1e6 AS sum_short, 100 AS n_long,
+               floor(list_sum(e[1:100]) / CASE WHEN long > 0 THEN long ELSE 1 END * 1e6 + 0.5) / 1e6 AS sum_long, floor(e[1] / CASE WHEN long > 0 THEN long ELSE 1 END * 1e6 + 0.5) / 1e6 AS first FROM n""",
     "encoder_self_check": """
         WITH p AS (SELECT q.vec_id AS q, e.vec_id AS v, floor(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) * 1e6 + 0.5) / 1e6 AS s FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id % 100 = 0),
         t AS (SELECT q, max(s) FILTER (q = v) AS own, max(s) FILTER (q <> v) AS other FROM p GROUP BY q)

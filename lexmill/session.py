@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,12 +45,31 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-def stage(frame: DataFrame, name: str, files: int | None = None) -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are staged inside, unless kept, are removed at the end."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def stage(frame: DataFrame, name: str, files: int | None = None, keep: bool = False) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage ends here, and lost executors cost nothing.
 
-    `files` bounds the number of files of a table known to be small.
+    `files` bounds the number of files of a table known to be small; a kept table outlives the scratch() it is made in.
     """
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/lexmill/{name}-{uuid.uuid4().hex}"
+    if _scopes and not keep:
+        _scopes[-1].append(path)
     (frame.coalesce(files) if files else frame).write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
