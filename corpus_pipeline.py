@@ -11,7 +11,7 @@ from lexmill.llm.packing import pack
 from lexmill.llm.quality import keep_good
 from lexmill.llm.queries import tokenizer_path
 from lexmill.llm.toxicity import drop_toxic
-from lexmill.session import stage
+from lexmill.session import scratch, stage
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +52,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is written as Parquet and read again."""
+    """All stages over documents; what each returns is written as Parquet and read again, and what it staged is removed."""
     docs = table(spark, sf_dir, "documents")
     for name, function in STAGES[:-1]:
-        docs = stage(function(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs = stage(function(spark, docs, sf_dir), name, keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
