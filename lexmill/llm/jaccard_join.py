@@ -369,54 +369,48 @@ def region_edges(m: np.ndarray, h: np.ndarray, items: list[bytes], pm: np.ndarra
     return star_edges(m, h, join_region([np.frombuffer(x, np.int64) for x in items], known))
 
 
-def cut_into_cells(members: pa.Table, pivots: pa.Table) -> pa.Table:
-    """Voronoi cells of some members of a region, by the pivots of the whole region.
-
-    A member's home is its nearest pivot's cell (ties: the first pivot). It is replicated to the cell of an earlier pivot
-    where it is at most twice the radius further from that pivot than from its own: by the triangle inequality no member
-    at home there is within the radius of it otherwise, so of any two members within the radius one comes to the home of
-    the other. Members within the radius of a pivot get that pivot's group (pm, ph): pivots that are linked among
-    themselves are one group, named by its first pivot. Without pivots all stay in one cell.
+MEASURED = "pivot_hi long, pivot_lo long, path string, m long, h long, n long, items binary, members long, weight long, cell int, into array<int>, pm long, ph long"
+
+
+def measure(members: pa.Table, pivots: pa.Table) -> pa.Table:
+    """Some members of a region against the pivots of the whole region: Voronoi cell, windows, group.
+
+    A member's cell is that of its nearest pivot (ties: the first pivot). `into` has the cells of earlier pivots from which
+    it is at most twice the radius further than from its own: by the triangle inequality no member at home elsewhere is
+    within the radius of it, so of any two members within the radius one comes into the home of the other. A member within
+    the radius of its nearest pivot gets that pivot's group (pm, ph): pivots that are linked among themselves are one group,
+    named by its first pivot. Without pivots there is one cell.
     """
     sets = [np.frombuffer(x, np.int64) for x in members["items"].to_pylist()]
     order = np.lexsort((pivots["h"].to_numpy(), pivots["m"].to_numpy()))
     centres = [np.frombuffer(x, np.int64) for x in pivots["items"].take(pa.array(order)).to_pylist()]
     names = [pivots[c].to_numpy()[order] for c in ("m", "h")]
-    size = np.array([len(x) for x in sets])
-    flat, starts = np.concatenate(sets), np.cumsum(size) - size
-    if not centres:
-        row, cell, home, group = np.arange(len(sets)), np.zeros(len(sets), np.int64), np.ones(len(sets), bool), np.full(len(sets), -1)
-    else:
+    cell, into, group = np.zeros(len(sets), np.int64), [[] for _ in sets], np.full(len(sets), -1)
+    if centres and sets:
+        size, rows = np.array([len(x) for x in sets]), np.arange(len(sets))
+        flat, starts = np.concatenate(sets), np.cumsum(size) - size
         shared = np.stack([overlaps(c, flat, starts) for c in centres], axis=1)
         union = size[:, None] + np.array([len(c) for c in centres]) - shared
         distance = 1 - shared / union
-        nearest = distance.argmin(axis=1)
-        into = (distance <= distance[np.arange(len(sets)), nearest][:, None] + 2 * RADIUS + 1e-9) & (np.arange(len(centres)) < nearest[:, None])
-        into[np.arange(len(sets)), nearest] = True
-        row, cell = np.nonzero(into)
-        home = cell == nearest[row]
-        inside = (DENOMINATOR * shared >= NUMERATOR * union).any(axis=1)
-        linked = join_region(centres)
-        _, first, which = np.unique(linked, return_index=True, return_inverse=True)
-        within = DENOMINATOR * shared[np.arange(len(sets)), nearest] >= NUMERATOR * union[np.arange(len(sets)), nearest]
-        group = np.where(inside & within, first[which][nearest], -1)[row]
-    named = group >= 0
-    pick = [pa.array(np.where(named, n[group] if len(n) else 0, 0), pa.int64(), mask=~named) for n in names]
-    path = members["path"].take(pa.array(row))
-    out = {c: members[c].take(pa.array(row)) for c in ("pivot_hi", "pivot_lo", "m", "h", "n", "items", "weight")}
-    out |= {"path": pc.binary_join_element_wise(path, pa.array(cell).cast(pa.string()), "/"), "home": pa.array(home), "pm": pick[0], "ph": pick[1]}
-    return pa.table({c: out[c] for c in CELL_COLUMNS})
-
-
-CELL_COLUMNS = ("pivot_hi", "pivot_lo", "path", "m", "h", "n", "items", "weight", "home", "pm", "ph")
-CELL_SCHEMA = "pivot_hi long, pivot_lo long, path string, m long, h long, n long, items binary, weight long, home boolean, pm long, ph long"
+        cell = distance.argmin(axis=1)
+        near = (distance <= distance[rows, cell][:, None] + 2 * RADIUS + 1e-9) & (np.arange(len(centres)) < cell[:, None])
+        into = [np.flatnonzero(x) for x in near]
+        _, first, which = np.unique(join_region(centres), return_index=True, return_inverse=True)
+        within = DENOMINATOR * shared[rows, cell] >= NUMERATOR * union[rows, cell]
+        group = np.where(within, first[which][cell], -1)
+    own = [pa.array(np.where(group >= 0, n[group], 0) if len(n) else np.zeros(len(sets), np.int64), pa.int64(), mask=group < 0) for n in names]
+    kept = ("pivot_hi", "pivot_lo", "path", "m", "h", "n", "items", "members", "weight")
+    return pa.table([members[c] for c in kept] + [pa.array(cell, pa.int32()), pa.array(into, pa.list_(pa.int32())), *own], names=[*kept, "cell", "into", "pm", "ph"])
 
 
 def cells(regions: DataFrame, depth: int) -> DataFrame:
-    """Cut weighed regions (pivot_hi, pivot_lo, path, m, h, n, items, members, weight) into the cells of their own pivots.
+    """Cut weighed regions (pivot_hi, pivot_lo, path, m, h, n, items, members, weight) into the cells of their own pivots:
+    one row for each member and cell that it is at home in or comes into, with `home`, its group and the cell's path.
 
     Pivots are drawn among a region's members by hash, two for each CELL of weight within the bounds PIVOTS. A region's
-    members are dealt to as many tasks as it has CELLs, and its pivots go to each of these.
+    members are dealt to as many tasks as it has CELLs, and its pivots go to each of these. A member of a group doesn't
+    come into a cell whose members are all of that group, since these are connected with it already; so a dense region of
+    near copies is measured against its pivots and nothing else.
     """
     key = ["pivot_hi", "pivot_lo", "path"]
     parts = F.ceil(F.col("weight") / CELL).cast("int")
@@ -424,12 +418,18 @@ def cells(regions: DataFrame, depth: int) -> DataFrame:
     wanted = F.least(F.greatest(2 * F.col("parts"), F.lit(PIVOTS[0])), F.lit(PIVOTS[1]))
     draw = F.pmod(F.xxhash64("m", "h", F.lit(depth)), F.lit(1_000_000)) / 1_000_000
     drawn = dealt.filter(draw < wanted / F.col("members")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    left, right = dealt.select(*key, "part", "m", "h", "n", "items", "weight"), drawn.select(*(F.col(c).alias(f"pivot_{c}") for c in (*key, "part", "m", "h", "items")))
-    # a part without members may still have pivots
-    work = lambda a, b: cut_into_cells(a, b.select(["pivot_m", "pivot_h", "pivot_items"]).rename_columns(["m", "h", "items"])) if a.num_rows else pa.table({c: [] for c in CELL_COLUMNS}, pa.schema([
-        (c, pa.string() if c == "path" else pa.binary() if c == "items" else pa.bool_() if c == "home" else pa.int64()) for c in CELL_COLUMNS
-    ]))
-    return left.groupBy(*key, "part").cogroup(right.groupBy(*(f"pivot_{c}" for c in (*key, "part")))).applyInArrow(work, CELL_SCHEMA)
+    left, right = dealt.select(*key, "part", "m", "h", "n", "items", "members", "weight"), drawn.select(*(F.col(c).alias(f"pivot_{c}") for c in (*key, "part", "m", "h", "items")))
+    work = lambda a, b: measure(a, b.select(["pivot_m", "pivot_h", "pivot_items"]).rename_columns(["m", "h", "items"]))
+    measured = stage(left.groupBy(*key, "part").cogroup(right.groupBy(*(f"pivot_{c}" for c in (*key, "part")))).applyInArrow(work, MEASURED).filter("m is not null"), "measured")
+    group = F.struct("pm", "ph")
+    alike = measured.groupBy(*key, "cell").agg(F.count("*").alias("all"), F.count("pm").alias("inner"), F.min(group).alias("low"), F.max(group).alias("high"))
+    # at most PIVOTS cells a region
+    one = F.when((F.col("inner") == F.col("all")) & (F.col("low") == F.col("high")), F.struct("cell", F.col("low.pm").alias("pm"), F.col("low.ph").alias("ph")))
+    single = alike.groupBy(*key).agg(F.sum("all").alias("all"), F.collect_list(one).alias("single"))
+    met = join_groups(measured, single, key, "all", measured.count())
+    same = lambda c: F.exists("single", lambda x: (x["cell"] == c) & x["pm"].eqNullSafe(F.col("pm")) & x["ph"].eqNullSafe(F.col("ph")))
+    placed = met.withColumn("at", F.explode(F.concat(F.array("cell"), F.filter("into", lambda c: ~same(c)))))
+    return placed.select("pivot_hi", "pivot_lo", F.concat_ws("/", "path", "at").alias("path"), "m", "h", "n", "items", "weight", (F.col("at") == F.col("cell")).alias("home"), "pm", "ph")
 
 
 def region_links(regions: DataFrame, sets: DataFrame) -> DataFrame:
@@ -449,7 +449,7 @@ def region_links(regions: DataFrame, sets: DataFrame) -> DataFrame:
     for depth in range(DEPTH):
         if large is None or (depth and large.isEmpty()):
             break
-        cut = stage(cells(large, depth), "cells")
+        cut = cells(large, depth)
         edges.append(cut.filter("home and pm is not null").select(F.col("pm").alias("am"), F.col("ph").alias("ah"), F.col("m").alias("bm"), F.col("h").alias("bh")))
         group = F.struct("pm", "ph")
         sizes = cut.groupBy(*key).agg(

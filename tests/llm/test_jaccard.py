@@ -76,16 +76,46 @@ def test_windows_lose_no_pair():
         sets = [np.unique(np.concatenate([base[rng.random(60) > rng.choice([0.05, 0.2, 0.4])], rng.integers(0, 1 << 40, rng.integers(1, 20))])) for _ in range(40)]
         table = pa.table({
             "pivot_hi": pa.array([1] * 40), "pivot_lo": pa.array([2] * 40), "path": pa.array([""] * 40), "m": pa.array(range(40)), "h": pa.array(range(40)),
-            "n": pa.array([len(x) for x in sets]), "items": pa.array([x.tobytes() for x in sets], pa.binary()), "weight": pa.array([9] * 40),
+            "n": pa.array([len(x) for x in sets]), "items": pa.array([x.tobytes() for x in sets], pa.binary()), "members": pa.array([40] * 40), "weight": pa.array([9] * 40),
         })
-        out = j.cut_into_cells(table, table.slice(0, 5)).to_pylist()
+        out = j.measure(table, table.slice(0, 5)).to_pylist()
         met = {}
         for r in out:
-            met.setdefault(r["path"], []).append((r["m"], r["home"]))
+            for c in [r["cell"], *r["into"]]:
+                met.setdefault(c, []).append((r["m"], c == r["cell"]))
         pairs = {(a, b) for members in met.values() for a, home_a in members for b, home_b in members if home_a or home_b}
         near = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))
         assert all((a, b) in pairs for a in range(40) for b in range(a) if near(a, b))
-        assert sorted(r["m"] for r in out if r["home"]) == list(range(40))
+        assert sorted(r["m"] for r in out) == list(range(40))
+        linked = slow_links(sets[:5])
+        for r in out:
+            if r["pm"] is not None:
+                assert near(r["m"], r["cell"]) and linked[r["pm"]] == linked[r["cell"]]
+
+
+def slow_links(sets):
+    """Component of each set by comparing every two."""
+    out = list(range(len(sets)))
+    for _ in sets:
+        for a in range(len(sets)):
+            for b in range(len(sets)):
+                if 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b])):
+                    out[a] = out[b] = min(out[a], out[b])
+    return out
+
+
+def test_dense_regions_are_only_measured(spark, monkeypatch):
+    """A large region of near copies is linked through its pivots; no member comes into another's cell."""
+    monkeypatch.setattr(j, "CELL", 2000)
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(w if rng.random() > 0.001 else "x" for w in base) + f" e{i}") for i in range(80)]
+    plan = []
+    real = j.cells
+    monkeypatch.setattr(j, "cells", lambda regions, depth: plan.append(real(regions, depth)) or plan[-1])
+    got = sorted(map(tuple, j.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == slow_classes(rows) and plan
+    assert all(r["home"] for r in plan[0].select("home").distinct().collect())
 
 
 def test_one_id_with_two_texts(spark):
