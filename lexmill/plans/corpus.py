@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import LATIN, fingerprint, half_up, html_to_markdown, script_ratio, sections, squeeze_blank_lines
+from lexmill.functions.text import LATIN, fingerprint, html_to_markdown, script_ratio, sections, squeeze_blank_lines
 from lexmill.operators import chunking, corpus, store
 from lexmill.operators.retrieval import ranked
 from lexmill.plans.search import table
