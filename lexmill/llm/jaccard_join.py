@@ -31,8 +31,8 @@ SLICE = 1 << 18
 PIVOTS, DEPTH = (8, 64), 4
 #: Rows that one file of a staged table of numbers has about, and files that it has at least.
 ROWS, FILES = 20_000, 4
-#: Documents beyond which ids are joined by shuffling instead of broadcast.
-BROADCAST_IDS = 500_000
+#: Documents beyond which ids are joined by shuffling instead of broadcast, and regions over CELL likewise.
+BROADCAST_IDS, HEAVY = 500_000, 1000
 CACHE = 100_000
 POWERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -215,8 +215,8 @@ def spread(rows: DataFrame, limit: int) -> DataFrame:
     return one.unionByName(many)
 
 
-def grouped(frame: DataFrame, key: list[str], values: list[str], work: Callable[..., tuple[np.ndarray, ...]], schema: str) -> DataFrame:
-    """Run work on the columns of each key's rows, one key at a time, many keys a task. Numbers come as arrays and
+def grouped(frame: DataFrame, key: list[str], values: list[str], work: Callable[..., tuple[np.ndarray, ...]], schema: str, named: bool = False) -> DataFrame:
+    """Run work on the columns of each key's rows, one key at a time, many keys a task; `named` puts the key before its results. Numbers come as arrays and
     are never null, all else as lists; work gives arrays of longs."""
     rows = frame.select(*key, *values).repartition(*key).sortWithinPartitions(*key, *values[:2])
     names = [x.split()[0] for x in schema.split(", ")]
@@ -226,7 +226,8 @@ def grouped(frame: DataFrame, key: list[str], values: list[str], work: Callable[
 
         def finish() -> None:
             whole = held[0] if len(held) == 1 else [np.concatenate(c) if isinstance(c[0], np.ndarray) else [x for p in c for x in p] for c in zip(*held, strict=True)]
-            out.append(work(*whole))
+            found = work(*whole)
+            out.append((*(np.full(len(found[0]), x) for x in last), *found) if named else found)
             held.clear()
 
         for batch in batches:
@@ -254,8 +255,8 @@ def grouped(frame: DataFrame, key: list[str], values: list[str], work: Callable[
     return rows.mapInArrow(run, schema)
 
 
-def hopeful(m: np.ndarray, h: np.ndarray, sizes: np.ndarray, sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Members of a region that may have another within the radius, by size and odd sketch.
+def hopeful(m: np.ndarray, h: np.ndarray, sizes: np.ndarray, sketches: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Members of a region that may have another within the radius in it, by size and odd sketch, with their sizes.
 
     Sets within the radius differ in at most a seventh of their items, (1 - t) / (1 + t) of both sizes together; two
     sketches that differ in more bits rule that out. A member that has found a partner isn't compared any further.
@@ -280,7 +281,7 @@ def hopeful(m: np.ndarray, h: np.ndarray, sizes: np.ndarray, sketches: list[byte
                 good = near[differ * (DENOMINATOR + NUMERATOR) <= (size[near] + size[k]) * (DENOMINATOR - NUMERATOR)]
                 if len(good):
                     found[pick[good]] = found[pick[k]] = True
-    return m[found], h[found]
+    return m[found], h[found], sizes[found]
 
 
 def overlaps(one: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -443,8 +444,12 @@ def region_links(regions: DataFrame, sets: DataFrame) -> DataFrame:
     none = F.lit(None).cast("long")
     whole = lambda some: some.join(sets.select("m", "h", "items"), ["m", "h"]).withColumn("path", F.lit(""))
     small, large = regions.filter(F.col("weight") <= CELL), regions.filter(F.col("weight") > CELL)
+    if large.isEmpty():
+        large = None
+    else:
+        sets = stage(sets, "sets")
+        large = whole(large)
     done, edges = [whole(small).withColumns({"pm": none, "ph": none})], []
-    large = None if large.isEmpty() else whole(large)
     for depth in range(DEPTH):
         if large is None or (depth and large.isEmpty()):
             break
@@ -523,12 +528,16 @@ def set_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     key = ["pivot_hi", "pivot_lo"]
     bits = heads.select("hi", "lo", "bits").join(groups.select("hi", "lo", "m", "n"), ["hi", "lo"]).dropDuplicates(["hi", "lo"])
     members = stage(seed_regions(heads, total).join(bits, ["hi", "lo"]).select(*key, "m", F.col("hi").alias("h"), "n", "bits"), "regions", files(4 * total))
-    sized = weighed(members, key)
-    some = grouped(sized.filter(F.col("weight") <= CELL), key, ["m", "h", "n", "bits"], hopeful, "m long, h long")
-    kept = some.unionByName(sized.filter(F.col("weight") > CELL).select("m", "h")).distinct()
-    sets = stage(shingle_sets(docs, stage(kept, "hopeful", files(total))), "sets", files(total))
-    live = stage(members.select(*key, "m", "h", "n").join(sets.select("m", "h"), ["m", "h"], "left_semi"), "live", files(total))
-    links = stage(region_links(stage(weighed(live, key), "weighed", files(total)), sets), "links", files(total))
+    # regions too large to be compared all with all, even by sketches: they go on whole
+    heavy = members.groupBy(*key).agg(F.sum(F.col("n") + MEMBER).alias("weight")).filter(F.col("weight") > CELL).select(*key)
+    number = heavy.count()
+    heavy = F.broadcast(heavy) if number <= HEAVY else heavy
+    light = members.join(heavy, key, "left_anti") if number else members
+    live = grouped(light, key, ["m", "h", "n", "bits"], hopeful, ", ".join(f"{c} long" for c in (*key, "m", "h", "n")), named=True)
+    if number:
+        live = live.unionByName(members.join(heavy, key, "left_semi").select(*key, "m", "h", "n"))
+    regions = stage(weighed(stage(live, "live", files(total)), key), "weighed", files(total))
+    links = stage(region_links(regions, shingle_sets(docs, regions.select("m", "h").distinct())), "links", files(total))
     labels = classes(links.select(F.struct(F.col("am").alias("m"), F.col("ah").alias("h")).alias("a"), F.struct(F.col("bm").alias("m"), F.col("bh").alias("h")).alias("b")))
     own = groups.select("hi", "lo", "size", "m", "h", "t", F.struct("m", "h").alias("node"))
     labelled = own.join(labels, "node", "left").select("hi", "lo", "size", "m", "h", "t", F.coalesce("label", "node").alias("label"))
