@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +16,10 @@ from pyspark.sql import functions as F
 from lexmill.llm.common import crc_mod, in_slices
 
 #: Labelled documents a language that the model is fitted on; they alone bound its words and n-grams.
-PER_LANGUAGE = 250
+PER_LANGUAGE = 500
 LONGEST = 5
 #: Words that a worker remembers the scores of, and words of a text that are summed at once.
-CACHE = 100_000
+CACHE = 200_000
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -39,33 +40,41 @@ class LanguageModel:
         rows = np.array([*words.values(), *grams.values()], np.float32).reshape(-1, len(languages))
         return cls(languages, {w: i for i, w in enumerate(words)}, {g: len(words) + i for i, g in enumerate(grams)}, rows)
 
-    def word(self, word: str) -> np.ndarray:
-        """The word's own log frequencies, else the mean over its known n-grams of the greatest length that has any."""
+    def places(self, word: str) -> list[int]:
+        """Row of the word itself, else the rows of its known n-grams of the greatest length that has any, else none."""
         known = self.words.get(word)
         if known is not None:
-            return self.rows[known]
-        marked = f"<{word}>"
+            return [known]
+        marked, get = f"<{word}>", self.grams.get
         for n in range(min(LONGEST, len(marked)), 0, -1):
-            found = [g for i in range(len(marked) - n + 1) if (g := self.grams.get(marked[i : i + n])) is not None]
+            found = [g for i in range(len(marked) - n + 1) if (g := get(marked[i : i + n])) is not None]
             if found:
-                return self.rows[found].mean(axis=0)
-        return np.zeros(len(self.languages))
+                return found
+        return []
+
+    def score(self, words: list[str]) -> np.ndarray:
+        """The mean over each word's places; a word without any says nothing."""
+        places = list(map(self.places, words))
+        counts = np.fromiter(map(len, places), np.int64, len(places))
+        out, some = np.zeros((len(words), len(self.languages))), counts > 0
+        if some.any():
+            flat = np.fromiter(chain.from_iterable(places), np.int64, int(counts.sum()))
+            starts = (np.cumsum(counts) - counts)[some]
+            out[some] = np.add.reduceat(self.rows[flat].astype(np.float64), starts, axis=0) / counts[some][:, None]
+        return out
+
+    def word(self, word: str) -> np.ndarray:
+        return self.score([word])[0]
 
 
 class WordScores(dict):
-    """Row of each word in a score table, filled when a word is first seen."""
+    """Row of each word in a score table, filled when words are first seen."""
 
     def __init__(self, model: LanguageModel):
         super().__init__()
         self.model = model
         self.rows = np.zeros((2 * CACHE, len(model.languages)))
 
-    def __missing__(self, word: str) -> int:
-        row = len(self)
-        self.rows[row] = self.model.word(word)
-        self[word] = row
-        return row
-
     def total(self, words: list[str]) -> np.ndarray:
         """Sum over the words, CACHE of them at a time, so that a text of any length stays within the table."""
         out = np.zeros(len(self.model.languages))
@@ -73,6 +82,11 @@ class WordScores(dict):
             if len(self) > CACHE:
                 self.clear()
             part = words[at : at + CACHE]
+            fresh = [w for w in dict.fromkeys(part) if w not in self]
+            if fresh:
+                have = len(self)
+                self.rows[have : have + len(fresh)] = self.model.score(fresh)
+                self.update(zip(fresh, range(have, have + len(fresh)), strict=True))
             out += self.rows[np.fromiter(map(self.__getitem__, part), np.int64, len(part))].sum(axis=0)
         return out
 
