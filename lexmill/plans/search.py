@@ -56,6 +56,13 @@ def dense_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.dense_top_k(rows, vector_queries(spark, sf_dir), K)
 
 
+def dense_topk_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of one encoder's vector space only; labels stand for two encoders."""
+    space = F.when(F.col("label") % 2 == 0, "even@64").otherwise("odd@64")
+    rows = table(spark, sf_dir, "embeddings").withColumn("embedder_id", space)
+    return r.dense_top_k(r.one_space(rows, "even@64"), vector_queries(spark, sf_dir), K)
+
+
 def text_channels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Dense and sparse candidates of each benchmark passage."""
     docs = table(spark, sf_dir, "documents")
@@ -266,7 +273,7 @@ FUSED = f"""
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_topk, bm25_candidate_stats, dense_topk, dense_topk_filtered, rrf_fusion, hybrid_search, tiered_quota_topk, hash_embedding, lexical_rerank, rerank_reuse,
+        bm25_topk, bm25_candidate_stats, dense_topk, dense_topk_filtered, dense_topk_space, rrf_fusion, hybrid_search, tiered_quota_topk, hash_embedding, lexical_rerank, rerank_reuse,
         random_baseline, recall_mrr, validity_checks, term_statistics, token_counts, encoder_check,
     )
 }
@@ -286,6 +293,7 @@ ORACLES = {
     """,
     "dense_topk": DENSE.format("", K),
     "dense_topk_filtered": DENSE.format("WHERE label IN (0, 1, 2)", K),
+    "dense_topk_space": DENSE.format("WHERE label % 2 = 0", K),
     "rrf_fusion": f"WITH {BM25}, {FUSED} SELECT * REPLACE (coalesce(dense_rank, 0) AS dense_rank, coalesce(sparse_rank, 0) AS sparse_rank) FROM fused",
     "hybrid_search": f"""
         WITH {BM25}, {FUSED}
