@@ -536,7 +536,7 @@ def set_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     live = grouped(light, key, ["m", "h", "n", "bits"], hopeful, ", ".join(f"{c} long" for c in (*key, "m", "h", "n")), named=True)
     if number:
         live = live.unionByName(members.join(heavy, key, "left_semi").select(*key, "m", "h", "n"))
-    regions = stage(weighed(stage(live, "live", files(total)), key), "weighed", files(total))
+    regions = stage(weighed(stage(live, "live"), key), "weighed", files(total))
     links = stage(region_links(regions, shingle_sets(docs, regions.select("m", "h").distinct())), "links", files(total))
     labels = classes(links.select(F.struct(F.col("am").alias("m"), F.col("ah").alias("h")).alias("a"), F.struct(F.col("bm").alias("m"), F.col("bh").alias("h")).alias("b")))
     own = groups.select("hi", "lo", "size", "m", "h", "t", F.struct("m", "h").alias("node"))
