@@ -74,6 +74,18 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.turns import damage, repair_report
+
+    return repair_report(damage(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
@@ -85,6 +97,8 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_sharding": op9_sharding,
     "op10_html_text": op10_html_text,
+    "op12_whitening": op12_whitening,
+    "op13_turn_repair": op13_turn_repair,
 }
 
 ORACLES = {
