@@ -118,9 +118,9 @@ def range_finder(times, size: int, components: int, oversampling: int = OVERSAMP
     """(eigenvalues, eigenvectors as columns, went to full dimension) of a symmetric matrix known by its products times(Q).
 
     Gaussian test vectors, `oversampling` more than components, are multiplied by the matrix and made orthogonal; each
-    further pass raises the power. After each product Rayleigh-Ritz gives vectors, whose residuals against the gap to the
-    next value bound their error. If no pass brings that to double precision, the basis grows to the full dimension, where
-    Rayleigh-Ritz is exact.
+    further pass raises the power. After each product Rayleigh-Ritz gives vectors; they are taken when their residuals are
+    as small as rounding leaves them in a dense solver. If no pass gets there, the basis grows to the full dimension,
+    where Rayleigh-Ritz is exact.
     """
     eps = np.finfo(np.float64).eps
     wide = min(size, components + oversampling)
@@ -137,8 +137,7 @@ def range_finder(times, size: int, components: int, oversampling: int = OVERSAMP
         if basis.shape[1] == size:
             return values, vectors, True
         residual = np.linalg.norm(image @ inner - vectors * values, axis=0)
-        gaps = np.array([np.min(np.abs(np.delete(values, j) - values[j])) for j in range(components)])
-        if turn and (residual[:components] <= 8 * eps * np.maximum(gaps, eps * abs(values[0]))).all():
+        if turn and (residual[:components] <= 4 * np.sqrt(size) * eps * values[0]).all():
             return values, vectors, False
         basis = np.linalg.qr(image)[0]
     raise AssertionError("the full dimension always ends it")
