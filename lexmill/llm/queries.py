@@ -74,6 +74,12 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexmill.llm.whitening import whiten
 
@@ -97,6 +103,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_sharding": op9_sharding,
     "op10_html_text": op10_html_text,
+    "op11_pii": op11_pii,
     "op12_whitening": op12_whitening,
     "op13_turn_repair": op13_turn_repair,
 }
