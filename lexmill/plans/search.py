@@ -9,7 +9,8 @@ from lexmill.functions.text import feature_tokens, half_up, label, let, search_t
 from lexmill.functions.vectors import cosine, hash_vectors, unit_vectors
 from lexmill.operators import retrieval as r
 from lexmill.operators.evaluation import channel_metrics, validity
-from lexmill.session import stage
+from lexmill.operators.postings import PostingsIndex, postings_top_k
+from lexmill.session import remove, stage
 
 K = 10
 TOP = 4
@@ -37,6 +38,26 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.bm25_top_k(table(spark, sf_dir, "documents"), words(F.col("text")), query_terms(spark, sf_dir), K)
 
 
+def postings_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bm25_topk from a persistent index that took the documents in as two batches; the index goes once the result is written."""
+    docs = table(spark, sf_dir, "documents")
+    index = PostingsIndex(spark)
+    for batch in range(2):
+        index.append(docs.filter(F.pmod("doc_id", F.lit(2)) == batch), words(F.col("text")), batch)
+    found = postings_top_k(index, query_terms(spark, sf_dir), K)
+    remove(spark, index.path)
+    return found
+
+
+def postings_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document frequency of every term, from the counts of the index's blocks."""
+    index = PostingsIndex(spark)
+    index.append(table(spark, sf_dir, "documents"), words(F.col("text")), 0)
+    found = stage(index.frequencies(), "frequencies")
+    remove(spark, index.path)
+    return found
+
+
 def bm25_candidate_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 with the statistics of each query's first 800 candidates, by id."""
     return r.bm25_of_candidates(table(spark, sf_dir, "documents"), words(F.col("text")), query_terms(spark, sf_dir), K)
@@ -273,13 +294,17 @@ FUSED = f"""
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_topk, bm25_candidate_stats, dense_topk, dense_topk_filtered, dense_topk_space, rrf_fusion, hybrid_search, tiered_quota_topk, hash_embedding, lexical_rerank, rerank_reuse,
+        bm25_topk, postings_topk, postings_frequencies, bm25_candidate_stats, dense_topk, dense_topk_filtered, dense_topk_space, rrf_fusion, hybrid_search, tiered_quota_topk, hash_embedding, lexical_rerank, rerank_reuse,
         random_baseline, recall_mrr, validity_checks, term_statistics, token_counts, encoder_check,
     )
 }
 
 ORACLES = {
     "bm25_topk": f"WITH {BM25} SELECT query_id, doc_id, score, rank FROM sparse WHERE rank <= {K}",
+    "postings_topk": f"WITH {BM25} SELECT query_id, doc_id, score, rank FROM sparse WHERE rank <= {K}",
+    "postings_frequencies": """
+        SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY term
+    """,
     "bm25_candidate_stats": f"""
         WITH {BM25},
         cand AS (SELECT * FROM (SELECT query_id, doc_id, dl, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS nth

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -45,21 +46,43 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-_scopes: list[list[str]] = []
+class _Scopes(threading.local):
+    """Open scopes of this thread, by session: what each has to remove."""
+
+    def __init__(self):
+        self.open: dict[str, list[list[tuple[str, str]]]] = {}
+
+    def of(self, spark: SparkSession) -> list[list[tuple[str, str]]]:
+        return self.open.setdefault(spark._jsparkSession.sessionUUID(), [])
+
+
+_scopes = _Scopes()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard_later(spark: SparkSession, path: str, table: str | None = None) -> None:
+    """Have the scratch() around remove a folder, and a catalog table over it; without one, they stay."""
+    held = _scopes.of(spark)
+    if held:
+        held[-1].append((path, table or ""))
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that are staged inside, unless kept, are removed at the end."""
-    paths: list[str] = []
-    _scopes.append(paths)
+    """What this session stages inside on this thread, unless kept, is removed at the end."""
+    held = _scopes.of(spark)
+    held.append([])
     try:
         yield
     finally:
-        _scopes.pop()
-        for path in paths:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        for path, table in held.pop():
+            if table:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
+            remove(spark, path)
 
 
 def stage(frame: DataFrame, name: str, files: int | None = None, keep: bool = False) -> DataFrame:
@@ -69,7 +92,7 @@ def stage(frame: DataFrame, name: str, files: int | None = None, keep: bool = Fa
     """
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/lexmill/{name}-{uuid.uuid4().hex}"
-    if _scopes and not keep:
-        _scopes[-1].append(path)
+    if not keep:
+        discard_later(spark, path)
     (frame.coalesce(files) if files else frame).write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
