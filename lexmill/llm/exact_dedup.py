@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import ascii_lower, free_name, join_groups
-from lexmill.session import shared_dir, stage
+from lexmill.session import remove, shared_dir, stage
 
 #: Buckets of a new index at least, and digests that one bucket of it has about.
 BUCKETS, PER_BUCKET = 16, 1 << 20
@@ -66,8 +66,14 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.name)
         return self.spark.table(self.name)
 
-    def batches(self) -> set[str]:
-        return {r["batch"] for r in self.table().select("batch").distinct().collect()}
+    def held(self, names: list[str]) -> set[str]:
+        """Those of the named batches that are in the index."""
+        return {r["batch"] for r in self.table().filter(F.col("batch").isin(names)).select("batch").distinct().collect()}
+
+    def remove(self) -> None:
+        """Drop the table and delete the index."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove(self.spark, self.path)
 
     def read(self, own: list[str] | None = None, new: list[str] | None = None) -> DataFrame:
         """(digest, keep_id, copies, mine, fresh): one row a digest, its rows in all batches counted, without a shuffle; mine
@@ -96,9 +102,9 @@ class DigestIndex:
 
 
 def digest_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, copies): SHA-256 of the text with A-Z lower-cased, rows with equal id and text counted."""
+    """(doc_id, digest, place): SHA-256 of the text with A-Z lower-cased, one row a document; places differ once written."""
     text = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
-    return docs.select("doc_id", F.sha2(text.cast("binary"), 256).alias("digest")).groupBy("doc_id", "digest").agg(F.count("*").alias("copies"))
+    return docs.select("doc_id", F.sha2(text.cast("binary"), 256).alias("digest"), F.monotonically_increasing_id().alias("place"))
 
 
 def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, ranges: int = RANGES, resume: bool = False) -> DataFrame:
@@ -115,42 +121,46 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, ranges:
     before, which may have failed at any point.
 
     A group of any size is a count and a maximum, summed before the shuffle; the largest groups, by the call's own
-    counts, are joined back by broadcast (fewer than 1000 by their definition), the others by sort-merge.
+    counts, are joined back by broadcast (fewer than 1000 by their definition), the others by sort-merge. Rows that are
+    equal in id and text stay in the tasks that read them; of all rows of a group the one with the largest id and then
+    the first place is the one that may stay. Without an index the call has one of its own, which is removed at its end.
     """
+    own_index = index is None
     index = index or DigestIndex(docs.sparkSession)
     rows = stage(digest_rows(docs), "digests")
-    # a call's name: the number of its rows and two order-free hashes of them, which are all different
-    marks = (F.bit_xor(F.xxhash64(F.lit(k), "doc_id", "digest", "copies")) for k in range(2))
-    low, high, total, *marks = rows.agg(F.min("doc_id"), F.max("doc_id"), F.coalesce(F.sum("copies"), F.lit(0)), *marks).first()
+    # a call's name: the number of its rows and two sums of hashes of them, whatever their order
+    marks = (F.sum(F.xxhash64(F.lit(k), "doc_id", "digest").cast("decimal(20,0)")) for k in range(2))
+    low, high, total, *marks = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*"), *marks).first()
     low, high = (0, 0) if low is None else (low, high)
     name = "-".join(str(x or 0) for x in (total, *marks))
     width = -(-(high - low + 1) // max(1, ranges))
     starts = [*range(low, high + 1, width)][::-1]
     index.open(total)
-    held = index.batches()
+    names, counts = [f"{name}-{k}" for k in range(len(starts))], f"{name}-counts"
+    held = index.held([*names, counts])
     taken = []
     for k, start in enumerate(starts):
-        batch = f"{name}-{k}"
+        batch = names[k]
         inside = F.col("doc_id") >= start
         inside = inside & (F.col("doc_id") < start + width) if k else inside
         some = rows.filter(inside if k < len(starts) - 1 else inside | F.col("doc_id").isNull())
         if batch not in held:
-            index.append(some.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("copies")), batch)
+            index.append(some.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("copies")), batch)
         if batch not in held or resume:
             taken.append(batch)
-    counts = f"{name}-counts"
-    own = rows.groupBy("digest").agg(F.sum("copies").alias("own"))
-    known = index.read([*(f"{name}-{k}" for k in range(len(starts))), counts], taken)
+    last = F.struct("doc_id", (-F.col("place")).alias("place"))
+    own = rows.groupBy("digest").agg(F.count("*").alias("own"), F.max(last)["place"].alias("first"))
+    known = index.read([*names, counts], taken)
     pairs = own.join(known.hint("merge"), "digest").withColumn("group_size", F.col("copies") - F.col("mine") + F.col("own"))
     merged = stage(pairs, "groups")
     if counts not in held:
         # from the join itself, whose rows lie like the index
         index.count(pairs.filter("own > mine").select("digest", (F.col("own") - F.col("mine")).alias("copies")), counts)
-    found = join_groups(rows, merged.select("digest", "keep_id", "own", "group_size", "fresh"), "digest", "own", total)
-    first = F.col("keep_id").eqNullSafe(F.col("doc_id")) & (F.col("copy") == 1) & F.col("fresh")
-    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
-        "doc_id", "keep_id", "group_size", first.alias("kept"), F.col("digest").alias("text_sha256")
-    )
+    if own_index:
+        index.remove()
+    found = join_groups(rows, merged.select("digest", "keep_id", "own", "first", "group_size", "fresh"), "digest", "own", total)
+    first = F.col("keep_id").eqNullSafe(F.col("doc_id")) & (F.col("place") == -F.col("first")) & F.col("fresh")
+    return found.select("doc_id", "keep_id", "group_size", first.alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def drop_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:

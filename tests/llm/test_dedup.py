@@ -1,5 +1,7 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from lexmill.llm import exact_dedup
 from lexmill.llm.common import HOT_SHARE
 from lexmill.llm.exact_dedup import DigestIndex, drop_duplicates, exact_duplicates
@@ -101,3 +103,25 @@ def test_clashing_names(spark):
     frame = spark.createDataFrame([(1, "a", 5, "x"), (2, "A", 6, "y"), (3, "b", 7, "z")], "doc_id long, text string, __ID long, __sha string")
     kept = drop_duplicates(frame)
     assert kept.columns == frame.columns and sorted(r["__ID"] for r in kept.collect()) == [6, 7]
+
+
+def test_copies_of_one_row_stay_in_their_tasks(spark):
+    """Rows equal in id and text aren't gathered: each comes out of the task that read it, one of them kept."""
+    rows = spark.range(40_000, numPartitions=8).select(F.when(F.col("id") % 4 == 0, F.lit(None)).otherwise(F.lit(5)).cast("long").alias("doc_id"), F.lit("the same").alias("text"))
+    got = exact_duplicates(rows)
+    tasks = got.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in tasks) == 40_000 and len(tasks) > 1 and max(r["count"] for r in tasks) <= 20_000
+    assert got.filter("kept").collect() == got.filter("kept and doc_id = 5").collect() and got.filter("kept").count() == 1
+    assert got.select("keep_id", "group_size").distinct().collect() == [(5, 40_000)]
+
+
+def test_nothing_is_left_over(spark, odd):
+    tables = lambda: {t.name for t in spark.catalog.listTables() if t.name.startswith("digests_")}
+    before = tables()
+    kept = exact_duplicates(odd).filter("kept").count()
+    assert tables() == before and kept > 0
+    index = DigestIndex(spark)
+    exact_duplicates(odd, index).count()
+    assert tables() == before | {index.name}
+    index.remove()
+    assert tables() == before and not DigestIndex(spark, index.path).exists()
