@@ -30,6 +30,16 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def drawn(rows: DataFrame, content: list[str], sample: int, salt: str) -> DataFrame:
+    """About `sample` of the rows, drawn by the hash of what they hold; never none where there are rows.
+
+    Equal rows are drawn together. An id isn't among `content`: rows with a null or repeated id are drawn like others.
+    """
+    digest = F.xxhash64(F.lit(salt), *content)
+    total, least = rows.agg(F.count("*"), F.min(digest)).first()
+    return rows.filter((F.pmod(digest, F.lit(1_000_000)) / 1_000_000 < sample / max(1, total)) | (digest == F.lit(least)))
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, total: int) -> DataFrame:
     """Inner join of rows with their group, one group row for each key.
 

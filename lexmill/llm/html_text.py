@@ -7,7 +7,7 @@ import random
 import re
 import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import blocks as blocks_in
+from lexmill.llm.common import drawn
 
 #: Pages that the labeller is fitted on, blocks that it learns from at once, and how many such windows a page gives.
 SAMPLE, WINDOW, WINDOWS = 400, 200, 2
@@ -23,8 +24,8 @@ TAG_DIMS, WORD_DIMS, EXTRA = 64, 32, 5
 HELD = 1 << 20
 DIMS, HIDDEN = TAG_DIMS + WORD_DIMS + EXTRA, 16
 
-#: A comment, or a tag to its end; a `>` inside a quoted attribute value doesn't end it.
-MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?/]?[a-zA-Z?!](?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+(?:>|\Z)""", re.S)
+#: A comment (`<!-->` and `<!--->` are whole ones), or a tag to its end; a `>` inside a quoted attribute value doesn't end it.
+MARKUP = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?/]?[a-zA-Z?!](?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+(?:>|\Z)""", re.S)
 #: Elements that go with their content. Where no end tag follows, only raw text runs to the end of the page.
 RAW_TEXT = set("script style title textarea".split())
 HIDDEN_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in (*RAW_TEXT, *"noscript template svg iframe select button".split())}
@@ -44,17 +45,45 @@ ASIDE_NAMES = set(
 )
 
 
+class Node:
+    """An open element: its tag with its names, and the element around it. Blocks share the nodes of their elements."""
+
+    __slots__ = ("items", "parent")
+
+    def __init__(self, items: tuple[str, ...], parent: Node | None):
+        self.items, self.parent = items, parent
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
+    node: Node | None
     linked: int = 0
 
-
-@dataclass
-class Open:
-    tag: str
-    names: tuple[str, ...] = field(default_factory=tuple)
+    @property
+    def path(self) -> tuple[str, ...]:
+        """All tags and names around the block, outermost first."""
+        out, node = [], self.node
+        while node is not None:
+            out.append(node.items)
+            node = node.parent
+        return tuple(x for items in reversed(out) for x in items)
+
+
+def gathered(blocks: list[Block], own: Callable[[tuple[str, ...]], int]) -> list[int]:
+    """Bits that the elements of each block's path have between them; each element is looked at once."""
+    known: dict[Node | None, int] = {None: 0}
+    out = []
+    for b in blocks:
+        fresh, node = [], b.node
+        while node not in known:
+            fresh.append(node)
+            node = node.parent
+        bits = known[node]
+        for node in reversed(fresh):
+            bits = known[node] = bits | own(node.items)
+        out.append(bits)
+    return out
 
 
 def blocks_of(page: str | None) -> list[Block]:
@@ -66,7 +95,8 @@ def blocks_of(page: str | None) -> list[Block]:
     """
     page = page or ""
     out: list[Block] = []
-    stack: list[Open] = []
+    stack: list[Node] = []
+    open_tags: dict[str, int] = {}
     pieces: list[str] = []
     links, linked, at = 0, 0, 0
     endless: set[str] = set()  # hidden elements with no end tag from here on
@@ -76,10 +106,14 @@ def blocks_of(page: str | None) -> list[Block]:
         text = " ".join("".join(pieces).split())
         pieces.clear()
         if text:
-            path = tuple(x for o in stack if o.tag not in INLINE for x in (o.tag, *o.names))
-            out.append(Block(text, path, linked))
+            out.append(Block(text, stack[-1] if stack else None, linked))
         linked = 0
 
+    def close() -> str:
+        tag = stack.pop().items[0]
+        open_tags[tag] -= 1
+        return tag
+
     while m := MARKUP.search(page, at):
         if m.start() > at:
             piece = page[at : m.start()]
@@ -106,18 +140,20 @@ def blocks_of(page: str | None) -> list[Block]:
         elif tag in INLINE:
             links = max(0, links + (-1 if mark[1] == "/" else 1)) if tag == "a" else links
         elif mark[1] == "/":
-            if any(o.tag == tag for o in stack):
+            if open_tags.get(tag):
                 flush()
-                while stack.pop().tag != tag:
+                while close() != tag:
                     pass
         else:
             flush()
             ends = CLOSES.get(tag, {"p"} if tag in ENDS_P else set())
-            while stack and stack[-1].tag in ends:
-                stack.pop()
+            while stack and stack[-1].items[0] in ends:
+                close()
             if tag not in VOID and not mark.endswith("/>"):
                 names = [a or b or c for name, a, b, c in ATTRIBUTE.findall(mark) if name.lower() in NAMED] if "=" in mark else []
-                stack.append(Open(tag, tuple("." + n for x in names for n in re.split(r"[\s_-]+", x.lower()) if n)))
+                items = (tag, *("." + n for x in names for n in re.split(r"[\s_-]+", x.lower()) if n))
+                stack.append(Node(items, stack[-1] if stack else None))
+                open_tags[tag] = open_tags.get(tag, 0) + 1
     if at < len(page):
         pieces.append(html.unescape(page[at:]))
     flush()
@@ -136,13 +172,21 @@ def bucket(word: str, dims: int) -> int:
     return got % dims
 
 
-def vectors(blocks: list[Block]) -> np.ndarray:
-    """Hashed tag path, hashed words, size, link share, punctuation and place of each block."""
+def vectors(blocks: list[Block], shown: Callable[[tuple[str, ...]], tuple[str, ...]] = tuple) -> np.ndarray:
+    """Hashed tag path, hashed words, size, link share, punctuation and place of each block; of each element in a path
+    counts what is `shown` of it."""
     out = np.zeros((len(blocks), DIMS), np.float32)
+
+    def bits(items: tuple[str, ...]) -> int:
+        mask = 0
+        for x in shown(items):
+            mask |= 1 << bucket(x, TAG_DIMS)
+        return mask
+
+    marks = np.array(gathered(blocks, bits), np.uint64)
+    out[:, :TAG_DIMS] = (marks[:, None] >> np.arange(TAG_DIMS, dtype=np.uint64)) & np.uint64(1)
     for k, b in enumerate(blocks):
         row = out[k]
-        for x in b.path:
-            row[bucket(x, TAG_DIMS)] = 1
         words = b.text.split(" ")
         counts = np.bincount([bucket(w, WORD_DIMS) for w in words], minlength=WORD_DIMS)
         row[TAG_DIMS : TAG_DIMS + WORD_DIMS] = counts / len(words)
@@ -262,10 +306,15 @@ class Labeller:
 
 def structure_labels(blocks: list[Block]) -> np.ndarray:
     """Labels for training: inside the article or main element, or the body where there is none, and not in an aside."""
-    inner = [any(x in ("article", "main", ".main") for x in b.path) for b in blocks]
-    anchored = any(inner)
-    aside = [any(x in ASIDE_TAGS or (x[0] == "." and x[1:].rstrip("0123456789") in ASIDE_NAMES) for x in b.path) for b in blocks]
-    return np.array([(i or not anchored) and not a for i, a in zip(inner, aside, strict=True)], np.float32)
+
+    def kinds(items: tuple[str, ...]) -> int:
+        inner = any(x in ("article", "main", ".main") for x in items)
+        aside = any(x in ASIDE_TAGS or (x[0] == "." and x[1:].rstrip("0123456789") in ASIDE_NAMES) for x in items)
+        return inner + 2 * aside
+
+    found = gathered(blocks, kinds)
+    anchored = any(k & 1 for k in found)
+    return np.array([(k & 1 or not anchored) and not k & 2 for k in found], np.float32)
 
 
 def with_furniture(page: str, rng: random.Random) -> str:
@@ -293,11 +342,11 @@ def with_furniture(page: str, rng: random.Random) -> str:
     return page
 
 
-def veiled(blocks: list[Block], rng: random.Random) -> list[Block]:
-    """The blocks without their class, id and role names, and with each tag that tells a part of a page turned into a div
-    half of the time, so the labeller must look at words, links, size and place as well."""
+def veil(rng: random.Random) -> Callable[[tuple[str, ...]], tuple[str, ...]]:
+    """What is shown of an element without its class, id and role names, and with each tag that tells a part of a page
+    turned into a div half of the time, so the labeller must look at words, links, size and place as well."""
     plain = {t: "div" for t in (*ASIDE_TAGS, "article", "main", "section") if rng.random() < 0.5}
-    return [Block(b.text, tuple(plain.get(x, x) for x in b.path if x[0] != "."), b.linked) for b in blocks]
+    return lambda items: tuple(plain.get(x, x) for x in items if x[0] != ".")
 
 
 def examples(page: str, seed: int, teacher: Callable[[list[Block]], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -308,22 +357,20 @@ def examples(page: str, seed: int, teacher: Callable[[list[Block]], np.ndarray])
     """
     rng = random.Random(seed)
     plain, full = blocks_of(page), blocks_of(with_furniture(page, rng))
-    for blocks, seen in ((plain, plain), (full, full), (full, veiled(full, rng))):
-        x, y = vectors(seen), teacher(blocks)
+    for blocks, shown in ((plain, tuple), (full, tuple), (full, veil(rng))):
+        x, y = vectors(blocks, shown), teacher(blocks)
         starts = [*range(0, len(blocks), WINDOW)]
         for at in starts[:1] + sorted(rng.sample(starts[1:], min(len(starts[1:]), WINDOWS - 1))):
             yield x[at : at + WINDOW], y[at : at + WINDOW]
 
 
 def fit_labeller(pages: DataFrame, sample: int = SAMPLE, teacher: Callable[[list[Block]], np.ndarray] = structure_labels) -> Labeller:
-    """Fit on about `sample` pages, drawn by the hash of the id, labelled by their own structure.
+    """Fit on about `sample` different pages, drawn by the hash of their html, labelled by their own structure.
 
     The tasks turn pages into vectors, so what reaches the driver is bounded: sample x 3 x WINDOWS windows of WINDOW
-    blocks. Null html is not learnt from; rows with a null or repeated id count like others.
+    blocks. Null html is not learnt from, equal pages once; rows with a null or repeated id count like others.
     """
-    total = pages.select("page_id").count()
-    draw = F.pmod(F.xxhash64("page_id", F.lit("html")), F.lit(1_000_000)) / 1_000_000
-    chosen = pages.select("page_id", "html").filter(F.col("html").isNotNull() & (draw < sample / max(1, total)))
+    chosen = drawn(pages.select("html").filter(F.col("html").isNotNull()), ["html"], sample, "html").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks_in(batches, "html", HELD):

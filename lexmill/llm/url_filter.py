@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import ascii_lower, join_groups
+from lexmill.llm.common import ascii_lower, drawn, join_groups
 from lexmill.session import stage
 
 #: (host and path, verdict)
@@ -100,12 +100,13 @@ def with_suffixes(rows: DataFrame) -> DataFrame:
     return found.select(*rows.columns, "suffix_blocked", "suffix_weight")
 
 
-def fit_trees(full: DataFrame, labelled: int, sample: int = SAMPLE) -> PipelineModel:
-    """Boosted trees fitted on at most about `sample` of the labelled rows, drawn by the hash of the id."""
+def fit_trees(full: DataFrame, sample: int = SAMPLE) -> PipelineModel:
+    """Boosted trees fitted on about `sample` of the labelled URLs, drawn by the hash of what they look like; URLs that are
+    alike in all features and in their fold count once."""
     vector = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    draw = F.pmod(F.xxhash64("page_id", F.lit("urls")), F.lit(1_000_000)) / 1_000_000
-    chosen = full.filter(F.col("ruled").isNotNull() & (draw < sample / labelled))
-    examples = stage(chosen.select((F.col("ruled") == "block").cast("double").alias("label"), *FEATURES), "urls")
+    labelled = full.filter(F.col("ruled").isNotNull())
+    chosen = drawn(labelled, ["host", "path", *FEATURES], sample, "urls")
+    examples = stage(chosen.select("host", "path", (F.col("ruled") == "block").cast("double").alias("label"), *FEATURES).distinct().drop("host", "path"), "urls")
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, featuresCol="features", labelCol="label")
     return Pipeline(stages=[vector, trees]).fit(examples)
 
@@ -124,6 +125,6 @@ def judge_urls(pages: DataFrame) -> DataFrame:
     if len(sizes) < 2:
         return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit(next(iter(sizes), "allow"))).alias("verdict"))
     full = with_suffixes(rows)
-    judged = fit_trees(full, sum(sizes.values())).transform(full)
+    judged = fit_trees(full).transform(full)
     verdict = F.coalesce("ruled", F.when(F.col("prediction") == 1.0, "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"))

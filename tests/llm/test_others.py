@@ -1,12 +1,15 @@
 import html
+import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.llm.html_text import Direction, blocks_of, fit_labeller, main_text
+from lexmill.llm.common import drawn
+from lexmill.llm.html_text import Direction, Labeller, blocks_of, bucket, fit_labeller, main_text, structure_labels, veil, vectors
 from lexmill.llm.sharding import jump_hash, shard_documents
 from lexmill.llm.url_filter import FEATURES, fit_trees, judge_urls, lexical, with_suffixes
 from tests.llm.conftest import SF
@@ -224,3 +227,76 @@ def test_repeated_and_long_urls(spark):
     got = judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()
     assert len(got) == len(rows) and len({r["verdict"] for r in got if r["page_id"] == 2}) == 1
     assert {r["verdict"] for r in got if r["page_id"] == 1} == {"block"} and {r["verdict"] for r in got if r["page_id"] is None} == {"allow"}
+
+
+def test_comments_that_end_early():
+    texts = lambda page: [b.text for b in blocks_of(page)]
+    assert texts("<p>x<!-->y<p>z") == ["xy", "z"]
+    assert texts("<p>x<!--->y<p>z") == ["xy", "z"]
+    assert texts("<p>q<!--a--!>b") == ["qb"]
+    assert texts("<p>q<!----!>b<!-- > -->c<!-- - -- >d") == ["qbc"]
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20_000 + "</section>" * 40_000 + "<p>text", "".join(f"<div class='a{k}'><p>word {k}</p>" for k in range(8000)), "<p>x" + "</b></i></p>" * 40_000])
+def test_deep_and_stray_markup_in_linear_time(page):
+    blocks = blocks_of(page)
+    began = time.process_time()
+    found = blocks_of(page)
+    vectors(found)
+    structure_labels(found)
+    assert time.process_time() - began < 1.5 and [b.text for b in found] == [b.text for b in blocks]
+
+
+def test_shared_nodes_give_the_same_marks():
+    """Marks gathered along shared nodes equal those of each block's whole path, veiled or not."""
+    page = "<main><div class='a b'><p>one</p><aside id=q><p>two</p></aside></div><ul><li>three<li>four</ul></main><footer>five"
+    found = blocks_of(page)
+    for seed in range(4):
+        shown = veil(random.Random(seed)) if seed else tuple
+        for block, row in zip(found, vectors(found, shown), strict=True):
+            assert set(np.flatnonzero(row[:64])) == {bucket(x, 64) for items in [block.path] for x in shown(items)}
+    assert structure_labels(found).tolist() == [1, 0, 1, 1, 0]
+
+
+def test_labeller_against_single_steps():
+    """predict() over padded groups equals a walk over each page's blocks, one gate at a time."""
+    rng = np.random.default_rng(4)
+    model = Labeller(9)
+    model.out = rng.normal(size=model.out.shape).astype(np.float32)
+    pages = [rng.normal(size=(n, model.ahead.wx.shape[0])).astype(np.float32) for n in (1, 7, 3, 0, 12)]
+    squash = lambda x: 1 / (1 + np.exp(-x))
+
+    def walk(layer, rows):
+        h, c, out = np.zeros(16), np.zeros(16), []
+        for x in rows:
+            z = x.astype(float) @ layer.wx + h @ layer.wh + layer.b
+            c = squash(z[16:32]) * c + squash(z[:16]) * np.tanh(z[48:])
+            h = squash(z[32:48]) * np.tanh(c)
+            out.append(h)
+        return out
+
+    for page, got in zip(pages, model.predict(pages, cells=10), strict=True):
+        ahead, back = walk(model.ahead, page), walk(model.back, page[::-1])[::-1]
+        want = [squash(np.concatenate([a, b, [1.0]]) @ model.out) for a, b in zip(ahead, back, strict=True)]
+        assert np.allclose(got, want, atol=1e-5)
+
+
+@pytest.mark.parametrize("page_id", [None, 7])
+def test_equal_ids_above_the_sample(spark, page_id):
+    """With one id for all pages the labeller is fitted on a part of them and works as well as ever."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r["html"]: article(r["html"]) for r in pages.collect()}
+    same = pages.withColumn("page_id", F.lit(page_id).cast("long"))
+    drew = drawn(same, ["html"], 60, "html").count()
+    assert 30 < drew < 100
+    got = main_text(same, fit_labeller(same, 60)).join(pages.select("url", "html"), "url").collect()
+    assert sum(r["text"] == want[r["html"]] for r in got) >= 0.95 * len(got)
+
+
+def test_few_different_rows_above_the_sample(spark):
+    """Where the draw would leave nothing, the row of least hash is drawn."""
+    rows = spark.range(3000).select(F.lit(None).cast("long").alias("page_id"), F.lit("<article><p>Text.</p></article>").alias("html"))
+    assert drawn(rows, ["html"], 1, "x").distinct().count() == 1
+    urls = spark.range(300).select(F.lit(1).cast("long").alias("page_id"), F.concat(F.lit("http://"), F.when(F.col("id") % 2 == 0, "net/de/").otherwise("com/en/"), F.col("id") % 3).alias("url"))
+    full = with_suffixes(lexical(urls.unionByName(spark.createDataFrame([(1, "http://x.y/")], "page_id long, url string"))))
+    assert fit_trees(full, 1).transform(full).count() == 301
