@@ -113,17 +113,21 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_languages(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
-    """Fit on at most about `per_language` documents a language, chosen by the hash of the id, with their whole texts.
+    """Fit on at most about `per_language` documents a language, chosen by the hash of id and text, with their whole texts.
 
-    The model holds every word and n-gram of that sample, however rare.
+    The model holds every word and n-gram of that sample, however rare. Rows with equal ids are drawn like others; rows
+    that are equal in both are drawn together, which adds to counts but to no list. A language never goes without any.
     """
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    digest = F.xxhash64("doc_id", "text", F.lit("language"))
+    rows = labelled.groupBy("lang").agg(F.count("*").alias("count"), F.min(digest).alias("least")).collect()
+    sizes, least = {r["lang"]: r["count"] for r in rows}, {r["lang"]: r["least"] for r in rows}
     languages = sorted(sizes)
     if not languages:
         return LanguageModel([], {}, {}, np.zeros((0, 0), np.float32))
     share = F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, per_language / sizes[lang]))))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) / 1_000_000
-    sample = labelled.filter(draw < share[F.col("lang")]).select("lang", "text")
+    first = F.create_map(*(F.lit(x) for lang in languages for x in (lang, least[lang])))
+    draw = F.pmod(digest, F.lit(1_000_000)) / 1_000_000
+    sample = labelled.filter((draw < share[F.col("lang")]) | (digest == first[F.col("lang")])).select("lang", "text")
     counted = sample.mapInArrow(count_grams, "lang string, whole boolean, gram string, n long").groupBy("whole", "gram")
     each = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(languages)]
     table = pa.Table.from_batches(counted.agg(*each).toArrow().combine_chunks().to_batches())
