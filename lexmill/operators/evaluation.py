@@ -23,7 +23,7 @@ def channel_metrics(results: DataFrame, cases: DataFrame, hit: Column, isolated:
     A case without results counts as missed and as isolated.
     """
     per_case = results.groupBy("channel", "case_id").agg(F.min(F.when(hit, F.col("rank"))).alias("first"), F.bool_and(isolated).alias("isolated"))
-    every = results.select("channel").distinct().join(F.broadcast(cases.select("case_id").distinct()))
+    every = results.select("channel").distinct().join(cases.select("case_id").distinct())
     full = every.join(per_case, ["channel", "case_id"], "left")
     rank = F.coalesce(1.0 / F.col("first"), F.lit(0.0))
     return full.groupBy("channel").agg(
@@ -43,8 +43,8 @@ def validity(metrics: DataFrame) -> DataFrame:
 
 def self_check(scores: DataFrame) -> DataFrame:
     """Share of queries whose own passage ranks first, and the least margin over the best other passage, from
-    (query_id, passage_id, score)."""
+    (query_id, passage_id, score). A query without its own passage failed; one without any other has no margin."""
     own = F.max(F.when(F.col("query_id") == F.col("passage_id"), F.col("score")))
     other = F.max(F.when(F.col("query_id") != F.col("passage_id"), F.col("score")))
     each = scores.groupBy("query_id").agg(own.alias("own"), other.alias("other"))
-    return each.agg(F.avg((F.col("own") > F.col("other")).cast("double")).alias("top1"), F.min(F.col("own") - F.col("other")).alias("margin"))
+    return each.agg(F.avg(F.coalesce(F.col("own") > F.col("other"), F.col("own").isNotNull()).cast("double")).alias("top1"), F.min(F.col("own") - F.col("other")).alias("margin"))

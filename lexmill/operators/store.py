@@ -6,22 +6,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def row_json(rows: DataFrame) -> Column:
+    """A row as text, by its columns in the order of their names."""
+    return F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(rows.columns))))
+
+
+def apart(rows: DataFrame, key: list[str]) -> Column:
+    """What tells rows with a null in their key apart, as the key doesn't: the row's digest; empty for others."""
+    missing = F.lit(False)
+    for k in key:
+        missing = missing | F.col(f"`{k}`").isNull()
+    return F.when(missing, F.md5(row_json(rows).cast("binary"))).otherwise("")
+
+
 def last_of_key(rows: DataFrame, key: str | list[str], order: Column | None = None) -> DataFrame:
     """One row a key: the highest by `order` (nulls count lowest); ties, and all without an order, go by the row's digest, so
-    the choice doesn't depend on the order of rows. A maximum, taken before the shuffle: no key falls to one task."""
+    the choice doesn't depend on the order of rows. A maximum, taken before the shuffle: no key falls to one task.
+
+    A null in a key names no row: of such rows only equal ones count as one."""
+    keys = [key] if isinstance(key, str) else key
     digest = F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`") for c in rows.columns))))
     by = F.struct(*([order.alias("order")] if order is not None else []), digest.alias("digest"))
     whole = F.struct(*(F.col(f"`{c}`") for c in rows.columns))
-    return rows.groupBy(*([key] if isinstance(key, str) else key)).agg(F.max_by(whole, by).alias("last")).select("last.*")
+    return rows.groupBy(*keys, apart(rows, keys).alias("__apart")).agg(F.max_by(whole, by).alias("last")).select("last.*")
 
 
 def upsert(current: DataFrame, incoming: DataFrame, key: str, order: Column | None = None) -> DataFrame:
     """Incoming rows replace current rows of the same key; all columns are taken over. Twice gives the same as once.
 
-    Of incoming rows with the same key one stays (last_of_key). Rows with a null key replace nothing.
+    Of incoming rows with the same key one stays (last_of_key). A row with a null key replaces only rows equal to it.
     """
     fresh = last_of_key(incoming, key, order)
-    return current.join(fresh.select(key), key, "left_anti").unionByName(fresh)
+    marked = current.withColumn("__apart", apart(current, [key])).alias("a")
+    written = fresh.select(F.col(key).alias("__key"), apart(fresh, [key]).alias("__written"))
+    same = F.col(f"a.{key}").eqNullSafe(F.col("__key")) & (F.col("__apart") == F.col("__written"))
+    return marked.join(written, same, "left_anti").select(*(F.col(f"a.`{c}`") for c in current.columns)).unionByName(fresh)
 
 
 def prune(current: DataFrame, sources: DataFrame, keep: DataFrame, scope: list[str], key: str) -> DataFrame:

@@ -88,7 +88,7 @@ def written_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = F.when(F.col("doc_id") % 3 == 0, "case").when(F.col("doc_id") % 3 == 1, "classic").otherwise("other")
     rows = docs.select(F.col("lang").alias("school"), role.alias("role"), F.concat_ws("-", "source", F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("source"), F.length("text").alias("chunks"), F.lit("ready").alias("status"))
     counts = build.schools_written(rows)
-    return build.report_rows(rows, F.col("role")).join(counts, "school")
+    return build.report_rows(rows, F.col("role")).join(counts, "school").orderBy("school", "role_rank", "source")
 
 
 def usage_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,6 +168,13 @@ def reassembled_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reassembled(halves, "stream", "n", "t")
 
 
+def reassembled_one_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All frames in one stream, cut into buffers of 50 characters that don't heed them, read back by many tasks."""
+    framed = table(spark, sf_dir, "events").select("event_id", frame(F.col("event_type"), F.col("props")).alias("f"))
+    pieces = framed.select("event_id", F.posexplode(F.regexp_extract_all("f", F.lit(r"(?s).{1,50}"), 0)).alias("nth", "t"))
+    return reassembled(pieces.select(F.lit("all").alias("stream"), F.struct("event_id", "nth").alias("n"), "t"), "stream", "n", "t")
+
+
 def golden_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the results of hybrid search hold all or any of two phrases of the passage."""
     bag = words(F.col("text"))
@@ -218,7 +225,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         names, name_classes, source_expansion, manifest_rows, written_report, usage_counters, opinions_normalised, fact_lines, context_blocks, intake_rows, followup_questions,
-        questionnaire_options, questionnaire_total, consultations, reassembled_frames, golden_hits, encoder_self_check, extracted_texts, front_matter_rows, unified_text, fitted_vectors,
+        questionnaire_options, questionnaire_total, consultations, reassembled_frames, reassembled_one_stream, golden_hits, encoder_self_check, extracted_texts, front_matter_rows, unified_text, fitted_vectors,
     )
 }
 
@@ -316,6 +323,8 @@ ORACLES = {
         SELECT conv_id AS session_id, (generate_subscripts(e, 1) - 1)::INT AS seq, unnest(e) AS event FROM e""",
     "reassembled_frames": """
         SELECT event_id % 97 AS stream, (row_number() OVER (PARTITION BY event_id % 97 ORDER BY event_id) - 1)::INT AS event_no, event_type AS event, props AS data FROM events""",
+    "reassembled_one_stream": """
+        SELECT 'all' AS stream, (row_number() OVER (ORDER BY event_id) - 1)::INT AS event_no, event_type AS event, props AS data FROM events""",
     "extracted_texts": """
         WITH d AS (SELECT 'f' || doc_id::VARCHAR || CASE doc_id % 2 WHEN 0 THEN '.txt' ELSE '.epub' END AS name, text FROM documents)
         SELECT name, 'txt' AS format, length(text)::INT AS chars, 0 AS pages, floor(length(text) * 1000.0::DOUBLE + 0.5) / 1000 AS density, '' AS note, sha256(text) AS digest, md5(text) AS text_digest FROM d""",

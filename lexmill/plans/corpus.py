@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from lexmill.functions.text import LATIN, fingerprint, html_to_markdown, script_
 from lexmill.operators import chunking, corpus, store
 from lexmill.operators.retrieval import ranked
 from lexmill.plans.search import table
+from lexmill.session import discard_later, shared_dir
+from lexmill.streaming.changes import write_changes
 
 #: Parameters for text in Latin script.
 SITE_NOISE = r"(?i)(https?://|www\.|@)"
@@ -145,6 +149,24 @@ def incremental_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.changed_sources(current, state, "doc_id")
 
 
+def incremental_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """incremental_skip as a stream: earlier fingerprints came first; a second run, from the checkpoint, lets only new and
+    changed documents pass."""
+    docs, space = documents(spark, sf_dir), F.lit("hash@64")
+    version = F.when(F.col("quality") == 1, "v2").otherwise("v1")
+    before = docs.join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", fingerprint(version, space, F.col("text")).alias("fingerprint"))
+    now = docs.select("doc_id", fingerprint(F.lit("v2"), space, F.col("text")).alias("fingerprint"))
+    place = f"{shared_dir(spark)}/lexmill/changes-{uuid.uuid4().hex}"
+    discard_later(spark, place)
+    for rows in (before, now):
+        rows.write.mode("append").parquet(f"{place}/in")
+        incoming = spark.readStream.schema(rows.schema).parquet(f"{place}/in")
+        last = write_changes(incoming, "doc_id", f"{place}/out", f"{place}/state")
+        last.awaitTermination()
+    # a run's batches are numbered on from the last; the first run's is number 0
+    return spark.read.schema("doc_id long, fingerprint string, status string, batch_id int").parquet(f"{place}/out").filter("batch_id > 0").select("doc_id", "status")
+
+
 def edition_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best edition of each brand's work."""
     suffix = F.get(F.array(*(F.lit(s) for s in SUFFIXES)), F.col("p_size") % len(SUFFIXES))
@@ -178,7 +200,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         source_stats, corpus_count, summary_rollup, quality_report, quality_gate, gate_breaker, html_to_text, page_sections, line_dedup, doc_dedup, window_chunks,
-        chunk_gates_and_index, gate_statistics, greedy_pack, roles_chunks, normalised_text, upsert_merge, prune_sources, sweep_orphans, incremental_skip, edition_pick,
+        chunk_gates_and_index, gate_statistics, greedy_pack, roles_chunks, normalised_text, upsert_merge, prune_sources, sweep_orphans, incremental_skip, incremental_stream, edition_pick,
         dedicated_wins, registry_classify, fuzzy_resolve,
     )
 }
@@ -272,6 +294,8 @@ ORACLES = {
     "incremental_skip": """
         SELECT doc_id, CASE WHEN quality IS NULL THEN 'new' WHEN quality = 1 THEN 'unchanged' ELSE 'changed' END AS status
         FROM documents LEFT JOIN labels USING (doc_id)""",
+    "incremental_stream": """
+        SELECT doc_id, CASE WHEN quality IS NULL THEN 'new' ELSE 'changed' END AS status FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL OR quality <> 1""",
     "edition_pick": """
         WITH s AS (SELECT *, p_size::BIGINT * 1000000000 + CASE p_size % 5 WHEN 0 THEN 20 WHEN 1 THEN 25 WHEN 2 THEN 15 WHEN 3 THEN 5 ELSE 0 END * 1000000 + least(length(p_type) * 1000, 999999) AS score FROM part)
         SELECT p_partkey, score, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY score DESC, p_partkey) = 1 AS chosen FROM s""",
