@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from lexmill.functions.text import clean_markdown, half_up, squeeze_blank_lines, unify_lines, unify_punctuation, words
 from lexmill.functions.vectors import fit_dimension
@@ -12,7 +16,9 @@ from lexmill.operators.chunking import front_matter
 from lexmill.operators.retrieval import dense_top_k, ranked
 from lexmill.operators.rules import UNSURE
 from lexmill.plans.search import hybrid_search, table, vector_queries
+from lexmill.session import remove, shared_dir, stage
 from lexmill.sources.binary import extracted, extraction_report
+from lexmill.sources.files import books, epub_bytes, palm_bytes, write_files, written_list
 from lexmill.sources.knowledge import manifest, rendered
 from lexmill.streaming.ingest import consultation_events, frame, reassembled
 
@@ -199,6 +205,28 @@ def extracted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("density", half_up(F.col("density"), 3))
 
 
+@F.pandas_udf(BinaryType())
+def _book(kinds: pd.Series, titles: pd.Series, texts: pd.Series) -> pd.Series:
+    make = {"epub": lambda title, text: epub_bytes(title, [text, "The end."]), "azw": palm_bytes, "txt": lambda title, text: text.encode()}
+    return pd.Series([make[k](t, x) for k, t, x in zip(kinds, titles, texts, strict=True)])
+
+
+def book_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as e-books, Palm books and plain files in one committed run, and read back by the same format."""
+    kind = F.get(F.array(*(F.lit(k) for k in ("epub", "azw", "txt"))), F.pmod("doc_id", F.lit(3)).cast("int"))
+    docs = table(spark, sf_dir, "documents").select("lang", "doc_id", kind.alias("kind"), F.coalesce("text", F.lit("")).alias("text"))
+    root = f"{shared_dir(spark)}/lexmill/books-{uuid.uuid4().hex}"
+    title = F.concat(F.lit("Doc "), F.col("doc_id").cast("string"))
+    write_files(docs, root, F.col("lang"), F.concat(F.col("doc_id").cast("string"), F.lit("."), F.col("kind")), _book("kind", title, "text"))
+    read = books(spark.read.format("lexmill_files").load(root))
+    sizes = written_list(spark, root).withColumn("filled", (F.col("size") > 0).cast("int")).select("folder", "name", "filled")
+    trimmed = F.regexp_replace("text", r"^\s+|\s+\z", "")
+    rows = read.join(sizes, ["folder", "name"]).select("folder", "name", "format", "title", "pages", F.md5(trimmed.cast("binary")).alias("digest"), F.size("notes").alias("notes"), "filled")
+    found = stage(rows, "books")
+    remove(spark, root)
+    return found
+
+
 def front_matter_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers of documents and what follows them."""
     raw = F.concat(F.lit("---\ntitle: A: b\nsource: "), "source", F.lit("\ntitle: "), "lang", F.lit("\nno pair\n---\n"), "text")
@@ -225,7 +253,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         names, name_classes, source_expansion, manifest_rows, written_report, usage_counters, opinions_normalised, fact_lines, context_blocks, intake_rows, followup_questions,
-        questionnaire_options, questionnaire_total, consultations, reassembled_frames, reassembled_one_stream, golden_hits, encoder_self_check, extracted_texts, front_matter_rows, unified_text, fitted_vectors,
+        questionnaire_options, questionnaire_total, consultations, reassembled_frames, reassembled_one_stream, golden_hits, encoder_self_check, extracted_texts, book_files, front_matter_rows, unified_text, fitted_vectors,
     )
 }
 
@@ -328,6 +356,12 @@ ORACLES = {
     "extracted_texts": """
         WITH d AS (SELECT 'f' || doc_id::VARCHAR || CASE doc_id % 2 WHEN 0 THEN '.txt' ELSE '.epub' END AS name, text FROM documents)
         SELECT name, 'txt' AS format, length(text)::INT AS chars, 0 AS pages, floor(length(text) * 1000.0::DOUBLE + 0.5) / 1000 AS density, '' AS note, sha256(text) AS digest, md5(text) AS text_digest FROM d""",
+    "book_files": r"""
+        WITH d AS (SELECT *, doc_id % 3 AS k, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM documents)
+        SELECT lang AS folder, doc_id::VARCHAR || CASE k WHEN 0 THEN '.epub' WHEN 1 THEN '.azw' ELSE '.txt' END AS name, CASE k WHEN 0 THEN 'epub' WHEN 1 THEN 'mobi' ELSE 'txt' END AS format,
+               CASE k WHEN 0 THEN 'Doc ' || doc_id::VARCHAR ELSE '' END AS title,
+               CASE k WHEN 0 THEN 2 WHEN 1 THEN ((octet_length(encode(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;'))) + 4095) // 4096)::INT ELSE 0 END AS pages,
+               md5(CASE k WHEN 0 THEN t || chr(10) || chr(10) || 'The end.' ELSE t END) AS digest, 0 AS notes, 1 AS filled FROM d""",
     "front_matter_rows": """
         SELECT doc_id, lang AS title, source, 2 AS pairs, md5(text) AS digest FROM documents""",
     "unified_text": r"""

@@ -180,12 +180,16 @@ def extracted(files: DataFrame) -> DataFrame:
             yield pd.concat([batch.drop(columns="content"), out], axis=1)
 
     schema = "path string, name string, suffix string, format string, digest string, raw string, pages int, notes array<string>, title string, error string"
-    raw = known.mapInPandas(run, schema)
+    return finished(known.mapInPandas(run, schema)).select("path", "name", "suffix", "format", "digest", "title", "pages", "text", "notes", "error")
+
+
+def finished(raw: DataFrame) -> DataFrame:
+    """Read files with their `raw` content turned into `text`, and a note on pages that are thin."""
     pages = F.transform(F.split(html_to_markdown(F.col("raw")), "\f"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
     kept = F.filter(pages, lambda p: (p != "") & ~((F.length(p) < BOILERPLATE_CHARS) & p.rlike(BOILERPLATE)))
     broken = F.regexp_replace("raw", r"(?i)<mbp:pagebreak[^>]*>", "\n\n")
     text = F.when(F.col("format") == "epub", F.array_join(kept, "\n\n")).when(F.col("format") == "mobi", html_to_markdown(broken)).otherwise(F.col("raw"))
-    done = raw.select("path", "name", "suffix", "format", "digest", "title", "pages", text.alias("text"), "notes", "error")
+    done = raw.withColumn("text", text)
     thin = (F.col("format") == "pdf") & (F.col("pages") > 0) & (density(F.length("text"), F.col("pages")) < SCANNED_DENSITY)
     return done.withColumn("notes", F.when(thin, F.array_append("notes", F.lit("text is thin, perhaps a scan"))).otherwise(F.col("notes")))
 
