@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.text import HAN, count_of, half_up, let, scan, squeeze_blank_lines, unify_lines, unify_punctuation
 from lexmill.operators.chunking import strip
+from lexmill.operators.matching import containing
 
 # Noise patterns, limits and weights of the corpus rules.
 ADVERT = (
@@ -148,11 +149,17 @@ def first_match(name: Column, registry: list[tuple]) -> Column:
 
 
 def resolve_titles(titles: DataFrame, registry: DataFrame, least: int = 4) -> DataFrame:
-    """(title, slug, how): the exact title, else the only one that contains it or lies in it, if long enough."""
-    exact = titles.join(F.broadcast(registry.select(F.col("book_title").alias("title"), F.col("slug").alias("exact"))), "title", "left")
-    near = F.broadcast(registry.filter(F.length("book_title") >= least).select("book_title", F.col("slug").alias("near")))
-    inside = F.contains(F.col("title"), F.col("book_title")) | F.contains(F.col("book_title"), F.col("title"))
-    found = exact.join(near, F.col("exact").isNull() & inside, "left").groupBy("title", "exact").agg(F.count("near").alias("n"), F.min("near").alias("near"))
+    """(title, slug, how): the exact title, else the only one that contains it or lies in it, if long enough.
+
+    Both directions are joins on signatures (containing), so neither table has to be small.
+    """
+    exact = titles.join(registry.select(F.col("book_title").alias("title"), F.col("slug").alias("exact")), "title", "left")
+    open_ = titles.join(registry.select(F.col("book_title").alias("title")), "title", "left_anti").select("title").distinct()
+    near = registry.filter(F.length("book_title") >= least).select("book_title", F.col("slug").alias("near")).distinct()
+    books = near.select("book_title").distinct()
+    either = containing(open_, books, "title", "title", "book_title", "book_title").unionByName(containing(books, open_, "book_title", "book_title", "title", "title"))
+    counted = either.distinct().join(near, "book_title").groupBy("title").agg(F.count("near").alias("n"), F.min("near").alias("near"))
+    found = exact.join(counted, "title", "left").withColumn("n", F.coalesce("n", F.lit(0))).dropDuplicates(["title", "exact"])
     fuzzy = F.when(F.col("n") == 1, F.col("near"))
     how = F.when(F.col("exact").isNotNull(), "exact").when(F.col("n") == 1, "contained").when(F.col("n") > 1, "ambiguous").otherwise("none")
     return found.select("title", F.coalesce("exact", fuzzy).alias("slug"), how.alias("how"))

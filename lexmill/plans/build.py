@@ -18,8 +18,8 @@ from lexmill.operators.rules import UNSURE
 from lexmill.plans.search import hybrid_search, table, vector_queries
 from lexmill.session import remove, shared_dir, stage
 from lexmill.sources.binary import extracted, extraction_report
-from lexmill.sources.files import books, epub_bytes, palm_bytes, write_files, written_list
-from lexmill.sources.knowledge import manifest, rendered
+from lexmill.sources.files import books, current, epub_bytes, palm_bytes, place, write_files, written_list
+from lexmill.sources.knowledge import manifest, read_documents, read_state, read_written, rendered, write_documents, write_state
 from lexmill.streaming.ingest import consultation_events, frame, reassembled
 
 #: Parameters for the given tables.
@@ -227,6 +227,42 @@ def book_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def knowledge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with front matter written by school and slug, then those of English and French once more, and read back."""
+    docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("school"), F.concat(F.lit("doc_"), "doc_id").alias("slug"), F.concat(F.lit("Doc "), "doc_id").alias("title"), F.lit("classic").alias("role"), "source", "text")
+    root = f"{shared_dir(spark)}/lexmill/knowledge-{uuid.uuid4().hex}"
+    write_documents(docs, root)
+    write_documents(docs.filter(F.col("school").isin("en", "fr")).withColumn("role", F.lit("case")), root)
+    found = stage(read_written(spark, root).select("school", "slug", F.md5(F.col("text").cast("binary")).alias("digest")), "knowledge")
+    remove(spark, root)
+    return found
+
+
+def known_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown files in folders of schools, some of them unknown or no documents, read by school; `known` tells which are."""
+    school = F.when(F.col("lang") == "en", "common").when(F.col("lang") == "fr", "piwei").otherwise(F.col("lang"))
+    name = F.when(F.pmod("doc_id", F.lit(9)) == 0, F.concat(F.col("doc_id"), F.lit(".txt"))).otherwise(F.concat(F.col("doc_id"), F.lit(".md")))
+    root = f"{shared_dir(spark)}/lexmill/folders-{uuid.uuid4().hex}"
+    write_files(table(spark, sf_dir, "documents"), root, school, name, F.col("text"))
+    run = current(*place(root))["runs"][0]
+    good, unknown = read_documents(spark, f"{root}/{run}")
+    rows = good.select("school", "source", F.md5(F.col("text").cast("binary")).alias("digest"), F.lit(True).alias("known"))
+    found = stage(rows.unionByName(unknown.select("school", "source", F.lit("").alias("digest"), F.lit(False).alias("known"))), "folders")
+    remove(spark, root)
+    return found
+
+
+def stored_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints written as the state of a run and read back; a run over some schools only changes nothing."""
+    docs = table(spark, sf_dir, "documents").select(F.concat_ws("/", "lang", "doc_id").alias("source"), F.md5(F.col("text").cast("binary")).alias("fingerprint"))
+    path = f"{shared_dir(spark)}/lexmill/state-{uuid.uuid4().hex}"
+    write_state(docs, path, "v2", "hash@64")
+    write_state(docs.filter("source like 'en%'"), path, "v3", "hash@64", whole=False)
+    found = stage(read_state(spark, path).select("chunker", "space", "source", "fingerprint", F.col("updated").isNotNull().alias("dated")), "state")
+    remove(spark, path)
+    return found
+
+
 def front_matter_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers of documents and what follows them."""
     raw = F.concat(F.lit("---\ntitle: A: b\nsource: "), "source", F.lit("\ntitle: "), "lang", F.lit("\nno pair\n---\n"), "text")
@@ -253,7 +289,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         names, name_classes, source_expansion, manifest_rows, written_report, usage_counters, opinions_normalised, fact_lines, context_blocks, intake_rows, followup_questions,
-        questionnaire_options, questionnaire_total, consultations, reassembled_frames, reassembled_one_stream, golden_hits, encoder_self_check, extracted_texts, book_files, front_matter_rows, unified_text, fitted_vectors,
+        questionnaire_options, questionnaire_total, consultations, reassembled_frames, reassembled_one_stream, golden_hits, encoder_self_check, extracted_texts, book_files, knowledge_documents, known_folders, stored_state, front_matter_rows, unified_text, fitted_vectors,
     )
 }
 
@@ -362,6 +398,15 @@ ORACLES = {
                CASE k WHEN 0 THEN 'Doc ' || doc_id::VARCHAR ELSE '' END AS title,
                CASE k WHEN 0 THEN 2 WHEN 1 THEN ((octet_length(encode(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;'))) + 4095) // 4096)::INT ELSE 0 END AS pages,
                md5(CASE k WHEN 0 THEN t || chr(10) || chr(10) || 'The end.' ELSE t END) AS digest, 0 AS notes, 1 AS filled FROM d""",
+    "knowledge_documents": """
+        SELECT lang AS school, 'doc_' || doc_id::VARCHAR AS slug,
+               md5('---' || chr(10) || 'title: Doc ' || doc_id::VARCHAR || chr(10) || 'school: ' || lang || chr(10) || 'role: ' || CASE WHEN lang IN ('en', 'fr') THEN 'case' ELSE 'classic' END || chr(10)
+                   || 'source: ' || source || chr(10) || 'chars: ' || length(text)::VARCHAR || chr(10) || '---' || chr(10) || chr(10) || text) AS digest FROM documents""",
+    "known_folders": """
+        SELECT CASE lang WHEN 'en' THEN 'common' WHEN 'fr' THEN 'piwei' ELSE lang END AS school, doc_id::VARCHAR || '.md' AS source, CASE WHEN lang IN ('en', 'fr') THEN md5(text) ELSE '' END AS digest,
+               lang IN ('en', 'fr') AS known FROM documents WHERE doc_id % 9 <> 0""",
+    "stored_state": """
+        SELECT 'v2' AS chunker, 'hash@64' AS space, lang || '/' || doc_id::VARCHAR AS source, md5(text) AS fingerprint, true AS dated FROM documents""",
     "front_matter_rows": """
         SELECT doc_id, lang AS title, source, 2 AS pairs, md5(text) AS digest FROM documents""",
     "unified_text": r"""

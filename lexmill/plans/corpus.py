@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import LATIN, fingerprint, html_to_markdown, script_ratio, sections, squeeze_blank_lines
-from lexmill.operators import chunking, corpus, store
+from lexmill.operators import chunking, corpus, matching, store
 from lexmill.operators.retrieval import ranked
 from lexmill.plans.search import table
 from lexmill.session import discard_later, shared_dir
@@ -196,11 +196,17 @@ def fuzzy_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.resolve_titles(titles, registry).fillna({"slug": ""})
 
 
+def pattern_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First benchmark passage, by its number, whose opening 24 characters stand in each document, and how many do."""
+    openings = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 24).alias("opening"))
+    return matching.first_matches(documents(spark, sf_dir), openings, "doc_id", "text", "item_id", "opening")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         source_stats, corpus_count, summary_rollup, quality_report, quality_gate, gate_breaker, html_to_text, page_sections, line_dedup, doc_dedup, window_chunks,
-        chunk_gates_and_index, gate_statistics, greedy_pack, roles_chunks, normalised_text, upsert_merge, prune_sources, sweep_orphans, incremental_skip, incremental_stream, edition_pick,
+        chunk_gates_and_index, gate_statistics, greedy_pack, roles_chunks, normalised_text, upsert_merge, prune_sources, sweep_orphans, incremental_skip, incremental_stream, pattern_matches, edition_pick,
         dedicated_wins, registry_classify, fuzzy_resolve,
     )
 }
@@ -296,6 +302,8 @@ ORACLES = {
         FROM documents LEFT JOIN labels USING (doc_id)""",
     "incremental_stream": """
         SELECT doc_id, CASE WHEN quality IS NULL THEN 'new' ELSE 'changed' END AS status FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL OR quality <> 1""",
+    "pattern_matches": """
+        SELECT doc_id, min(item_id) AS item_id, count(*) AS matches FROM documents JOIN (SELECT item_id, substr(text, 1, 24) AS opening FROM benchmark) ON contains(text, opening) GROUP BY doc_id""",
     "edition_pick": """
         WITH s AS (SELECT *, p_size::BIGINT * 1000000000 + CASE p_size % 5 WHEN 0 THEN 20 WHEN 1 THEN 25 WHEN 2 THEN 15 WHEN 3 THEN 5 ELSE 0 END * 1000000 + least(length(p_type) * 1000, 999999) AS score FROM part)
         SELECT p_partkey, score, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY score DESC, p_partkey) = 1 AS chosen FROM s""",

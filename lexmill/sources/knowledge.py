@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.sources.files import NAME as FILES
+from lexmill.sources.files import register, write_files
+
 # The domain of schools and the files that aren't documents.
 SCHOOLS = ("shanghan", "wenbing", "piwei", "huoshen", "integrative", "nihaixia", "common")
 EXCLUDED = ("README.md", "INDEX.md", "MANIFEST.md", "CHANGELOG.md")
@@ -28,15 +31,17 @@ def rendered(title: Column, school: Column, role: Column, source: Column, text:
 
 
 def write_documents(docs: DataFrame, root: str) -> None:
-    """Markdown with front matter, one document a folder root/school=.../slug=...; a document's own folder is replaced whole,
-    others stay. (school, slug) names a document once."""
+    """Markdown with front matter as files <school>/<slug>.md of one committed run, many a task; a document written again
+    takes the place of the old, others stay. (school, slug) names a document once."""
     text = rendered(F.col("title"), F.col("school"), F.col("role"), F.col("source"), F.col("text"))
-    docs.select("school", "slug", text.alias("value")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("school", "slug").text(root)
+    write_files(docs, root, F.col("school"), F.concat(F.col("slug"), F.lit(".md")), text)
 
 
 def read_written(spark: SparkSession, root: str) -> DataFrame:
     """(school, slug, text) of what write_documents() wrote."""
-    return spark.read.text(root, wholetext=True).select("school", "slug", F.regexp_replace("value", r"\n\z", "").alias("text"))
+    register(spark)
+    rows = spark.read.format(FILES).load(root)
+    return rows.select(F.col("folder").alias("school"), F.regexp_replace("name", r"\.md$", "").alias("slug"), F.col("raw").alias("text"))
 
 
 #: Entries of a manifest, by school and slug.
