@@ -125,11 +125,18 @@ def _unescaped(texts: pd.Series) -> pd.Series:
     return texts.map(html_module.unescape, na_action="ignore")
 
 
+#: References that most pages have no others than; the ampersand comes last, so nothing is decoded twice.
+COMMON = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&nbsp;": "\u00a0", "&amp;": "&"}
+
+
 def decode_entities(text: Column) -> Column:
-    """Every named and numbered character reference, decoded once. Only texts with an ampersand leave the JVM, in Arrow
-    batches."""
-    marked = F.contains(text, F.lit("&"))
-    return F.when(marked, _unescaped(F.when(marked, text))).otherwise(text)
+    """Every named and numbered character reference, decoded once. Texts whose ampersands all belong to common references
+    stay in the JVM; the others go to Python's tables in Arrow batches."""
+    plain = text
+    for reference, character in COMMON.items():
+        plain = F.replace(plain, F.lit(reference), F.lit(character))
+    marked = F.regexp_replace(text, "|".join(COMMON), "").contains("&")
+    return F.when(marked, _unescaped(F.when(marked, text))).otherwise(F.when(F.contains(text, F.lit("&")), plain).otherwise(text))
 
 
 def html_to_markdown(html: Column) -> Column:

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lexmill.operators.chunking import strip
-from lexmill.operators.corpus import edition_score, pick_editions, resolve_titles, split_compendium, volume_slug, yield_to_dedicated
+from lexmill.operators.corpus import BREAKER_COUNT, BREAKER_SHARE, edition_score, pick_editions, resolve_titles, split_compendium, volume_slug, yield_to_dedicated
+from lexmill.operators.retrieval import ranked
+from lexmill.session import remove
 
 # Name patterns with their school and role, marks of compendiums, label of their books, order of roles.
 HEURISTICS = (
@@ -116,6 +119,38 @@ def stopped_by(frame: DataFrame, breaker: DataFrame) -> DataFrame:
     return frame.filter(F.when(open_, F.raise_error(F.lit("too many sources were rejected: nothing is written"))).otherwise(F.lit(True)).cast("boolean"))
 
 
+def published(frame: DataFrame, status: Column, target: str, count: int = BREAKER_COUNT, share: float = BREAKER_SHARE) -> dict[str, int | bool]:
+    """Write a frame to a folder beside the target while its rows are counted, and put it in the target's place only if the
+    breaker stays shut: one scan, and readers see the old rows or the new.
+
+    The counts are observed metrics of the write itself. Rejected rows are those whose status begins so; they are counted,
+    not written. What a shut-out run has written is removed. Returns `rows`, `rejected` and `open`.
+    """
+    spark = frame.sparkSession
+    seen = Observation()
+    rejected = status.startswith("rejected")
+    beside = f"{target.rstrip('/')}-next-{uuid.uuid4().hex}"
+    frame.observe(seen, F.count("*").alias("rows"), F.count_if(rejected).alias("rejected")).filter(~rejected | status.isNull()).write.parquet(beside)
+    found = seen.get
+    open_ = found["rejected"] >= count and found["rejected"] / max(1, found["rows"]) >= share
+    if not open_:
+        java = spark._jvm.org.apache.hadoop.fs.Path
+        remove(spark, target)
+        java(beside).getFileSystem(spark._jsc.hadoopConfiguration()).rename(java(beside), java(target))
+    remove(spark, beside)
+    return {"rows": found["rows"], "rejected": found["rejected"], "open": open_}
+
+
+def sample_by_group(rows: DataFrame, group: str, key: str, k: int) -> DataFrame:
+    """(group, key, nth): k rows of each group drawn by the MD5 of the key, those of least digest, in one pass.
+
+    The least k of parts give the least k of the whole, so each task keeps k rows a group (a limit below the window's
+    exchange) and no group is ranked whole in one task.
+    """
+    digest = F.md5(F.col(key).cast("string").cast("binary"))
+    return ranked(rows.select(group, key, digest.alias("digest")), group, F.asc("digest"), F.asc(key), k=k, rank="nth").drop("digest")
+
+
 def role_rank(role: Column, order: tuple[str, ...] = ROLE_ORDER) -> Column:
     return reduce(lambda rest, i: F.when(role == order[i], i).otherwise(rest), range(len(order)), F.lit(LAST_ROLE))
 

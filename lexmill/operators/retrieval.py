@@ -98,6 +98,24 @@ def term_counts(docs: DataFrame, tokens: Column, terms: list[str], key: str = "d
     return docs.select(F.col(key).cast("long"), tokens.alias("bag")).mapInArrow(run, f"{key} long, dl int, term array<int>, tf array<int>")
 
 
+def vocabulary(docs: DataFrame, tokens: Column) -> DataFrame:
+    """(token, df, total): documents and occurrences of every token. A batch of documents is counted in one Arrow pass, so a
+    token is shuffled once for each batch and not for each occurrence."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bags = pc.fill_null(batch.column(0), pa.scalar([], batch.column(0).type))
+            sizes = pc.list_value_length(bags).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = pc.dictionary_encode(bags.flatten())
+            wide = max(1, len(coded.dictionary))
+            code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            pairs = np.unique(np.repeat(np.arange(len(sizes)), sizes) * wide + code)
+            df, total = np.bincount(pairs % wide, minlength=len(coded.dictionary)), np.bincount(code, minlength=len(coded.dictionary))
+            yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(df[: len(coded.dictionary)], pa.int64()), pa.array(total[: len(coded.dictionary)], pa.int64())], names=["token", "df", "total"])
+
+    return docs.select(tokens.alias("bag")).mapInArrow(run, "token string, df long, total long").groupBy("token").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+
+
 def text_blocks(docs: DataFrame, tokens: Column, queries: DataFrame, key: str) -> Iterator[tuple[list[int], list[np.ndarray], DataFrame]]:
     """For each block of (query_id, token) queries: their ids, their term numbers, and the staged term_counts()."""
     for block in query_blocks(queries, F.lit(1), TERM_BLOCK):

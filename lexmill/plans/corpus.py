@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import LATIN, fingerprint, html_to_markdown, script_ratio, sections, squeeze_blank_lines
-from lexmill.operators import chunking, corpus, matching, store
+from lexmill.operators import build, chunking, corpus, matching, store
 from lexmill.operators.retrieval import ranked
 from lexmill.plans.search import table
-from lexmill.session import discard_later, shared_dir
+from lexmill.session import discard_later, remove, shared_dir, stage
 from lexmill.streaming.changes import write_changes
 
 #: Parameters for text in Latin script.
@@ -59,6 +59,22 @@ def gate_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.breaker_open(quality_gate(spark, sf_dir), F.col("status"))
 
 
+def gate_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gated documents written in one scan that counts them, and put in place or not; what can be read there afterwards."""
+    docs = documents(spark, sf_dir)
+    target = f"{shared_dir(spark)}/lexmill/gated-{uuid.uuid4().hex}"
+    docs.limit(0).select("doc_id", F.lit("old").alias("status")).write.parquet(target)
+    said = build.published(quality_gate(spark, sf_dir), F.col("status"), target)
+    found = stage(spark.read.parquet(target).agg(F.count("*").alias("readable")), "gated")
+    remove(spark, target)
+    return found.select(*(F.lit(said[c]).alias(c) for c in ("rows", "rejected", "open")), "readable")
+
+
+def sampled_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five documents of each source by the MD5 of their ids."""
+    return build.sample_by_group(documents(spark, sf_dir), "source", "doc_id", 5)
+
+
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = squeeze_blank_lines(html_to_markdown(F.col("html")))
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(text, 256).alias("digest"), F.length(text).alias("chars"))
@@ -206,7 +222,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         source_stats, corpus_count, summary_rollup, quality_report, quality_gate, gate_breaker, html_to_text, page_sections, line_dedup, doc_dedup, window_chunks,
-        chunk_gates_and_index, gate_statistics, greedy_pack, roles_chunks, normalised_text, upsert_merge, prune_sources, sweep_orphans, incremental_skip, incremental_stream, pattern_matches, edition_pick,
+        chunk_gates_and_index, gate_statistics, greedy_pack, roles_chunks, normalised_text, upsert_merge, prune_sources, sweep_orphans, incremental_skip, incremental_stream, pattern_matches, gate_published, sampled_sources, edition_pick,
         dedicated_wins, registry_classify, fuzzy_resolve,
     )
 }
@@ -254,6 +270,12 @@ ORACLES = {
     "gate_breaker": f"""
         WITH s AS (SELECT length(text) < 200 OR {RATIO.format('text')} < 0.55 AS bad FROM documents)
         SELECT count(*) FILTER (bad) >= 3 AND count(*) FILTER (bad) / greatest(count(*), 1) >= 0.34 AS open FROM s""",
+    "gate_published": f"""
+        WITH s AS (SELECT length(text) < 200 OR {RATIO.format('text')} < 0.55 AS bad FROM documents),
+        b AS (SELECT count(*) AS rows, count(*) FILTER (bad) AS rejected, count(*) FILTER (bad) >= 3 AND count(*) FILTER (bad) / greatest(count(*), 1) >= 0.34 AS open FROM s)
+        SELECT rows, rejected, open, CASE WHEN open THEN 0 ELSE rows - rejected END AS readable FROM b""",
+    "sampled_sources": """
+        SELECT source, doc_id, nth FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id)::INT AS nth FROM documents) WHERE nth <= 5""",
     "html_to_text": f"SELECT page_id, sha256(t) AS digest, length(t)::INT AS chars FROM (SELECT page_id, {_markdown('html')} AS t FROM pages)",
     "page_sections": f"""
         WITH m AS (SELECT page_id, {_markdown('html')} AS t FROM pages),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import feature_tokens, half_up, label, let, search_tokens, words
+from lexmill.functions.text import feature_tokens, half_up, label, search_tokens, words
 from lexmill.functions.vectors import cosine, hash_vectors, unit_vectors
 from lexmill.operators import retrieval as r
 from lexmill.operators.evaluation import channel_metrics, validity
@@ -183,9 +183,7 @@ def validity_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and occurrences of every word of the corpus."""
-    marked = let(F.array_sort(words(F.col("text"))), lambda ts: F.transform(ts, lambda t, i: F.struct(t.alias("token"), ((i == 0) | (F.get(ts, F.greatest(i - 1, F.lit(0))) != t)).cast("int").alias("first"))))
-    bag = table(spark, sf_dir, "documents").select(F.explode(marked).alias("t"))
-    return bag.groupBy("t.token").agg(F.sum("t.first").alias("df"), F.count("*").alias("total"))
+    return r.vocabulary(table(spark, sf_dir, "documents"), words(F.col("text")))
 
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
