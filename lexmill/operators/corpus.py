@@ -79,32 +79,38 @@ def drop_noise(lines: Column) -> Column:
     """Without adverts, decoration, page numbers, running heads and tables of contents.
 
     A fold carries the length of the current run of contents lines: blank and other dropped lines don't end it, a line
-    of text does. Lines that only end in a number count once a run has started; past 400 lines a run is kept.
+    of text does. Lines that only end in a number count once a run has started; past 400 lines a run is kept. What
+    depends on the line alone is matched before the fold, once a line.
     """
-    def step(acc: Column, raw: Column) -> tuple[Column, dict[str, Column]]:
-        line, run = strip(raw), acc["run"]
-        noise = (line.rlike(ADVERT) & (F.length(line) < ADVERT_CHARS)) | line.rlike(DECORATION) | line.rlike(PAGE_NUMBER) | line.rlike(RUNNING_HEAD)
-        contents = line.rlike(CONTENTS_DOTS) | line.rlike(CONTENTS_LEADER) | (line.rlike(CONTENTS_TAIL) & (run >= CONTENTS_START))
+    def told(line: Column) -> Column:
+        noise = ((F.length(line) < ADVERT_CHARS) & line.rlike(ADVERT)) | line.rlike(DECORATION) | line.rlike(PAGE_NUMBER) | line.rlike(RUNNING_HEAD)
+        return F.struct(line.alias("line"), noise.alias("noise"), (line.rlike(CONTENTS_DOTS) | line.rlike(CONTENTS_LEADER)).alias("sure"), line.rlike(CONTENTS_TAIL).alias("tail"))
+
+    def step(acc: Column, item: Column) -> tuple[Column, dict[str, Column]]:
+        line, noise, run = item["line"], item["noise"], acc["run"]
+        contents = item["sure"] | (item["tail"] & (run >= CONTENTS_START))
         after = F.when((line == "") | noise, run).when(contents, run + 1).otherwise(0)
         drop = (line != "") & (noise | (contents & (run < CONTENTS_RUN)))
         return F.when(drop, F.array().cast("array<string>")).otherwise(F.array(line)), {"run": after}
 
-    return let(lines, lambda all_: scan(all_, {"run": F.lit(0)}, step))
+    return let(F.transform(lines, lambda raw: let(strip(raw), told)), lambda all_: scan(all_, {"run": F.lit(0)}, step))
 
 
 def join_broken_lines(lines: Column, script: str = HAN) -> Column:
-    """Physical lines joined into paragraphs, headings and sentence ends kept apart."""
+    """Physical lines joined into paragraphs, headings and sentence ends kept apart. What depends on the line alone is
+    matched before the fold, once a line."""
     none = F.array().cast("array<string>")
     one = lambda x: F.when(x != "", F.array(x)).otherwise(none)
 
-    def step(acc: Column, raw: Column) -> tuple[Column, dict[str, Column]]:
-        line, held = strip(raw), acc["open"]
+    def told(line: Column) -> Column:
+        alone = line.rlike(HEADING) | line.rlike(CHAPTER) | line.rlike(PAGE_NUMBER) | F.contains(F.lit(OPENERS), F.left(line, F.lit(1)))
+        return F.struct(line.alias("line"), alone.alias("alone"), line.rlike(f"^[{script}]").alias("script"))
+
+    def step(acc: Column, item: Column) -> tuple[Column, dict[str, Column]]:
+        line, held = item["line"], acc["open"]
         end = F.right(held, F.lit(1))
-        apart = (
-            line.rlike(HEADING) | line.rlike(CHAPTER) | line.rlike(PAGE_NUMBER) | F.contains(F.lit(SENTENCE_ENDS), end)
-            | (F.length(held) <= SHORT_LINE) | F.contains(F.lit(OPENERS), F.left(line, F.lit(1)))
-        )
-        glue = F.when(end.rlike(f"[{script}]") & line.rlike(f"^[{script}]"), "").otherwise(" ")
+        apart = item["alone"] | (F.length(held) <= SHORT_LINE) | F.contains(F.lit(SENTENCE_ENDS), end)
+        glue = F.when(item["script"] & end.rlike(f"[{script}]"), "").otherwise(" ")
         text = F.when(held == "", line).when(apart, line).otherwise(F.concat(held, glue, line))
         full = F.length(text) > LONG_LINE
         body = F.concat(F.when((held != "") & apart, one(held)).otherwise(none), F.when(full & (held != ""), one(text)).otherwise(none))
@@ -112,7 +118,7 @@ def join_broken_lines(lines: Column, script: str = HAN) -> Column:
         left = F.when((line == "") | line.startswith("#") | (full & (held != "")), "").otherwise(text)
         return finished, {"open": left}
 
-    return let(lines, lambda all_: scan(all_, {"open": F.lit("")}, step, lambda acc: one(acc["open"])))
+    return let(F.transform(lines, lambda raw: let(strip(raw), told)), lambda all_: scan(all_, {"open": F.lit("")}, step, lambda acc: one(acc["open"])))
 
 
 def drop_repeated(blocks: Column, least: int = REPEAT_CHARS) -> Column:
