@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions.text import words
+
 # Terms, options, scores and answers of the rules.
 DANGER_TERMS = ("胸痛", "呼吸困难", "意识不清", "大出血", "高热不退", "孕期出血")
 PREGNANT, MINOR, CHRONIC = "孕产场景", "未成年人", "严重慢病"
@@ -24,6 +26,25 @@ def known_facts(facts: Column) -> Column:
     return F.map_filter(facts, lambda k, v: v.isNotNull() & (v != "") & (v != UNSURE))
 
 
+def found_facts(turns: DataFrame, cues: DataFrame, session: str, turn: str, text: str) -> DataFrame:
+    """(session, facts): what the words of each session's turns state, as a map, by cues of (key, cue, value).
+
+    A cue is an ASCII word in lower case; a turn that holds it states the value. Of several statements of a key the one of
+    the latest turn counts (turns without a number come first), in a turn the last word, then the larger value. Sessions
+    that state nothing have an empty map; null and empty texts state nothing. Only the words that are cues pass the join,
+    and they are reduced to one a key before the shuffle, so a session of any length is a row of at most as many facts as
+    there are keys.
+    """
+    said = turns.select(F.col(session), F.col(turn).alias("turn"), F.posexplode(words(F.col(text))).alias("pos", "cue"))
+    stated = said.join(cues.select("key", "cue", "value"), "cue")
+    place = F.struct(F.coalesce(F.col("turn").cast("long"), F.lit(-(2**63))).alias("turn"), "pos", "value")
+    last = stated.groupBy(session, "key").agg(F.max(place)["value"].alias("value"))
+    maps = last.groupBy(session).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("facts"))
+    every = turns.select(session).distinct()
+    same = every[session].eqNullSafe(maps[session])
+    return every.join(maps, same, "left").select(every[session], F.coalesce("facts", F.expr("map()").cast("map<string,string>")).alias("facts"))
+
+
 def risk_flags(facts: Column, text: Column, terms: tuple[str, ...] = DANGER_TERMS) -> Column:
     """Sorted flags: terms found anywhere in the text, the keys or the values, and flags by single facts."""
     written = F.array_join(F.transform(F.map_entries(facts), lambda e: F.concat_ws(": ", e["key"], e["value"])), ", ")

@@ -8,28 +8,40 @@ from pyspark.sql import functions as F
 from lexmill.functions.text import clamp, half_up, json_object, mask_secret
 from lexmill.operators import rules
 from lexmill.operators.panel_values import OVERRIDES, SCHOOLS
+from lexmill.operators.retrieval import ranked
 from lexmill.plans.search import table
 from lexmill.streaming.ingest import frame, report_events, unframe
 
-#: Facts of a session for each customer: value number `id mod n` of each key's n.
-OPTIONS = {
-    "cold": ("经常怕冷", "没有怕冷", "不确定", "true"),
-    "fatigue": ("容易疲倦", "精力充沛", "true"),
-    "poor_appetite": ("食欲不振", "正常", "不确定", "正常", "正常"),
-    "heat": ("没有怕热", "经常怕热", "手足心热", "没有怕热", "", "没有怕热", "不确定"),
-    "thirst": ("口渴喜饮", "不渴"),
-    "age": tuple(str(n) for n in range(3, 97)),
-    "pregnant": ("true",) + ("false",) * 10,
-    "serious_conditions": ("胸痛", "yes", "false", "0") + ("",) * 9,
-}
+#: Words of the tables' invented talk that stand for answers: (key, word, value). Of a key's words in a conversation the last counts.
+CUES = (
+    ("cold", "ing", "经常怕冷"), ("cold", "erer", "true"), ("cold", "thnd", "没有怕冷"), ("cold", "enst", "经常怕冷"), ("cold", "des", "不确定"),
+    ("fatigue", "than", "容易疲倦"), ("fatigue", "ble", "精力充沛"), ("fatigue", "ch", "容易疲倦"), ("fatigue", "er", "true"),
+    ("poor_appetite", "thou", "食欲不振"), ("poor_appetite", "nd", "正常"), ("poor_appetite", "au", "食欲不振"), ("poor_appetite", "of", "不确定"),
+    ("heat", "heat", "经常怕热"), ("heat", "thing", "手足心热"), ("heat", "wh", "没有怕热"), ("heat", "only", "没有怕热"), ("heat", "ie", "手足心热"),
+    ("thirst", "then", "口渴喜饮"), ("thirst", "sh", "不渴"), ("thirst", "thin", "经常口渴"), ("thirst", "en", "口渴喜饮"),
+    ("age", "rest", "12"), ("age", "that", "64"), ("age", "ly", "17"), ("age", "un", "40"), ("age", "ones", "unknown"),
+    ("pregnant", "onth", "true"), ("pregnant", "hare", "false"), ("pregnant", "ung", "false"),
+    ("serious_conditions", "anly", "胸痛"), ("serious_conditions", "aned", "yes"), ("serious_conditions", "rees", "false"), ("serious_conditions", "anor", "0"),
+)
 TERMS = ("idiot", "worthless", "the")
+#: Characters of a reply from which it counts as a view of its own.
+SECOND_VIEW = 1500
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One session a customer, its facts made of the customer's number."""
-    pick = lambda values: F.get(F.array(*(F.lit(v) for v in values)), (F.col("c_custkey") % len(values)).cast("int"))
-    facts = F.create_map(*(x for k, values in OPTIONS.items() for x in (F.lit(k), pick(values))))
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("session_id"), facts.alias("facts"), F.lit("").alias("text"))
+    """One session a conversation: the facts that its words state, and the user's last text."""
+    turns = table(spark, sf_dir, "conversations")
+    cues = spark.createDataFrame(CUES, "key string, cue string, value string")
+    facts = rules.found_facts(turns, cues, "conv_id", "turn", "text")
+    last = turns.filter("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
+    return facts.join(last, "conv_id", "left").withColumnRenamed("conv_id", "session_id")
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(session_id, panel_no, reply): the first replies of each conversation, one a school in the panel's order."""
+    said = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    first = ranked(said, "conv_id", F.asc("turn"), k=len(SCHOOLS), rank="nth")
+    return first.select(F.col("conv_id").alias("session_id"), (F.col("nth") - 1).cast("int").alias("panel_no"), F.col("text").alias("reply"))
 
 
 def overrides(spark: SparkSession) -> DataFrame:
@@ -68,11 +80,12 @@ def panel_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Panel opinions, some of them second views and each with a confidence of its own, merged by session."""
-    order = F.array_position(F.array(*(F.lit(s) for s in SCHOOLS)), F.col("school")).cast("int")
-    opinions = rules.reports(panel(spark, sf_dir), overrides(spark)).withColumn("panel_no", order)
-    second = (F.col("session_id") + F.col("panel_no")) % 5 == 0
-    own = F.col("confidence") + F.lit(0.01) * ((F.col("session_id") * F.col("panel_no")) % 7)
+    """Panel opinions merged by session. A school's opinion is as confident as its reply has lines; a reply that says much
+    is a second view."""
+    order = F.array_position(F.array(*(F.lit(s) for s in SCHOOLS)), F.col("school")).cast("int") - 1
+    opinions = rules.reports(panel(spark, sf_dir), overrides(spark)).withColumn("panel_no", order).join(replies(spark, sf_dir), ["session_id", "panel_no"], "left")
+    own = F.col("confidence") + F.lit(0.01) * F.least(F.coalesce(F.size(F.split("reply", "\n")), F.lit(0)), F.lit(6))
+    second = F.length("reply") > SECOND_VIEW
     return rules.merge_panel(opinions.withColumns({"diagnosis": F.when(second, "second view").otherwise(F.col("diagnosis")), "confidence": own}))
 
 
@@ -110,10 +123,10 @@ def event_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a report's stream tells; a session all of whose opinions fell back to the rules ends with an error."""
-    fallback = ((F.col("session_id") * F.col("panel_no")) % 3 == 0) | (F.col("session_id") % 10 == 0)
-    opinions = panel(spark, sf_dir).select("session_id", F.when(fallback, "rule").otherwise("model").alias("basis"))
-    ended = opinions.groupBy("session_id").agg(F.count("*").cast("int").alias("agents"), (F.count_if(F.col("basis") == "rule") == F.count("*")).alias("failed"))
+    """What a report's stream tells. An opinion rests on its school's reply, else on the rules; a session all of whose
+    opinions fell back to the rules ends with an error."""
+    opinions = panel(spark, sf_dir).select("session_id", "panel_no").join(replies(spark, sf_dir), ["session_id", "panel_no"], "left")
+    ended = opinions.groupBy("session_id").agg(F.count("*").cast("int").alias("agents"), (F.count("reply") == 0).alias("failed"))
     flagged = sessions(spark, sf_dir).select("session_id", rules.risk_flags(F.col("facts"), F.col("text")).alias("flags"))
     return report_events(flagged.join(ended, "session_id"))
 
@@ -130,12 +143,21 @@ QUERIES = {
     )
 }
 
-FACT_ROWS = " UNION ALL ".join(f"SELECT c_custkey, '{k}', {list(v)}[c_custkey % {len(v)} + 1] FROM customer" for k, v in OPTIONS.items())
+CUE_ROWS = ", ".join(str(c) for c in CUES)
 TOP = "top AS (SELECT session_id, arg_max(name, score) AS name, max(score) AS score FROM scored GROUP BY ALL)"
 PANEL = "panel(school, panel_no) AS (VALUES " + ", ".join(f"('{s}', {i})" for i, s in enumerate(SCHOOLS)) + ")"
 HAS = "max(CASE WHEN k = '{0}' AND v IN ({1}, 'true') THEN 1 ELSE 0 END) = 1"
 SCORED = f"""
-    f(session_id, k, v) AS ({FACT_ROWS}),
+    cue(k, word, v) AS (VALUES {CUE_ROWS}),
+    bags AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM conversations),
+    said AS (SELECT conv_id, turn, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM bags),
+    f AS (
+        SELECT conv_id AS session_id, k, arg_max(v, turn * 1000000 + pos) AS v FROM said JOIN cue USING (word) GROUP BY ALL
+        UNION ALL SELECT conv_id, '', coalesce(arg_max(text, turn) FILTER (role = 'user'), '') FROM conversations GROUP BY ALL
+    ),
+    reply AS (
+        SELECT conv_id AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS panel_no, text AS reply FROM conversations WHERE role = 'assistant'
+    ),
     has AS (
         SELECT session_id, {HAS.format("cold", "'经常怕冷'")} AS cold, {HAS.format("fatigue", "'容易疲倦'")} AS tired, {HAS.format("poor_appetite", "'食欲不振'")} AS hungry,
                {HAS.format("heat", "'经常怕热', '手足心热'")} AS heat, {HAS.format("thirst", "'口渴喜饮', '经常口渴'")} AS thirst FROM f GROUP BY session_id
@@ -160,7 +182,7 @@ ORACLES = {
     "risk_scan": """
         SELECT conv_id, turn, array_to_string(list_sort(list_filter(['idiot', 'worthless', 'the'], lambda t: contains(lower(text || ' role: ' || role), t))), ',') AS flags FROM conversations""",
     "fact_flags": f"""
-        WITH {SCORED}, known AS (SELECT session_id, count(*) FILTER (v NOT IN ('', '不确定')) AS known FROM f GROUP BY ALL)
+        WITH {SCORED}, known AS (SELECT session_id, count(*) FILTER (k <> '' AND v NOT IN ('', '不确定')) AS known FROM f GROUP BY ALL)
         SELECT session_id, coalesce(array_to_string(flags, ','), '') AS flags, known::INT AS known FROM flags JOIN known USING (session_id)""",
     "rule_scores": f"WITH {SCORED} SELECT session_id, (row_number() OVER (PARTITION BY session_id ORDER BY score DESC) - 1)::INT AS place, name, score FROM scored",
     "session_state": """
@@ -178,7 +200,7 @@ ORACLES = {
         SELECT event_type, floor(avg(least(1, greatest(0, coalesce((props::JSON ->> 'k')::DOUBLE / 100, 0.5)))) * 1e6 + 0.5) / 1e6 AS score, count(*) AS n FROM events GROUP BY event_type""",
     "report_sequence": f"""
         WITH {SCORED}, {PANEL},
-        ended AS (SELECT c_custkey AS session_id, bool_and(c_custkey * panel_no % 3 = 0 OR c_custkey % 10 = 0) AS failed FROM customer CROSS JOIN panel GROUP BY ALL),
+        ended AS (SELECT h.session_id, count(reply) = 0 AS failed FROM has h CROSS JOIN panel p LEFT JOIN reply r ON h.session_id = r.session_id AND p.panel_no = r.panel_no GROUP BY ALL),
         told AS (
             SELECT session_id, ['stage_started'] || (CASE WHEN len(flags) > 0 THEN ['risk_detected'] ELSE [] END) || ['stage_started'] || list_transform(range(6), lambda i: 'agent_result')
                    || (CASE WHEN failed THEN ['error'] ELSE ['stage_started', 'report', 'completed'] END) AS e FROM flags JOIN ended USING (session_id)
@@ -195,8 +217,9 @@ ORACLES = {
     "panel_merge": f"""
         WITH {SCORED}, {PANEL}, {TOP},
         op AS (
-            SELECT session_id, school, panel_no + 1 AS no, CASE WHEN (session_id + no) % 5 = 0 THEN 'second view' ELSE name END AS diagnosis,
-                   score + 0.01::DOUBLE * ((session_id * no) % 7)::DOUBLE AS confidence FROM top CROSS JOIN panel
+            SELECT t.session_id, school, p.panel_no AS no, CASE WHEN length(reply) > {SECOND_VIEW} THEN 'second view' ELSE name END AS diagnosis,
+                   score + 0.01::DOUBLE * least(coalesce(len(string_split(reply, chr(10))), 0), 6)::DOUBLE AS confidence
+            FROM top t CROSS JOIN panel p LEFT JOIN reply r ON t.session_id = r.session_id AND p.panel_no = r.panel_no
         ),
         lead AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY confidence DESC, no) AS n FROM op) WHERE n = 1)
         SELECT l.session_id, l.diagnosis AS lead, l.school AS lead_school, l.confidence AS confidence, count(DISTINCT o.diagnosis) AS diagnoses,
