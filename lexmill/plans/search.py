@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexmill.functions.text import feature_tokens, half_up, label, search_tokens, words
 from lexmill.functions.vectors import cosine, hash_vectors, unit_vectors
 from lexmill.operators import retrieval as r
-from lexmill.operators.evaluation import channel_metrics, validity
+from lexmill.operators.evaluation import channel_metrics, phrases_hit, validity
 from lexmill.operators.postings import PostingsIndex, postings_top_k
 from lexmill.session import remove, stage
 
@@ -84,15 +84,17 @@ def dense_topk_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.dense_top_k(r.one_space(rows, "even@64"), vector_queries(spark, sf_dir), K)
 
 
-def text_channels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Dense and sparse candidates of each benchmark passage."""
+def text_channels(spark: SparkSession, sf_dir: str, items: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Dense and sparse candidates of each query of (query_id, text), else of each benchmark passage."""
     docs = table(spark, sf_dir, "documents")
     pool = r.pool_size(TOP)
     vectors = unit_vectors(hash_vectors(docs, words(F.col("text")), "doc_id", DIMENSION), "doc_id")
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    if items is None:
+        items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    terms = items.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("token"))
     wanted = unit_vectors(hash_vectors(items, words(F.col("text")), "query_id", DIMENSION), "query_id").withColumnRenamed("vector", "query_vector")
     dense = r.dense_top_k(vectors, wanted, pool, "doc_id", "vector")
-    return dense, r.bm25_top_k(docs, words(F.col("text")), query_terms(spark, sf_dir), pool)
+    return dense, r.bm25_top_k(docs, words(F.col("text")), terms, pool)
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,14 +160,17 @@ def random_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def channel_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(channel, case_id, rank, label, own_label) of the dense, tiered and random channels."""
+    """(channel, case_id, rank, label, own_label) of the dense, tiered, flat and random channels. Flat ranks the pools of
+    both tiers as one, without seats."""
     rows, queries = table(spark, sf_dir, "embeddings").select("vec_id", "label"), vector_queries(spark, sf_dir)
     own = queries.select(F.col("query_id").alias("case_id"), "own_label")
     shape = lambda f, name, rank: f.select(F.lit(name).alias("channel"), F.col("query_id").alias("case_id"), F.col(rank).cast("int").alias("rank"), "vec_id")
     dense = shape(dense_topk(spark, sf_dir).filter(F.col("rank") <= TOP), "dense", "rank")
-    tiered = shape(tiered_quota_topk(spark, sf_dir), "tiered", "seat")
+    pools = stage(tier_pools(spark, sf_dir).select("query_id", "vec_id", "score", "own_tier"), "pools")
+    tiered = shape(r.seat_tiers(pools, TOP, 1, F.col("own_tier"), "vec_id"), "tiered", "seat")
+    flat = shape(r.ranked(pools, "query_id", F.desc("score"), F.asc("vec_id"), k=TOP), "flat", "rank")
     chance = shape(random_baseline(spark, sf_dir), "random", "rank")
-    return dense.unionByName(tiered).unionByName(chance).join(rows, "vec_id").join(F.broadcast(own), "case_id")
+    return dense.unionByName(tiered).unionByName(flat).unionByName(chance).join(rows, "vec_id").join(own, "case_id")
 
 
 def recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,10 +180,22 @@ def recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return channel_metrics(results, cases, F.col("label") == F.col("own_label"), isolated)
 
 
+def rewritten_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense and sparse channel on passages without their first four words: a hit holds both pairs of those words."""
+    bag = words(F.col("text"))
+    phrases = F.array(*(F.array_join(F.slice(bag, at, 2), " ") for at in (1, 3)))
+    cases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), phrases.alias("phrases"), F.array_join(F.filter(bag, lambda w, i: i >= 4), " ").alias("text"))
+    dense, sparse = text_channels(spark, sf_dir, cases.select(F.col("case_id").alias("query_id"), "text"))
+    of = lambda f, name: f.filter(F.col("rank") <= TOP).select(F.lit(name).alias("channel"), F.col("query_id").alias("case_id"), "rank", "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("content"))
+    found = of(dense, "dense").unionByName(of(sparse, "sparse")).join(docs, "doc_id").join(cases.select("case_id", "phrases"), "case_id")
+    return channel_metrics(found, cases, phrases_hit(F.col("content"), F.col("phrases"), True), F.lit(True))
+
+
 def validity_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    metrics = recall_mrr(spark, sf_dir)
-    flat = metrics.filter("channel = 'dense'").withColumn("channel", F.lit("flat"))
-    return validity(metrics.unionByName(flat)).select("random_is_low", "tiered_is_high", "tiered_beats_flat")
+    """Chance is low, tiers are of use and better than one flat pool, and on queries without their key phrases words alone
+    are no better than vectors."""
+    return validity(recall_mrr(spark, sf_dir).filter("channel <> 'dense'").unionByName(rewritten_recall(spark, sf_dir)))
 
 
 def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,6 +278,8 @@ METRICS = f"""
         SELECT 'dense' AS channel, query_id AS case_id, rank, label, own_label
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= {TOP}
         UNION ALL SELECT 'tiered', s.query_id, seat, label, own_label FROM seated s JOIN pairs p ON s.query_id = p.query_id AND s.vec_id = p.vec_id WHERE seat <= {TOP}
+        UNION ALL SELECT 'flat', query_id, nth, label, own_label
+        FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS nth FROM pool) JOIN pairs USING (query_id, vec_id) WHERE nth <= {TOP}
         UNION ALL SELECT 'random', c.query_id, rank, label, own_label FROM chance c JOIN pairs p ON c.query_id = p.query_id AND c.vec_id = p.vec_id
     ),
     per_case AS (
@@ -293,10 +312,27 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_topk, postings_topk, postings_frequencies, bm25_candidate_stats, dense_topk, dense_topk_filtered, dense_topk_space, rrf_fusion, hybrid_search, tiered_quota_topk, hash_embedding, lexical_rerank, rerank_reuse,
-        random_baseline, recall_mrr, validity_checks, term_statistics, token_counts, encoder_check,
+        random_baseline, recall_mrr, rewritten_recall, validity_checks, term_statistics, token_counts, encoder_check,
     )
 }
 
+REWRITTEN_METRICS = f"""
+    WITH rewritten AS (
+        SELECT item_id, array_to_string({WORDS}[5:], ' ') AS text, array_to_string({WORDS}[1:2], ' ') AS one, array_to_string({WORDS}[3:4], ' ') AS two FROM benchmark
+    ),
+    {BM25.replace("FROM benchmark", "FROM rewritten")}, {FUSED.replace("FROM benchmark", "FROM rewritten")},
+    rresults AS (
+        SELECT 'dense' AS channel, query_id, rank, doc_id FROM dense WHERE rank <= {TOP} UNION ALL SELECT 'sparse', query_id, rank, doc_id FROM sparse WHERE rank <= {TOP}
+    ),
+    rfirst AS (
+        SELECT channel, query_id, min(rank) FILTER (contains(lower(text), one) AND contains(lower(text), two)) AS first
+        FROM rresults JOIN (SELECT doc_id, text FROM documents) USING (doc_id) JOIN (SELECT item_id AS query_id, one, two FROM rewritten) USING (query_id) GROUP BY ALL
+    ),
+    rmetrics AS (
+        SELECT c.channel, floor(avg((first IS NOT NULL)::INT) * 1000 + 0.5) / 1000 AS recall, floor(avg(coalesce(1.0 / first, 0)) * 1000 + 0.5) / 1000 AS mrr, 1.0::DOUBLE AS isolation, count(*) AS cases
+        FROM (SELECT DISTINCT channel FROM rresults) c CROSS JOIN rewritten w LEFT JOIN rfirst f ON f.channel = c.channel AND f.query_id = w.item_id GROUP BY c.channel
+    )"""
+
 ORACLES = {
     "bm25_topk": f"WITH {BM25} SELECT query_id, doc_id, score, rank FROM sparse WHERE rank <= {K}",
     "postings_topk": f"WITH {BM25} SELECT query_id, doc_id, score, rank FROM sparse WHERE rank <= {K}",
@@ -350,9 +386,11 @@ ORACLES = {
     """,
     "random_baseline": f"WITH {CHANCE} SELECT query_id, vec_id, rank FROM chance",
     "recall_mrr": f"{METRICS} SELECT * FROM metrics",
-    "validity_checks": f"""{METRICS}
-        SELECT max(recall) FILTER (channel = 'random') <= 0.15 AS random_is_low, max(recall) FILTER (channel = 'tiered') >= 0.6 AS tiered_is_high,
-               max(recall) FILTER (channel = 'tiered') > max(recall) FILTER (channel = 'dense') AS tiered_beats_flat FROM metrics""",
+    "rewritten_recall": f"{REWRITTEN_METRICS} SELECT * FROM rmetrics",
+    "validity_checks": f"""{METRICS}{REWRITTEN_METRICS.replace("WITH", ",", 1)}
+        SELECT (SELECT max(recall) FROM metrics WHERE channel = 'random') <= 0.15 AS random_is_low, (SELECT max(recall) FROM metrics WHERE channel = 'tiered') >= 0.6 AS tiered_is_high,
+               (SELECT max(recall) FROM metrics WHERE channel = 'tiered') > (SELECT max(recall) FROM metrics WHERE channel = 'flat') AS tiered_beats_flat,
+               (SELECT max(recall) FROM rmetrics WHERE channel = 'sparse') <= (SELECT max(recall) FROM rmetrics WHERE channel = 'dense') AS dense_adds""",
     "term_statistics": f"""
         SELECT token, count(*) AS df, sum(tf)::BIGINT AS total
         FROM (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({WORDS}) AS token FROM documents) GROUP BY ALL) GROUP BY token
