@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import LATIN, fingerprint, html_to_markdown, script_ratio, sections, squeeze_blank_lines
-from lexmill.operators import build, chunking, corpus, matching, store
+from lexmill.functions.text import LATIN, ZERO_WIDTH, fingerprint, html_to_markdown, script_ratio, sections, squeeze_blank_lines, unify_lines
+from lexmill.operators import build, chunking, conversion, corpus, matching, store
 from lexmill.operators.retrieval import ranked
 from lexmill.plans.search import table
 from lexmill.session import discard_later, remove, shared_dir, stage
@@ -135,6 +135,20 @@ def normalised_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", corpus.normalise(F.col("text")).alias("text"))
 
 
+#: Groups of letters of the tables' invented prose with what is written for them; some begin others.
+LETTERS = (
+    ("ß", "ss"), ("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("sch", "sh"), ("ch", "kh"), ("chen", "ken"), ("tion", "shun"), ("ti", "ci"), ("th", "þ"), ("the", "ðe"), ("thes", "these"),
+    ("eau", "o"), ("eaux", "os"), ("au", "ow"), ("é", "e"), ("éê", "ee"), ("ç", "s"), ("ing", "in'"), ("in", "im"), ("ver", "fer"), ("verein", "union"), ("\n\n", " ¶ "), (".", "!"),
+)
+
+
+def converted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with groups of letters replaced, the longest first, after the cleaning of line ends."""
+    phrases = spark.createDataFrame(LETTERS, "phrase string, replacement string")
+    out = conversion.converted(documents(spark, sf_dir).select("doc_id", unify_lines(F.col("text")).alias("text")), phrases, "text")
+    return out.select("doc_id", F.length("text").alias("chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the rows of pages merged over them by id."""
     current = documents(spark, sf_dir).select(F.col("doc_id").alias("key"), F.col("source").alias("source"), F.md5(F.col("text").cast("binary")).alias("digest"))
@@ -222,7 +236,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         source_stats, corpus_count, summary_rollup, quality_report, quality_gate, gate_breaker, html_to_text, page_sections, line_dedup, doc_dedup, window_chunks,
-        chunk_gates_and_index, gate_statistics, greedy_pack, roles_chunks, normalised_text, upsert_merge, prune_sources, sweep_orphans, incremental_skip, incremental_stream, pattern_matches, gate_published, sampled_sources, edition_pick,
+        chunk_gates_and_index, gate_statistics, greedy_pack, roles_chunks, normalised_text, converted_text, upsert_merge, prune_sources, sweep_orphans, incremental_skip, incremental_stream, pattern_matches, gate_published, sampled_sources, edition_pick,
         dedicated_wins, registry_classify, fuzzy_resolve,
     )
 }
@@ -255,7 +269,13 @@ def _markdown(html: str) -> str:
     return f"regexp_replace(regexp_replace({out}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
 
 
+LONGEST = "|".join(p.replace(".", "[.]") for p, _ in sorted(LETTERS, key=lambda x: -len(x[0])))
+PUT = "CASE x " + " ".join("WHEN '{}' THEN '{}'".format(*(v.replace("'", "''") for v in pair)) for pair in LETTERS) + " ELSE x END"
 ORACLES = {
+    "converted_text": f"""
+        WITH u AS (SELECT doc_id, regexp_replace(translate(text, '{ZERO_WIDTH}', ''), '\\r\\n?', chr(10), 'g') AS text FROM documents),
+        c AS (SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '(?s){LONGEST}|.'), lambda x: {PUT}), '') AS text FROM u)
+        SELECT doc_id, length(text)::INT AS chars, md5(text) AS digest FROM c""",
     "source_stats": "SELECT lang AS school, source, count(*) AS chunks, max(substr(text, 1, 40)) AS title, 'classic' AS role FROM documents GROUP BY ALL",
     "corpus_count": "SELECT count(*) AS chunks, count(*) > 0 AS enabled FROM documents",
     "summary_rollup": """
