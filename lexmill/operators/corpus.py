@@ -75,25 +75,43 @@ def drop_front(lines: Column, script: str = HAN) -> Column:
     return let(lines, cut)
 
 
-def drop_noise(lines: Column) -> Column:
+def noise_marks(lines: Column) -> Column:
+    """Stripped lines with what of the noise rules depends on the line alone: (line, noise, sure, tail)."""
+    def told(line: Column) -> Column:
+        noise = ((F.length(line) < ADVERT_CHARS) & line.rlike(ADVERT)) | line.rlike(DECORATION) | line.rlike(PAGE_NUMBER) | line.rlike(RUNNING_HEAD)
+        return F.struct(line.alias("line"), noise.alias("noise"), (line.rlike(CONTENTS_DOTS) | line.rlike(CONTENTS_LEADER)).alias("sure"), line.rlike(CONTENTS_TAIL).alias("tail"))
+
+    return F.transform(lines, lambda raw: let(strip(raw), told))
+
+
+def in_contents(item: Column, run: Column) -> Column:
+    """Whether a marked line counts as one of a table of contents after `run` such lines."""
+    return item["sure"] | (item["tail"] & (run >= CONTENTS_START))
+
+
+def run_after(item: Column, run: Column) -> Column:
+    """Length of the run of contents lines after a marked line."""
+    return F.when((item["line"] == "") | item["noise"], run).when(in_contents(item, run), run + 1).otherwise(0)
+
+
+def drop_noise(lines: Column, run: Column | None = None) -> Column:
     """Without adverts, decoration, page numbers, running heads and tables of contents.
 
     A fold carries the length of the current run of contents lines: blank and other dropped lines don't end it, a line
     of text does. Lines that only end in a number count once a run has started; past 400 lines a run is kept. What
-    depends on the line alone is matched before the fold, once a line.
+    depends on the line alone is matched before the fold, once a line. `run` is the run before the first line.
     """
-    def told(line: Column) -> Column:
-        noise = ((F.length(line) < ADVERT_CHARS) & line.rlike(ADVERT)) | line.rlike(DECORATION) | line.rlike(PAGE_NUMBER) | line.rlike(RUNNING_HEAD)
-        return F.struct(line.alias("line"), noise.alias("noise"), (line.rlike(CONTENTS_DOTS) | line.rlike(CONTENTS_LEADER)).alias("sure"), line.rlike(CONTENTS_TAIL).alias("tail"))
-
     def step(acc: Column, item: Column) -> tuple[Column, dict[str, Column]]:
-        line, noise, run = item["line"], item["noise"], acc["run"]
-        contents = item["sure"] | (item["tail"] & (run >= CONTENTS_START))
-        after = F.when((line == "") | noise, run).when(contents, run + 1).otherwise(0)
-        drop = (line != "") & (noise | (contents & (run < CONTENTS_RUN)))
-        return F.when(drop, F.array().cast("array<string>")).otherwise(F.array(line)), {"run": after}
+        line, before = item["line"], acc["run"]
+        drop = (line != "") & (item["noise"] | (in_contents(item, before) & (before < CONTENTS_RUN)))
+        return F.when(drop, F.array().cast("array<string>")).otherwise(F.array(line)), {"run": run_after(item, before)}
+
+    return let(noise_marks(lines), lambda all_: scan(all_, {"run": F.lit(0) if run is None else run}, step))
+
 
-    return let(F.transform(lines, lambda raw: let(strip(raw), told)), lambda all_: scan(all_, {"run": F.lit(0)}, step))
+def stands_alone(line: Column) -> Column:
+    """Whether a line never continues the one before it."""
+    return line.rlike(HEADING) | line.rlike(CHAPTER) | line.rlike(PAGE_NUMBER) | F.contains(F.lit(OPENERS), F.left(line, F.lit(1)))
 
 
 def join_broken_lines(lines: Column, script: str = HAN) -> Column:
@@ -103,8 +121,7 @@ def join_broken_lines(lines: Column, script: str = HAN) -> Column:
     one = lambda x: F.when(x != "", F.array(x)).otherwise(none)
 
     def told(line: Column) -> Column:
-        alone = line.rlike(HEADING) | line.rlike(CHAPTER) | line.rlike(PAGE_NUMBER) | F.contains(F.lit(OPENERS), F.left(line, F.lit(1)))
-        return F.struct(line.alias("line"), alone.alias("alone"), line.rlike(f"^[{script}]").alias("script"))
+        return F.struct(line.alias("line"), stands_alone(line).alias("alone"), line.rlike(f"^[{script}]").alias("script"))
 
     def step(acc: Column, item: Column) -> tuple[Column, dict[str, Column]]:
         line, held = item["line"], acc["open"]

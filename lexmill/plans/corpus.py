@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import LATIN, ZERO_WIDTH, fingerprint, html_to_markdown, script_ratio, sections, squeeze_blank_lines, unify_lines
-from lexmill.operators import build, chunking, conversion, corpus, matching, store
+from lexmill.operators import build, chunking, conversion, corpus, longtext, matching, store
 from lexmill.operators.retrieval import ranked
 from lexmill.plans.search import table
 from lexmill.session import discard_later, remove, shared_dir, stage
@@ -135,6 +135,11 @@ def normalised_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", corpus.normalise(F.col("text")).alias("text"))
 
 
+def normalised_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """normalised_text by segments of 256 lines, so a document of many lines is cleaned by many tasks."""
+    return longtext.normalised(documents(spark, sf_dir), "doc_id", "text", per=256)
+
+
 #: Groups of letters of the tables' invented prose with what is written for them; some begin others.
 LETTERS = (
     ("ß", "ss"), ("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("sch", "sh"), ("ch", "kh"), ("chen", "ken"), ("tion", "shun"), ("ti", "ci"), ("th", "þ"), ("the", "ðe"), ("thes", "these"),
@@ -236,7 +241,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         source_stats, corpus_count, summary_rollup, quality_report, quality_gate, gate_breaker, html_to_text, page_sections, line_dedup, doc_dedup, window_chunks,
-        chunk_gates_and_index, gate_statistics, greedy_pack, roles_chunks, normalised_text, converted_text, upsert_merge, prune_sources, sweep_orphans, incremental_skip, incremental_stream, pattern_matches, gate_published, sampled_sources, edition_pick,
+        chunk_gates_and_index, gate_statistics, greedy_pack, roles_chunks, normalised_text, normalised_long, converted_text, upsert_merge, prune_sources, sweep_orphans, incremental_skip, incremental_stream, pattern_matches, gate_published, sampled_sources, edition_pick,
         dedicated_wins, registry_classify, fuzzy_resolve,
     )
 }
