@@ -166,3 +166,11 @@ def report_rows(reports: DataFrame, role: Column) -> DataFrame:
 def schools_written(documents: DataFrame) -> DataFrame:
     """(school, documents): what was written, by school."""
     return documents.groupBy("school").agg(F.count("*").alias("documents"))
+
+
+def manifest_summary(entries: DataFrame) -> DataFrame:
+    """One row (version, documents, chars, schools) of manifest entries: how many there are, and the schools in order."""
+    return entries.agg(
+        F.max("version").alias("version"), F.count("*").alias("documents"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"),
+        F.array_join(F.array_sort(F.collect_set("school")), ",").alias("schools"),
+    )

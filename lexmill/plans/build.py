@@ -88,6 +88,18 @@ def manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(named)
 
 
+def manifest_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a manifest says of all its entries."""
+    return build.manifest_summary(manifest_rows(spark, sf_dir))
+
+
+def turn_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn of a conversation as a frame whose data is the turn in JSON."""
+    turns = table(spark, sf_dir, "conversations")
+    data = F.to_json(F.struct("conv_id", "turn", "text"))
+    return turns.select("conv_id", "turn", F.md5(frame(F.col("role"), data).cast("binary")).alias("digest"), F.length(data).alias("size"))
+
+
 def written_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the report beside the number of documents of the school."""
     docs = table(spark, sf_dir, "documents")
@@ -288,7 +300,7 @@ def fitted_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        names, name_classes, source_expansion, manifest_rows, written_report, usage_counters, opinions_normalised, fact_lines, context_blocks, intake_rows, followup_questions,
+        names, name_classes, source_expansion, manifest_rows, manifest_head, turn_frames, written_report, usage_counters, opinions_normalised, fact_lines, context_blocks, intake_rows, followup_questions,
         questionnaire_options, questionnaire_total, consultations, reassembled_frames, reassembled_one_stream, golden_hits, encoder_self_check, extracted_texts, book_files, knowledge_documents, known_folders, stored_state, front_matter_rows, unified_text, fitted_vectors,
     )
 }
@@ -351,6 +363,10 @@ ORACLES = {
         SELECT 3 AS version, lang AS school, 'doc_' || doc_id::VARCHAR AS slug, source, title AS unit,
                md5(array_to_string(['---', 'title: ' || title, 'school: ' || lang, 'role: classic', 'source: ' || source, 'chars: ' || length(text)::VARCHAR, '---', '', text], chr(10))) AS digest,
                'classic' AS role, title, length(text)::BIGINT AS chars FROM d""",
+    "manifest_head": "SELECT 3 AS version, count(*) AS documents, sum(length(text))::BIGINT AS chars, string_agg(DISTINCT lang, ',' ORDER BY lang) AS schools FROM documents",
+    "turn_frames": """
+        WITH j AS (SELECT conv_id, turn, role, to_json({'conv_id': conv_id, 'turn': turn, 'text': text})::VARCHAR AS data FROM conversations)
+        SELECT conv_id, turn, md5('event: ' || role || chr(10) || 'data: ' || data || chr(10) || chr(10)) AS digest, length(data)::INT AS size FROM j""",
     "written_report": """
         WITH r AS (
             SELECT lang AS school, CASE doc_id % 3 WHEN 0 THEN 'case' WHEN 1 THEN 'classic' ELSE 'other' END AS role, source || '-' || lpad(doc_id::VARCHAR, 9, '0') AS source, length(text) AS chunks FROM documents
