@@ -34,6 +34,22 @@ def fit_dimension(a: Column, size: int) -> Column:
     return F.transform(fitted, lambda x: x / norm(fitted))
 
 
+#: Items of lists that a worker takes at once, about; what it makes of them takes some 100 bytes an item.
+ITEMS = 250_000
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = ITEMS) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the lists of a column hold about `most` items together, one row at least: the arrays made of a
+    piece have a bound that doesn't depend on how many rows come at once."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def token_sign_and_bucket(token: str, size: int) -> tuple[int, float]:
     """Bucket of a token, the first eight hex digits of its MD5 modulo the dimension, and a sign by the lowest bit of the
     ninth."""
@@ -49,7 +65,7 @@ def hash_vectors(rows: DataFrame, tokens: Column, key: str, size: int) -> DataFr
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1):
             bags = pc.fill_null(batch.column(1), pa.scalar([], batch.column(1).type))
             sizes = pc.list_value_length(bags).to_numpy(zero_copy_only=False).astype(np.int64)
             coded = bags.flatten().dictionary_encode()

@@ -12,6 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.functions.vectors import pieces
 from lexmill.operators.retrieval import CELLS, K1, TERM_BLOCK, B, BestRows, half_up_array, query_blocks, ranked
 from lexmill.session import shared_dir, stage
 
@@ -22,6 +23,8 @@ BUCKETS = 16
 SPREAD = 8
 #: Slices of highest bound that are scored first for each query; they give the score that others must reach.
 SEEDS = 4
+#: Words of the documents that are cut into slices together, about.
+DOCUMENT_ITEMS = 500_000
 #: Scores are rounded to six digits, so a bound may fall short by half of one.
 SLACK = 1e-6
 
@@ -67,11 +70,11 @@ def build_blocks(batches: Iterator[pa.RecordBatch], number: int, slice_: int) ->
     """Rows of one batch of documents, from (key, bag): for each slice its keys and lengths (term null), and for each term
     in it the places within the slice, counts and peaks.
 
-    Documents that come in one Arrow batch are put in order by their commonest word, then by length, before they are cut
+    Documents that come in one piece of an Arrow batch are put in order by their commonest word, then by length, before they are cut
     into slices: documents alike share a slice, so its bounds lie close to what its documents reach.
     """
     part, seq = TaskContext.get().partitionId(), 0
-    for batch in batches:
+    for batch in pieces(batches, 1, DOCUMENT_ITEMS):
         if not batch.num_rows:
             continue
         keys = batch.column(0).to_numpy(zero_copy_only=False)
@@ -187,7 +190,7 @@ def slice_bounds(batches: Iterator[pa.RecordBatch], block: _Block) -> Iterator[t
     """(slices, bound, postings): matrices of queries x slices, from rows of (slice, no, n, peak_tf, peak_dl), the last two as
     lists of lists."""
     width = max(1, CELLS // (2 * len(block.ids)))
-    for whole in batches:
+    for whole in pieces(batches, 1):
         for at in range(0, whole.num_rows, width):
             batch = whole.slice(at, width)
             row, term = flat(batch.column(1))
