@@ -9,7 +9,9 @@ import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ BOILERPLATE = r"(z-?library|1lib|z-lib|书友|扫码|关注公众号|版权|仅
 BOILERPLATE_CHARS, SCANNED_DENSITY, LENGTH_SLACK = 80, 120, 64
 ENCODINGS = ("utf-8", "gb18030", "utf-16")
 FLAGS = range(0x40)
+#: Bytes of files that a worker unpacks at once, about.
+PIECE_BYTES = 4 << 20
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -159,6 +163,17 @@ def pdf_file(content: bytes) -> tuple[str, int, list[str]]:
 READERS = {"epub": epub_file, "mobi": mobi_file, "pdf": pdf_file, "txt": text_file, "zip": text_file}
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the values of a binary column take about `most` bytes together, one row at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def extracted(files: DataFrame) -> DataFrame:
     """(path, name, suffix, format, digest, title, pages, text, notes, error) of each file.
 
@@ -167,20 +182,22 @@ def extracted(files: DataFrame) -> DataFrame:
     """
     known = files.select("*", sniffed(F.col("content"), F.col("suffix")).alias("format"), F.sha2("content", 256).alias("digest"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "content"):
             rows = []
-            for content, kind in zip(batch["content"], batch["format"], strict=True):
+            content, kinds = batch.column("content"), batch.column("format").to_pylist()
+            for raw_bytes, kind in zip(content, kinds, strict=True):
                 try:
-                    raw, pages, notes, *title = READERS[kind](bytes(content))
+                    raw, pages, notes, *title = READERS[kind](bytes(raw_bytes.as_py()))
                     rows.append((raw, pages, notes, title[0] if title else "", None))
                 except Exception as error:  # noqa: BLE001 - a broken file is a row with a reason
                     rows.append((None, 0, [], "", f"{type(error).__name__}: {error}"))
-            out = pd.DataFrame(rows, columns=["raw", "pages", "notes", "title", "error"], index=batch.index)
-            yield pd.concat([batch.drop(columns="content"), out], axis=1)
+            kept = [batch.column(c) for c in ("path", "name", "suffix", "format", "digest")]
+            made = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.list_(pa.string()), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*kept, *made], names=["path", "name", "suffix", "format", "digest", "raw", "pages", "notes", "title", "error"])
 
     schema = "path string, name string, suffix string, format string, digest string, raw string, pages int, notes array<string>, title string, error string"
-    return finished(known.mapInPandas(run, schema)).select("path", "name", "suffix", "format", "digest", "title", "pages", "text", "notes", "error")
+    return finished(known.mapInArrow(run, schema)).select("path", "name", "suffix", "format", "digest", "title", "pages", "text", "notes", "error")
 
 
 def finished(raw: DataFrame) -> DataFrame:

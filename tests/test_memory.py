@@ -42,3 +42,10 @@ def test_arrays_of_a_batch_are_bounded(spark, monkeypatch, name):
     tracemalloc.stop()
     assert rows >= given.num_rows if name != "blocks" else rows > 0
     assert peak < (30e6 if name == "counts" else 70e6)
+
+
+def test_files_are_unpacked_few_at_a_time():
+    from lexmill.sources.binary import by_bytes
+
+    given = pa.RecordBatch.from_arrays([pa.array([b"x" * n for n in (3, 0, 4, 50, 1, 1)] + [None])], names=["content"])
+    assert [b.column(0).to_pylist() for b in by_bytes(iter([given]), "content", 8)] == [[b"xxx", b"", b"xxxx"], [b"x" * 50], [b"x", b"x", None]]
