@@ -14,6 +14,8 @@ from lexmill.operators.matching import containing
 
 #: Bytes of phrases and replacements up to which a table is sent to every worker; a larger one is joined to the texts.
 TABLE_BYTES = 32 << 20
+#: Phrases of one first character up to which all are one regular expression, which tries them one by one.
+ALTERNATIVES = 64
 
 
 class Phrases:
@@ -25,9 +27,16 @@ class Phrases:
             sizes.setdefault(phrase[0], set()).add(len(phrase))
         self.sizes = {first: sorted(found, reverse=True) for first, found in sizes.items()}
         self.first = re.compile("[" + "".join(map(re.escape, self.sizes)) + "]") if table else None
+        tails: dict[str, list[str]] = {}
+        for phrase in sorted(table, key=len, reverse=True):
+            tails.setdefault(phrase[0], []).append(re.escape(phrase[1:]))
+        few = table and max(map(len, tails.values())) <= ALTERNATIVES
+        self.whole = re.compile("|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in tails.items())) if few else None
 
     def put(self, text: str) -> str:
         """The text with its phrases replaced: from left to right, at each place the longest that fits."""
+        if self.whole:
+            return self.whole.sub(lambda m: self.table[m[0]], text)
         out, at, done = [], 0, 0
         while self.first and (found := self.first.search(text, at)):
             at = found.start()

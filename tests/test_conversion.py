@@ -54,3 +54,17 @@ def test_within_normalise(spark):
     text = "头发长了很多，需要好好地梳理一番，然后再去见人，这是母亲常常说起的一句话，我们也一直都记在心里面。\r\n123\r\n"
     row = spark.createDataFrame([(text,)], "text string").select(normalise(F.col("text"), put(unify_lines(F.col("text")))).alias("t")).first()
     assert row["t"] == text.split("\r")[0].replace("头发", "頭髮")
+
+
+def test_one_pattern_equals_the_loop():
+    """Few phrases a first character are one pattern, many are looked up; both give the same."""
+    from lexmill.operators.conversion import ALTERNATIVES, Phrases
+
+    few = Phrases({"a": "1", "ab": "2", "abc|": "3", ".": "", "\n\n": "¶", "😀x": "a"})
+    text = "abc|ab.a\n\n\n😀x abcab"
+    found = few.put(text)
+    assert few.whole is not None
+    few.whole = None
+    assert few.put(text) == found == "321¶\na 2c2"
+    assert Phrases({"a" * n: "b" for n in range(1, ALTERNATIVES + 2)}).whole is None
+    assert Phrases({}).put("x") == "x"
