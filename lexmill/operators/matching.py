@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.session import stage
+
 #: Characters of a signature.
 GRAM = 4
+#: Signatures up to which their table goes to every worker, so that no other run of a text is shuffled.
+SENT_GRAMS = 200_000
 
 
 def grams(text: Column, size: int) -> Column:
@@ -30,10 +34,13 @@ def containing(texts: DataFrame, patterns: DataFrame, key: str, text: str, ord_:
     # texts are cut into runs of those sizes only that some pattern asks for
     short = {r[0] for r in of_pattern.select(F.length("gram")).distinct().collect()}
     cut = given.select("key", F.explode(F.concat(*(grams(F.col("text"), s) for s in sizes if s in short), F.array().cast("array<string>"))).alias("gram"))
-    held = cut.join(of_pattern.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("texts"))
+    asked = stage(of_pattern.select("gram").distinct(), "grams")
+    # the texts are cut once, and only runs that some pattern asks for go on
+    found = stage(cut.join(F.broadcast(asked) if asked.count() <= SENT_GRAMS else asked, "gram", "left_semi"), "found-grams")
+    held = found.groupBy("gram").agg(F.count("*").alias("texts"))
     rarest = of_pattern.join(held, "gram", "left").groupBy("ord", "pattern").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram")).alias("least"))
     signed = rarest.filter(F.col("least.texts") > 0).select("ord", "pattern", F.col("least.gram").alias("gram"))
-    meeting = cut.join(signed, "gram").select("key", "ord", "pattern")
+    meeting = found.join(signed, "gram").select("key", "ord", "pattern")
     return meeting.join(given, "key").filter(F.contains("text", "pattern")).select(F.col("key").alias(key), F.col("ord").alias(ord_))
 
 

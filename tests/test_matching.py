@@ -37,3 +37,11 @@ def test_titles_both_ways(spark):
     assert {r["title"]: (r["slug"], r["how"]) for r in found.collect()} == {
         "伤寒论": ("s", "exact"), "注解全书": ("t", "contained"), "xx abcd yy": ("a", "contained"), "ab x": (None, "none"), "none of it": (None, "none"), None: (None, "none"),
     }
+
+
+def test_texts_are_cut_once(spark):
+    """Runs of the texts that some pattern asks for are kept, not made again for each use."""
+    texts, patterns = spark.createDataFrame([(1, "abcdefg"), (2, "xyz")], "k long, t string"), spark.createDataFrame([(5, "cdef"), (6, "yz"), (7, "q")], "o long, p string")
+    found = containing(texts, patterns, "k", "t", "o", "p")
+    assert any("found-grams" in f for f in found.inputFiles())
+    assert sorted(map(tuple, found.collect())) == [(1, 5), (2, 6)]
