@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.text import HAN, let, squeeze_blank_lines, unify_lines, unify_punctuation
 from lexmill.operators.corpus import (
-    CONTENTS_START, LONG_LINE, REPEAT_CHARS, SENTENCE_ENDS, drop_front, drop_noise, join_broken_lines, noise_marks, run_after, stands_alone,
+    CONTENTS_START, LONG_LINE, REPEAT_CHARS, SENTENCE_ENDS, drop_front, drop_noise, join_broken_lines, noise_marks, normalise, run_after, stands_alone,
 )
 from lexmill.session import stage
 
@@ -123,10 +123,15 @@ def clean_blocks(docs: DataFrame, key: str, text: str, script: str = HAN, per: i
 def normalised(docs: DataFrame, key: str, text: str, script: str = HAN, per: int = SEGMENT) -> DataFrame:
     """(key, text): equal to normalise(), with the folds' work dealt out by segments; a null text gives an empty one.
 
-    Texts go by their digest, so equal ones are cleaned once and keys may repeat or be null.
+    A text of one segment is cleaned whole where it is, so only longer ones are staged and shuffled. These go by their
+    digest: equal ones are cleaned once, and keys may repeat or be null.
     """
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.sha2(text, 256).alias("own"))
+    given = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    long = F.coalesce(F.regexp_count(unify_lines(F.col("text")), F.lit("\n")) >= per, F.lit(False)) if script == HAN else F.lit(True)
+    short = given.filter(~long).select(F.col("id").alias(key), F.coalesce(normalise(F.col("text")), F.lit("")).alias(text))
+    rows = given.filter(long).withColumn("own", F.sha2("text", 256))
     found = clean_blocks(rows.filter("text is not null").select("own", "text").dropDuplicates(["own"]), "own", "text", script, per)
     put = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda b: b["text"]), "\n\n")
     whole = found.groupBy("key").agg(put.alias("whole")).select(F.col("key").alias("own"), squeeze_blank_lines(unify_punctuation(F.col("whole"))).alias("clean"))
-    return rows.select("id", "own").join(whole, "own", "left").select(F.col("id").alias(key), F.coalesce("clean", F.lit("")).alias(text))
+    cleaned = rows.select("id", "own").join(whole, "own", "left").select(F.col("id").alias(key), F.coalesce("clean", F.lit("")).alias(text))
+    return cleaned.unionByName(short)

@@ -69,3 +69,14 @@ def test_repeated_and_null_keys(spark):
 
 def test_no_documents(spark):
     assert longtext.normalised(spark.createDataFrame([], "id long, text string"), "id", "text").count() == 0
+
+
+def test_short_texts_stay_where_they_are(spark, monkeypatch):
+    """Only texts of more than one segment are cut, staged and shuffled."""
+    cut, whole = [], longtext.clean_blocks
+    monkeypatch.setattr(longtext, "clean_blocks", lambda docs, *a: cut.append(docs.count()) or whole(docs, *a))
+    rows = [(1, "a\nb"), (2, "\r".join("abcdefg")), (3, None), (4, "a\nb\nc")]
+    frame = spark.createDataFrame(rows, "id long, text string")
+    got = sorted(map(tuple, longtext.normalised(frame, "id", "text", per=3).collect()))
+    assert cut == [1]
+    assert got == sorted((i, t or "") for i, t in frame.select("id", normalise(F.col("text"))).collect())
