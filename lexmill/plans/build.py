@@ -18,7 +18,7 @@ from lexmill.operators.rules import UNSURE
 from lexmill.plans.search import hybrid_search, table, vector_queries
 from lexmill.session import remove, shared_dir, stage
 from lexmill.sources.binary import extracted, extraction_report
-from lexmill.sources.files import books, current, epub_bytes, palm_bytes, place, write_files, written_list
+from lexmill.sources.files import books, current, epub_bytes, palm_bytes, place, read_committed, remove_committed, write_files, written_list
 from lexmill.sources.knowledge import manifest, read_documents, read_state, read_written, rendered, write_documents, write_state
 from lexmill.streaming.ingest import consultation_events, frame, reassembled
 
@@ -230,12 +230,12 @@ def book_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = f"{shared_dir(spark)}/lexmill/books-{uuid.uuid4().hex}"
     title = F.concat(F.lit("Doc "), F.col("doc_id").cast("string"))
     write_files(docs, root, F.col("lang"), F.concat(F.col("doc_id").cast("string"), F.lit("."), F.col("kind")), _book("kind", title, "text"))
-    read = books(spark.read.format("lexmill_files").load(root))
+    read = books(read_committed(spark, root))
     sizes = written_list(spark, root).withColumn("filled", (F.col("size") > 0).cast("int")).select("folder", "name", "filled")
     trimmed = F.regexp_replace("text", r"^\s+|\s+\z", "")
     rows = read.join(sizes, ["folder", "name"]).select("folder", "name", "format", "title", "pages", F.md5(trimmed.cast("binary")).alias("digest"), F.size("notes").alias("notes"), "filled")
     found = stage(rows, "books")
-    remove(spark, root)
+    remove_committed(spark, root)
     return found
 
 

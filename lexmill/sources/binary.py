@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import html_to_markdown
+from lexmill.functions.text import decode_entities, markup_removed
 
 # Names, marks and limits of the accepted files.
 SKIPPED_SUFFIXES = (".dmg", ".zip", ".exe", ".pkg")
@@ -202,11 +202,14 @@ def extracted(files: DataFrame) -> DataFrame:
 
 def finished(raw: DataFrame) -> DataFrame:
     """Read files with their `raw` content turned into `text`, and a note on pages that are thin."""
-    pages = F.transform(F.split(html_to_markdown(F.col("raw")), "\f"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
-    kept = F.filter(pages, lambda p: (p != "") & ~((F.length(p) < BOILERPLATE_CHARS) & p.rlike(BOILERPLATE)))
+    # columns of their own: markup is removed once, and from marked-up formats only
     broken = F.regexp_replace("raw", r"(?i)<mbp:pagebreak[^>]*>", "\n\n")
-    text = F.when(F.col("format") == "epub", F.array_join(kept, "\n\n")).when(F.col("format") == "mobi", html_to_markdown(broken)).otherwise(F.col("raw"))
-    done = raw.withColumn("text", text)
+    bare = raw.withColumn("__bare", markup_removed(F.when(F.col("format") == "epub", F.col("raw")).when(F.col("format") == "mobi", broken)))
+    bare = bare.withColumn("__bare", decode_entities(F.col("__bare")))
+    pages = F.transform(F.split("__bare", "\f"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+    kept = F.filter(pages, lambda p: (p != "") & ~((F.length(p) < BOILERPLATE_CHARS) & p.rlike(BOILERPLATE)))
+    text = F.when(F.col("format") == "epub", F.array_join(kept, "\n\n")).when(F.col("format") == "mobi", F.col("__bare")).otherwise(F.col("raw"))
+    done = bare.withColumn("text", text).drop("__bare")
     thin = (F.col("format") == "pdf") & (F.col("pages") > 0) & (density(F.length("text"), F.col("pages")) < SCANNED_DENSITY)
     return done.withColumn("notes", F.when(thin, F.array_append("notes", F.lit("text is thin, perhaps a scan"))).otherwise(F.col("notes")))
 

@@ -13,13 +13,16 @@ import zipfile
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, StringEndsWith, StringStartsWith, WriterCommitMessage
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from lexmill.sources.binary import PALM_TYPES, READERS, SKIPPED_NAMES, SKIPPED_SUFFIXES, finished
+from lexmill.session import remove
+from lexmill.sources.binary import PALM_TYPES, PIECE_BYTES, READERS, SKIPPED_NAMES, SKIPPED_SUFFIXES, finished
 
 NAME = "lexmill_files"
 #: Bytes and files that one task reads, about.
@@ -67,6 +70,11 @@ def suffix_of(name: str) -> str:
     return found.group().lower() if found else ""
 
 
+def readable(folder: str, name: str) -> bool:
+    hidden = any(p.startswith(("_", ".")) for p in (*folder.split("/"), name))
+    return not hidden and name not in SKIPPED_NAMES and suffix_of(name) not in SKIPPED_SUFFIXES
+
+
 def listed(root: str) -> list[tuple[str, str, str, int, int]]:
     """(path, folder, name, size, time) of the readable files, in order; of a committed folder those of its runs, where a
     later run's file takes the place of an earlier one."""
@@ -77,10 +85,8 @@ def listed(root: str) -> list[tuple[str, str, str, int, int]]:
     found = {}
     for base in [f"{top}/{run}" for run in done["runs"]] if done else [top]:
         for info in system.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True)):
-            inside = info.path[len(base) :].strip("/")
-            hidden = any(p.startswith(("_", ".")) for p in inside.split("/")) or info.base_name in SKIPPED_NAMES
-            if info.type == fs.FileType.File and not hidden and suffix_of(info.base_name) not in SKIPPED_SUFFIXES:
-                folder = inside.rpartition("/")[0]
+            folder = info.path[len(base) :].strip("/").rpartition("/")[0]
+            if info.type == fs.FileType.File and readable(folder, info.base_name):
                 found[folder, info.base_name] = (info.path, folder, info.base_name, info.size, info.mtime_ns or 0)
     return [found[k] for k in sorted(found)]
 
@@ -148,7 +154,7 @@ class FilesReader(DataSourceReader):
                 if not self.holds(format=kind):
                     continue
                 content += f.read() if whole else b""
-            row = {"folder": folder, "name": name, "suffix": suffix, "size": size, "format": kind, "pages": 0, "title": "", "raw": None, "notes": [], "error": None}
+            row = {"folder": folder, "name": name, "suffix": suffix, "size": len(content) if whole else size, "format": kind, "pages": 0, "title": "", "raw": None, "notes": [], "error": None}
             if whole:
                 try:
                     raw, pages, notes, *title = READERS[kind](content)
@@ -212,7 +218,8 @@ class FilesWriter(DataSourceWriter):
         system, top = place(self.root)
         before = current(system, top)
         runs = [] if self.overwrite or before is None else before["runs"]
-        now = {"runs": [*runs, self.run], "files": sum(m.files for m in messages if m), "bytes": sum(m.bytes for m in messages if m)}
+        held = lambda k: before.get(k, 0) if runs else 0
+        now = {"runs": [*runs, self.run], "files": held("files") + sum(m.files for m in messages if m), "bytes": held("bytes") + sum(m.bytes for m in messages if m)}
         with system.open_output_stream(f"{top}/_NEXT-{self.run}") as f:
             f.write(json.dumps(now).encode())
         system.move(f"{top}/_NEXT-{self.run}", f"{top}/{CURRENT}")
@@ -264,11 +271,76 @@ def write_files(docs: DataFrame, root: str, folder: Column, name: Column, conten
 
 def written_list(spark: SparkSession, root: str) -> DataFrame:
     """(folder, name, size) of every file of the committed runs, as their tasks listed them."""
-    system, top = place(root)
-    done = current(system, top) or {"runs": []}
+    return run_lists(spark, root).select("folder", "name", "size")
+
+
+def run_lists(spark: SparkSession, root: str) -> DataFrame:
+    """written_list() with the `run` of each file."""
+    done = current(*place(root)) or {"runs": []}
     schema = "folder string, name string, size long"
     paths = [f"{root}/{run}/_list" for run in done["runs"]]
-    return spark.read.schema(schema).json(paths) if paths else spark.createDataFrame([], schema)
+    if not paths:
+        return spark.createDataFrame([], f"{schema}, run string")
+    return spark.read.schema(schema).json(paths).select("*", F.regexp_extract("_metadata.file_path", r"/(run-[0-9a-f]+)/_list/", 1).alias("run"))
+
+
+def parts_of(root: str) -> int:
+    """How many tasks take the files of the committed runs, by their number and size."""
+    done = current(*place(root)) or {}
+    return 1 + max(done.get("files", 0) // PART_FILES, done.get("bytes", 0) // PART_BYTES)
+
+
+def read_committed(spark: SparkSession, root: str) -> DataFrame:
+    """The rows that the format reads from a committed folder, without its conditions: a later run's file takes the place of
+    an earlier one.
+
+    What is there is known from the lists of the tasks that wrote it; they are joined and dealt out by a shuffle, so no file
+    is listed or named by the driver, however many there are.
+    """
+    done = current(*place(root)) or {"runs": []}
+    place_of = F.array_position(F.lit(done["runs"]), F.col("run")) if done["runs"] else F.lit(0)
+    lists = run_lists(spark, root).withColumn("nth", place_of).repartition(parts_of(root), "folder", "name")
+    files = lists.groupBy("folder", "name").agg(F.max_by("run", "nth").alias("run"))
+    schema = StructType.fromDDL(SCHEMA)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, made = FilesReader(schema, root), to_arrow_schema(schema)
+        rows, held = [], 0
+        _, top = place(root)
+        for batch in batches:
+            for folder, name, run in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not readable(folder, name):
+                    continue
+                for row in reader.read(Some([(f"{top}/{run}/{folder}/{name}", folder, name, -1)])):
+                    rows.append(row)
+                    held += row[3]
+                if held > PIECE_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), made, strict=True)], schema=made)
+                    rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), made, strict=True)], schema=made)
+
+    return files.mapInArrow(run, schema)
+
+
+def remove_committed(spark: SparkSession, root: str) -> None:
+    """Remove a committed folder: its files by many tasks, each those of a part of the lists, then the folders left empty."""
+    files = run_lists(spark, root).repartition(parts_of(root)).select("run", "folder", "name")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = place(root)
+        gone = 0
+        for batch in batches:
+            for at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    system.delete_file("/".join((top, *(p for p in at if p))))
+                    gone += 1
+                except FileNotFoundError:  # written twice, or a task tried again
+                    pass
+        yield pa.RecordBatch.from_arrays([pa.array([gone], pa.int64())], names=["files"])
+
+    files.mapInArrow(run, "files long").agg(F.sum("files")).collect()
+    remove(spark, root)
 
 
 def epub_bytes(title: str, pages: list[str]) -> bytes:

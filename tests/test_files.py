@@ -103,3 +103,39 @@ def test_stream_of_new_files(spark, tmp_path):
 
 def test_empty_folder(spark, tmp_path):
     assert load(spark, tmp_path).count() == 0 and written_list(spark, str(tmp_path)).count() == 0
+
+
+def test_committed_files_are_not_listed_by_the_driver(spark, shelf, monkeypatch):
+    """Read and removed by the lists of the runs; equal to what the format lists, later runs and files written twice included."""
+    put(spark, shelf, [("b/c", "three.txt", b"changed"), ("", "empty.txt", b"no more"), ("b", "_hidden.txt", b"x"), ("b", "z.zip", b"x")])
+    put(spark, shelf, [("b", "twice.txt", b"same"), ("b", "twice.txt", b"same")])
+    want = {tuple(map(str, r)) for r in load(spark, shelf).collect()}
+
+    def listing(*_):
+        raise AssertionError("the driver lists files")
+
+    monkeypatch.setattr(files, "listed", listing)
+    got = files.read_committed(spark, str(shelf))
+    rows = got.collect()
+    assert {tuple(map(str, r)) for r in rows} == want and len(rows) == len(want) == 8
+    assert files.current(*files.place(str(shelf)))["files"] == 13
+    files.remove_committed(spark, str(shelf))
+    assert not shelf.exists()
+
+
+def test_committed_files_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    put(spark, tmp_path, [("a", f"{k}.txt", b"x") for k in range(25)])
+    monkeypatch.setattr(files, "PART_FILES", 5)
+    assert files.read_committed(spark, str(tmp_path)).rdd.getNumPartitions() == 6
+    assert files.read_committed(spark, str(tmp_path)).count() == 25
+
+
+def test_markup_is_removed_once(spark):
+    """One conversion for all formats, below one call of Python."""
+    from lexmill.sources.binary import finished
+
+    raw = spark.createDataFrame([("epub", "<p>a &amp; b</p>\f<p> </p>\fc &eacute;", 1, []), ("mobi", "x<mbp:pagebreak/>y &lt;", 1, []), ("txt", "<b>&amp;", 0, [])], "format string, raw string, pages int, notes array<string>")
+    done = finished(raw).select("format", "text", "notes")
+    assert {tuple(r)[:2] for r in done.collect()} == {("epub", "a & b\n\nc é"), ("mobi", "x\n\ny <"), ("txt", "<b>&amp;")}
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<script") == 1 and plan.count("ArrowEvalPython") == 1
