@@ -2,25 +2,85 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.sources.binary import PIECE_BYTES
 from lexmill.sources.files import NAME as FILES
-from lexmill.sources.files import register, write_files
+from lexmill.sources.files import place, register, write_files
 
 # The domain of schools and the files that aren't documents.
 SCHOOLS = ("shanghan", "wenbing", "piwei", "huoshen", "integrative", "nihaixia", "common")
 EXCLUDED = ("README.md", "INDEX.md", "MANIFEST.md", "CHANGELOG.md")
 
 
+#: Names that a task passes on at once.
+LISTED = 10_000
+
+
+def names_in(system, folder: str) -> Iterator[str]:
+    """Names of the Markdown files of a folder; on a local file system they come as they are read, never all at once."""
+    from pyarrow import fs
+
+    if isinstance(system, fs.LocalFileSystem):
+        with os.scandir(folder) as found:
+            names = (e.name for e in found if e.is_file())
+            yield from (n for n in names if n.endswith(".md") and not n.startswith(("_", ".")))
+    else:
+        names = (i.base_name for i in system.get_file_info(fs.FileSelector(folder)) if i.type == fs.FileType.File)
+        yield from (n for n in names if n.endswith(".md") and not n.startswith(("_", ".")))
+
+
 def read_documents(spark: SparkSession, root: str, schools: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(school, source, text) of root/<school>/*.md, and the files whose folder is no known school."""
-    raw = spark.read.text(f"{root}/*/*.md", wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
-    parts = F.split("path", "/")
-    named = raw.select(F.element_at(parts, -2).alias("school"), F.url_decode(F.element_at(parts, -1)).alias("source"), "text").filter(~F.col("source").isin(*EXCLUDED))
-    known = F.col("school").isin(*SCHOOLS)
-    good = named.filter(known)
-    return (good.filter(F.col("school").isin(*schools)) if schools else good), named.filter(~known).select("school", "source")
+    """(school, source, text) of root/<school>/*.md, and the files whose folder is no known school.
+
+    The driver names the folders only. A task lists a folder, its names are dealt out by a shuffle, and many tasks read the
+    files, those of known schools; what comes back to the driver doesn't grow with the files.
+    """
+    from pyarrow import fs
+
+    system, top = place(root)
+    folders = [(i.base_name,) for i in system.get_file_info(fs.FileSelector(top)) if i.type == fs.FileType.Directory]
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = place(root)
+        for batch in batches:
+            for school in batch.column(0).to_pylist():
+                held = []
+                for name in names_in(system, f"{top}/{school}"):
+                    held.append(name)
+                    if len(held) == LISTED:
+                        yield pa.RecordBatch.from_pydict({"school": [school] * LISTED, "source": held})
+                        held = []
+                if held:
+                    yield pa.RecordBatch.from_pydict({"school": [school] * len(held), "source": held})
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = place(root)
+        made = pa.schema([("school", pa.string()), ("source", pa.string()), ("content", pa.binary())])
+        rows, held = [], 0
+        for batch in batches:
+            for school, name in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with system.open_input_stream(f"{top}/{school}/{name}") as f:
+                    rows.append((school, name, f.read()))
+                held += len(rows[-1][2])
+                if held > PIECE_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), made, strict=True)], schema=made)
+                    rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), made, strict=True)], schema=made)
+
+    def listed(some: list[tuple[str]]) -> DataFrame:
+        return spark.createDataFrame(some, "school string").repartition(max(1, len(some)), "school").mapInArrow(names, "school string, source string").filter(~F.col("source").isin(*EXCLUDED))
+
+    good = listed([f for f in folders if f[0] in SCHOOLS and (not schools or f[0] in schools)]).repartition(tasks, "school", "source")
+    read = good.mapInArrow(texts, "school string, source string, content binary")
+    return read.select("school", "source", F.col("content").cast("string").alias("text")), listed([f for f in folders if f[0] not in SCHOOLS])
 
 
 def rendered(title: Column, school: Column, role: Column, source: Column, text: Column) -> Column:

@@ -139,3 +139,22 @@ def test_markup_is_removed_once(spark):
     assert {tuple(r)[:2] for r in done.collect()} == {("epub", "a & b\n\nc é"), ("mobi", "x\n\ny <"), ("txt", "<b>&amp;")}
     plan = done._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("<script") == 1 and plan.count("ArrowEvalPython") == 1
+
+
+def test_folders_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """Only folders pass the driver: two for 60 files, read by as many tasks as shuffles have."""
+    from lexmill.sources import knowledge
+
+    for school in ("common", "a b"):
+        (tmp_path / school).mkdir()
+        for k in range(30):
+            (tmp_path / school / f"{k} x.md").write_bytes(b"\xff" * (k % 3))
+    (tmp_path / "common" / "_draft.md").write_text("no")
+    (tmp_path / "common" / "INDEX.md").write_text("no")
+    good, unknown = knowledge.read_documents(spark, str(tmp_path))
+    assert good.count() == 30 and good.rdd.getNumPartitions() >= 4
+    assert {(r["school"], r["source"]) for r in unknown.collect()} == {("a b", f"{k} x.md") for k in range(30)}
+    assert sorted(r["n"] for r in good.selectExpr("octet_length(text) AS n").collect()) == sorted(k % 3 for k in range(30))
+    assert [d.count() for d in knowledge.read_documents(spark, str(tmp_path), ["piwei"])] == [0, 30]
+    plan = good._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan
