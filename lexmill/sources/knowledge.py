@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.sources.binary import PIECE_BYTES
-from lexmill.sources.files import NAME as FILES
-from lexmill.sources.files import place, register, write_files
+from lexmill.sources.files import place, read_committed, write_files
 
 # The domain of schools and the files that aren't documents.
 SCHOOLS = ("shanghan", "wenbing", "piwei", "huoshen", "integrative", "nihaixia", "common")
@@ -99,8 +98,7 @@ def write_documents(docs: DataFrame, root: str) -> None:
 
 def read_written(spark: SparkSession, root: str) -> DataFrame:
     """(school, slug, text) of what write_documents() wrote."""
-    register(spark)
-    rows = spark.read.format(FILES).load(root)
+    rows = read_committed(spark, root)
     return rows.select(F.col("folder").alias("school"), F.regexp_replace("name", r"\.md$", "").alias("slug"), F.col("raw").alias("text"))
 
 

@@ -158,3 +158,17 @@ def test_folders_are_listed_by_tasks(spark, tmp_path, monkeypatch):
     assert [d.count() for d in knowledge.read_documents(spark, str(tmp_path), ["piwei"])] == [0, 30]
     plan = good._jdf.queryExecution().executedPlan().toString()
     assert "FileScan" not in plan
+
+
+def test_written_documents_are_read_by_their_lists(spark, tmp_path):
+    """No scan whose files the driver lists and names; a document written again is read as it was written last."""
+    from lexmill.sources import knowledge
+
+    docs = spark.range(40).selectExpr("'en' AS school", "concat('d', id) AS slug", "'T' AS title", "'classic' AS role", "'s' AS source", "concat('text ', id) AS text")
+    knowledge.write_documents(docs, str(tmp_path))
+    knowledge.write_documents(docs.filter("slug < 'd2'").withColumn("text", F.lit("new")), str(tmp_path))
+    rows = knowledge.read_written(spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BatchScan" not in plan and "MapInArrow" in plan
+    got = {r["slug"]: r["text"].rpartition("\n")[2] for r in rows.collect()}
+    assert got == {f"d{k}": "new" if f"d{k}" < "d2" else f"text {k}" for k in range(40)}
