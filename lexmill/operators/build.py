@@ -14,7 +14,7 @@ from pyspark.sql.types import StringType
 from lexmill.operators.chunking import strip
 from lexmill.operators.corpus import BREAKER_COUNT, BREAKER_SHARE, edition_score, pick_editions, resolve_titles, split_compendium, volume_slug, yield_to_dedicated
 from lexmill.operators.retrieval import ranked
-from lexmill.session import remove
+from lexmill.session import remove, stage
 
 # Name patterns with their school and role, marks of compendiums, label of their books, order of roles.
 HEURISTICS = (
@@ -84,11 +84,14 @@ def expanded(sources: DataFrame, registry: list[tuple], books: DataFrame, marker
         F.lit(False).alias("compendium"), F.col("source").alias("cited"), "suffix", F.when(F.col("m").isNotNull(), F.col("text")).alias("text"),
     )
     whole = marked.filter("many").select(F.col("source").alias("doc_id"), "suffix", "text")
-    parts = split_compendium(whole.select("doc_id", "text"), least).join(whole.select("doc_id", "suffix"), "doc_id")
+    # written once: titles, books and what gave none are all read from it
+    parts = stage(split_compendium(whole.select("doc_id", "text"), least).join(whole.select("doc_id", "suffix"), "doc_id"), "parts")
     known = resolve_titles(parts.select("title").distinct(), books.select("book_title", "slug")).select("title", F.col("slug").alias("found"))
     meta = books.select(F.col("slug").alias("found"), "school", "role", F.col("title").alias("named"), "priority").dropDuplicates(["found"])
     unit = F.when(F.col("volume") != "", F.concat("title", F.lit("·"), "volume")).otherwise(F.col("title"))
-    met = parts.join(known, "title", "left").join(meta, "found", "left").withColumn("unit", unit)
+    # most books may bear a few titles: what a title means is joined to a book's place, and the text by that place alone
+    place = parts.select("doc_id", "start", "title").join(known, "title", "left").join(meta, "found", "left").drop("title")
+    met = parts.join(place, ["doc_id", "start"]).withColumn("unit", unit)
     unknown = F.col("school").isNull()
     book = met.select(
         F.col("doc_id").alias("source"), "unit", F.when(unknown, "skipped").otherwise("ready").alias("status"), F.when(unknown, "volume not registered").alias("reason"),

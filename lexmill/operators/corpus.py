@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexmill.functions.text import HAN, count_of, half_up, let, scan, squeeze_blank_lines, unify_lines, unify_punctuation
 from lexmill.operators.chunking import strip
 from lexmill.operators.matching import containing
+from lexmill.session import stage
 
 # Noise patterns, limits and weights of the corpus rules.
 ADVERT = (
@@ -226,35 +227,49 @@ def split_compendium(docs: DataFrame, least: int = LEAST_BOOK) -> DataFrame:
 
     A book starts at its imprint; its title stands in one of the next eleven lines. The first book may have only a
     standard number, with the title above it. Preface lines are cut up to the heading after the last preface mark.
-    Fewer than two books: none. All look-ups are window frames over a document's lines.
+    Fewer than two books: none. Look-ups are window frames over the few lines that carry a mark, without the text; a text is
+    split once, in its own row, and moved at most once, to where its books are known. `doc_id` names a document once.
     """
-    lines = docs.select("doc_id", F.posexplode(F.split(unify_lines(F.col("text")), "\n")).alias("pos", "line"))
+    split = F.split(unify_lines(F.col("text")), "\n")
+    lines = docs.select("doc_id", F.posexplode(split).alias("pos", "line"))
     by_line = Window.partitionBy("doc_id").orderBy("pos")
     plain = strip(F.translate("line", "／．—－", "/.--"))
     title_line = ~plain.rlike("ISBN|CIP") & F.contains(plain, F.lit("/")) & F.contains(plain, F.lit("出版社")) & (split_title(F.element_at(F.split(plain, "/"), 1))[0] != "")
     head_line = (
         ~F.col("line").rlike(FIELD_LINE) & ~F.col("line").rlike(PUBLISHER) & ~F.col("line").rlike("[：:A-Za-z0-9]") & F.length(strip(F.col("line"))).between(2, 20)
     )
-    ahead = F.min(F.when(title_line, F.struct("pos", F.element_at(F.split(plain, "/"), 1).alias("raw")))).over(by_line.rowsBetween(1, 11))["raw"]
-    above = F.max(F.when(head_line, F.struct("pos", F.col("line").alias("raw")))).over(by_line.rowsBetween(-59, -1))["raw"]
-    seen = lines.select("*", ahead.alias("ahead"), above.alias("above"))
-    imprints = seen.filter(F.col("line").rlike(IMPRINT) & F.col("ahead").isNotNull()).select("doc_id", F.col("pos").alias("start"), F.col("ahead").alias("raw"), F.lit("cip").alias("basis"))
+    marks = lines.select(
+        "doc_id", "pos", F.when(title_line, F.element_at(F.split(plain, "/"), 1)).alias("title"), F.when(head_line, F.col("line")).alias("head"),
+        F.col("line").rlike(IMPRINT).alias("imprint"), F.col("line").rlike(r"^\s*(标准书号|ISBN)").alias("number"),
+        F.col("line").rlike(PREFACE_END).alias("ends_preface"), F.col("line").rlike(r"^#{1,3}\s+\S").alias("heading"),
+    ).filter("title is not null or head is not null or imprint or number or ends_preface or heading")
+    # few and short, but asked for several times: the lines are gone through once
+    marks = stage(marks, "marks")
+    ahead = F.min(F.when(F.col("title").isNotNull(), F.struct("pos", F.col("title").alias("raw")))).over(by_line.rangeBetween(1, 11))["raw"]
+    above = F.max(F.when(F.col("head").isNotNull(), F.struct("pos", F.col("head").alias("raw")))).over(by_line.rangeBetween(-59, -1))["raw"]
+    seen = marks.select("*", ahead.alias("ahead"), above.alias("above"))
+    imprints = seen.filter(F.col("imprint") & F.col("ahead").isNotNull()).select("doc_id", F.col("pos").alias("start"), F.col("ahead").alias("raw"), F.lit("cip").alias("basis"))
     first = imprints.groupBy("doc_id").agg(F.min("start").alias("first"))
-    numbers = seen.filter(F.col("line").rlike(r"^\s*(标准书号|ISBN)")).join(first, "doc_id").filter("pos < first")
+    numbers = seen.filter("number").join(first, "doc_id").filter("pos < first")
     head = numbers.groupBy("doc_id").agg(F.min_by("above", "pos").alias("raw")).filter("raw is not null").select("doc_id", F.lit(0).alias("start"), "raw", F.lit("isbn").alias("basis"))
     starts = imprints.unionByName(head)
     title, volume = split_title(F.col("raw"))
     per_doc = Window.partitionBy("doc_id")
     books = starts.select("doc_id", "start", title.alias("title"), volume.alias("volume"), "basis", F.lead("start").over(per_doc.orderBy("start")).alias("stop"), F.count("*").over(per_doc).alias("n")).filter("n > 1")
-    sizes = lines.groupBy("doc_id").agg((F.max("pos") + 1).alias("total"))
-    books = books.join(sizes, "doc_id").withColumn("stop", F.coalesce("stop", "total"))
-    inside = lines.join(books.select("doc_id", "start", "stop"), "doc_id").filter("pos >= start and pos < stop")
-    by_book = Window.partitionBy("doc_id", "start")
-    cut = F.max(F.when(F.col("line").rlike(PREFACE_END) & (F.col("pos") - F.col("start") < 3000) & (F.col("pos") > F.col("start")), F.col("pos"))).over(by_book)
-    marked = inside.withColumn("cut", cut)
-    begin = F.min(F.when((F.col("pos") > F.col("cut")) & F.col("line").rlike(r"^#{1,3}\s+\S"), F.col("pos"))).over(by_book)
-    body = marked.withColumn("begin", F.coalesce(begin, "start")).filter("pos >= begin").groupBy("doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("rows"))
-    text = strip(F.array_join(F.transform("rows", lambda r: r["line"]), "\n"))
-    found = books.join(body.select("doc_id", "start", text.alias("text")), ["doc_id", "start"]).filter(F.length("text") >= least)
-    enough = found.withColumn("kept", F.count("*").over(per_doc)).filter("kept > 1")
-    return enough.select("doc_id", "title", "volume", "start", "stop", "basis", "text")
+    inside = marks.filter("ends_preface or heading").select("doc_id", "pos", "ends_preface", "heading").join(books.select("doc_id", "start", "stop"), "doc_id")
+    inside = inside.filter("pos >= start and (stop is null or pos < stop)")
+    cut = F.max(F.when(F.col("ends_preface") & (F.col("pos") - F.col("start") < 3000) & (F.col("pos") > F.col("start")), F.col("pos"))).over(Window.partitionBy("doc_id", "start"))
+    begins = inside.withColumn("cut", cut).groupBy("doc_id", "start").agg(F.min(F.when((F.col("pos") > F.col("cut")) & F.col("heading"), F.col("pos"))).alias("begin"))
+    placed = books.join(begins, ["doc_id", "start"], "left").withColumn("begin", F.coalesce("begin", "start"))
+    of_doc = placed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "begin", "title", "volume", "basis"))).alias("books"))
+
+    def cut_out(rows: Column) -> Column:
+        def one(book: Column) -> Column:
+            stop = F.coalesce(book["stop"], F.size(rows))
+            text = strip(F.array_join(F.slice(rows, book["begin"] + 1, stop - book["begin"]), "\n"))
+            return F.struct(book["title"].alias("title"), book["volume"].alias("volume"), book["start"].alias("start"), stop.alias("stop"), book["basis"].alias("basis"), text.alias("text"))
+
+        return F.filter(F.transform("books", one), lambda b: F.length(b["text"]) >= least)
+
+    found = docs.join(of_doc, "doc_id").select("doc_id", let(split, cut_out).alias("found"))
+    return found.filter(F.size("found") > 1).select("doc_id", F.inline("found"))

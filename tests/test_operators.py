@@ -158,6 +158,32 @@ def test_compendium(spark):
     assert all(r["text"].startswith("# 正文") for r in got[1:])
 
 
+def test_compendium_moves_its_text_once(spark):
+    """Lines are looked up by their marks, so no exchange but that of the documents carries text; a book without a preface
+    begins at its imprint, the last one ends with the text."""
+    book = lambda title, body: f"图书在版编目（CIP）数据\n\n{title}/某．-北京：人民卫生出版社\n{body}\n"
+    docs = spark.createDataFrame([(1, book("甲", "x " * 40) + book("乙（上）", "# 凡例\n套话\n## 正文\n" + "y " * 40)), (2, None), (3, "")], "doc_id long, text string")
+    got = corpus.split_compendium(docs, 30)
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == [(1, "乙", "上", 4, 12, "cip", "## 正文\n" + ("y " * 40).strip()), (1, "甲", "", 0, 4, "cip", book("甲", "x " * 40).strip())]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(struct(start" in plan and "collect_list(struct(pos" not in plan
+
+
+def test_books_of_one_title_are_not_one_task(spark):
+    """A title that most books bear takes no text with it: texts are joined by source and place."""
+    part = lambda k: f"图书在版编目（CIP）数据\n\n甲/某．-北京：人民卫生出版社\n{'x ' * 40}{k}\n"
+    sources = spark.range(40).select(F.concat(F.lit("many"), "id").alias("source"), F.lit(".pdf").alias("suffix"), F.lit(part(1) + part(2)).alias("text"))
+    books = spark.createDataFrame([("甲", "jia", "piwei", "case", "甲", 1)], "book_title string, slug string, school string, role string, title string, priority int")
+    got = build.expanded(sources, [], books, ("many",), least=30)
+    rows = got.select("source", "status", "work", "school", F.length("text").alias("n")).collect()
+    assert len(rows) == 80 and {tuple(r)[1:] for r in rows} == {("ready", "jia", "piwei", len(part(1)) - 1)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "hashpartitioning(title" in line]
+    joins = [line for line in plan.splitlines() if "Join [doc_id#" in line or "Join [title#" in line]
+    assert exchanges and any("start#" in line for line in joins)
+
+
 def test_titles(spark):
     registry = spark.createDataFrame([("伤寒论", "a"), ("金匮要略", "b"), ("金匮要略诠解", "c")], "book_title string, slug string")
     titles = spark.createDataFrame([("金匮要略",), ("金匮要略诠解本",), ("伤寒论集",), ("新金匮要略",)], "title string")
