@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -12,14 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import free_name, in_slices, join_groups
-from lexmill.session import stage
+from lexmill.session import scratch, stage
 
 SHINGLE = 5
 #: Similarity of at least NUMERATOR / DENOMINATOR; as a distance, RADIUS at most.
 NUMERATOR, DENOMINATOR = 75, 100
 RADIUS = 1 - NUMERATOR / DENOMINATOR
-#: Documents whose shingles are counted to find very common ones; the count only orders shingles and can't change a result.
-COUNTED = 10_000
+#: Documents whose shingles are counted to find very common ones: so many or one in COUNTED_SHARE, so that what isn't found is
+#: as rare in a large table as in a small one. The count only orders shingles and can't change a result.
+COUNTED, COUNTED_SHARE = 10_000, 25
 COMMON = 100_000
 #: Weight of a member of a region beside its shingles, so that a bound in weight also bounds the members.
 MEMBER = 64
@@ -33,6 +35,9 @@ PIVOTS, DEPTH = (8, 64), 4
 ROWS, FILES = 20_000, 4
 #: Documents beyond which ids are joined by shuffling instead of broadcast, and regions over CELL likewise.
 BROADCAST_IDS, HEAVY = 500_000, 1000
+#: Sizes of sets that are compared together: a little over the widest ratio within the radius, so that two sets within it lie
+#: in one band or in two next to each other.
+BAND = 1.01 * DENOMINATOR / NUMERATOR
 CACHE = 100_000
 POWERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -93,6 +98,7 @@ def prefix(items: np.ndarray, common: np.ndarray, level: np.ndarray) -> np.ndarr
 def common_shingles(docs: DataFrame, counted: int = COUNTED) -> tuple[np.ndarray, np.ndarray]:
     """Shingles found in several of about `counted` documents, and how common they are (by powers of two), sorted."""
     total = docs.select("doc_id").count()
+    counted = max(counted, total // COUNTED_SHARE)
     draw = F.pmod(F.xxhash64("doc_id", F.lit("common")), F.lit(1_000_000)) / 1_000_000
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,30 +171,34 @@ def files(rows: int) -> int:
 
 
 def seed_regions(heads: DataFrame, total: int) -> DataFrame:
-    """(pivot_hi, pivot_lo, hi, lo): for each shingle, the set of first rank among those with it in their prefix is a pivot.
-
-    Two sets within the radius share a prefix shingle, hence a pivot: they meet in its region. Ranks are digests, so the
-    sets of one neighbourhood agree on few pivots. Rows come sorted by shingle and rank; the scan keeps one pivot at a
-    time, passes over repeated rows, and shingles of a single set fall out.
+    """(pivot_hi, pivot_lo, hi, lo): for each shingle, the sets with it in their prefix fall into runs of sizes near each other,
+    and the set of first rank in a run is a pivot.
+
+    Two sets within the radius share a prefix shingle, and no step between the sizes from one to the other is wider than
+    the radius allows, so they share a run, hence a pivot: they meet in its region. Sets that share a shingle by chance
+    mostly differ in size, and runs of a single set fall out. Ranks are size and digest, so the sets of one neighbourhood
+    agree on few pivots. Rows come sorted by shingle and rank; the scan keeps one pivot at a time and passes over repeated
+    rows.
     """
     parts = int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = heads.select(F.explode("prefix").alias("s"), "hi", "lo")
-    ranked = rows.repartition(max(parts, 2), "s").sortWithinPartitions("s", "hi", "lo")
+    rows = heads.select(F.explode("prefix").alias("s"), F.col("n_shingles").cast("int").alias("n"), "hi", "lo")
+    ranked = rows.repartition(max(parts, 2), "s").sortWithinPartitions("s", "n", "hi", "lo")
     names = ["pivot_hi", "pivot_lo", "hi", "lo"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, pivot = None, None
+        last, size, pivot = None, 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            s = batch.column(0).to_numpy()
-            x = np.stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()], axis=1)
+            s, n = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
+            x = np.stack([batch.column(2).to_numpy(), batch.column(3).to_numpy()], axis=1)
             first = np.concatenate([[s[0] != last], s[1:] != s[:-1]])
+            first |= NUMERATOR * n > DENOMINATOR * np.concatenate([[size], n[:-1]])
             starts = np.maximum.accumulate(np.where(first, np.arange(len(s)), -1))
             pivots = x[starts]
             if pivot is not None:
                 pivots[starts < 0] = pivot
-            last, pivot = s[-1], pivots[-1].copy()
+            last, size, pivot = s[-1], n[-1], pivots[-1].copy()
             member = ~first & (pivots != x).any(axis=1)
             pairs = np.unique(np.concatenate([pivots[member], x[member]], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k], pa.int64()) for k in range(4)], names=names)
@@ -410,7 +420,8 @@ def cells(regions: DataFrame, depth: int) -> DataFrame:
     Pivots are drawn among a region's members by hash, two for each CELL of weight within the bounds PIVOTS. A region's
     members are dealt to as many tasks as it has CELLs, and its pivots go to each of these. A member of a group doesn't
     come into a cell whose members are all of that group, since these are connected with it already; so a dense region of
-    near copies is measured against its pivots and nothing else.
+    near copies is measured against its pivots and nothing else. Where members are so far from all pivots that their windows
+    would take more copies of them than blocks that meet pairwise, the region stays one cell.
     """
     key = ["pivot_hi", "pivot_lo", "path"]
     parts = F.ceil(F.col("weight") / CELL).cast("int")
@@ -420,7 +431,7 @@ def cells(regions: DataFrame, depth: int) -> DataFrame:
     drawn = dealt.filter(draw < wanted / F.col("members")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     left, right = dealt.select(*key, "part", "m", "h", "n", "items", "members", "weight"), drawn.select(*(F.col(c).alias(f"pivot_{c}") for c in (*key, "part", "m", "h", "items")))
     work = lambda a, b: measure(a, b.select(["pivot_m", "pivot_h", "pivot_items"]).rename_columns(["m", "h", "items"]))
-    measured = stage(left.groupBy(*key, "part").cogroup(right.groupBy(*(f"pivot_{c}" for c in (*key, "part")))).applyInArrow(work, MEASURED).filter("m is not null"), "measured")
+    measured = stage(left.groupBy(*key, "part").cogroup(right.groupBy(*(f"pivot_{c}" for c in (*key, "part")))).applyInArrow(work, MEASURED).filter("m is not null"), "measured", above=1)
     group = F.struct("pm", "ph")
     alike = measured.groupBy(*key, "cell").agg(F.count("*").alias("all"), F.count("pm").alias("inner"), F.min(group).alias("low"), F.max(group).alias("high"))
     # at most PIVOTS cells a region
@@ -428,7 +439,12 @@ def cells(regions: DataFrame, depth: int) -> DataFrame:
     single = alike.groupBy(*key).agg(F.sum("all").alias("all"), F.collect_list(one).alias("single"))
     met = join_groups(measured, single, key, "all", measured.count())
     same = lambda c: F.exists("single", lambda x: (x["cell"] == c) & x["pm"].eqNullSafe(F.col("pm")) & x["ph"].eqNullSafe(F.col("ph")))
-    placed = met.withColumn("at", F.explode(F.concat(F.array("cell"), F.filter("into", lambda c: ~same(c)))))
+    met = met.withColumn("to", F.concat(F.array("cell"), F.filter("into", lambda c: ~same(c))))
+    loose = met.groupBy(*key).agg(F.sum((F.col("n") + MEMBER) * F.size("to")).alias("copied"), F.first("weight").alias("whole"))
+    # at most one region for each CELL of weight
+    loose = loose.filter(F.col("copied") > F.col("whole") * F.greatest(F.lit(2), F.ceil(F.col("whole") / BLOCK))).select(*key, F.lit(True).alias("loose"))
+    met = met.join(F.broadcast(loose), key, "left").withColumn("cell", F.when(F.col("loose"), F.lit(-1)).otherwise(F.col("cell")))
+    placed = met.withColumn("at", F.explode(F.when(F.col("loose"), F.array("cell")).otherwise(F.col("to"))))
     return placed.select("pivot_hi", "pivot_lo", F.concat_ws("/", "path", "at").alias("path"), "m", "h", "n", "items", "weight", (F.col("at") == F.col("cell")).alias("home"), "pm", "ph")
 
 
@@ -514,34 +530,60 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted, ["m", "h"], "left_semi").dropDuplicates(["m", "h"])
 
 
-def set_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """The documents' sketches, and (hi, lo, size, m, h, t, label) of each different set: how many documents have it, its
-    member (smallest document and first half of the digest), that document's text by hash, and the smallest member that
-    is reachable by links; and the number of documents with a set."""
-    rows = stage(sketch(docs), "sketch")
-    full = rows.filter("hi is not null and doc_id is not null")
-    first = F.min(F.struct("doc_id", "t"))
-    groups = full.groupBy("hi", "lo").agg(first.alias("first"), F.count("*").alias("size"), F.first("n_shingles").alias("n"))
-    groups = stage(groups.select("hi", "lo", F.col("first.doc_id").alias("m"), F.col("hi").alias("h"), F.col("first.t").alias("t"), "size", "n"), "classes")
-    total = groups.agg(F.sum("size")).first()[0] or 0
-    heads = rows.filter("prefix is not null and doc_id is not null")
+def possible(members: DataFrame) -> DataFrame:
+    """(pivot_hi, pivot_lo, m, h, n): members of regions (pivot_hi, pivot_lo, m, h, n, bits) that may have another within the
+    radius in theirs, by size and odd sketch.
+
+    A region over CELL is cut into bands of sizes, each of which also takes in the band before it, and a band over BLOCK into
+    blocks that meet pairwise. Only sketches are copied for that, whole sets are not.
+    """
     key = ["pivot_hi", "pivot_lo"]
-    bits = heads.select("hi", "lo", "bits").join(groups.select("hi", "lo", "m", "n"), ["hi", "lo"]).dropDuplicates(["hi", "lo"])
-    members = stage(seed_regions(heads, total).join(bits, ["hi", "lo"]).select(*key, "m", F.col("hi").alias("h"), "n", "bits"), "regions", files(4 * total))
-    # regions too large to be compared all with all, even by sketches: they go on whole
     heavy = members.groupBy(*key).agg(F.sum(F.col("n") + MEMBER).alias("weight")).filter(F.col("weight") > CELL).select(*key)
     number = heavy.count()
     heavy = F.broadcast(heavy) if number <= HEAVY else heavy
     light = members.join(heavy, key, "left_anti") if number else members
-    live = grouped(light, key, ["m", "h", "n", "bits"], hopeful, ", ".join(f"{c} long" for c in (*key, "m", "h", "n")), named=True)
-    if number:
-        live = live.unionByName(members.join(heavy, key, "left_semi").select(*key, "m", "h", "n"))
-    regions = stage(weighed(stage(live, "live"), key), "weighed", files(total))
-    links = stage(region_links(regions, shingle_sets(docs, regions.select("m", "h").distinct())), "links", files(total))
-    labels = classes(links.select(F.struct(F.col("am").alias("m"), F.col("ah").alias("h")).alias("a"), F.struct(F.col("bm").alias("m"), F.col("bh").alias("h")).alias("b")))
-    own = groups.select("hi", "lo", "size", "m", "h", "t", F.struct("m", "h").alias("node"))
-    labelled = own.join(labels, "node", "left").select("hi", "lo", "size", "m", "h", "t", F.coalesce("label", "node").alias("label"))
-    return rows, stage(labelled, "labelled", files(total)), total
+    schema = ", ".join(f"{c} long" for c in (*key, "m", "h", "n"))
+    live = grouped(light, key, ["m", "h", "n", "bits"], hopeful, schema, named=True)
+    if not number:
+        return live
+    own = F.floor(F.ln("n") / math.log(BAND)).cast("int")
+    banded = members.join(heavy, key, "left_semi").withColumn("band", F.explode(F.array(own, own + 1)))
+    inner = [*key, "band"]
+    ready = spread(weighed(banded, inner), BLOCK)
+    # a member may be found in both of its bands and in several blocks
+    found = grouped(ready, [*inner, "i", "j"], ["m", "h", "n", "bits"], hopeful, ", ".join(f"{c} long" for c in (*inner, "i", "j", "m", "h", "n")), named=True)
+    return live.unionByName(found.select(*key, "m", "h", "n").distinct())
+
+
+def set_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(doc_id, t, n_shingles, hi, lo) of the documents, and (hi, lo, size, m, h, t, label) of each different set: how many
+    documents have it, its member (smallest document and first half of the digest), that document's text by hash, and the
+    smallest member that is reachable by links; and the number of documents with a set. What else is staged goes as soon as
+    it is used up; cells of large regions go with the scratch() around."""
+    spark, key = docs.sparkSession, ["pivot_hi", "pivot_lo"]
+    with scratch(spark):
+        with scratch(spark):
+            with scratch(spark):
+                wide = stage(sketch(docs), "sketch")
+                rows = stage(wide.drop("bits", "prefix"), "rows", above=3)
+                full = rows.filter("hi is not null and doc_id is not null")
+                first = F.min(F.struct("doc_id", "t"))
+                groups = full.groupBy("hi", "lo").agg(first.alias("first"), F.count("*").alias("size"), F.first("n_shingles").alias("n"))
+                groups = groups.select("hi", "lo", F.col("first.doc_id").alias("m"), F.col("hi").alias("h"), F.col("first.t").alias("t"), "size", "n")
+                groups = stage(groups, "classes", above=2)
+                total = groups.agg(F.sum("size")).first()[0] or 0
+                heads = wide.filter("prefix is not null and doc_id is not null")
+                bits = heads.select("hi", "lo", "bits").join(groups.select("hi", "lo", "m", "n"), ["hi", "lo"]).dropDuplicates(["hi", "lo"])
+                met = seed_regions(heads, total).join(bits, ["hi", "lo"])
+                members = stage(met.select(*key, "m", F.col("hi").alias("h"), "n", "bits"), "regions", files(4 * total), above=1)
+            live = stage(possible(members), "live", above=1)
+        regions = stage(weighed(live, key), "weighed", files(total))
+        links = stage(region_links(regions, shingle_sets(docs, regions.select("m", "h").distinct())), "links", files(total))
+        labels = classes(links.select(F.struct(F.col("am").alias("m"), F.col("ah").alias("h")).alias("a"), F.struct(F.col("bm").alias("m"), F.col("bh").alias("h")).alias("b")))
+        own = groups.select("hi", "lo", "size", "m", "h", "t", F.struct("m", "h").alias("node"))
+        labelled = own.join(labels, "node", "left").select("hi", "lo", "size", "m", "h", "t", F.coalesce("label", "node").alias("label"))
+        labelled = stage(labelled, "labelled", files(total), above=1)
+    return rows, labelled, total
 
 
 def near_classes(docs: DataFrame) -> DataFrame:

@@ -64,11 +64,12 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def discard_later(spark: SparkSession, path: str, table: str | None = None) -> None:
-    """Have the scratch() around remove a folder, and a catalog table over it; without one, they stay."""
+def discard_later(spark: SparkSession, path: str, table: str | None = None, above: int = 0) -> None:
+    """Have the scratch() around remove a folder, and a catalog table over it, or that so many scratch() `above` it; without
+    one, they stay."""
     held = _scopes.of(spark)
-    if held:
-        held[-1].append((path, table or ""))
+    if len(held) > above:
+        held[-1 - above].append((path, table or ""))
 
 
 @contextmanager
@@ -85,14 +86,34 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
-def stage(frame: DataFrame, name: str, files: int | None = None, keep: bool = False) -> DataFrame:
+#: Has Spark remove a statement's shuffle files at its end; else they stay until the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is written inside leaves no shuffle files."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
+def stage(frame: DataFrame, name: str, files: int | None = None, keep: bool = False, above: int = 0) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage ends here, and lost executors cost nothing.
 
-    `files` bounds the number of files of a table known to be small; a kept table outlives the scratch() it is made in.
+    `files` bounds the number of files of a table known to be small; a kept table outlives every scratch(), and one staged
+    `above` outlives so many around it. The shuffle files of the write go at its end: nothing reads them again.
     """
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/lexmill/{name}-{uuid.uuid4().hex}"
     if not keep:
-        discard_later(spark, path)
-    (frame.coalesce(files) if files else frame).write.parquet(path)
+        discard_later(spark, path, above=above)
+    with shuffles_removed(spark):
+        (frame.coalesce(files) if files else frame).write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)

@@ -1,10 +1,13 @@
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from lexmill.llm import jaccard_join as j
+from lexmill.session import scratch, shared_dir, stage
 
 
 def slow_classes(rows):
@@ -118,6 +121,100 @@ def test_dense_regions_are_only_measured(spark, monkeypatch):
     assert all(r["home"] for r in plan[0].select("home").distinct().collect())
 
 
+def loose(n):
+    """Texts that share some of their prefix shingles, most of them with no other text within the radius."""
+    rng = random.Random(4)
+    shared = [f"s{i}" for i in range(30)]
+    rows = [(i, " ".join([*shared[: rng.randint(12, 30)], *(f"u{i}_{k}" for k in range(rng.randint(30, 60)))])) for i in range(n)]
+    return [*rows, (n, rows[0][1] + " more"), (n + 1, rows[1][1] + " more")]
+
+
+def no_common(monkeypatch):
+    monkeypatch.setattr(j, "common_shingles", lambda docs: (np.empty(0, np.int64),) * 2)
+
+
+def test_large_loose_regions_are_sketched(spark, monkeypatch):
+    """Sets of a region over the bound are fetched only where the sketches leave hope; the region isn't copied from cell to cell."""
+    no_common(monkeypatch)
+    monkeypatch.setattr(j, "CELL", 1500)
+    monkeypatch.setattr(j, "BLOCK", 1500)
+    wanted, plan = [], []
+    real, cut = j.shingle_sets, j.cells
+    monkeypatch.setattr(j, "shingle_sets", lambda docs, ids: wanted.append(ids.count()) or real(docs, ids))
+    monkeypatch.setattr(j, "cells", lambda regions, depth: plan.append(depth) or cut(regions, depth))
+    rows = loose(80)
+    got = sorted(map(tuple, j.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == slow_classes(rows)
+    assert wanted[0] <= 10 and not plan
+
+
+@pytest.mark.parametrize("block", [300, 1200])
+def test_bands_and_blocks_of_sketches(spark, monkeypatch, block):
+    monkeypatch.setattr(j, "CELL", 300)
+    monkeypatch.setattr(j, "BLOCK", block)
+    rows = variants(13, groups=4, most=30)
+    assert sorted(map(tuple, j.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == slow_classes(rows)
+
+
+def test_bands_hold_the_radius():
+    """Two sizes within the radius are in one band or in two next to each other."""
+    band = lambda n: int(np.floor(np.log(n) / np.log(j.BAND)))
+    assert all(band(n) - band(-(-3 * n // 4)) <= 1 for n in range(1, 200_000))
+
+
+def test_windows_never_copy_more_than_blocks(spark, monkeypatch):
+    """A region whose members are far from all pivots stays one cell, since its windows would hold every member in every cell."""
+    monkeypatch.setattr(j, "CELL", 2000)
+    monkeypatch.setattr(j, "BLOCK", 2000)
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(j, "PIVOTS", (30, 64))
+    sets = [np.unique(rng.integers(0, 400, 100)) for _ in range(60)]
+    weight = sum(len(x) + j.MEMBER for x in sets)
+    rows = [(1, 2, "", k, k, len(x), x.tobytes(), len(sets), weight) for k, x in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "pivot_hi long, pivot_lo long, path string, m long, h long, n long, items binary, members long, weight long")
+    out = j.cells(frame, 0).collect()
+    assert sorted(r["m"] for r in out) == list(range(60)) and len({r["path"] for r in out}) == 1 and all(r["home"] for r in out)
+
+
+def test_chance_partners_of_other_sizes_share_no_region(spark, monkeypatch):
+    no_common(monkeypatch)
+    rows = [(i, " ".join(["a b c d e", *(f"u{i}_{k}" for k in range(8 * 2**i))])) for i in range(7)]
+    heads = j.sketch(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert j.seed_regions(heads, 7).count() == 0
+
+
+def test_staged_tables_go_when_used_up(spark):
+    """The result rests on two narrow tables; the shuffle files of what was staged are gone too."""
+    with scratch(spark):
+        place = Path(shared_dir(spark).removeprefix("file:"), "lexmill")
+        before = set(place.iterdir()) if place.exists() else set()
+        found = j.near_classes(spark.createDataFrame(variants(3, groups=4), "doc_id long, text string"))
+        assert sorted(p.name.split("-")[0] for p in set(place.iterdir()) - before) == ["labelled", "rows"]
+        assert found.count() > 0
+    assert set(place.iterdir()) <= before
+
+
+def test_staging_leaves_no_shuffle_files(spark):
+    def held():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+        out = set()
+        while files.hasNext():
+            name = files.next().getName()
+            if name.startswith("shuffle_"):
+                out.add(name)
+        return out
+
+    before, after = held(), set()
+    with scratch(spark):
+        stage(spark.range(1000).repartition(4, "id").groupBy("id").count(), "counted")
+        for _ in range(50):
+            after = held() - before
+            if not after:
+                break
+            time.sleep(0.2)
+    assert not after
+
+
 def test_one_id_with_two_texts(spark):
     words = lambda name, n: [f"{name}{i}" for i in range(n)]
     a, b = words("a", 60), words("b", 60)
