@@ -31,6 +31,8 @@ CELL, BLOCK = 1 << 22, 1 << 22
 SLICE = 1 << 18
 #: Pivots of a region that is cut, at least and at most, and how often cells are cut again.
 PIVOTS, DEPTH = (8, 64), 4
+#: Documents whose prefixes are shuffled at once, about, and passes at most.
+PASS, PASSES = 100_000, 8
 #: Rows that one file of a staged table of numbers has about, and files that it has at least.
 ROWS, FILES = 20_000, 4
 #: Documents beyond which ids are joined by shuffling instead of broadcast, and regions over CELL likewise.
@@ -178,11 +180,11 @@ def seed_regions(heads: DataFrame, total: int) -> DataFrame:
     the radius allows, so they share a run, hence a pivot: they meet in its region. Sets that share a shingle by chance
     mostly differ in size, and runs of a single set fall out. Ranks are size and digest, so the sets of one neighbourhood
     agree on few pivots. Rows come sorted by shingle and rank; the scan keeps one pivot at a time and passes over repeated
-    rows.
+    rows. The shingles of a large table are taken in passes, each a share of all shingles, so the disk holds the shuffle of
+    one pass at a time.
     """
     parts = int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = heads.select(F.explode("prefix").alias("s"), F.col("n_shingles").cast("int").alias("n"), "hi", "lo")
-    ranked = rows.repartition(max(parts, 2), "s").sortWithinPartitions("s", "n", "hi", "lo")
+    passes = min(PASSES, 1 + total // PASS)
     names = ["pivot_hi", "pivot_lo", "hi", "lo"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +205,14 @@ def seed_regions(heads: DataFrame, total: int) -> DataFrame:
             pairs = np.unique(np.concatenate([pivots[member], x[member]], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k], pa.int64()) for k in range(4)], names=names)
 
-    found = stage(ranked.mapInArrow(run, ", ".join(f"{n} long" for n in names)).distinct(), "seeds", files(4 * total))
+    seeds = []
+    for k in range(passes):
+        taken = F.filter("prefix", lambda x: F.pmod(x, F.lit(passes)) == k) if passes > 1 else F.col("prefix")
+        rows = heads.select(F.explode(taken).alias("s"), F.col("n_shingles").cast("int").alias("n"), "hi", "lo")
+        ranked = rows.repartition(max(parts, 2), "s").sortWithinPartitions("s", "n", "hi", "lo")
+        seeds.append(stage(ranked.mapInArrow(run, ", ".join(f"{n} long" for n in names)).distinct(), "seeds", files(4 * total)))
+    found = reduce(DataFrame.unionByName, seeds)
+    found = found.distinct() if passes > 1 else found
     own = found.select("pivot_hi", "pivot_lo", F.col("pivot_hi").alias("hi"), F.col("pivot_lo").alias("lo")).distinct()
     return found.unionByName(own)
 

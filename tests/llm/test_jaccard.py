@@ -148,6 +148,18 @@ def test_large_loose_regions_are_sketched(spark, monkeypatch):
     assert wanted[0] <= 10 and not plan
 
 
+def test_passes_over_shingles(spark, monkeypatch):
+    """A large table's prefixes are shuffled in passes; seeds and classes are the same."""
+    staged, real = [], j.stage
+    monkeypatch.setattr(j, "stage", lambda frame, name, *a, **k: staged.append(name) or real(frame, name, *a, **k))
+    rows = variants(17, groups=5)
+    heads = j.sketch(spark.createDataFrame(rows, "doc_id long, text string")).filter("prefix is not null")
+    want = sorted(map(tuple, j.seed_regions(heads, len(rows)).collect()))
+    monkeypatch.setattr(j, "PASS", max(1, len(rows) // 2))
+    assert sorted(map(tuple, j.seed_regions(heads, len(rows)).collect())) == want and want
+    assert staged.count("seeds") == 1 + 1 + len(rows) // j.PASS
+
+
 @pytest.mark.parametrize("block", [300, 1200])
 def test_bands_and_blocks_of_sketches(spark, monkeypatch, block):
     monkeypatch.setattr(j, "CELL", 300)
