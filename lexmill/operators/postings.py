@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.vectors import pieces
 from lexmill.operators.retrieval import CELLS, K1, TERM_BLOCK, B, BestRows, half_up_array, query_blocks, ranked
-from lexmill.session import shared_dir, stage
+from lexmill.session import scratch, shared_dir, shuffles_removed, stage
 
 #: Documents of a slice: the blocks of all terms are cut at the same documents, so bounds of a slice add up.
 SLICE = 32
@@ -23,6 +23,8 @@ BUCKETS = 16
 SPREAD = 8
 #: Slices of highest bound that are scored first for each query; they give the score that others must reach.
 SEEDS = 4
+#: Slices up to which their numbers are broadcast to leave out the blocks of all others before the shuffle.
+BROADCAST_SLICES = 500_000
 #: Words of the documents that are cut into slices together, about.
 DOCUMENT_ITEMS = 500_000
 #: Scores are rounded to six digits, so a bound may fall short by half of one.
@@ -131,12 +133,14 @@ class PostingsIndex:
         made = docs.select(F.col(key).cast("long"), tokens.alias("bag")).mapInArrow(
             lambda b: build_blocks(b, batch, slice_), "slice long, term string, keys array<long>, lengths array<int>, at array<int>, tf array<int>, peak_tf array<int>, peak_dl array<int>"
         )
-        made = stage(made, "posting-blocks")
-        blocks = made.filter("term is not null").select("term", "slice", F.size("at").alias("n"), "at", "tf", "peak_tf", "peak_dl", bucket(F.col("term"), self.buckets).alias("bucket"))
-        placed = blocks.repartition("bucket", F.pmod(F.xxhash64("slice"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term", "slice")
-        placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/batch={batch}")
-        slices = made.filter("term is null").select("slice", F.size("keys").alias("n"), F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("tokens"), "keys", "lengths")
-        slices.write.mode("overwrite").parquet(f"{self.path}/slices/batch={batch}")
+        with scratch(self.spark):
+            made = stage(made, "posting-blocks")
+            blocks = made.filter("term is not null").select("term", "slice", F.size("at").alias("n"), "at", "tf", "peak_tf", "peak_dl", bucket(F.col("term"), self.buckets).alias("bucket"))
+            placed = blocks.repartition("bucket", F.pmod(F.xxhash64("slice"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term", "slice")
+            with shuffles_removed(self.spark):
+                placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/batch={batch}")
+            slices = made.filter("term is null").select("slice", F.size("keys").alias("n"), F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("tokens"), "keys", "lengths")
+            slices.write.mode("overwrite").parquet(f"{self.path}/slices/batch={batch}")
 
     def batches(self) -> list[int]:
         """Numbers of the finished batches."""
@@ -218,17 +222,21 @@ TARGET = "slice long, queries array<int>, postings array<long>"
 def _score(index: PostingsIndex, targets: DataFrame, wanted: DataFrame, box, k: int, key: str) -> DataFrame:
     """(query_id, key, score): the k best of each query in the slices that are named for it.
 
-    Only blocks of the named slices are shuffled, each once for all queries, to where the slice's keys and lengths are; a
-    task goes through its slices in order and keeps k rows a query.
+    The slices' keys and lengths are written beside their queries first, so the blocks, which are many, are in no join: each is
+    shuffled once for all queries, to where its slice is. Blocks of other slices are left out before, or passed over where
+    even the slices' numbers are too many to be broadcast. A task goes through its slices in order and keeps k rows a query.
     """
     none = lambda kind: F.lit(None).cast(kind)
     heads = targets.join(index.slices().select("slice", "keys", "lengths"), "slice").select("slice", F.lit(-1).alias("no"), "keys", F.col("lengths").alias("a"), F.col("queries").alias("b"))
-    blocks = wanted.join(targets.select("slice"), "slice", "left_semi").select("slice", "no", none("array<bigint>").alias("keys"), F.col("at").alias("a"), F.col("tf").alias("b"))
+    heads = stage(heads, "slice-heads")
+    blocks = wanted.select("slice", "no", none("array<bigint>").alias("keys"), F.col("at").alias("a"), F.col("tf").alias("b"))
+    if heads.count() <= BROADCAST_SLICES:
+        blocks = blocks.join(F.broadcast(heads.select("slice")), "slice", "left_semi")
     rows = heads.unionByName(blocks).repartition("slice").sortWithinPartitions("slice", "no")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, best = box.value, BestRows(k)
-        keys = lengths = queries = score = None
+        keys = lengths = queries = score = here = None
 
         def close() -> None:
             if queries is not None:
@@ -237,14 +245,15 @@ def _score(index: PostingsIndex, targets: DataFrame, wanted: DataFrame, box, k:
                 best.add(half_up_array(full), keys, 0.0)
 
         for batch in batches:
-            for no, key_list, a, b in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), batch.column(4), strict=True):
+            for slice_, no, key_list, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), batch.column(4), strict=True):
                 if no < 0:
                     close()
+                    here = slice_
                     keys, lengths, queries = (x.values.to_numpy(zero_copy_only=False) for x in (key_list, a, b))
                     place = np.full(len(block.ids), -1)
                     place[queries] = np.arange(len(queries))
                     score = np.zeros((len(queries), len(keys)))
-                else:
+                elif slice_ == here:
                     mine = place[block.having[no]]
                     mine = mine[mine >= 0]
                     if len(mine):
@@ -276,50 +285,51 @@ def postings_top_k(index: PostingsIndex, queries: DataFrame, k: int, key: str =
         terms = spark.createDataFrame([(t, i) for i, t in enumerate(block.terms)], "term string, no int")
         named = terms.withColumn("bucket", bucket(F.col("term"), index.buckets))
         needed = [r[0] for r in named.select("bucket").distinct().collect()]
-        wanted = index.postings().filter(F.col("bucket").isin(needed)).join(F.broadcast(terms), "term")
-        light = wanted.groupBy("slice").agg(F.collect_list(F.struct("no", "n", "peak_tf", "peak_dl")).alias("x"))
-        light = stage(light.select("slice", *(F.col(f"x.{c}").alias(c) for c in ("no", "n", "peak_tf", "peak_dl"))), "slice-peaks")
-        df = np.zeros(len(block.terms))
-        for no, n in light.select(F.explode(F.arrays_zip("no", "n")).alias("x")).groupBy("x.no").agg(F.sum("x.n")).collect():
-            df[no] = n
-        block.idf, block.mean = np.log(1 + (total - df + 0.5) / (df + 0.5)), tokens / total or 1.0
-        box = spark.sparkContext.broadcast(block)
-
-        def first(batches: Iterator[pa.RecordBatch], box=box) -> Iterator[pa.RecordBatch]:
-            best, block = BestRows(seeds), box.value
-            for slices, bound, _ in slice_bounds(batches, block):
-                best.add(bound, slices, 0.0)
-            if len(best.query):
-                yield pa.RecordBatch.from_arrays([pa.array(best.query), pa.array(best.key), pa.array(best.score)], names=["q", "slice", "score"])
-
-        # at most `seeds` rows a query of the block
-        begun = ranked(light.mapInArrow(first, "q long, slice long, score double"), "q", F.desc("score"), F.asc("slice"), k=seeds).select("q", "slice").collect()
-        of_slice: dict[int, list[int]] = {}
-        for q, s in begun:
-            of_slice.setdefault(s, []).append(q)
-        seeded = spark.createDataFrame([(s, sorted(qs)) for s, qs in sorted(of_slice.items())], "slice long, queries array<int>")
-        early = stage(ranked(_score(index, seeded, wanted, box, k, key), "query_id", F.desc("score"), F.asc(key), k=k), "seed-scores")
-        reach = np.full(len(block.ids), -np.inf)
-        for query, score in early.filter(F.col("rank") == k).select("query_id", "score").collect():
-            reach[np.searchsorted(block.ids, query)] = score
-        second = spark.sparkContext.broadcast((reach, of_slice))
-
-        def rest(batches: Iterator[pa.RecordBatch], box=box, second=second) -> Iterator[pa.RecordBatch]:
-            reach, done = second.value
-            for slices, bound, count in slice_bounds(batches, box.value):
-                live = (bound > 0) & (bound + SLACK >= reach[:, None])
-                for j, s in enumerate(slices.tolist()):
-                    live[done.get(s, []), j] = False
-                column, query = np.nonzero(live.T)
-                ends = np.searchsorted(column, np.arange(len(slices)), side="right")
-                full = np.flatnonzero(np.diff(ends, prepend=0))
-                yield pa.RecordBatch.from_arrays([pa.array(slices[full]), lists(ends[full], query, pa.int32()), lists(ends[full], count.T[column, query], pa.int64())], names=["slice", "queries", "postings"])
-
-        late = stage(light.mapInArrow(rest, TARGET), "slices-left")
-        if report is not None:
-            _report(report, light, late, block, of_slice)
-        one = early.select("query_id", key, "score").unionByName(_score(index, late.select("slice", "queries"), wanted, box, k, key))
-        one = stage(ranked(one, "query_id", F.desc("score"), F.asc(key), k=k), "found")
+        with scratch(spark):
+            wanted = index.postings().filter(F.col("bucket").isin(needed)).join(F.broadcast(terms), "term")
+            light = wanted.groupBy("slice").agg(F.collect_list(F.struct("no", "n", "peak_tf", "peak_dl")).alias("x"))
+            light = stage(light.select("slice", *(F.col(f"x.{c}").alias(c) for c in ("no", "n", "peak_tf", "peak_dl"))), "slice-peaks")
+            df = np.zeros(len(block.terms))
+            for no, n in light.select(F.explode(F.arrays_zip("no", "n")).alias("x")).groupBy("x.no").agg(F.sum("x.n")).collect():
+                df[no] = n
+            block.idf, block.mean = np.log(1 + (total - df + 0.5) / (df + 0.5)), tokens / total or 1.0
+            box = spark.sparkContext.broadcast(block)
+
+            def first(batches: Iterator[pa.RecordBatch], box=box) -> Iterator[pa.RecordBatch]:
+                best, block = BestRows(seeds), box.value
+                for slices, bound, _ in slice_bounds(batches, block):
+                    best.add(bound, slices, 0.0)
+                if len(best.query):
+                    yield pa.RecordBatch.from_arrays([pa.array(best.query), pa.array(best.key), pa.array(best.score)], names=["q", "slice", "score"])
+
+            # at most `seeds` rows a query of the block
+            begun = ranked(light.mapInArrow(first, "q long, slice long, score double"), "q", F.desc("score"), F.asc("slice"), k=seeds).select("q", "slice").collect()
+            of_slice: dict[int, list[int]] = {}
+            for q, s in begun:
+                of_slice.setdefault(s, []).append(q)
+            seeded = spark.createDataFrame([(s, sorted(qs)) for s, qs in sorted(of_slice.items())], "slice long, queries array<int>")
+            early = stage(ranked(_score(index, seeded, wanted, box, k, key), "query_id", F.desc("score"), F.asc(key), k=k), "seed-scores")
+            reach = np.full(len(block.ids), -np.inf)
+            for query, score in early.filter(F.col("rank") == k).select("query_id", "score").collect():
+                reach[np.searchsorted(block.ids, query)] = score
+            second = spark.sparkContext.broadcast((reach, of_slice))
+
+            def rest(batches: Iterator[pa.RecordBatch], box=box, second=second) -> Iterator[pa.RecordBatch]:
+                reach, done = second.value
+                for slices, bound, count in slice_bounds(batches, box.value):
+                    live = (bound > 0) & (bound + SLACK >= reach[:, None])
+                    for j, s in enumerate(slices.tolist()):
+                        live[done.get(s, []), j] = False
+                    column, query = np.nonzero(live.T)
+                    ends = np.searchsorted(column, np.arange(len(slices)), side="right")
+                    full = np.flatnonzero(np.diff(ends, prepend=0))
+                    yield pa.RecordBatch.from_arrays([pa.array(slices[full]), lists(ends[full], query, pa.int32()), lists(ends[full], count.T[column, query], pa.int64())], names=["slice", "queries", "postings"])
+
+            late = stage(light.mapInArrow(rest, TARGET), "slices-left")
+            if report is not None:
+                _report(report, light, late, block, of_slice)
+            one = early.select("query_id", key, "score").unionByName(_score(index, late.select("slice", "queries"), wanted, box, k, key))
+            one = stage(ranked(one, "query_id", F.desc("score"), F.asc(key), k=k), "found", above=1)
         box.destroy()
         second.destroy()
         out = one if out is None else out.unionByName(one)

@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from lexmill.functions.text import words
 from lexmill.operators.postings import PostingsIndex, impact, peaks, postings_top_k
 from lexmill.operators.retrieval import bm25_top_k
-from lexmill.session import remove, scratch, stage
+from lexmill.session import remove, scratch, shared_dir, stage
 
 
 def corpus(spark, n, seed=0, first=0):
@@ -116,3 +117,42 @@ def test_scratch_belongs_to_a_session(spark):
     assert theirs.count() == 3
     with pytest.raises(Exception, match="(?i)not exist|not found"):
         spark.read.parquet(mine)
+
+
+def test_blocks_of_other_slices(spark, monkeypatch):
+    """Blocks whose slice isn't named are passed over where the slices' numbers are too many to be broadcast."""
+    docs, queries = corpus(spark, 400), terms(spark, 12)
+    index = PostingsIndex(spark, slice_=4)
+    index.append(docs, words(F.col("text")), 0)
+    monkeypatch.setattr("lexmill.operators.postings.BROADCAST_SLICES", 0)
+    same(postings_top_k(index, queries, 3), bm25_top_k(docs, words(F.col("text")), queries, 3))
+
+
+def test_blocks_are_in_no_shuffled_join(spark, monkeypatch):
+    """The postings are shuffled once, by slice; they meet their words and slices by declared broadcasts alone, which Spark has
+    ready before the shuffle begins."""
+    plans = []
+    docs, queries = corpus(spark, 300), terms(spark, 8)
+    kind, real = type(docs), type(docs).mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, **k: plans.append(self) or real(self, *a, **k))
+    index = PostingsIndex(spark)
+    index.append(docs, words(F.col("text")), 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        postings_top_k(index, queries, 3)
+        scored = [p for p in (f._jdf.queryExecution().executedPlan().toString() for f in plans) if "REPARTITION_BY_COL" in p]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(scored) == 2 and not any("SortMergeJoin" in p for p in scored)
+
+
+def test_only_the_index_and_the_result_stay(spark):
+    docs, queries = corpus(spark, 300), terms(spark, 8)
+    place = Path(shared_dir(spark).removeprefix("file:"), "lexmill")
+    before = set(place.iterdir()) if place.exists() else set()
+    with scratch(spark):
+        index = PostingsIndex(spark)
+        index.append(docs, words(F.col("text")), 0)
+        found = postings_top_k(index, queries, 3)
+        assert sorted(p.name.split("-")[0] for p in set(place.iterdir()) - before) == ["found", "postings"]
+        assert found.count() > 0
